@@ -64,35 +64,26 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", kind: str = "long") -> DataFrame:
-    """Connected components of undirected edges: (node, root), root the smallest node of the component.
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components of undirected edges between longs: (node, root) of every node that isn't the smallest of its component.
 
-    Alternates large-star and small-star steps until no edge changes; the number of rounds grows with the
+    Alternates large-star and small-star steps until only stars are left; the number of rounds grows with the
     logarithm of the longest path.  A minimum is taken with partial aggregation and joined back, so a hub's
-    neighbours never have to meet in one task (AQE splits a skewed join).  Self edges keep a node alone.
+    neighbours never have to meet in one task (AQE splits a skewed join).  Null ends and self edges are left out.
     """
     spark = edges.sparkSession
-    cur, path = written(edges.select(F.greatest(a, b).cast(kind).alias("u"), F.least(a, b).cast(kind).alias("v")).distinct(), "edges")
-    own = cur.select(F.col("u").alias("node")).union(cur.select(F.col("v").alias("node"))).distinct()
-    nodes, nodes_path = written(own, "nodes")
-    del nodes_path
-    before = None
+    cur, path = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u <> v").distinct(), "edges")
     while True:
-        links = cur.where("u <> v")
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        n, own = cur.agg(F.count("*"), F.count_distinct("u")).first()
+        if n == own and cur.select(F.col("v").alias("u")).join(cur.select("u"), "u", "left_semi").isEmpty():
+            return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        both = cur.union(cur.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large, large_path = written(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("x"), "m").union(least.select(F.col("u").alias("x"), "m"))
-        small = small.select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).where("u <> v").distinct()
-        small, small_path = written(small, "small")
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
+        small, small_path = written(small.distinct(), "small")
         removed(spark, large_path)
         removed(spark, path)
         cur, path = small, small_path
-        now = tuple(cur.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    roots = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
