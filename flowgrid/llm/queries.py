@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ordermin, packing, pii, quality, secrets, simhash, token_counts
+from . import bpe, htmltext, media, ordermin, packing, pii, quality, secrets, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_features(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.sampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_order_minhash": op1_order_minhash, "op2_secrets": op2_secrets, "op3_pii": op3_pii, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_token_counts": op8_token_counts, "op9_packing": op9_packing, "op10_simhash": op10_simhash}
+    return {"op1_order_minhash": op1_order_minhash, "op2_secrets": op2_secrets, "op3_pii": op3_pii, "op4_html_text": op4_html_text, "op5_jpeg": op5_jpeg, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_token_counts": op8_token_counts, "op9_packing": op9_packing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
