@@ -32,6 +32,7 @@ def query(sql: str | None = None) -> Callable[[Callable[[Inputs], DataFrame]], Q
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return make(Inputs(spark, sf_dir))
 
+        run.__module__, run.__name__ = make.__module__, make.__name__
         ENTRIES[make.__name__] = (run, sql and with_inputs(sql))
         return run
 
