@@ -23,6 +23,7 @@ INPUTS = {
     "mass": """SELECT concat('sim', CAST(o_custkey % 10 AS STRING)) AS sim_name, CAST(o_orderkey AS DOUBLE) AS t, o_totalprice AS total, CAST(o_orderkey % 13 AS DOUBLE) AS entrained, CAST(o_orderkey % 5 AS DOUBLE) AS detrained FROM orders""",
     "path": """SELECT path_id, i, 10.0 * i + CAST(o_orderkey % 7 AS DOUBLE) AS x, 5.0 * i + CAST(o_orderkey % 5 AS DOUBLE) AS y, 3000 - 60 * ln(1.0 + i) * 4 - CAST(o_orderkey % 3 AS DOUBLE) AS z
         FROM (SELECT o_custkey AS path_id, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS i FROM orders) o""",
+    "thal": """SELECT path_id, i, 1.5 + 3.5 * i + CAST(k AS DOUBLE) / 16 AS x, 6 + 2.25 * i + 2.0 * path_id - CAST(k AS DOUBLE) / 8 AS y, 900 - 400 * ln(1.0 + i) AS z FROM (SELECT CAST(o_custkey % 3 AS INT) AS path_id, CAST(o_orderkey % 11 AS INT) AS i, max(o_orderkey % 7) AS k FROM orders GROUP BY 1, 2) o""",
     "visits": """SELECT l_orderkey AS start_id, CAST(l_partkey % 40 AS INT) AS r, CAST(l_suppkey % 50 AS INT) AS c, CAST(l_linenumber AS INT) AS visit_id, l_extendedprice / 100 AS z_delta, l_quantity / 50 AS flux, l_discount AS flux_dep, 10 + l_tax * 100 AS fp_gamma, 12 + l_tax * 50 AS sl_gamma, l_quantity * 5 AS dist FROM lineitem""",
     "edges": """SELECT l_orderkey AS start_id, CAST(l_linenumber AS BIGINT) AS parent, CAST(l_linenumber + 1 AS BIGINT) AS child FROM lineitem WHERE l_linenumber < 7""",
     "features": """SELECT s_suppkey AS feature_id, concat('area', CAST(s_suppkey AS STRING)) AS name, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE concat('g', CAST(s_nationkey AS STRING)) END AS grp, CASE WHEN s_suppkey % 4 = 0 THEN '' WHEN s_suppkey % 4 = 1 THEN 'a,b' ELSE 'a, c' END AS scenario,

@@ -1 +1,152 @@
-"""Queries to come."""
+"""Queries over particles, mass series, routed paths and distance-time diagrams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from flowgrid.operators import particles as K
+
+from .paths import ON_SL, grid
+from .registry import Inputs, query, rounded
+
+NR, NC = 40, 50
+AVG = ", ".join(f"round(sum(m * {c}) / sum(m), 6) AS {c}, round(sqrt(greatest(0, sum(m * pow({c} - mu_{c}, 2)) / sum(m))), 5) AS {c}_std" for c in ("x", "y", "z", "s", "u2"))
+
+
+@query(f"""WITH p AS (SELECT *, ux * ux + uy * uy + uz * uz AS u2 FROM particles), q AS (SELECT *, {", ".join(f"sum(m * {c}) OVER w / sum(m) OVER w AS mu_{c}" for c in ("x", "y", "z", "s", "u2"))} FROM p WINDOW w AS (PARTITION BY sim_name, t)) SELECT sim_name, t, {AVG}, round(0.5 * sum(m * u2), 6) AS e_kin FROM q GROUP BY 1, 2""")
+def mass_averaged_path(x: Inputs) -> DataFrame:
+    out = rounded(K.mass_averaged_path(x.particles), "x", "y", "z", "s", "u2", "e_kin")
+    return rounded(out, *[f"{c}_std" for c in ("x", "y", "z", "s", "u2")], digits=5)
+
+
+@query("SELECT sim_name, t, round(sum(m * x) / sum(m), 6) AS mean FROM particles GROUP BY 1, 2")
+def weighted_mean_std(x: Inputs) -> DataFrame:
+    return rounded(K.mass_averaged_path(x.particles, ("x",)).select("sim_name", "t", F.col("x").alias("mean")), "mean")
+
+
+@query("WITH p AS (SELECT *, sqrt(ux * ux + uy * uy + uz * uz) AS v FROM particles) SELECT sim_name, t, round(max(v), 6) AS v_max, round(min(v), 6) AS v_min, round(avg(v), 6) AS v_mean, round(quantile_cont(v, 0.5), 6) AS v_median, max(s) AS s_max, min(s) AS s_min FROM p GROUP BY 1, 2")
+def velocity_envelope_time(x: Inputs) -> DataFrame:
+    return rounded(K.velocity_envelope_time(x.particles), "v_max", "v_min", "v_mean", "v_median")
+
+
+@query("WITH p AS (SELECT *, round(sqrt(ux * ux + uy * uy + uz * uz), 6) AS v FROM particles) SELECT sim_name, CAST(floor(s / 4) AS BIGINT) AS i_s, max(v) AS v_max, min(v) AS v_min, round(avg(v), 5) AS v_mean, round(quantile_cont(v, 0.5), 5) AS v_median, round(avg(z), 5) AS z_mean FROM p GROUP BY 1, 2")
+def velocity_envelope_thalweg(x: Inputs) -> DataFrame:
+    return rounded(K.velocity_envelope_thalweg(x.particles, 4.0), "v_mean", "v_median", "z_mean", digits=5)
+
+
+@query("WITH f AS (SELECT *, min(t) OVER (PARTITION BY sim_name, parent_id) AS t0 FROM particles), k AS (SELECT DISTINCT sim_name, parent_id FROM f WHERE t = t0 AND pow(x - 20, 2) + pow(y - 15, 2) <= 36) SELECT p.sim_name, p.parent_id, p.t, p.id, p.x, p.y FROM particles p JOIN k ON p.sim_name = k.sim_name AND p.parent_id = k.parent_id")
+def track_particles(x: Inputs) -> DataFrame:
+    return K.track_particles(x.particles, 20.0, 15.0, 6.0).select("sim_name", "parent_id", "t", "id", "x", "y")
+
+
+@query("WITH k AS (SELECT sim_name, t, count(*) AS n, string_agg(CAST(CAST(m AS INT) AS STRING), ',' ORDER BY id) AS vals FROM particles GROUP BY 1, 2) SELECT *, n = first_value(n) OVER (PARTITION BY sim_name ORDER BY t) AS same_count FROM k")
+def particle_time_arrays(x: Inputs) -> DataFrame:
+    return K.particle_time_arrays(x.particles, "m").select("sim_name", "t", "n", F.array_join(F.transform("values", lambda v: v.cast("int").cast("string")), ",").alias("vals"), "same_count")
+
+
+@query("WITH f AS (SELECT sim_name, parent_id, z AS z0, row_number() OVER (PARTITION BY sim_name, parent_id ORDER BY t, id DESC) AS n FROM particles) SELECT p.sim_name, p.t, p.id, round(CASE WHEN s > 0 THEN degrees(atan2(z0 - z, s)) ELSE 0 END, 6) AS travel_angle FROM particles p JOIN f ON p.sim_name = f.sim_name AND p.parent_id = f.parent_id AND n = 1")
+def travel_angle(x: Inputs) -> DataFrame:
+    return rounded(K.travel_angle(x.particles).select("sim_name", "t", "id", "travel_angle"), "travel_angle")
+
+
+@query("""WITH k AS (SELECT sim_name, t, m, ux, uy, uz, CAST(floor(y) AS INT) + di AS r, CAST(floor(x) AS INT) + dj AS c, (CASE WHEN di = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN dj = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM particles, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS q(di, dj)),
+s AS (SELECT sim_name, t, r, c, sum(m * w) AS mass, sum(m * w * ux) AS ux, sum(m * w * uy) AS uy, sum(m * w * uz) AS uz FROM k WHERE w > 0 GROUP BY 1, 2, 3, 4), f AS (SELECT *, sqrt(ux * ux + uy * uy + uz * uz) / mass AS v FROM s)
+SELECT sim_name, t, r, c, round(mass, 6) AS mass, round(mass / 200, 6) AS ft, round(v, 6) AS v, round(200 * v * v, 5) AS p, round(0.5 * mass * v * v, 9) AS ke FROM f""")
+def particles_to_fields(x: Inputs) -> DataFrame:
+    return rounded(rounded(K.particles_to_fields(x.particles, 1.0), "mass", "ft", "v"), "p", digits=5).withColumn("ke", F.round("ke", 9))
+
+
+@query(f"WITH k AS (SELECT sim_name, t, CAST(round_even(y, 0) AS INT) AS r, CAST(round_even(x, 0) AS INT) AS c, count(*) AS n FROM particles GROUP BY 1, 2, 3, 4) SELECT *, coalesce(sum(n) OVER (PARTITION BY sim_name, t ORDER BY r * {NC} + c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k".replace("AS before", 'AS "before"'))
+def particles_per_cell(x: Inputs) -> DataFrame:
+    return K.particles_per_cell(x.particles, 1.0, NC)
+
+
+@query("WITH p AS (SELECT event_id AS id, CAST(event_id % 40 AS INT) AS r, CAST(event_id % 50 AS INT) AS c FROM events), n AS (SELECT r, c, count(*) AS k FROM p GROUP BY 1, 2) SELECT p.id, p.r, p.c, round(d.z / n.k, 6) AS m FROM p JOIN n ON p.r = n.r AND p.c = n.c JOIN dem d ON p.r = d.r AND p.c = d.c")
+def split_cell_mass(x: Inputs) -> DataFrame:
+    p = x.events.select(F.col("event_id").alias("id"), (F.col("event_id") % 40).cast("int").alias("r"), (F.col("event_id") % 50).cast("int").alias("c"))
+    return rounded(K.split_cell_mass(p, x.dem.withColumnRenamed("z", "mass")), "m")
+
+
+@query("""WITH k AS (SELECT o_orderkey AS id, CAST(o_orderkey % 997 AS DOUBLE) AS altitude, CAST(1 + o_custkey % 9 AS DOUBLE) AS weight FROM orders), s AS (SELECT *, row_number() OVER (ORDER BY altitude DESC, id) AS rank, sum(weight) OVER (ORDER BY altitude DESC, id) - weight AS w, sum(weight) OVER () AS total FROM k)
+SELECT id, altitude, weight, rank, CAST(least(7, floor(w / total * 8)) AS BIGINT) AS part FROM s""")
+def start_balanced_chunks(x: Inputs) -> DataFrame:
+    cells = x.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 997).cast("double").alias("altitude"), (1 + F.col("o_custkey") % 9).cast("double").alias("weight"))
+    return K.start_balanced_chunks(cells, 8)
+
+
+# ---- mass ----
+@query("SELECT *, sum(detrained) OVER (PARTITION BY sim_name ORDER BY t) AS detrained_total FROM mass")
+def write_mass_series(x: Inputs) -> DataFrame:
+    return K.write_mass_series(x.mass)
+
+
+@query("""WITH k AS (SELECT sim_name, min_by(total, t) AS first, max_by(total, t) AS last, sum(entrained) AS entrained, max(t) - min(t) AS duration FROM mass GROUP BY 1)
+SELECT sim_name, first, last, entrained, round(last / first, 6) AS growth_index, round((last - first) / duration, 6) AS growth_gradient, round(((SELECT last FROM k WHERE sim_name = 'sim0') - last) * 100 / (SELECT last FROM k WHERE sim_name = 'sim0'), 6) AS difference, CASE WHEN entrained = 0 THEN abs(last - first) <= 0.0005 * first ELSE abs(last - first - entrained) <= 0.0005 * last END AS kept FROM k""".replace(" AS first", ' AS "first"').replace(" AS last,", ' AS "last",').replace("last", '"last"').replace('""last""', '"last"').replace("/ first", '/ "first"').replace("- first", '- "first"').replace(", first,", ', "first",').replace("* first", '* "first"'))
+def mass_summary(x: Inputs) -> DataFrame:
+    return rounded(K.mass_summary(x.mass, "sim0"), "growth_index", "growth_gradient", "difference")
+
+
+@query("""WITH k AS (SELECT sim_name, t, total, coalesce(entrained / (t - lag(t) OVER w), 0) AS flow FROM mass WINDOW w AS (PARTITION BY sim_name ORDER BY t)), w AS (SELECT n.sim_name, g.t FROM (SELECT DISTINCT sim_name FROM mass) n, (SELECT DISTINCT CAST(o_custkey * 11 AS DOUBLE) AS t FROM orders) g),
+a AS (SELECT w.sim_name, w.t, k.t AS ta, k.total AS va, k.flow AS fa FROM w ASOF LEFT JOIN k ON w.sim_name = k.sim_name AND w.t >= k.t), b AS (SELECT w.sim_name, w.t, k.t AS tb, k.total AS vb, k.flow AS fb FROM w ASOF LEFT JOIN k ON w.sim_name = k.sim_name AND w.t <= k.t)
+SELECT a.sim_name, a.t, round(CASE WHEN ta IS NULL THEN vb WHEN tb IS NULL OR tb = ta THEN va ELSE va + (a.t - ta) / (tb - ta) * (vb - va) END, 6) AS total, round(CASE WHEN ta IS NULL THEN fb WHEN tb IS NULL OR tb = ta THEN fa ELSE fa + (a.t - ta) / (tb - ta) * (fb - fa) END, 6) AS flow FROM a JOIN b ON a.sim_name = b.sim_name AND a.t = b.t""")
+def interp_to_time_grid(x: Inputs) -> DataFrame:
+    return rounded(K.interp_to_time_grid(x.mass, x.orders.select((F.col("o_custkey") * 11).cast("double").alias("t")).distinct()), "total", "flow")
+
+
+# ---- routing ----
+@query("""WITH p AS (SELECT start_id, r, c, max(z_delta) AS z_delta, max(flux) AS flux, sum(flux) AS fs, sum(flux_dep) AS ds, max(fp_gamma) AS fa, min(fp_gamma) AS fb, max(sl_gamma) AS sa, min(sl_gamma) AS sb, max(dist) AS da, min(dist) AS db FROM visits GROUP BY 1, 2, 3)
+SELECT r, c, max(z_delta) AS z_delta, max(flux) AS flux, round(sum(fs), 6) AS flux_sum, round(sum(ds), 6) AS dep_sum, max(fa) AS fp_gamma_max, min(fb) AS fp_gamma_min, max(sa) AS sl_gamma_max, min(sb) AS sl_gamma_min, max(da) AS dist_max, min(db) AS dist_min, count(*) AS n_starts, round(sum(z_delta), 5) AS z_delta_sum FROM p GROUP BY 1, 2""")
+def path_visit_layers(x: Inputs) -> DataFrame:
+    return rounded(rounded(K.path_visit_layers(x.visits), "flux_sum", "dep_sum"), "z_delta_sum", digits=5)
+
+
+@query("SELECT a.l_orderkey AS start_id, CAST(a.l_linenumber AS BIGINT) AS node, max(CAST(b.l_partkey % 11 AS DOUBLE)) AS value FROM lineitem a JOIN (SELECT l_orderkey, l_linenumber, max(l_partkey % 11) AS l_partkey FROM lineitem GROUP BY 1, 2) b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber >= a.l_linenumber GROUP BY 1, 2")
+def backtrack_max(x: Inputs) -> DataFrame:
+    values = x.lineitem.groupBy(F.col("l_orderkey").alias("start_id"), F.col("l_linenumber").cast("long").alias("node")).agg(F.max(F.col("l_partkey") % 11).cast("double").alias("value"))
+    edges = values.select("start_id", F.col("node").alias("parent"), F.lead("node").over(K.Window.partitionBy("start_id").orderBy("node")).alias("child")).where("child is not null")
+    return K.backtrack_max(edges, values)
+
+
+# ---- distance and time ----
+VIEW = "view AS (SELECT r, c, sqrt(pow(c - 25, 2) + pow(r - 60, 2) + pow(z - 1000, 2)) AS range, degrees(atan2(c - 25, r - 60)) AS azimuth FROM dem WHERE abs((CAST(degrees(atan2(c - 25, r - 60)) AS DOUBLE) - 180 + 180 + 720) - 360 * floor((CAST(degrees(atan2(c - 25, r - 60)) AS DOUBLE) - 180 + 180 + 720) / 360) - 180) <= 30)".replace(" AS range", ' AS "range"')
+
+
+def view(x: Inputs) -> DataFrame:
+    return K.radar_mask(x.dem, x.dem, (25.0, 60.0, 1000.0), 180.0, 30.0)
+
+
+@query(f"""WITH {VIEW} SELECT r, c, round("range", 6) AS "range", round(azimuth, 6) AS azimuth FROM view""".replace("view", "vw"))
+def radar_mask(x: Inputs) -> DataFrame:
+    return rounded(view(x), "range", "azimuth")
+
+
+FLOW = f"""{VIEW}, fl AS (SELECT sim_name, t, value, "range" AS g FROM cells_t k JOIN view v ON k.r = v.r AND k.c = v.c WHERE res_type = 'pfv' AND value > 30)""".replace("view", "vw")
+
+
+@query(f"""WITH {FLOW}, h AS (SELECT sim_name, t, CAST(floor(g / 20 + 0.5) AS BIGINT) AS gate, max(value) AS value FROM fl WHERE abs(g - floor(g / 20 + 0.5) * 20) < 10 GROUP BY 1, 2, 3), e AS (SELECT sim_name, t, min(g) AS lo, max(g) AS hi FROM fl GROUP BY 1, 2), n AS (SELECT sim_name, t, unnest(range(CAST(ceil(lo / 20 - 0.5) AS BIGINT), CAST(floor(hi / 20 + 0.5) AS BIGINT) + 1)) AS gate FROM e)
+SELECT n.sim_name, n.t, n.gate, coalesce(h.value, 0) AS value FROM n LEFT JOIN h ON n.sim_name = h.sim_name AND n.t = h.t AND n.gate = h.gate""")
+def range_time(x: Inputs) -> DataFrame:
+    return K.range_time(x.cells_t.where("res_type = 'pfv'"), view(x), 30.0, 20.0)[0]
+
+
+CROSS_T = f"""tc AS (SELECT concat('set', CAST(CAST(substr(sim_name, 4) AS BIGINT) % 4 AS STRING)) AS sim_name, t, r, c, max(value) AS value FROM cells_t GROUP BY 1, 2, 3, 4), {ON_SL.replace("cells_peak", "tcx").split(", cor AS")[0]},
+nd AS (SELECT path_id, i_s, s, CAST(round_even(y, 0) AS INT) AS r, CAST(round_even(x, 0) AS INT) AS c FROM sl), crt AS (SELECT tc.sim_name, nd.path_id, tc.t, nd.i_s, any_value(nd.s) AS s, max(value) AS v_max FROM nd JOIN tc ON nd.r = tc.r AND nd.c = tc.c GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"WITH {CROSS_T} SELECT sim_name, path_id, t, round(max(s) - 10, 6) AS front FROM crt WHERE v_max > 60 GROUP BY 1, 2, 3")
+def thalweg_time(x: Inputs) -> DataFrame:
+    g = grid(x)
+    name = F.concat(F.lit("set"), (F.substring("sim_name", 4, 9).cast("long") % 4).cast("string"))
+    cells = x.cells_t.groupBy(name.alias("sim_name"), "t", "r", "c").agg(F.max("value").alias("value"))
+    nodes = g.select("path_id", "i_s", F.rint("y").cast("int").alias("r"), F.rint("x").cast("int").alias("c"))
+    cross = nodes.join(cells, ["r", "c"]).groupBy("sim_name", "path_id", "t", "i_s").agg(F.max("value").alias("v_max"))
+    return rounded(K.thalweg_time(cross, g.where("i_l = 0").select("path_id", "i_s", "s"), 60.0, 10.0), "front")
+
+
+@query("""WITH f AS (SELECT o_custkey AS sim_name, CAST(o_orderkey AS DOUBLE) AS t, o_totalprice / 1000 AS g FROM orders), u AS (SELECT *, row_number() OVER (PARTITION BY sim_name, round(g, 2) ORDER BY t) AS n FROM f), v AS (SELECT sim_name, t, g, abs((lead(g) OVER w - g) / (lead(t) OVER w - t)) AS velocity FROM u WHERE n = 1 WINDOW w AS (PARTITION BY sim_name ORDER BY t)),
+k AS (SELECT *, coalesce(velocity > 2 * (lag(velocity) OVER w + lead(velocity) OVER w) / 2, false) AS o FROM v WHERE velocity IS NOT NULL WINDOW w AS (PARTITION BY sim_name ORDER BY t)), r AS (SELECT *, row_number() OVER (PARTITION BY sim_name ORDER BY velocity DESC, t) AS n FROM k WHERE NOT o)
+SELECT sim_name, round(velocity, 6) AS velocity, g AS "range", t FROM r WHERE n = 1""")
+def approach_velocity(x: Inputs) -> DataFrame:
+    front = x.orders.select(F.col("o_custkey").alias("sim_name"), F.col("o_orderkey").cast("double").alias("t"), (F.col("o_totalprice") / 1000).alias("range"))
+    return rounded(K.approach_velocity(front), "velocity")
