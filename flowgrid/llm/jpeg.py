@@ -22,7 +22,7 @@ WIDEST = 1024  # MCUs in a row
 SLOTS = ((0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0), (2, 0, 0))  # component, row, column of the blocks of an MCU
 SAMPLING = ((2, 2), (1, 1), (1, 1))
 #: Scans of the encoder: components, first and last coefficient, high and low bit of the approximation.
-SCRIPT = (((0, 1, 2), 0, 0, 0, 1), ((0, 1, 2), 0, 0, 1, 0), *[((c,), a, b, 0, 1) for c in range(3) for a, b in ((1, 5), (6, 63))], *[((c,), 1, 63, 1, 0) for c in range(3)])
+SCRIPT = (((0, 1, 2), 0, 0, 0, 1), ((0, 1, 2), 0, 0, 1, 0), ((0,), 1, 5, 0, 1), ((0,), 6, 63, 0, 1), ((1,), 1, 63, 0, 1), ((2,), 1, 63, 0, 1), *[((c,), 1, 63, 1, 0) for c in range(3)])
 SIZE_OF = np.array([int(x).bit_length() for x in range(2049)], dtype=np.int64)
 
 
@@ -525,12 +525,18 @@ def decoded(images: list[bytes]) -> tuple[list[Image], np.ndarray]:
         base += image.layout.blocks
         out.append(image)
     coef = np.zeros((base, 64), np.int64)
-    for i in range(max((len(x.scans) for x in out), default=0)):
-        groups: dict[tuple, list] = {}
-        for x in out:
-            if i < len(x.scans):
-                s = x.scans[i]
-                groups.setdefault((s.first, s.last, s.high, s.low), []).append((x, s))
+    # A scan needs the earlier ones of its components only, so scans of different components are read together.
+    levels: list[dict[tuple, list]] = []
+    for x in out:
+        seen = [0] * len(x.layout.sampling)
+        for s in x.scans:
+            level = max(seen[c] for c in s.components)
+            for c in s.components:
+                seen[c] = level + 1
+            if level == len(levels):
+                levels.append({})
+            levels[level].setdefault((s.first, s.last, s.high, s.low), []).append((x, s))
+    for groups in levels:
         for (a, b, high, low), scans in groups.items():
             reader = Reader(scans)
             if a == 0:
