@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small_batches, text_or_empty
+from .common import map_arrow, small_batches, text_or_empty, written
 
 #: A subtree is template if it stands on at least PAGES pages of its host with different main blocks, and on SHARE of
 #: them; inside an article, where passages and copies recur by themselves, on ARTICLE_SHARE of them.
@@ -247,7 +247,9 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     what says by its name that it is boilerplate.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text_or_empty(html).alias("html"), host(url).alias("host"))
-    joined = rows.join(templates(pages, url, html), "host", "left").select("page_id", "url", "html", "template")
+    # Written first: Spark then knows its size and broadcasts it where it is small, else splits the pages of a large host.
+    known, _ = written(templates(pages, url, html), "templates")
+    joined = rows.join(known, "host", "left").select("page_id", "url", "html", "template")
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
