@@ -202,3 +202,14 @@ def profile_at_line(line: DataFrame, cells: DataFrame, dem: DataFrame, nrows: in
     points = cells.select("sim_name").distinct().join(ground)
     got = sample_raster_at_points(points.select("sim_name", "path_id", "i", "x", "y", "z"), cells, nrows, ncols, keys=("sim_name",))
     return got.withColumn("surface", F.col("z") + F.coalesce("value", F.lit(0.0)))
+
+
+def rotate_results(cells: DataFrame, angles: DataFrame, nrows: int, ncols: int, reference: float = 0.0) -> DataFrame:
+    """Every simulation's rasters turned by its own angle (sim_name, degrees) less that of the reference."""
+    a = F.radians(F.col("degrees") - reference)
+    x, y = F.col("c").cast("double"), F.col("r").cast("double")
+    turned = angles.select("sim_name", F.cos(a).alias("cos"), F.sin(a).alias("sin"))
+    places = cells.select("sim_name", "res_type").distinct().join(turned, "sim_name").join(F.broadcast(grid_of(cells, nrows, ncols)))  # one grid
+    points = places.select("sim_name", "res_type", F.col("r").alias("to_r"), F.col("c").alias("to_c"), (x * F.col("cos") + y * F.col("sin")).alias("x"), (-x * F.col("sin") + y * F.col("cos")).alias("y"))
+    got = sample_raster_at_points(points, cells, nrows, ncols, keys=("sim_name", "res_type"))
+    return got.select("sim_name", "res_type", F.col("to_r").alias("r"), F.col("to_c").alias("c"), "value")

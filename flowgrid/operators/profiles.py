@@ -7,28 +7,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-OWN = Window.partitionBy("path_id").orderBy("i")
-WHOLE = OWN.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-SO_FAR = OWN.rowsBetween(Window.unboundedPreceding, 0)
+def own() -> WindowSpec:
+    return Window.partitionBy("path_id").orderBy("i")
+
+
+def whole() -> WindowSpec:
+    return own().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def so_far() -> WindowSpec:
+    return own().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def along_line_distance(path: DataFrame, surface: bool = False) -> DataFrame:
     """path with s, the cumulative distance in the plane, and with surface s_xyz, that along the surface."""
-    step = lambda c: F.col(c) - F.lag(c).over(OWN)
+    step = lambda c: F.col(c) - F.lag(c).over(own())
     flat = step("x") ** 2 + step("y") ** 2
     out = path.withColumn("_d", F.coalesce(F.sqrt(flat), F.lit(0.0)))
     if surface:
         out = out.withColumn("_e", F.coalesce(F.sqrt(flat + step("z") ** 2), F.lit(0.0)))
-    out = out.withColumn("s", F.sum("_d").over(SO_FAR))
-    return out.withColumn("s_xyz", F.sum("_e").over(SO_FAR)).drop("_d", "_e") if surface else out.drop("_d")
+    out = out.withColumn("s", F.sum("_d").over(so_far()))
+    return out.withColumn("s_xyz", F.sum("_e").over(so_far())).drop("_d", "_e") if surface else out.drop("_d")
 
 
 def orient_profile(path: DataFrame) -> DataFrame:
     """Paths reversed where the last point is higher than the first: i and s count from the upper end."""
-    up = F.last("z").over(WHOLE) > F.first("z").over(WHOLE)
-    flagged = path.withColumn("_up", up).withColumn("_n", F.max("i").over(WHOLE)).withColumn("_l", F.max("s").over(WHOLE))
+    up = F.last("z").over(whole()) > F.first("z").over(whole())
+    flagged = path.withColumn("_up", up).withColumn("_n", F.max("i").over(whole())).withColumn("_l", F.max("s").over(whole()))
     return flagged.withColumn("i", F.when(F.col("_up"), F.col("_n") - F.col("i")).otherwise(F.col("i"))).withColumn("s", F.when(F.col("_up"), F.col("_l") - F.col("s")).otherwise(F.col("s"))).drop("_up", "_n", "_l")
 
 
@@ -37,11 +44,11 @@ def resample_line(path: DataFrame, distance: float) -> DataFrame:
 
     Each section between two vertices yields the points that lie in it, so there is no join.
     """
-    flat = along_line_distance(path).withColumn("_back", F.lag("s").over(OWN)).where("_back is null or s > _back").drop("_back")
-    long = F.max("s").over(WHOLE)
+    flat = along_line_distance(path).withColumn("_back", F.lag("s").over(own())).where("_back is null or s > _back").drop("_back")
+    long = F.max("s").over(whole())
     section = flat.withColumn("_n", F.ceil(long / distance)).withColumn("_l", long)
     for c in ("s", "x", "y", "z"):
-        section = section.withColumn(f"_{c}", F.lead(c).over(OWN))
+        section = section.withColumn(f"_{c}", F.lead(c).over(own()))
     step = F.col("_l") / F.col("_n")
     first, last = F.ceil(F.col("s") / step - 1e-9), F.when(F.col("_s") == F.col("_l"), F.col("_n")).otherwise(F.ceil(F.col("_s") / step - 1e-9) - 1)
     each = section.where("_s is not null").withColumn("k", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
@@ -51,9 +58,9 @@ def resample_line(path: DataFrame, distance: float) -> DataFrame:
 
 def slope_angle_profile(path: DataFrame) -> DataFrame:
     """path with angle (degrees, positive downwards) of the section before each point; the first takes the second's."""
-    own = F.degrees(F.atan2(-(F.col("z") - F.lag("z").over(OWN)), F.col("s") - F.lag("s").over(OWN)))
-    out = path.withColumn("angle", own)
-    return out.withColumn("angle", F.coalesce("angle", F.lead("angle").over(OWN)))
+    angle = F.degrees(F.atan2(-(F.col("z") - F.lag("z").over(own())), F.col("s") - F.lag("s").over(own())))
+    out = path.withColumn("angle", angle)
+    return out.withColumn("angle", F.coalesce("angle", F.lead("angle").over(own())))
 
 
 def first_sustained_slope(path: DataFrame, degrees: float, least: float, after: Column | None = None) -> DataFrame:
@@ -62,22 +69,22 @@ def first_sustained_slope(path: DataFrame, degrees: float, least: float, after:
     after: a column of path (such as the split point's s) beyond which the search begins.
     """
     below = F.coalesce((F.col("angle") < degrees) & ((F.col("s") >= after) if after is not None else F.lit(True)), F.lit(False))
-    marked = path.withColumn("_b", below).withColumn("_n", F.row_number().over(OWN))
-    inside = marked.where("_b").withColumn("_k", F.col("_n") - F.row_number().over(OWN))
+    marked = path.withColumn("_b", below).withColumn("_n", F.row_number().over(own()))
+    inside = marked.where("_b").withColumn("_k", F.col("_n") - F.row_number().over(own()))
     runs = inside.groupBy("path_id", "_k").agg(F.min("i").alias("i"), F.min("s").alias("s"), (F.max("s") - F.min("s")).alias("ds"))
     return runs.where(F.col("ds") >= least).groupBy("path_id").agg(F.min(F.struct("i", "s")).alias("k")).select("path_id", "k.i", "k.s")
 
 
 def quadratic_fit(path: DataFrame) -> DataFrame:
     """path_id, a, b, c of the least-squares parabola z = a s^2 + b s + c, by power sums about the mean of s (for stability)."""
-    m = path.withColumn("_u", F.col("s") - F.avg("s").over(WHOLE)).withColumn("_m", F.avg("s").over(WHOLE))
+    m = path.withColumn("_u", F.col("s") - F.avg("s").over(whole())).withColumn("_m", F.avg("s").over(whole()))
     u, z = F.col("_u"), F.col("z")
     sums = m.groupBy("path_id").agg(F.first("_m").alias("m"), F.count("*").cast("double").alias("n"), F.sum(u).alias("s1"), F.sum(u**2).alias("s2"), F.sum(u**3).alias("s3"), F.sum(u**4).alias("s4"), F.sum(z).alias("t0"), F.sum(u * z).alias("t1"), F.sum(u**2 * z).alias("t2"))
     n, s1, s2, s3, s4, t0, t1, t2, mean = (F.col(c) for c in ("n", "s1", "s2", "s3", "s4", "t0", "t1", "t2", "m"))
     det = lambda a, b, c, d, e, f, g, h, i: a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
-    whole = det(s4, s3, s2, s3, s2, s1, s2, s1, n)
-    a, b, c = det(t2, s3, s2, t1, s2, s1, t0, s1, n) / whole, det(s4, t2, s2, s3, t1, s1, s2, t0, n) / whole, det(s4, s3, t2, s3, s2, t1, s2, s1, t0) / whole
-    got = sums.where(n >= 3).where(whole != 0).select("path_id", "m", a.alias("a"), b.alias("_b"), c.alias("_c"))
+    full = det(s4, s3, s2, s3, s2, s1, s2, s1, n)
+    a, b, c = det(t2, s3, s2, t1, s2, s1, t0, s1, n) / full, det(s4, t2, s2, s3, t1, s1, s2, t0, n) / full, det(s4, s3, t2, s3, s2, t1, s2, s1, t0) / full
+    got = sums.where(n >= 3).where(full != 0).select("path_id", "m", a.alias("a"), b.alias("_b"), c.alias("_c"))
     return got.select("path_id", "a", (F.col("_b") - 2 * F.col("a") * F.col("m")).alias("b"), (F.col("a") * F.col("m") ** 2 - F.col("_b") * F.col("m") + F.col("_c")).alias("c"))
 
 
@@ -139,7 +146,7 @@ def extend_path(path: DataFrame, particles: DataFrame, distance: float) -> DataF
     """
     first = particles.withColumn("_t", F.min("t").over(Window.partitionBy("path_id"))).where("t = _t").groupBy("path_id").agg(F.max_by(F.struct("x", "y", "z"), F.struct("z", "id")).alias("k"))
     top = first.select("path_id", F.lit(-1).alias("i"), "k.x", "k.y", "k.z")
-    n = F.max("i").over(WHOLE)
+    n = F.max("i").over(whole())
     last = path.withColumn("_n", n).where("i >= _n - 2").groupBy("path_id").agg(F.max("i").alias("n"), *[f(c, "i").alias(f"{c}{k}") for c in ("x", "y", "z") for k, f in ((0, F.min_by), (1, F.max_by))])
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     long = F.sqrt(dx**2 + dy**2)

@@ -7,19 +7,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from flowgrid.functions.vectors import above
 
 from .grids import sample_raster_at_points
 
-OWN = Window.partitionBy("path_id").orderBy("i")
+def own() -> WindowSpec:
+    return Window.partitionBy("path_id").orderBy("i")
 
 
 def path_domain(path: DataFrame, width: float) -> DataFrame:
     """path with the points left and right (xl, yl, xr, yr) at half the width across its direction (central, one-sided at the ends)."""
-    dx = F.coalesce(F.lead("x").over(OWN), F.col("x")) - F.coalesce(F.lag("x").over(OWN), F.col("x"))
-    dy = F.coalesce(F.lead("y").over(OWN), F.col("y")) - F.coalesce(F.lag("y").over(OWN), F.col("y"))
+    dx = F.coalesce(F.lead("x").over(own()), F.col("x")) - F.coalesce(F.lag("x").over(own()), F.col("x"))
+    dy = F.coalesce(F.lead("y").over(own()), F.col("y")) - F.coalesce(F.lag("y").over(own()), F.col("y"))
     out = path.withColumn("_dx", dx).withColumn("_dy", dy)
     n = F.sqrt(F.col("_dx") ** 2 + F.col("_dy") ** 2)
     nx, ny = -F.col("_dy") / n * width / 2, F.col("_dx") / n * width / 2
@@ -35,11 +36,11 @@ def sl_grid(path: DataFrame, width: float, step: float) -> DataFrame:
     across = int(width / step) // 2 * 2 + 1
     domain = path_domain(path, width)
     for c in ("x", "y", "xl", "yl", "xr", "yr"):
-        domain = domain.withColumn(f"_{c}", F.lead(c).over(OWN))
+        domain = domain.withColumn(f"_{c}", F.lead(c).over(own()))
     long = F.sqrt((F.col("_x") - F.col("x")) ** 2 + (F.col("_y") - F.col("y")) ** 2)
     n = F.greatest(F.lit(1), F.round(long / step).cast("int"))
     section = domain.withColumn("_n", F.coalesce(n, F.lit(1))).withColumn("_long", F.coalesce(long, F.lit(0.0)))
-    section = section.withColumn("_s", F.coalesce(F.sum("_long").over(OWN.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("_first", F.coalesce(F.sum("_n").over(OWN.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    section = section.withColumn("_s", F.coalesce(F.sum("_long").over(own().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("_first", F.coalesce(F.sum("_n").over(own().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     each = section.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     f = F.col("_k") / F.col("_n")
     mid = {c: F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.col(c) + f * (F.col(f"_{c}") - F.col(c))) for c in ("xl", "yl", "xr", "yr")}

@@ -56,6 +56,13 @@ def rotate_raster(x: Inputs) -> DataFrame:
     return rounded(G.rotate_raster(elevation(x), NR, NC, 20.0), "value")
 
 
+@query(f"""WITH p AS (SELECT concat(s.sim_name, '_', CAST(i * {NC} + j AS STRING)) AS id, s.sim_name, i * {NC} + j AS k, j * cos(radians(d)) + i * sin(radians(d)) AS x, -j * sin(radians(d)) + i * cos(radians(d)) AS y FROM (SELECT DISTINCT sim_name, CAST(substr(sim_name, 4) AS BIGINT) * 3 - 6 AS d FROM {MOST}) s, range({NR}) a(i), range({NC}) b(j)), g AS ({corners("p", MOST, "sim_name")})
+SELECT p.sim_name, 'ppr' AS res_type, CAST(k // {NC} AS INT) AS r, CAST(k % {NC} AS INT) AS c, round(g.value, 6) AS value FROM p JOIN g ON p.id = g.id""")
+def rotate_results(x: Inputs) -> DataFrame:
+    angles = x.sims.select("sim_name", (F.substring("sim_name", 4, 9).cast("double") * 3).alias("degrees"))
+    return rounded(G.rotate_results(x.cells.where("res_type = 'ppr'"), angles, NR, NC, 6.0), "value")
+
+
 NORMALS = """k AS (SELECT r, c, z, lag(z) OVER (PARTITION BY r ORDER BY c) AS w, lead(z) OVER (PARTITION BY r ORDER BY c) AS e, lag(z) OVER (PARTITION BY c ORDER BY r) AS s, lead(z) OVER (PARTITION BY c ORDER BY r) AS n FROM dem),
 g AS (SELECT r, c, z, (coalesce(e, z) - coalesce(w, z)) / CASE WHEN e IS NULL OR w IS NULL THEN 1 ELSE 2 END / 5 AS dx, (coalesce(n, z) - coalesce(s, z)) / CASE WHEN n IS NULL OR s IS NULL THEN 1 ELSE 2 END / 5 AS dy FROM k),
 normals AS (SELECT r, c, z, -dx / sqrt(dx * dx + dy * dy + 1) AS nx, -dy / sqrt(dx * dx + dy * dy + 1) AS ny, 1 / sqrt(dx * dx + dy * dy + 1) AS nz, 25 * sqrt(dx * dx + dy * dy + 1) AS area, degrees(acos(1 / sqrt(dx * dx + dy * dy + 1))) AS slope FROM g)"""
