@@ -190,19 +190,21 @@ def radar_mask(cells: DataFrame, z: DataFrame, radar: tuple[float, float, float]
     return on.select("r", "c", far.alias("range"), az.alias("azimuth"), turn.alias("turn")).where(F.abs("turn") <= aperture).drop("turn")
 
 
-def range_time(cells: DataFrame, view: DataFrame, limit: float, width: float, how: str = "max") -> tuple[DataFrame, DataFrame]:
+def range_time(cells: DataFrame, view: DataFrame, limit: float, width: float, how: str = "max", step: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(mti, front): per simulation, time and range gate the maximum or mean of the values above the limit, and the nearest range.
 
-    Gates lie `width` apart and hold the cells strictly within half a width; a cell on the edge of two belongs to none.
-    Only gates from the nearest to the farthest flowing cell are listed; empty ones have 0.
+    Gate k is at k * step (by default width, so that gates don't overlap) and holds the cells strictly within half a
+    width; a cell on an edge belongs to no gate on that side.  Gates from the nearest to the farthest flowing cell are
+    listed, with 0 where they hold none.  Each cell is listed under the few gates that it may belong to: an equi-join, no range join.
     """
+    step = step or width
     on = cells.join(view.select("r", "c", "range"), ["r", "c"]).where(F.coalesce(F.col("value") > limit, F.lit(False)))
-    gate = F.floor(F.col("range") / width + 0.5)
-    inside = F.abs(F.col("range") - gate * width) < width / 2
+    near = F.sequence(F.floor((F.col("range") - width / 2) / step), F.ceil((F.col("range") + width / 2) / step))
     rule = F.max if how == "max" else F.avg
-    hit = on.where(inside).groupBy("sim_name", "t", gate.cast("long").alias("gate")).agg(rule("value").alias("value"))
+    hit = on.withColumn("gate", F.explode(near)).where(F.abs(F.col("range") - F.col("gate") * step) < width / 2).groupBy("sim_name", "t", "gate").agg(rule("value").alias("value"))
     ends = on.groupBy("sim_name", "t").agg(F.min("range").alias("range"), F.max("range").alias("far"))
-    gates = ends.select("sim_name", "t", F.explode(F.sequence(F.ceil(F.col("range") / width - 0.5), F.floor(F.col("far") / width + 0.5))).alias("gate"))
+    first, last = F.ceil(F.col("range") / step), F.floor(F.col("far") / step)
+    gates = ends.where(last >= first).select("sim_name", "t", F.explode(F.sequence(first, last)).alias("gate"))
     mti = gates.join(hit, ["sim_name", "t", "gate"], "left").fillna(0.0, ["value"])
     return mti, ends.select("sim_name", "t", "range")
 

@@ -124,7 +124,7 @@ def radar_mask(x: Inputs) -> DataFrame:
 FLOW = f"""{VIEW}, fl AS (SELECT sim_name, t, value, "range" AS g FROM cells_t k JOIN view v ON k.r = v.r AND k.c = v.c WHERE res_type = 'pfv' AND value > 30)""".replace("view", "vw")
 
 
-@query(f"""WITH {FLOW}, h AS (SELECT sim_name, t, CAST(floor(g / 20 + 0.5) AS BIGINT) AS gate, max(value) AS value FROM fl WHERE abs(g - floor(g / 20 + 0.5) * 20) < 10 GROUP BY 1, 2, 3), e AS (SELECT sim_name, t, min(g) AS lo, max(g) AS hi FROM fl GROUP BY 1, 2), n AS (SELECT sim_name, t, unnest(range(CAST(ceil(lo / 20 - 0.5) AS BIGINT), CAST(floor(hi / 20 + 0.5) AS BIGINT) + 1)) AS gate FROM e)
+@query(f"""WITH {FLOW}, h AS (SELECT sim_name, t, CAST(floor(g / 20 + 0.5) AS BIGINT) AS gate, max(value) AS value FROM fl WHERE abs(g - floor(g / 20 + 0.5) * 20) < 10 GROUP BY 1, 2, 3), e AS (SELECT sim_name, t, min(g) AS lo, max(g) AS hi FROM fl GROUP BY 1, 2), n AS (SELECT sim_name, t, unnest(range(CAST(ceil(lo / 20) AS BIGINT), CAST(floor(hi / 20) AS BIGINT) + 1)) AS gate FROM e)
 SELECT n.sim_name, n.t, n.gate, coalesce(h.value, 0) AS value FROM n LEFT JOIN h ON n.sim_name = h.sim_name AND n.t = h.t AND n.gate = h.gate""")
 def range_time(x: Inputs) -> DataFrame:
     return K.range_time(x.cells_t.where("res_type = 'pfv'"), view(x), 30.0, 20.0)[0]
