@@ -202,13 +202,21 @@ def uniform(seed: int, *keys: Column | str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) + 0.5) / float(1 << 53)
 
 
-def sample_latin(draws: DataFrame, dimensions: list[str], seed: int) -> DataFrame:
-    """Latin hypercube over the rows of draws (id): each dimension has exactly one draw in each of n equal strata."""
-    n = F.count("*").over(Window.partitionBy())  # the draws of one design
-    out = draws.withColumn("_n", n)
+def sample_latin(draws: DataFrame, dimensions: list[str], seed: int, blocks: int = 256) -> DataFrame:
+    """Latin hypercube over the rows of draws (id): each dimension has exactly one draw in each of n equal strata.
+
+    A draw's stratum is its rank by a random number.  Ranks are counted in blocks of that number: the rows of the blocks
+    before, then the place within the block, so that no window holds all draws.
+    """
+    total = draws.agg(F.count("*").alias("_n"))  # one row
+    out = draws.join(F.broadcast(total))
     for d in dimensions:
-        rank = F.row_number().over(Window.orderBy(uniform(seed, F.lit(d), F.col("id")), "id"))
-        out = out.withColumn(d, (rank - 1 + uniform(seed + 1, F.lit(d), F.col("id"))) / F.col("_n"))
+        u = uniform(seed, F.lit(d), F.col("id"))
+        out = out.withColumn("_u", u).withColumn("_b", F.floor(u * blocks).cast("int"))
+        counts = out.groupBy("_b").agg(F.count("*").alias("_k"))  # `blocks` rows at most
+        before = counts.select("_b", F.coalesce(F.sum("_k").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        rank = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_u", "id"))
+        out = out.join(F.broadcast(before), "_b").withColumn(d, (rank - 1 + uniform(seed + 1, F.lit(d), F.col("id"))) / F.col("_n")).drop("_u", "_b", "_before")
     return out.drop("_n")
 
 

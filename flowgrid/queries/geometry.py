@@ -182,9 +182,9 @@ def rasterize_line(x: Inputs) -> DataFrame:
     return P.rasterize_line(line, NR, NC, 1.4, "path_id", "i")
 
 
-@query("""WITH b AS (SELECT p.point_id, p.x, p.y, l.path_id, l.i, sqrt(pow(p.x - l.x, 2) + pow(p.y - l.y, 2)) AS d, row_number() OVER (PARTITION BY p.point_id ORDER BY sqrt(pow(p.x - l.x, 2) + pow(p.y - l.y, 2)), l.i) AS n FROM points p JOIN path l ON l.path_id = 1 + p.point_id % 40 * 10) SELECT point_id, x, y, path_id, i, round(d, 6) AS distance FROM b WHERE n = 1""")
+@query("""WITH b AS (SELECT p.point_id, p.x, p.y, l.path_id, l.i, sqrt(pow(p.x - l.x, 2) + pow(p.y - l.y, 2)) AS d, row_number() OVER (PARTITION BY p.point_id ORDER BY sqrt(pow(p.x - l.x, 2) + pow(p.y - l.y, 2)), l.i) AS n FROM points p JOIN path l ON l.path_id = 1 + p.point_id % 149) SELECT point_id, x, y, path_id, i, round(d, 6) AS distance FROM b WHERE n = 1""")
 def snap_points_to_line(x: Inputs) -> DataFrame:
-    points = x.points.withColumn("path_id", 1 + F.col("point_id") % 40 * 10)
+    points = x.points.withColumn("path_id", 1 + F.col("point_id") % 149)
     return rounded(P.snap_points_to_line(points, x.path), "distance")
 
 

@@ -12,7 +12,7 @@ from .inputs import frame, with_inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 ENTRIES: dict[str, tuple[Query, str | None]] = {}
-MODULES = ("ensembles", "simulations", "geometry", "paths", "particles", "files", "streams")
+MODULES = ("ensembles", "simulations", "geometry", "paths", "particles", "files", "streams", "workloads")
 
 
 class Inputs:
