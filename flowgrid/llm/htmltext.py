@@ -25,6 +25,7 @@ PAGES, SHARE, ARTICLE_SHARE = 4, 0.2, 0.6
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>|<[A-Za-z][^>]*>""", re.DOTALL)
 NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
+LAYOUT = re.compile(r"\b(?:has|no|with|without|show|hide|is)[-_]+[a-z]+")  # says something of the layout, not of the element
 # Element names by what they do in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template".split())
@@ -33,10 +34,11 @@ CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption option optgroup
 DROPPED = frozenset("head script style title noscript template iframe object embed svg math canvas audio video nav footer aside form button select option textarea input label dialog menu search noembed noframes xmp".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar note".split())
 DROPPED_NAMES = frozenset(
-    "nav navbar navigation menu topbar masthead header footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner"
+    "nav navbar navigation menu topbar footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner"
     " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond"
     " discussion disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager widget skip toolbar search copyright".split()
 )
+HEADER_NAMES = frozenset("header masthead".split())
 DROPPED_ARTICLES = frozenset("comment comments reply ad advert related promo sponsored".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "thead": ("tbody",), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "tfoot": ("table",), "thead": ("table",), "option": ("select",), "p": ("td", "th", "table", "button", "object")}
@@ -45,25 +47,32 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 class Node:
     __slots__ = ("children", "dropped", "hash", "tag")
 
-    def __init__(self, tag: str, dropped: bool) -> None:
+    def __init__(self, tag: str, dropped: int) -> None:
         self.tag, self.dropped, self.children, self.hash = tag, dropped, [], 0
 
 
-def says_boilerplate(tag: str, attributes: str) -> bool:
+def says_boilerplate(tag: str, attributes: str) -> tuple[int, bool]:
+    """(2: dropped by element name or role, 1: by a class or id, 0: kept; whether it is a header by a class or id)."""
     if tag in DROPPED:
-        return True
+        return 2, False
     if "=" not in attributes or tag in ("html", "body", "main"):
-        return False
+        return 0, False
+    header = False
     for name, a, b, c in NAMED.findall(attributes):
-        words = WORDS.findall((a or b or c).lower())
-        if (DROPPED_ROLES if name.lower() == "role" else DROPPED_ARTICLES if tag == "article" else DROPPED_NAMES).intersection(words):
-            return True
-    return False
+        words = set(WORDS.findall(LAYOUT.sub(" ", (a or b or c).lower())))
+        if name.lower() == "role":
+            if words & DROPPED_ROLES:
+                return 2, False
+        elif words & (DROPPED_ARTICLES if tag == "article" else DROPPED_NAMES):
+            return 1, False
+        elif words & HEADER_NAMES and tag != "article":
+            header = True
+    return 0, header
 
 
 def parsed(html: str) -> Node:
     """The element tree; children are nodes and texts.  Open paragraphs, list items and cells end where HTML lets them."""
-    root = Node("html", False)
+    root = Node("html", 0)
     stack, at, n = [root], 0, len(html)
 
     def close(names: tuple[str, ...], scope: tuple[str, ...]) -> None:
@@ -97,13 +106,18 @@ def parsed(html: str) -> Node:
             close(("p",), SCOPE["p"])
         if tag in SAME:
             close(SAME[tag], SCOPE[tag])
-        node = Node(tag, says_boilerplate(tag, m[3]))
+        dropped, header = says_boilerplate(tag, m[3])
+        node = Node(tag, dropped)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
             at = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            if header:  # an element within a block of its own, so that the element's end tag still fits
+                inner = Node("header", 0)
+                node.children.append(inner)
+                stack.append(inner)
     return root
 
 
@@ -125,13 +139,27 @@ def hashed(node: Node) -> int:
     return node.hash
 
 
+def text_of(node: Node) -> str:
+    got, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            got.append(x)
+        else:
+            todo += reversed(x.children)
+    return " ".join("".join(got).split())
+
+
 def main_roots(root: Node) -> tuple[list[Node], bool]:
-    """The article elements (or main, or else everything) that are not inside anything dropped; whether there are any."""
-    for wanted in ("article", "main"):
+    """The article elements (or main) that are not inside anything dropped, else inside nothing dropped by its element name.
+
+    Without any, the whole page: there an element dropped by class or id that holds most of the text is taken for layout.
+    """
+    for wanted, most in (("article", 0), ("main", 0), ("article", 1), ("main", 1)):
         found, todo = [], [root]
         while todo:
             x = todo.pop()
-            if x.dropped:
+            if x.dropped > most or x.tag == wanted and x.dropped:
                 continue
             if x.tag == wanted:
                 found.append(x)
@@ -139,6 +167,18 @@ def main_roots(root: Node) -> tuple[list[Node], bool]:
             todo += [c for c in reversed(x.children) if isinstance(c, Node)]
         if found:
             return found, True
+    suspects, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.dropped == 1:
+            suspects.append(x)
+        elif not x.dropped:
+            todo += [c for c in x.children if isinstance(c, Node)]
+    if suspects:
+        whole = len(text_of(root))
+        for x in suspects:
+            if len(text_of(x)) > whole / 2:
+                x.dropped = 0
     return [root], False
 
 
@@ -188,21 +228,11 @@ def subtrees(html: str) -> tuple[int, list[tuple[int, bool]]]:
     longest = max(texts, key=len, default="")
     out, todo = {}, [(r, inside) for r in roots]
 
-    def words(x: Node) -> str:
-        got, stack = [], [x]
-        while stack:
-            y = stack.pop()
-            if isinstance(y, str):
-                got.append(y)
-            else:
-                stack += reversed(y.children)
-        return " ".join("".join(got).split())
-
     while todo:
         x, within = todo.pop()
         if x.dropped:
             continue
-        text = words(x)
+        text = text_of(x)
         if text and longest not in text:
             out[x.hash] = within
         todo += [(c, within) for c in x.children if isinstance(c, Node) and c.tag in BLOCK]

@@ -39,6 +39,10 @@ CASES = {
     '<div class="cookie-notice">ok?</div><div id="main"><p>text</p><form>q</form><div class="comments"><p>hi</p></div></div>': "text",
     "<script>var a='<p>no</p>'</script><style>p{}</style><p>yes<!-- no --></p><noscript>n</noscript>": "yes",
     "<ul><li>x<li>y</ul><table><tr><td>1<td>2</table>": "x\n\ny\n\n1\n\n2",
+    '<div class="layout has-sidebar"><article><div class="post-header"><h1>T</h1><span>by x</span></div><p>t</p></article></div>': "T\n\nt",
+    '<div id="menu-page"><p>a page whose wrapper has a bad name</p><div class="menu">m</div></div>': "a page whose wrapper has a bad name",
+    '<div class="sidebar"><article class="post"><p>only article</p></article></div><p>x</p>': "only article",
+    '<article><p>one</p></article><section class="comments"><article><p>reply</p></article></section>': "one",
     "": "", "<": "<", "no tags at all": "no tags at all", "<p>open <i>never closed": "open never closed", "</p></div>": "",
 }
 
