@@ -163,10 +163,11 @@ def test_range_time(spark):
     assert {r.gate: r.value for r in mti.collect()} == {2: 17 / 4, 3: 32 / 5}  # range 3 is on the edge of gate 2 and not in it
 
 
-def test_approach_velocity(spark):
-    rows = [("radar", t, r) for t, r in zip([0, 1, 2, 3, 7, 8, 10], [12, 10, 7.5, 4.5, 4, 2, 0], strict=True)]
-    got = particles.approach_velocity(spark.createDataFrame([(a, float(b), float(c)) for a, b, c in rows], "sim_name string, t double, range double")).first()
-    assert got.velocity in (2.5, 3.0)
+@pytest.mark.parametrize(("times", "ranges", "want"), [([0, 1, 2, 3, 7, 8, 10], [12, 10, 7.5, 4.5, 4, 2, 0], (2.5, 10.0, 1.0)), ([0, 2, 3, 7, 8, 9, 10], [0, None, 4, 6, 7, 10, 12], (3.0, 7.0, 8.0))])
+def test_approach_velocity(spark, times, ranges, want):
+    rows = [("s", float(t), None if r is None else float(r)) for t, r in zip(times, ranges, strict=True)]
+    got = particles.approach_velocity(spark.createDataFrame(rows, "sim_name string, t double, range double")).first()
+    assert (got.velocity, got.range, got.t) == want
 
 
 def test_backtrack_follows_the_path(spark):
