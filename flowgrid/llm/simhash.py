@@ -99,14 +99,18 @@ def near_duplicates(df: DataFrame, text: str = "text", width: int = 3, seed: int
     return docs.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(df: DataFrame, text: str = "text", width: int = 3, seed: int = 42, bits: int = 2) -> DataFrame:
-    """The rows of df that stay when of each group of near-duplicates only the smallest doc_id does.
+def first_of_each(df: DataFrame, classes: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of df that stay when of each class (doc_id, component_id) only the smallest doc_id does.
 
     Repeated rows of one doc_id and text count as one document and one of them stays.  Rows without a doc_id cannot be
     named as anyone's copy and all stay.
     """
-    classes = near_duplicates(df, text, width, seed, bits)
     first = classes.where("doc_id = component_id").select("doc_id").distinct()
     own = Window.partitionBy("doc_id", F.xxhash64(text)).orderBy(F.length(text))
     stays = df.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(own)).where("_copy = 1").drop("_copy")
     return stays.select(df.columns).union(df.where("doc_id is null"))
+
+
+def representatives(df: DataFrame, text: str = "text", width: int = 3, seed: int = 42, bits: int = 2) -> DataFrame:
+    """The rows of df that stay when of each group of near-duplicates only the smallest doc_id does; see first_of_each."""
+    return first_of_each(df, near_duplicates(df, text, width, seed, bits), text)
