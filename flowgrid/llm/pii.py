@@ -1,7 +1,7 @@
 """Personal data by rules and a semi-Markov conditional random field.
 
 Base spans come from exact rules.  Around digits and at-signs a semi-CRF scores whole candidate segments (length in
-tokens at most LONGEST) with features of the span as a whole, and dynamic programming picks boundaries and types
+tokens at most LONGEST, or a whole address) with features of the span as a whole, and dynamic programming picks boundaries and types
 together.  Its segments that meet no base span are added; base spans always stay.
 """
 
@@ -86,24 +86,51 @@ def base_spans(text: str) -> list[Span]:
 
 
 # ---- candidate segments and their features ----
-LONGEST = 17  # tokens of a segment
-AROUND = 24  # characters of context on either side of a trigger
+LONGEST = 17  # tokens of a segment; whole addresses may be longer
+AROUND = 24  # characters of context on either side of a run
+NUMBERS = re.compile(r"[+(0-9][\x20().0-9/+-]*")
+HOST = LOCAL - frozenset("_%+")
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.DOTALL)
 CLASS = {"email": re.compile(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9.-]+"), "ip": re.compile(r"[0-9]+(?:\.[0-9]+){3}"), "card": re.compile(r"[0-9]+(?:[ .-]{1,2}[0-9]+)*"), "phone": re.compile(r"(?:\+|\(|[0-9])[\x20().0-9/-]*[0-9]")}
 
 
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    start = end = -1
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if a <= end:
-            end = b
+def address_run(text: str, at: int) -> tuple[int, int]:
+    """The widest segment around an at-sign that can be an address, with a space on either side of the sign or none."""
+    a, b = at - (text[at - 1 : at] == " "), at + 1 + (text[at + 1 : at + 2] == " ")
+    while a > 0 and text[a - 1] in LOCAL:
+        a -= 1
+    while b < len(text) and text[b] in HOST:
+        b += 1
+    return a, b
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            if end >= 0:
-                yield start, end
-            start, end = a, b
-    if end >= 0:
-        yield start, end
+            out.append((a, b))
+    return out
+
+
+def windows(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of address or number characters with what stands around them; no edge is inside a word."""
+    runs = [m.span() for m in NUMBERS.finditer(text) if TRIGGER.search(m.group())]
+    at = text.find("@")
+    while at >= 0:
+        runs.append(address_run(text, at))
+        at = text.find("@", at + 1)
+    near = merged([(max(0, a - AROUND), min(len(text), b + AROUND)) for a, b in runs])
+    whole = []
+    for k, (a, b) in enumerate(near):
+        least, most = near[k - 1][1] if k else 0, near[k + 1][0] if k + 1 < len(near) else len(text)
+        while a > least and text[a - 1].isalnum() and text[a].isalnum():
+            a -= 1
+        while b < most and text[b - 1].isalnum() and text[b].isalnum():
+            b += 1
+        whole.append((a, b))
+    yield from merged(whole)
 
 
 def kind_of(c: str) -> str:
@@ -128,10 +155,25 @@ def features(kind: str, s: str, before: str, after: str) -> list[str]:
     return [f"{kind}|{x}" for x in out]
 
 
+def long_addresses(text: str, bounds: list[int]) -> dict[int, list[int]]:
+    """First token -> tokens after the last of whole addresses of more than LONGEST tokens, with and without marks at their ends."""
+    place, out = {x: k for k, x in enumerate(bounds)}, {}
+    at = text.find("@", bounds[0], bounds[-1])
+    while at >= 0:
+        a, b = address_run(text, at)
+        name, host = text[a:at], text[at + 1 : b]
+        for x in {a, at - len(name.lstrip("._%+-"))}:
+            for y in {b, at + 1 + len(host.rstrip(".-"))}:
+                if x in place and y in place and place[y] - place[x] > LONGEST:
+                    out.setdefault(place[x], []).append(place[y])
+        at = text.find("@", at + 1, bounds[-1])
+    return out
+
+
 def lattice(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int, str, list[str]]]]:
     """Token bounds of a window and its candidate segments (first token, token after the last, kind, features); O is one token."""
     bounds = [a + m.start() for m in TOKEN.finditer(text[a:b])] + [b]
-    out = []
+    out, long = [], long_addresses(text, bounds)
     for i in range(len(bounds) - 1):
         first = text[bounds[i]]
         out.append((i, i + 1, "O", [f"O|{kind_of(first)}"]))
@@ -149,6 +191,10 @@ def lattice(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int,
             for kind in KINDS:
                 if CLASS[kind].fullmatch(s):
                     out.append((i, j, kind, features(kind, s, text[x - 1 : x], text[y : y + 1])))
+        for j in sorted(long.get(i, [])):
+            x, y = bounds[i], bounds[j]
+            if CLASS["email"].fullmatch(text, x, y):
+                out.append((i, j, "email", features("email", text[x:y], text[x - 1 : x], text[y : y + 1])))
     return bounds, out
 
 
