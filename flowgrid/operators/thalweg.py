@@ -5,11 +5,15 @@ slcells(sim_name, res_type, i_s, i_l, value) are rasters on the grid sl(path_id,
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from flowgrid.functions.vectors import above
+from flowgrid.sources.shared import new_path
 
 from .grids import sample_raster_at_points
 
@@ -120,17 +124,33 @@ def thalweg_velocity_summary(cross: DataFrame, thalweg: DataFrame, limit: float,
     return ends.join(bars, keys).select(*keys, F.col("a.s").alias("s_first"), F.col("b.s").alias("s_last"), dz.alias("dz"), ds.alias("ds"), F.degrees(F.atan2(dz, ds)).alias("alpha"), "bar_max", "energy_height")
 
 
-def nearest_sl_for_particles(particles: DataFrame, grid: DataFrame, block: float = 2.0, rings: int = 6) -> DataFrame:
+def nearest_sl_for_particles(particles: DataFrame, grid: DataFrame, block: float = 2.0) -> DataFrame:
     """particles with path_id, i_s, i_l of the nearest node of the grid; the lowest indices of equal ones; null without a place.
 
-    Both sides meet on blocks of the plane: a node is listed under its block and those around it, ring by ring for the
-    particles that found none nearer than the ring's certain reach.
+    Both sides meet on blocks of the plane: a node is listed under its block and the eight around it, so a nearest node
+    no further than a block's side is certain.  Particles without one go on with blocks of twice the side until none
+    is left; each round is written.
     """
-    placed = particles.withColumn("_p", F.monotonically_increasing_id()).withColumn("bx", F.floor(F.col("x") / block)).withColumn("by", F.floor(F.col("y") / block))
-    nodes = grid.select("path_id", "i_s", "i_l", F.col("x").alias("gx"), F.col("y").alias("gy")).withColumn("bx", F.floor(F.col("gx") / block)).withColumn("by", F.floor(F.col("gy") / block))
-    wide = nodes.withColumn("bx", F.explode(F.sequence(F.col("bx") - rings, F.col("bx") + rings))).withColumn("by", F.explode(F.sequence(F.col("by") - rings, F.col("by") + rings)))
+    spark = particles.sparkSession
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        path = new_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    finite = lambda *names: reduce(lambda a, b: a & b, [F.abs(n) < math.inf for n in names])
+    placed = kept(particles.withColumn("_p", F.monotonically_increasing_id()), "particles")
+    nodes = kept(grid.select("path_id", "i_s", "i_l", F.col("x").alias("gx"), F.col("y").alias("gy")).where(finite("gx", "gy")), "nodes")
+    left, found = placed.where(finite("x", "y")).select("_p", "x", "y"), []
     d = (F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2
-    near = placed.join(wide, ["bx", "by"]).where(d <= (rings * block) ** 2)
-    names = [c for c in particles.columns]
-    best = near.groupBy("_p").agg(F.min(F.struct(d.alias("d"), "path_id", "i_s", "i_l")).alias("k"))
-    return placed.join(best, "_p", "left").select(*names, "k.path_id", "k.i_s", "k.i_l")
+    around = lambda name: F.explode(F.sequence(F.floor(F.col(name) / block) - 1, F.floor(F.col(name) / block) + 1))
+    any_node = not nodes.isEmpty()
+    while any_node and not left.isEmpty():
+        wide = nodes.withColumn("bx", around("gx")).withColumn("by", around("gy"))
+        near = left.withColumn("bx", F.floor(F.col("x") / block)).withColumn("by", F.floor(F.col("y") / block)).join(wide, ["bx", "by"]).where(d <= block**2)
+        found.append(kept(near.groupBy("_p").agg(F.min(F.struct(d.alias("d"), "path_id", "i_s", "i_l")).alias("k")), "nearest"))
+        left = kept(left.join(found[-1], "_p", "left_anti"), "left")
+        block *= 2
+    if not found:
+        return placed.select(*particles.columns, *[F.lit(None).cast(grid.schema[c].dataType).alias(c) for c in ("path_id", "i_s", "i_l")])
+    return placed.join(reduce(DataFrame.union, found), "_p", "left").select(*particles.columns, "k.path_id", "k.i_s", "k.i_l")
