@@ -1,14 +1,15 @@
 """Secret scans with DataFrame functions only.
 
-Base spans come from three patterns.  Further candidates are long runs of token characters: for each character class a
-window slides along the candidate and its Shannon entropy is kept up by incremental counts (one character leaves, one
-enters).  A candidate whose highest window entropy reaches the threshold of its class, and that no allow-list entry
-suppresses, is added as a span of kind `entropy`; base spans always stay.
+Base spans come from three patterns.  Further candidates are all runs of token characters of at least a window's length:
+for each character class a window slides along the candidate and its Shannon entropy is kept up by incremental counts
+(one character leaves, one enters).  A candidate whose highest window entropy reaches the threshold of its class, and
+that no allow-list entry suppresses, is added as a span of kind `entropy`; base spans always stay.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +20,15 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 or more characters; shorter runs hold no longer match
 HEX = r"[0-9a-f]{24,}"
-#: A run of token characters with a digit in it, from its beginning.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: A whole run of token characters.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Character classes, narrowest first, with the entropy (bits) that a window has to reach.
-CLASSES = (("hex", r"^[0-9a-fA-F-]+$", 3.0), ("upper", r"^[A-Z0-9_=-]+$", 3.5), ("mixed", r"^.+$", 3.8))
+#: Counts of a window (at most 20) kept in one long, and bits of each.
+PACKED, BITS = 12, 5
+#: Character classes, narrowest first, with the entropy (bits) that a window has to reach.  Runs of one case only are
+#: told from words by a window that hardly repeats a letter; shorter ones of these can't be told apart and stay out.
+CLASSES = (("hex", r"^[0-9a-fA-F-]+$", 3.0), ("one case", r"^([a-z_=/+-]+|[A-Z_=/+-]+)$", 4.1), ("upper", r"^[A-Z0-9_=-]+$", 3.5), ("letters", r"^[A-Za-z_=/+-]+$", 3.85), ("mixed", r"^.+$", 3.8))
 # What is known not to be a secret.
 ALLOWED = (
     r"^[0-9_=+/-]+$",  # digits only: numbers, not keys
@@ -32,50 +36,77 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
     r"(?i)^0123456789abcdef|abcdefghijklmnop",
     r"^[a-z]+([_/-][a-z]+)*[_/-]?[0-9]{1,4}$",  # words with a number at the end
+    r"^([A-Z]?[a-z]{2,14}+(?![a-z])|[A-Z]{2,14}+(?![A-Z])|[_/=+-])++$",  # words, in any case, one after another
     r"^sha(256|384|512)-",
 )
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as an array of (start, end, body), offsets in code points, ends exclusive.
 
     The pieces between matches and the matches themselves take turns; lengths before a match add up to its start.
+    The lengths are summed by blocks first, so that n matches take n * sqrt(n) steps at most.
     """
     pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,body:string>>").alias("out"))
+    turns = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, b: F.struct(F.length(p).alias("skip"), F.length(b).alias("own"), b.alias("body")))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, z: s + z["skip"] + z["own"])
+
+    def placed(z: Column) -> Column:
+        side = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(z))).cast("int"))
+        sums = lambda w: F.transform(F.sequence(F.lit(0), F.size(z) - 1, w), lambda a: total(F.slice(z, a + 1, w)))
+        before = lambda w: F.aggregate(sums(w), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    def add(acc: Column, z: Column) -> Column:
-        start = acc["at"] + F.length(z["piece"])
-        end = start + F.length(z["body"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), z["body"].alias("body")))).alias("out"))
+        def one(x: Column, i: Column, w: Column, starts: Column) -> Column:
+            block = F.floor(i / w).cast("int")
+            start = F.get(starts, block) + total(F.slice(z, block * w + 1, i - block * w)) + x["skip"]
+            return F.struct(start.alias("start"), (start + x["own"]).alias("end"), x["body"].alias("body"))
 
-    turns = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, b: F.struct(p.alias("piece"), b.alias("body")))
-    return F.aggregate(turns, empty, add)["out"]
+        return bound(side, lambda w: bound(before(w), lambda starts: F.transform(z, lambda x, i: one(x, i, w, starts))))
+
+    return bound(turns, lambda z: F.when(F.size(z) > 0, placed(z)).otherwise(F.array().cast("array<struct<start:int,end:int,body:string>>")))
 
 
 def window_entropy(body: Column) -> Column:
     """Highest Shannon entropy (bits) of a window of WINDOW characters sliding along a string of ALPHABET characters.
 
-    With counts c in a window of w characters the entropy is log2(w) - sum(c * log2(c)) / w.  Counts and sum are
-    carried along; a step takes one character out of the counts and one in.
+    With counts c in a window of w characters the entropy is log2(w) - sum(c * log2(c)) / w.  Counts, packed in a few
+    longs, and sum are carried along; a step takes one character out of the counts and one in.
     """
     term = F.lit([0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)])
-    ids = F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.position(F.substring(body, i, F.lit(1)), F.lit(ALPHABET)) - 1)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(len(ALPHABET) - 1)), lambda k: F.size(F.filter(F.slice(ids, 1, WINDOW), lambda x: x == k)))
-    start = F.struct(counts.alias("counts"), F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.get(term, c)).alias("sum"))
-    first = F.struct(start["counts"].alias("counts"), start["sum"].alias("sum"), start["sum"].alias("least"))
-
-    def step(acc: Column, i: Column) -> Column:
-        out, new = F.get(ids, i - WINDOW), F.get(ids, i)
-        left, came = F.get(acc["counts"], out), F.get(acc["counts"], new)
-        change = F.get(term, left - 1) - F.get(term, left) + F.get(term, came + 1) - F.get(term, came)
-        total = F.when(out == new, acc["sum"]).otherwise(acc["sum"] + change)
-        counts = F.transform(acc["counts"], lambda c, k: c - F.when(k == out, 1).otherwise(0) + F.when(k == new, 1).otherwise(0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.least(acc["least"], total).alias("least"))
-
-    steps = F.when(F.size(ids) > WINDOW, F.sequence(F.lit(WINDOW), F.size(ids) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.lit(math.log2(WINDOW)) - F.aggregate(steps, first, step)["least"] / WINDOW
+    place = F.lit([max(0, ALPHABET.find(chr(i))) for i in range(128)])
+    ones = F.lit([1 << BITS * k for k in range(PACKED)])
+    width, mask = F.lit(PACKED), F.lit((1 << BITS) - 1)
+    word = lambda x: F.floor(x / width).cast("int")
+    unit = lambda x: F.get(ones, x % width)
+    count = lambda counts, x: F.floor(F.get(counts, word(x)) / unit(x)).cast("long").bitwiseAND(mask).cast("int")
+    changed = lambda counts, x, by: F.transform(counts, lambda c, k: F.when(k == word(x), c + by * unit(x)).otherwise(c))
+    none = F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // PACKED))
+    state = lambda counts, total, least: F.struct(counts.alias("counts"), total.alias("sum"), least.alias("least"))
+
+    def enter(acc: Column, x: Column) -> Column:
+        came = count(acc["counts"], x)
+        return state(changed(acc["counts"], x, 1), acc["sum"] + F.get(term, came + 1) - F.get(term, came), F.lit(math.inf))
+
+    def slide(acc: Column, z: Column) -> Column:
+        out, new = z["out"], z["new"]
+        left, came = count(acc["counts"], out), count(acc["counts"], new)
+        total = acc["sum"] + F.get(term, left - 1) - F.get(term, left) + F.get(term, came + 1) - F.get(term, came)
+        moved = bound(total, lambda t: state(changed(changed(acc["counts"], out, -1), new, 1), t, F.least(acc["least"], t)))
+        return F.when(out == new, acc).otherwise(moved)
+
+    def along(ids: Column) -> Column:
+        first = F.aggregate(F.slice(ids, 1, WINDOW), state(none, F.lit(0.0), F.lit(math.inf)), enter)
+        turns = F.zip_with(F.slice(ids, 1, F.greatest(F.size(ids) - WINDOW, F.lit(0))), F.slice(ids, WINDOW + 1, F.size(ids)), lambda a, b: F.struct(a.alias("out"), b.alias("new")))
+        return F.aggregate(turns, bound(first, lambda f: state(f["counts"], f["sum"], f["sum"])), slide)["least"]
+
+    ids = F.transform(F.split(body, "", -1), lambda c: F.get(place, F.ascii(c)))
+    return F.lit(math.log2(WINDOW)) - bound(F.slice(ids, 1, F.length(body)), along) / WINDOW
 
 
 def is_secret(body: Column) -> Column:
@@ -86,7 +117,7 @@ def is_secret(body: Column) -> Column:
     needed = F.lit(math.inf)
     for _, pattern, bits in reversed(CLASSES):
         needed = F.when(body.rlike(pattern), bits).otherwise(needed)
-    return ~allowed & (window_entropy(body) >= needed)
+    return ~allowed & (window_entropy(body) >= needed - 1e-9)  # sums may end a little apart
 
 
 def spans_of(found: Column, kind: int) -> Column:
@@ -101,8 +132,9 @@ def joined(spans: Column) -> Column:
 def secret_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (base and added) of each row.
 
-    A null text counts as empty and has no spans; rows keep their number and repeats; further columns are ignored.
-    No shuffle: every step is a column expression, and texts without a trace of a pattern skip it.
+    A null text counts as empty and has no spans; rows keep their number and repeats; an empty table gives none; further
+    columns are ignored.  No shuffle: every step is a column expression, and texts without a trace of a pattern skip it.
+    A long candidate takes steps in proportion to its length, a text of n candidates n * sqrt(n).
     """
     t = F.col("text")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -113,7 +114,7 @@ def entropy(w):
 def test_secrets_by_brute_force(spark):
     assign = re.compile(secrets.ASSIGN, re.ASCII)
     rng = random.Random(3)
-    parts = ["token", "Secret", "api_key", "apikey", "PASSWORD", " = ", ": ", "=", "'", '"', "AKIA", "ABCDEF0123456789", "é😀", "deadbeef0123", "9f8e7d6c5b4a", "Zx9", "qQ7+/", "\n", " ", "_", "the", "0123456789", "aB3dE5gH7jK9mN1pQ3sT"]
+    parts = ["token", "Secret", "api_key", "apikey", "PASSWORD", " = ", ": ", "=", "'", '"', "AKIA", "ABCDEF0123456789", "é😀", "deadbeef0123", "9f8e7d6c5b4a", "Zx9", "qQ7+/", "\n", " ", "_", "the", "0123456789", "aB3dE5gH7jK9mN1pQ3sT", "QwErTyUiOpAsDfGhJkLz", "plainWordsInCamelCase", "xqzjvkwpbmfygdhtcrnlsueoia"]
     rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(800)]
     got = {r.doc_id: r for r in secrets.secret_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     join = lambda q: ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in q)
@@ -133,6 +134,22 @@ def test_secrets_by_brute_force(spark):
         assert got[i].spans == join(sorted(base + added))
 
 
+def test_secrets_in_long_runs(spark):
+    """Long candidates, as in data URIs, take time in proportion to their length; so do many short ones."""
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(n))
+    low = "xy" * 5000
+    texts = [f"data:{key(10_000)};", f"data:{key(100_000)};", f"{low}{key(20)}{low}", low + low, " ".join(["word", "aB3dE5gH7jK9mN1pQ3sT"] * 20_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = [r.spans for r in secrets.secret_spans(df).orderBy("doc_id").collect()]
+    assert time.time() - began < 40
+    assert got[:4] == ["entropy:5:10005", "entropy:5:100005", "entropy:0:20020", ""]
+    assert got[4].split(",") == [f"entropy:{26 * i + 5}:{26 * i + 25}" for i in range(20_000)]
+    letters = spark.createDataFrame([(0, "xX qWeRtYuIoPaSdFgHjKlZ"), (1, "internationalizationOfSomeLongIdentifier /usr/local/share/some_long_name-of-a-file")], "doc_id long, text string")
+    assert [r.spans for r in secrets.secret_spans(letters).orderBy("doc_id").collect()] == ["entropy:3:23", ""]
+
+
 def plain_pii(s):
     out = [(x.start(), x.end(), "email") for x in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", s)]
     out += [(x.start(), x.end(), "ip") for x in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", s) if all(int(v) <= 255 for v in x.group().split("."))]
