@@ -2,51 +2,58 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows handed to Python at once; texts differ in length, so few rows bound the memory of a batch.
-BATCH_ROWS = 512
+#: Bytes that a per-batch function gets at once at most (or one row): texts differ in length, and this bounds its memory.
+BATCH_BYTES = 4 << 20
 
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows, unless the user has already chosen something smaller."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS or int(spark.conf.get(key, "10000")) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
+def by_bytes(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of at most `limit` bytes, or of one row."""
+    for batch in batches:
+        rows = batch.num_rows
+        if batch.nbytes <= limit:
+            if rows:
+                yield batch
+            continue
+        at = 0
+        while at < rows:
+            n = max(1, min(rows - at, rows * limit // batch.nbytes))
+            while n > 1 and batch.slice(at, n).nbytes > limit:
+                n //= 2
+            yield batch.slice(at, n)
+            at += n
 
 
-def map_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with one output batch for each input batch."""
-    small_batches(df.sparkSession)
+def map_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with one output batch for each slice of input rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield per_batch(batch)
+        for batch in by_bytes(batches):
+            yield per_batch(batch)
 
     return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where Spark runs in one process."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        kept = spark.sparkContext.getCheckpointDir()
-        if kept is None:
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-            kept = spark.sparkContext.getCheckpointDir()
-        at = kept
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 

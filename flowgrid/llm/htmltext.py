@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small_batches, text_or_empty, written
+from .common import by_bytes, map_arrow, text_or_empty, written
 
 #: A subtree is template if it stands on at least PAGES pages of its host with different main blocks, and on SHARE of
 #: them; inside an article, where passages and copies recur by themselves, on ARTICLE_SHARE of them.
@@ -252,10 +252,9 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     As each template stands on a share of the pages, a host has only a few times as many as a page has elements.
     """
     rows = pages.select(host(url).alias("host"), text_or_empty(html).alias("html"))
-    small_batches(pages.sparkSession)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             out = []
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 main, trees = subtrees(page)

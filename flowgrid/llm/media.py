@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .common import map_arrow, small_batches, text_or_empty
+from .common import by_bytes, map_arrow, text_or_empty
 
 #: Bytes that are coded together at most (or one row); bounds a worker's memory.
 TOGETHER = 2_000_000
@@ -66,10 +66,9 @@ def to_media(df: DataFrame, text: str = "text") -> DataFrame:
 
 def rgb_tensors(df: DataFrame, media: str = "media") -> DataFrame:
     """doc_id, width, height, rgb (height x width x 3 bytes) of each progressive JPEG; a null or empty one gives nulls."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             data = [m or b"" for m in batch.column(1).to_pylist()]
             for group in together(data):
                 own = [i for i in group if data[i]]

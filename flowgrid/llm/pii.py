@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, small_batches, text_or_empty
+from .common import by_bytes, map_arrow, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
@@ -355,14 +355,13 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def redacted(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", model: SemiCRF | None = None) -> DataFrame:
     """df with personal data in its text replaced by [KIND]; n_chars, where there is one, follows.  Null texts stay null."""
-    small_batches(df.sparkSession)
     weights = (model or trained()).weights
     at = df.columns.index(text)
     plain = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in df.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = SemiCRF(weights)
-        for batch in batches:
+        for batch in by_bytes(batches):
             new = [t and redact(t, all_spans(t, crf)[1]) for t in batch.column(at).to_pylist()]
             columns = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, text_or_empty, written
+from .common import by_bytes, text_or_empty, written
 from .pretokens import WordCache
 
 BUCKETS = 1 << 14
@@ -66,14 +66,13 @@ def labelled_sample(labels: DataFrame, n: int = LABELLED) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = LABELLED) -> Model:
     """Raw counts over all rows of docs, target counts over the sampled good ones; one scan, one row per bucket and task shuffled."""
-    small_batches(docs.sparkSession)
     marked, _ = written(labelled_sample(labels, sample), "labelled")  # bounded by 2 x sample rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     rows = rows.join(F.broadcast(marked), "doc_id", "left").select("text", F.coalesce(F.col("quality") >= 1, F.lit(False)).alias("good"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), dtype=np.int64)
-        for batch in batches:
+        for batch in by_bytes(batches):
             for got, good in zip(ngrams(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
                 n = np.bincount(got, minlength=BUCKETS)
                 total[0] += n
@@ -91,12 +90,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = LA
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with n_grams and log_ratio (mean over the n-grams; 0 for a text without words).  Map-only."""
-    small_batches(docs.sparkSession)
     ratio = model.log_ratio
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             got = ngrams([t or "" for t in batch.column(at).to_pylist()])
             n = pa.array([len(x) for x in got], pa.int64())
             score = pa.array([float(ratio[x].mean()) if len(x) else 0.0 for x in got], pa.float64())

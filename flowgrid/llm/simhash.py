@@ -37,10 +37,15 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     ends = ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     h = np.fromiter([digest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)], np.uint64, n)
+    return bits_of(h)
+
+
+def bits_of(h: np.ndarray) -> int:
+    """The fingerprint of hashes (unsigned 64-bit) as a signed integer: a bit is 1 if set in over half of them."""
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 14):
+    for at in range(0, len(h), 1 << 14):
         counts += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(df: DataFrame, text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
