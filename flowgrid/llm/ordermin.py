@@ -1,17 +1,15 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
 Words are taken in k-mers, each k-mer is numbered by its occurrence in the text, and every slot of a signature takes
-the occurrence-numbered k-mers that come first under random orders.  A tuple of them keeps the order of the text and
-is hashed; two texts agree in a slot if they share the k-mers and their order, which follows edit distance.
-
-A k-mer's hash and place are packed in one long (40 and 24 bits).  A random order is the numeric order after XOR with
-a constant, so that a slot is a plain minimum of longs: hash aggregation without a sort and with nothing to spill.
+the TUPLE occurrence-numbered k-mers that come first under the slot's own random order, a hash of its own.  A tuple
+keeps the order of the text and is hashed; two texts agree in a slot if they share the k-mers and their order, which
+follows edit distance.
 """
 
 from __future__ import annotations
 
 import math
-import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,62 +20,67 @@ from .common import text_or_empty
 K = 3  # words of a k-mer
 SLOTS = 32  # tuples of a signature
 TUPLE = 2  # k-mers of a tuple
-PLACE = 24  # bits of a k-mer's place
-WORD = r"[^\x20\x09-\x0D]{1,16}"  # longer runs without white space are cut into parts
+#: Words, or what stands for them in long runs without white space: runs of letters of one case or of digits, and other
+#: characters (as of scripts without spaces) one by one, so that an insertion changes the words around it only.
+WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,16}(?![^\x20\x09-\x0D])|[a-z]+|[A-Z]+|[0-9]+|[^\x20\x09-\x0DA-Za-z0-9]"
+#: Bits of a k-mer's place while equal ones are numbered; a text has fewer than 2^31 characters.
+PLACE = 31
 #: Documents that lie side by side in one bucket, and buckets at most (their bounds are held by the driver).
 SIDE_BY_SIDE, MOST_BUCKETS = 1000, 1 << 17
 
 
-def constants(seed: int = 5) -> list[int]:
-    """One random order for each k-mer of each tuple; the place bits stay untouched."""
-    rng = random.Random(seed)
-    return [rng.getrandbits(63 - PLACE) << PLACE for _ in range(SLOTS * TUPLE)]
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def numbered_kmers(text: Column) -> list[tuple[str, Column]]:
-    """Steps from a text to its occurrence-numbered k-mers as packed longs; each step is a column for the next one.
+def numbered_kmers(text: Column) -> Column:
+    """The hashes of a text's k-mers, numbered by occurrence, and their places, as a struct of two arrays.
 
     A text of fewer than K words is one k-mer.  Equal k-mers lie side by side once sorted; each run of them is
     numbered by a sequence from 0, and flattening the sequences numbers all.
     """
     low = (1 << PLACE) - 1
-    words, s, starts, occ = (F.col(c) for c in ("_words", "_s", "_starts", "_occ"))
-    kmer = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(K)])
-    packed = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - K, F.lit(0))), lambda i: kmer(i).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(low))))
-    differs = lambda i: F.shiftright(F.get(s, i), PLACE) != F.shiftright(F.get(s, i - 1), PLACE)
-    runs = F.transform(starts, lambda a, j: F.sequence(F.lit(0), F.coalesce(F.get(starts, j + 1), F.size(s)) - a - 1))
-    again = F.zip_with(s, occ, lambda e, o: F.when(o == 0, e).otherwise(F.xxhash64(F.shiftright(e, PLACE), o).bitwiseAND(F.lit(~low)).bitwiseOR(e.bitwiseAND(F.lit(low)))))
-    return [
-        ("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0))),
-        ("_s", F.sort_array(packed)),
-        ("_starts", F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | differs(i))),
-        ("_occ", F.when(F.size(starts) < F.size(s), F.flatten(runs))),
-        ("_kmers", F.when(occ.isNull(), s).otherwise(again)),
-    ]
-
-
-def signature(least: Column, orders: list[int]) -> Column:
-    """The tuples' hashes, from the packed minima of all orders: k-mers of a tuple in the order of the text."""
-    constant = F.lit(orders)
+    place = lambda s: F.transform(s, lambda x: x.bitwiseAND(F.lit(low)).cast("int"))
+
+    def kmers(words: Column) -> Column:
+        hash_of = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(K)])
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - K, F.lit(0))), lambda i: F.shiftleft(hash_of(i), PLACE).bitwiseOR(i.cast("long"))))
+
+    def numbered(s: Column) -> Column:
+        own = F.transform(s, lambda x: F.shiftright(x, PLACE))
+        differs = lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
+        runs = lambda h, starts: F.transform(starts, lambda a, j: F.sequence(F.lit(0), F.coalesce(F.get(starts, j + 1), F.size(h)) - a - 1))
+        again = lambda h, occ: F.zip_with(h, occ, lambda x, o: F.when(o == 0, x).otherwise(F.xxhash64(x, o)))
+        marked = lambda h: bound(differs(h), lambda starts: F.when(F.size(starts) == F.size(h), h).otherwise(again(h, F.flatten(runs(h, starts)))))
+        return F.struct(bound(own, marked).alias("hash"), place(s).alias("at"))
+
+    return bound(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda words: bound(kmers(words), numbered))
+
+
+def signature(kmers: Column) -> Column:
+    """The tuples' hashes: for each slot its first k-mers under its own order, in the order of the text."""
+    hashes, places = kmers["hash"], kmers["at"]
 
     def one(slot: Column) -> Column:
-        at = [slot * TUPLE + i for i in range(TUPLE)]
-        own = F.sort_array(F.array(*[F.struct(F.get(least, i).bitwiseAND(F.lit((1 << PLACE) - 1)).alias("at"), F.shiftright(F.get(least, i).bitwiseXOR(F.get(constant, i)), PLACE).alias("kmer")) for i in at]))
-        return F.xxhash64(slot, F.transform(own, lambda x: x["kmer"])).bitwiseAND(F.lit(0xFFFFFFFF))
+        def rest(order: Column, found: list[Column]) -> Column:
+            if len(found) == TUPLE:
+                own = F.filter(F.array(*found), lambda x: x.isNotNull())
+                with_place = F.transform(own, lambda x: F.struct(F.get(places, F.array_position(order, x).cast("int") - 1).alias("at"), x.alias("kmer")))
+                return F.xxhash64(slot, F.transform(F.sort_array(with_place), lambda x: x["kmer"])).bitwiseAND(F.lit(0xFFFFFFFF))
+            left = order
+            for x in found:
+                left = F.array_remove(left, x)
+            return bound(F.array_min(left), lambda least: rest(order, [*found, least]))
+
+        return bound(F.transform(hashes, lambda h: F.xxhash64(h, slot)), lambda order: rest(order, []))
 
     return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), one)
 
 
-def signatures(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """key and signature of each row's text; rows with one key must not repeat.  No shuffle if df is dealt by some of key."""
-    rows = df
-    for name, step in numbered_kmers(F.col(text)):
-        rows = rows.withColumn(name, step)
-    orders = constants()
-    rows = rows.select(*key, F.explode_outer("_kmers").alias("_e"))  # never empty; explode() would have Spark infer a filter that repeats all steps
-    least = rows.groupBy(*key).agg(*[F.min(F.col("_e").bitwiseXOR(F.lit(c))).alias(f"_m{i}") for i, c in enumerate(orders)])
-    least = least.select(*key, F.array(*[f"_m{i}" for i in range(len(orders))]).alias("_least"))
-    return least.select(*key, signature(F.col("_least"), orders).alias("signature"))
+def signed(text: Column) -> Column:
+    """The signature of a text column."""
+    return bound(numbered_kmers(text), signature)
 
 
 def likeness(a: str, b: str) -> Column:
@@ -91,9 +94,8 @@ def as_text(signature_: str) -> Column:
 
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fingerprint of each row; a null text counts as empty.  Equal texts have equal fingerprints."""
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("_row", F.monotonically_increasing_id())
-    return signatures(rows, ["_row", "doc_id"], "text").select("doc_id", as_text("signature").alias("fingerprint"))
+    """doc_id, fingerprint of each row; a null text counts as empty.  Equal texts have equal fingerprints.  Map-only."""
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), as_text(signed(text_or_empty(text))).alias("fingerprint"))
 
 
 def in_buckets(df: DataFrame, order: str) -> tuple[DataFrame, list]:
@@ -139,13 +141,11 @@ def edited_fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     guests = docs.drop("bucket").join(follow, F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "bucket", F.lit(1).alias("guest"))
     rows = docs.withColumn("guest", F.lit(0)).unionByName(guests).withColumn("hash", F.xxhash64("text"))
     side = Window.partitionBy("bucket").orderBy("guest", "doc_id", "hash")
-    rows = rows.repartition(len(firsts), "bucket").withColumn("n", F.row_number().over(side)).withColumn("next", F.lead("text").over(side))
+    rows = rows.repartition(len(firsts), "bucket").withColumn("next", F.lead("text").over(side))
     n_chars = F.length("text").cast("long")
     q = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - q), F.substring(F.coalesce("next", F.lit("")), F.lit(1), q))
-    rows = rows.select("bucket", "n", "guest", "doc_id", n_chars.alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
-    forms = rows.select("bucket", "n", "guest", "doc_id", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("body")), F.struct(F.lit(1).alias("form"), F.col("edited").alias("body")))).alias("f")).select("*", "f.form", "f.body").drop("f").where("guest = 0 or form = 0")
-    signed = signatures(forms, ["bucket", "n", "guest", "doc_id", "n_chars", "edited_sha256", "form"], "body")
-    order = Window.partitionBy("bucket").orderBy("n", "form")
-    signed = signed.withColumn("edited", F.lead("signature", 1).over(order)).withColumn("next", F.lead("signature", 2).over(order)).where("guest = 0 and form = 0")
-    return signed.select("doc_id", "n_chars", "edited_sha256", as_text("signature").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"), likeness("signature", "edited").alias("near_edited"), likeness("signature", "next").alias("near_next"))
+    rows = rows.select("bucket", "guest", "doc_id", "hash", n_chars.alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
+    rows = rows.withColumn("own", signed(F.col("text"))).drop("text")
+    rows = rows.withColumn("next", F.lead("own").over(side)).where("guest = 0").withColumn("other", signed(F.col("edited")))
+    return rows.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "next").alias("near_next"))

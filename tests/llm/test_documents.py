@@ -73,9 +73,9 @@ def test_order_minhash(documents, texts):
 
 
 def test_order_minhash_by_brute_force(spark):
-    """Whole fingerprints by plain loops; order matters, repeats are told apart."""
-    low = (1 << ordermin.PLACE) - 1
+    """Whole fingerprints by plain loops; order matters, repeats are told apart, one k-mer fills one place only."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
+    number = lambda x, n: (x & ((1 << 8 * n) - 1)).to_bytes(n, "little")
 
     def chain(values):  # several values are hashed in turn, each result the next one's seed; nulls are passed over
         seed = 42
@@ -83,30 +83,50 @@ def test_order_minhash_by_brute_force(spark):
             seed = xxhash.xxh64_intdigest(v, seed) if v is not None else seed
         return signed(seed)
 
-    number = lambda x, n: (x & ((1 << 8 * n) - 1)).to_bytes(n, "little")
-
     def slow(text):
-        words = re.findall(r"[^\x20\x09-\x0D]{1,16}", text)
-        seen, packed = {}, []
+        words = re.findall(ordermin.WORD, text)
+        seen, kmers = {}, []
         for i in range(max(len(words) - 3, 0) + 1):
-            h = chain([w and w.encode() for w in [*words[i : i + 3], None, None, None][:3]]) & ~low
+            h = signed((chain([w and w.encode() for w in [*words[i : i + 3], None, None, None][:3]]) << ordermin.PLACE) % (1 << 64)) >> ordermin.PLACE
             o = seen[h] = seen.get(h, -1) + 1
-            packed.append((h if o == 0 else chain([number(h >> ordermin.PLACE, 8), number(o, 4)]) & ~low) | i)
-        out, orders = "", ordermin.constants()
+            kmers.append(h if o == 0 else chain([number(h, 8), number(o, 4)]))
+        out = ""
         for slot in range(ordermin.SLOTS):
-            own = []
-            for c in orders[slot * 2 : slot * 2 + 2]:
-                least = min(e ^ c for e in packed)
-                own.append((least & low, (least ^ c) >> ordermin.PLACE))
-            out += f"{chain([number(slot, 4), *[number(k, 8) for _, k in sorted(own)]]) & 0xFFFFFFFF:08x}"
+            first = sorted((chain([number(h, 8), number(slot, 4)]), i) for i, h in enumerate(kmers))[:2]
+            out += f"{chain([number(slot, 4), *[number(k, 8) for k, _ in sorted(first, key=lambda x: x[1])]]) & 0xFFFFFFFF:08x}"
         return out
 
     a, b = "one two three four five six seven eight nine ten " * 3, "six seven eight nine ten one two three four five " * 3
-    rows = [a, b, a, "", "single", "x y z " * 50, "é" * 100]
+    rows = [a, b, a, "", "single", "x y z " * 50, "é" * 100, "數據處理系統設計與實現" * 9, "camelCaseRun0123And456More" * 3]
     got = [r.fingerprint for r in ordermin.fingerprints(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert got == [slow(t) for t in rows] and got[0] == got[2] != got[1]
 
 
+def shared_slots(a, b):
+    return sum(a[i : i + 8] == b[i : i + 8] for i in range(0, len(a), 8)) / ordermin.SLOTS
+
+
+def test_order_minhash_likeness(spark):
+    """Slots are independent: over many pairs of texts the likeness strays as 32 separate draws do."""
+    rng, rows = random.Random(4), []
+    for i in range(300):
+        words = [f"w{i}x{j}" for j in range(300)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:255], *[f"v{i}x{rng.getrandbits(30)}" for _ in range(45)]]))]
+    got = {r.doc_id: r.fingerprint for r in ordermin.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = np.array([shared_slots(got[2 * i], got[2 * i + 1]) for i in range(300)])
+    p = near.mean()
+    assert 0.45 < p < 0.65 and near.std() < 1.12 * (p * (1 - p) / ordermin.SLOTS) ** 0.5
+
+
+def test_order_minhash_without_spaces(spark):
+    """One character put into a text of a script without spaces changes few words."""
+    rng = random.Random(6)
+    base = "".join(chr(0x4E00 + rng.randint(0, 5000)) for _ in range(400))
+    df = spark.createDataFrame([(0, base), (1, base[:30] + "新" + base[30:])], "doc_id long, text string")
+    a, b = (r.fingerprint for r in ordermin.fingerprints(df).orderBy("doc_id").collect())
+    assert shared_slots(a, b) > 0.8
+
+
 def entropy(w):
     return -sum(c / len(w) * math.log2(c / len(w)) for c in (w.count(x) for x in set(w)))
 
