@@ -11,8 +11,9 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,7 +87,8 @@ def base_spans(text: str) -> list[Span]:
 
 
 # ---- candidate segments and their features ----
-LONGEST = 17  # tokens of a segment; whole addresses may be longer
+LONGEST = 17  # tokens of a segment, enough for 19 digits in groups of two or more; whole addresses may be longer
+N_DIGITS = {"ip": (4, 12), "card": (12, 19), "phone": (7, 15)}  # digits of a segment of a kind
 AROUND = 24  # characters of context on either side of a run
 NUMBERS = re.compile(r"[+(0-9][\x20().0-9/+-]*")
 HOST = LOCAL - frozenset("_%+")
@@ -149,7 +151,7 @@ def features(kind: str, s: str, before: str, after: str) -> list[str]:
     elif kind == "ip":
         out += [f"octets {len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)}"]
     elif kind == "card":
-        out += [f"n {min(max(len(digits), 12), 20)}", f"luhn {luhn(digits)} {14 <= len(digits) <= 19}", f"even groups {len(set(map(len, groups))) == 1}", f"first {digits[:1]}"]
+        out += [f"n {min(max(len(digits), 12), 20)}", f"luhn {luhn(digits)} {14 <= len(digits) <= 19}", f"even groups {len(set(map(len, groups))) == 1}", f"years {all(len(g) == 4 and g[:2] in ('19', '20') for g in groups)}", f"first {digits[:1]}"]
     else:
         out += [f"n {min(max(len(digits), 6), 16)}", f"plus {s[0] == '+'} {s[0] == '('}", f"shape {'-'.join(str(min(len(g), 5)) for g in groups[:5])}", f"open {s.count('(') == s.count(')')}", f"groups {min(len(groups), 6)}"]
     return [f"{kind}|{x}" for x in out]
@@ -170,32 +172,50 @@ def long_addresses(text: str, bounds: list[int]) -> dict[int, list[int]]:
     return out
 
 
-def lattice(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int, str, list[str]]]]:
-    """Token bounds of a window and its candidate segments (first token, token after the last, kind, features); O is one token."""
-    bounds = [a + m.start() for m in TOKEN.finditer(text[a:b])] + [b]
-    out, long = [], long_addresses(text, bounds)
-    for i in range(len(bounds) - 1):
-        first = text[bounds[i]]
-        out.append((i, i + 1, "O", [f"O|{kind_of(first)}"]))
-        if first.isspace():
+def in_a_row(text: str, x: int, y: int) -> bool:
+    """Whether a number goes on before or after text[x:y], set off by a mark that also stands inside: as in a table or a chain."""
+    left, right = text[x - 1 : x], text[y : y + 1]
+    goes_on = x > 1 and left in " .-/" and text[x - 2].isdigit() and left in text[x:y]
+    return goes_on or bool(right) and right in " .-/" and text[y + 1 : y + 2].isdigit() and right in text[x:y]
+
+
+def token_bounds(text: str, a: int, b: int) -> list[int]:
+    return [a + m.start() for m in TOKEN.finditer(text[a:b])] + [b]
+
+
+def segments(text: str, bounds: list[int]) -> Iterator[tuple[int, int, str, list[str]]]:
+    """Candidate segments by their first token: (first token, token after the last, kind, features); O is one token.
+
+    Made one by one, so that a window of any length takes no more memory than its tokens.
+    """
+    n = len(bounds) - 1
+    first = [text[x] for x in bounds[:-1]]
+    digits = [0, *accumulate(y - x if c.isdigit() else 0 for x, y, c in zip(bounds, bounds[1:], first, strict=False))]
+    signs = [0, *accumulate(c == "@" for c in first)]
+    long = long_addresses(text, bounds) if signs[n] else {}
+    fewest, most = min(d for d, _ in N_DIGITS.values()), max(d for _, d in N_DIGITS.values())
+    for i in range(n):
+        yield i, i + 1, "O", [f"O|{kind_of(first[i])}"]
+        if first[i].isspace():
             continue
-        for j in range(i + 1, min(i + LONGEST, len(bounds) - 1) + 1):
-            x, y = bounds[i], bounds[j]
-            s = text[x:y]
-            if s[-1].isspace():
-                continue
-            if "\n" in s:
+        x, number = bounds[i], first[i].isdigit() or first[i] in "+("
+        address = signs[n] > signs[i] and first[i] in LOCAL
+        for j in range(i + 1, min(i + LONGEST, n) + 1):
+            d, at = digits[j] - digits[i], signs[j] - signs[i]
+            if first[j - 1] == "\n" or at > 1 or not address and (not number or at or d > most):
                 break
-            if len(s) < 6 or not TRIGGER.search(s):
-                continue
-            for kind in KINDS:
-                if CLASS[kind].fullmatch(s):
-                    out.append((i, j, kind, features(kind, s, text[x - 1 : x], text[y : y + 1])))
+            y = bounds[j]
+            if at and address:
+                if y - x >= 6 and CLASS["email"].fullmatch(text, x, y):
+                    yield i, j, "email", features("email", text[x:y], text[x - 1 : x], text[y : y + 1])
+            elif number and fewest <= d <= most and first[j - 1].isdigit():
+                for kind, (low, high) in N_DIGITS.items():
+                    if low <= d <= high and y - x >= 6 and CLASS[kind].fullmatch(text, x, y) and not in_a_row(text, x, y):
+                        yield i, j, kind, features(kind, text[x:y], text[x - 1 : x], text[y : y + 1])
         for j in sorted(long.get(i, [])):
-            x, y = bounds[i], bounds[j]
+            y = bounds[j]
             if CLASS["email"].fullmatch(text, x, y):
-                out.append((i, j, "email", features("email", text[x:y], text[x - 1 : x], text[y : y + 1])))
-    return bounds, out
+                yield i, j, "email", features("email", text[x:y], text[x - 1 : x], text[y : y + 1])
 
 
 class SemiCRF:
@@ -207,7 +227,7 @@ class SemiCRF:
     def score(self, names: list[str]) -> float:
         return sum(self.weights.get(x, 0.0) for x in names)
 
-    def best(self, n: int, segments: list) -> list[tuple[int, int, str]]:
+    def best(self, n: int, segments: Iterable) -> list[tuple[int, int, str]]:
         """The highest-scoring segmentation of n tokens, without its O segments."""
         top, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
         for i, j, kind, names in segments:  # by first token: top[i] is final when i is left
@@ -245,8 +265,8 @@ class SemiCRF:
     def find(self, text: str) -> list[Span]:
         out = []
         for a, b in windows(text):
-            bounds, segments = lattice(text, a, b)
-            out += [(bounds[i], bounds[j], kind) for i, j, kind in self.best(len(bounds) - 1, segments)]
+            bounds = token_bounds(text, a, b)
+            out += [(bounds[i], bounds[j], kind) for i, j, kind in self.best(len(bounds) - 1, segments(text, bounds))]
         return out
 
 
@@ -265,12 +285,12 @@ def example(rng: random.Random) -> tuple[str, list[Span]]:
 
     def phone() -> str:
         a, b, c = number(3), number(3), number(4)
-        return rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{rng.randint(20, 99)} {a} {b}{c}", f"0{a[:2]} {b} {c}", f"+1-{a}-{b}-{c}", f"{a}.{b}.{c}"])
+        return rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{rng.randint(20, 99)} {a} {b}{c}", f"0{a[:2]} {b} {c}", f"+1-{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{number(rng.randint(2, 3))}{rng.choice(' -/')}{number(rng.randint(6, 8))}"])
 
     made = {
         "email": lambda: rng.choice([f"{word()}.{word()}@{host()}", f"{word()}{number(2)}@{host()}", f"{word()}@{host()}", f"{word()} @ {host()}"]),
         "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": card, "phone": phone,
-        "": lambda: rng.choice([f"20{number(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", f"{number(2)}:{number(2)}", f"{rng.randint(1, 9)}.{number(1)}.{number(2)}", f"{rng.randint(1, 9)},{number(3)}.{number(2)}", number(rng.randint(1, 6)), number(rng.choice([9, 11, 12, 13, 20, 24])), f"{word()}{number(3)}", f"{number(2)}-{number(2)}", f"@{word()}", f"{number(4)}-{number(4)}", "".join(rng.choice("0123456789abcdef") for _ in range(32)), f"{number(3)} {number(3)} {number(3)} {number(2)} {number(3)} {number(1)}"]),
+        "": lambda: rng.choice([f"{rng.randint(10, 28)}{(sep := rng.choice('/.'))}0{rng.randint(1, 9)}{sep}{rng.choice(['19', '20'])}{number(2)}", f"20{number(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", f"{number(2)}:{number(2)}", f"{rng.randint(1, 9)}.{number(1)}.{number(2)}", f"{rng.randint(1, 9)},{number(3)}.{number(2)}", number(rng.randint(1, 6)), number(rng.choice([9, 11, 12, 13, 20, 24])), f"{word()}{number(3)}", f"{number(2)}-{number(2)}", f"@{word()}", f"{number(4)}-{number(4)}", "".join(rng.choice("0123456789abcdef") for _ in range(32)), f"{number(3)} {number(3)} {number(3)} {number(2)} {number(3)} {number(1)}", " ".join(number(rng.randint(1, 5)) for _ in range(rng.randint(3, 9))), ", ".join(f"{number(rng.randint(1, 3))}.{number(rng.randint(1, 6))}" for _ in range(rng.randint(2, 6))), f"97{rng.choice('89')}-{number(1)}-{number(rng.randint(2, 5))}-{number(4)}-{number(1)}", f"{number(4)}-{number(6)}", f"{rng.randint(1, 9)}.{number(3)}.{number(3)},{number(2)}", " ".join(rng.choice(["19", "20"]) + number(2) for _ in range(rng.randint(2, 5)))]),
     }
     text, spans = "", []
     for _ in range(rng.randint(1, 3)):
@@ -284,23 +304,24 @@ def example(rng: random.Random) -> tuple[str, list[Span]]:
 
 
 @lru_cache(maxsize=4)
-def trained(examples: int = 160, rounds: int = 5, seed: int = 11) -> SemiCRF:
+def trained(examples: int = 400, rounds: int = 6, seed: int = 11) -> SemiCRF:
     """A semi-CRF fitted by stochastic gradient ascent on `examples` made lines (the bound of the fit)."""
     rng, model, data = random.Random(seed), SemiCRF(), []
     while len(data) < examples:
         text, spans = example(rng)
         for a, b in windows(text):
-            bounds, segments = lattice(text, a, b)
+            bounds = token_bounds(text, a, b)
+            own = list(segments(text, bounds))
             inside = {(bounds.index(x), bounds.index(y), k) for x, y, k in spans if x in bounds and y in bounds}
             covered = {t for i, j, _ in inside for t in range(i, j)}
-            known = {s[:3] for s in segments}
+            known = {s[:3] for s in own}
             if inside <= known:
-                data.append((len(bounds) - 1, segments, inside | {(i, i + 1, "O") for i in range(len(bounds) - 1) if i not in covered}))
+                data.append((len(bounds) - 1, own, inside | {(i, i + 1, "O") for i in range(len(bounds) - 1) if i not in covered}))
     for r in range(rounds):
         rng.shuffle(data)
         rate = 0.3 / (1 + 0.5 * r)
-        for n, segments, gold in data:
-            for x, g in model.gradient(n, segments, gold)[0].items():
+        for n, own, gold in data:
+            for x, g in model.gradient(n, own, gold)[0].items():
                 model.weights[x] = model.weights.get(x, 0.0) * (1 - 1e-4 * rate) + rate * g
     return model
 
@@ -325,7 +346,9 @@ def joined(spans: list[Span]) -> str:
 def personal_data(df: DataFrame, text: str = "text", model: SemiCRF | None = None) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256, spans (all) of each row; offsets in code points, ends exclusive.
 
-    Map-only.  A null text counts as empty and has no spans; rows keep repeats; further columns are ignored.
+    Map-only.  A null text counts as empty and has no spans; rows keep repeats; an empty table gives none; further
+    columns are ignored.  Work and memory grow with the length of a text, numeric tables included.  A number that others
+    go on beside, set off by a mark that it has inside too, is taken for a part of a row and not added.
     """
     weights = (model or trained()).weights
 
