@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes that a per-batch function gets at once at most (or one row): texts differ in length, and this bounds its memory.
-BATCH_BYTES = 4 << 20
+#: Bytes that go to Python at once, and that a per-batch function gets at most (or one row): texts differ in length, and this
+#: bounds the memory of both sides.
+SENT_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+DEFAULT_BYTES = "67108864b"  # Spark's own
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -36,6 +38,14 @@ def by_bytes(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Ite
             at += n
 
 
+def sent_by_bytes(df: DataFrame) -> DataFrame:
+    """df, once its session sends batches of SENT_BYTES to Python.  A bound that the user has set stays as it is."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == DEFAULT_BYTES:
+        conf.set(key, str(SENT_BYTES))
+    return df
+
+
 def map_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with one output batch for each slice of input rows."""
 
@@ -43,7 +53,7 @@ def map_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatc
         for batch in by_bytes(batches):
             yield per_batch(batch)
 
-    return df.mapInArrow(run, schema)
+    return sent_by_bytes(df).mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .common import by_bytes, map_arrow, text_or_empty
+from .common import by_bytes, map_arrow, sent_by_bytes, text_or_empty
 
 #: Bytes that are coded together at most (or one row); bounds a worker's memory.
 TOGETHER = 2_000_000
@@ -78,7 +78,7 @@ def rgb_tensors(df: DataFrame, media: str = "media") -> DataFrame:
                 size = lambda k: pa.array([got[i].shape[k] if i in got else None for i in group], pa.int32())  # noqa: B023, E731
                 yield pa.record_batch([batch.column(0).take(pa.array(group)), size(1), size(0), pa.array([got[i].tobytes() if i in got else None for i in group], pa.binary())], names=["doc_id", "width", "height", "rgb"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(media).alias("media")).mapInArrow(run, "doc_id long, width int, height int, rgb binary")
+    return sent_by_bytes(df).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(media).alias("media")).mapInArrow(run, "doc_id long, width int, height int, rgb binary")
 
 
 def stored_features(df: DataFrame, text: str = "text") -> DataFrame:

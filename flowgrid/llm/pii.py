@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, map_arrow, text_or_empty
+from .common import by_bytes, map_arrow, sent_by_bytes, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
@@ -389,5 +389,5 @@ def redacted(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
             columns = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = df.mapInArrow(run, plain)
+    out = sent_by_bytes(df).mapInArrow(run, plain)
     return out.withColumn(n_chars, F.length(text).cast(df.schema[n_chars].dataType)) if n_chars in df.columns else out

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, text_or_empty, written
+from .common import by_bytes, sent_by_bytes, text_or_empty, written
 from .pretokens import WordCache
 
 BUCKETS = 1 << 14
@@ -81,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = LA
         at = np.flatnonzero(total[0])
         yield pa.record_batch([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["bucket", "raw", "target"])
 
-    counts = rows.mapInArrow(counted, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # BUCKETS rows at most
+    counts = sent_by_bytes(rows).mapInArrow(counted, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # BUCKETS rows at most
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts.bucket], target[counts.bucket] = counts.raw, counts.target
     smooth = lambda x: np.log((x + 1) / (x.sum() + BUCKETS))
@@ -100,7 +100,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             score = pa.array([float(ratio[x].mean()) if len(x) else 0.0 for x in got], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, n, score], names=[*batch.schema.names, "n_grams", "log_ratio"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_grams", T.LongType()), T.StructField("log_ratio", T.DoubleType())]))
+    return sent_by_bytes(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_grams", T.LongType()), T.StructField("log_ratio", T.DoubleType())]))
 
 
 def sampling_key(temperature: float = TEMPERATURE, seed: int = 7) -> Column:

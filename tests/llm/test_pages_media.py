@@ -3,13 +3,15 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from flowgrid.llm import htmltext, jpeg, media, packing, pii, quality, simhash
+from flowgrid.llm import htmltext, jpeg, media, packing, pii, quality
+from test_neardup import kept_by_all_pairs
 
 SF = "/root/testdata/sf0.01"
 
@@ -33,6 +35,57 @@ def test_template_is_removed_and_copies_stay(spark):
     assert all("Second of One article" in got[100 + i] and "weekdays" in got[100 + i] for i in range(12))
 
 
+def test_templates_of_given_pages(spark):
+    """Counts by host agree with plain loops over the pages; on most hosts there are templates, and deleting them changes pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = pages.collect()
+    site = lambda url: re.match(r"[a-z]+://([^/?#:]*)", url or "").group(1).lower()
+    on, zone, mains = {}, {}, {}
+    for r in rows:
+        main, trees = htmltext.subtrees(r.html)
+        mains.setdefault(site(r.url), set()).add(main)
+        for h, z in trees:
+            on.setdefault((site(r.url), h), set()).add(main)
+            zone[site(r.url), h] = max(z, zone.get((site(r.url), h), 0))
+    want = {(a, h): len(m) for (a, h), m in on.items()} | {(a, None): len(m) for a, m in mains.items()}
+    assert {(r.host, r.hash): r.n for r in htmltext.counts(pages).collect()} == want
+    rule = (htmltext.OUTSIDE, htmltext.UNMARKED, htmltext.INSIDE)
+    often = {}
+    for (a, h), m in on.items():
+        least, share = rule[zone[a, h]]
+        if len(m) >= least and len(m) >= share * len(mains[a]):
+            often.setdefault(a, set()).add(h)
+    assert {r.host: set(r.template) for r in htmltext.templates(pages).collect()} == often
+    assert len(often) > 0.5 * len(mains)
+    deleted = [htmltext.extracted(r.html, frozenset(often.get(site(r.url), ())))[1] for r in rows]
+    assert sum(n > 0 for n in deleted) > 0.4 * len(rows)
+    assert sorted((r.page_id, r.n_templates) for r in htmltext.main_text(pages).collect()) == sorted((r.page_id, n) for r, n in zip(rows, deleted, strict=True))
+
+
+def test_templates_go_where_no_name_helps(spark):
+    """The given pages with all element and class names taken away: what recurs on a host goes by its hash alone, articles stay."""
+    bare = lambda s: re.sub(r"<(/?)(nav|footer|article|ul|li)\b[^>]*>", r"<\1div>", re.sub(r' class="[^"]*"', "", s))
+    menu, foot = "<nav><ul><li><a href='/a'>Home page</a></li><li>About us</li></ul></nav>", '<div class="ad">Buy this now</div><footer>All rights kept</footer>'
+    rows = []
+    for r in spark.read.parquet(f"{SF}/pages.parquet").limit(60).collect():
+        article = re.search(r"<article>.*</article>", r.html, re.DOTALL).group(0)
+        rows.append((r.page_id, "http://one.example/x", bare(f"<body>{menu}{article}{foot}</body>")))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in htmltext.main_text(df).collect():
+        page = rows[[x[0] for x in rows].index(r.page_id)][2]
+        whole = htmltext.extracted(page, frozenset())[0]
+        assert r.n_templates >= 2 and "Home page" in whole and "rights" in whole
+        assert whole == f"Home page\n\nAbout us\n\n{r.text}\n\nBuy this now\n\nAll rights kept"
+
+
+@pytest.mark.parametrize("part,n", [("<div>a", 60_000), ("<p><b>", 60_000), ("<a ", 200_000), ("</div>", 100_000), ("<ul><li>a", 40_000), ("<table><tr><td>", 30_000), ("<!-- ", 100_000)])
+def test_deep_and_open_pages_take_linear_time(part, n):
+    began = time.time()
+    htmltext.subtrees(part * n)
+    htmltext.extracted(part * n, frozenset([1]))
+    assert time.time() - began < 15
+
+
 CASES = {
     "<p>a&amp;b&nbsp;&#233; <b>c</b><br>d<p>e": "a&b é c d\n\ne",
     "<nav>menu</nav><article><header><h1>T</h1><p>by x</p></header><p>text</p><footer>f</footer></article><footer>g</footer>": "T\n\ntext",
@@ -43,21 +96,22 @@ CASES = {
     '<div id="menu-page"><p>a page whose wrapper has a bad name</p><div class="menu">m</div></div>': "a page whose wrapper has a bad name",
     '<div class="sidebar"><article class="post"><p>only article</p></article></div><p>x</p>': "only article",
     '<article><p>one</p></article><section class="comments"><article><p>reply</p></article></section>': "one",
+    '<article><h2 id="social-impact">S</h2><section id="related-work"><p>r</p></section><div id="search-methods">m</div><p class="share-buttons">x</p></article>': "S\n\nr\n\nm",
+    '<div class="site-footer">f</div><div class="footer">g</div><p>text</p><div class="widget ad-slot-1">a</div>': "text", "a <!-- never ended": "a", "<p>a</p> 1 < 2 <b": "a\n\n1 < 2 <b",
     "": "", "<": "<", "no tags at all": "no tags at all", "<p>open <i>never closed": "open never closed", "</p></div>": "",
 }
 
 
 @pytest.mark.parametrize("page", CASES)
 def test_page_cases(page):
-    roots, inside = htmltext.main_roots(htmltext.parsed(page))
-    assert "\n\n".join(htmltext.blocks(roots, frozenset(), inside)) == CASES[page]
+    assert htmltext.extracted(page, frozenset()) == (CASES[page], 0)
 
 
 def test_odd_pages(spark):
     rows = [(1, None, None, 1), (None, "x", "<p>a", None), (2, "http://h/", "<p>" * 3000 + "deep", None), (2, "http://h/", "<div>" * 3000 + "deep", None), (3, "http://h/", "", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")
     got = htmltext.main_text(df)
-    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert got.columns == ["page_id", "url", "text", "n_chars", "n_templates"]
     assert sorted((r.page_id or 0, r.text) for r in got.collect()) == [(0, "a"), (1, ""), (2, "deep"), (2, "deep"), (3, "")]
     assert htmltext.main_text(df.limit(0)).collect() == []
 
@@ -106,19 +160,7 @@ def test_pipeline_against_its_parts(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     good = {r.doc_id for r in quality.sampled(docs, labels).select("doc_id").collect()}
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
-    prints = {d: simhash.fingerprint(t) & ((1 << 64) - 1) for d, t in texts.items()}
-    kept = []
-    near = {d: {e for e, q in prints.items() if (p ^ q).bit_count() <= 2} for d, p in prints.items()}
-    seen = set()
-    for d in sorted(texts):
-        if d not in seen:
-            kept.append(d)
-            todo = [d]
-            while todo:
-                x = todo.pop()
-                if x not in seen:
-                    seen.add(x)
-                    todo += near[x]
+    kept = kept_by_all_pairs(texts)
     assert {r.doc_id for r in rows} == set(kept)
     model, enc = pii.trained(), packing.id_bytes(packing.resolved("word_bpe_49k.json"))
     for r in rows:
