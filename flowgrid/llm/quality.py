@@ -1,8 +1,9 @@
 """Quality selection by importance resampling.
 
 Two generative models over hashed word and word-pair counts, one of target text (labelled good), one of all text, give
-each document the mean log ratio of its n-grams.  Gumbel noise is added to the tempered ratios and the k largest keys
-are the sample: k draws without replacement, with weights ratio^(1/temperature).
+each document its importance weight: the ratio of the probabilities of its n-grams, kept as a log, the sum over them.
+Gumbel noise is added to the log weights and the k largest keys are the sample: k draws without replacement in proportion
+to weight^(1/temperature).
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ from .pretokens import WordCache
 BUCKETS = 1 << 14
 #: Labelled rows used for the target model and the cut, of each class at most, by hash of doc_id.
 LABELLED = 20_000
-#: Where a plain cut is the aim the noise is kept small against the spread of the mean log ratios (about 0.1).
-TEMPERATURE = 0.002
+TEMPERATURE = 1.0  # draws in proportion to the weights themselves
 PIECES = regex.compile(r"\w+|[^\w\s]+")
 BINS = 1024
 
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = LA
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with n_grams and log_ratio (mean over the n-grams; 0 for a text without words).  Map-only."""
+    """docs with n_grams and log_ratio (sum over the n-grams, the log of the importance weight; 0 for a text without words).  Map-only."""
     ratio = model.log_ratio
     at = docs.columns.index(text)
 
@@ -97,14 +97,14 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in by_bytes(batches):
             got = ngrams([t or "" for t in batch.column(at).to_pylist()])
             n = pa.array([len(x) for x in got], pa.int64())
-            score = pa.array([float(ratio[x].mean()) if len(x) else 0.0 for x in got], pa.float64())
+            score = pa.array([float(ratio[x].sum()) for x in got], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, n, score], names=[*batch.schema.names, "n_grams", "log_ratio"])
 
     return sent_by_bytes(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_grams", T.LongType()), T.StructField("log_ratio", T.DoubleType())]))
 
 
 def sampling_key(temperature: float = TEMPERATURE, seed: int = 7) -> Column:
-    """Tempered log ratio plus Gumbel noise; the noise is a function of doc_id and seed, so that a rerun draws the same."""
+    """Log weight over temperature plus Gumbel noise; the noise is a function of doc_id and seed, so that a rerun draws the same."""
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), 11) + 0.5) / float(1 << 53)
     return F.col("log_ratio") / temperature - F.log(-F.log(u))
 
@@ -140,7 +140,7 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 
 
 def best_cut(scores: list[tuple[float, int]]) -> float:
-    """The ratio above which documents count as good: fewest labelled documents on the wrong side, the lowest such cut."""
+    """The log weight above which documents count as good: fewest labelled documents on the wrong side, the lowest such cut."""
     order = sorted(scores)
     wrong = sum(1 for _, q in order if q < 1)  # cut below all: every bad one is kept
     best, cut = wrong, float("-inf")
@@ -164,8 +164,9 @@ class Selection:
 def select(docs: DataFrame, labels: DataFrame, text: str = "text", k: int | None = None, temperature: float = TEMPERATURE, seed: int = 7, sample: int = LABELLED) -> Selection:
     """Fit, score all rows of docs and find the key of the k-th draw.
 
-    k: rows to draw; by default as many as have a ratio above the cut that best divides the labelled sample, or all
-    rows if there are no labels of both classes.  Ties at the last key stay, so repeated rows stay or go together.
+    k: rows to draw; by default as many as have a weight above the cut that best divides the labelled sample, or all
+    rows if there are no labels of both classes.  Which rows these k are, weights and noise decide.  Ties at the last
+    key stay, so repeated rows stay or go together.
     """
     model = fit(docs, labels, text, sample)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
@@ -178,13 +179,17 @@ def select(docs: DataFrame, labels: DataFrame, text: str = "text", k: int | None
 
 
 def sampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The drawn rows: doc_id, n_grams, log_ratio, key.  A null text counts as empty; an empty table gives none."""
+    """The drawn rows: doc_id, n_grams, log_ratio, key.
+
+    A null text counts as empty (log weight 0); an empty table gives none; rows keep repeats; further columns are ignored;
+    a text of any length is scored whole.
+    """
     drawn = select(docs, labels, **options)
     return drawn.scores.where(F.col("key") >= drawn.threshold)
 
 
 def kept(docs: DataFrame, labels: DataFrame, text: str = "text", temperature: float = TEMPERATURE, seed: int = 7, **options) -> DataFrame:
-    """The drawn rows of docs with their own columns; texts are scored again rather than shuffled."""
+    """The drawn rows of docs with their own columns, of whatever name; texts are scored again rather than shuffled."""
     drawn = select(docs, labels, text, temperature=temperature, seed=seed, **options)
     columns = docs.columns
     inner = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))

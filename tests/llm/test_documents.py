@@ -5,10 +5,12 @@ import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from tokenizers import Tokenizer
 
@@ -226,9 +228,46 @@ def test_quality_keeps_good_documents(spark, documents):
     assert quality.sampled(docs, labels, k=100).count() == 100
 
 
+def test_quality_by_brute_force(spark, documents, texts):
+    """Log weights, noise and draw by plain loops; the noise changes the draw where weights are close, as it should."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in labels.collect() if r.quality >= 1} - {r.doc_id for r in labels.collect() if r.quality < 1}
+
+    def buckets(text):
+        one = [zlib.crc32(p.encode()) for w in text.split() for p in regex.findall(r"\w+|[^\w\s]+", w)]
+        pair = lambda a, b: ((a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F) & ((1 << 64) - 1)) >> 20
+        return [h % quality.BUCKETS for h in [*one, *map(pair, one, one[1:])]]
+
+    raw, target = [1] * quality.BUCKETS, [1] * quality.BUCKETS
+    for d, t in texts.items():
+        for h in buckets(t):
+            raw[h] += 1
+            target[h] += d in good
+    ratio = [math.log(x * sum(raw) / y / sum(target)) for x, y in zip(target, raw, strict=True)]
+    weight = {d: math.fsum(ratio[h] for h in buckets(t)) for d, t in texts.items()}
+
+    def noise(d):
+        h = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), xxhash.xxh64_intdigest(d.to_bytes(8, "little"), 42))
+        return -math.log(-math.log(((h >> 11) + 0.5) / (1 << 53)))
+
+    every = {r.doc_id: r for r in quality.select(documents, labels, k=100).scores.collect()}
+    for d, w in weight.items():
+        assert every[d].log_ratio == pytest.approx(w, abs=1e-6) and every[d].key == pytest.approx(w + noise(d), abs=1e-6)
+    for k, temperature in ((170, 1.0), (100, 60.0)):
+        drawn = {r.doc_id for r in quality.sampled(documents, labels, k=k, temperature=temperature).collect()}
+        assert drawn == set(sorted(weight, key=lambda d: -weight[d] / temperature - noise(d))[:k])
+    plain = set(sorted(weight, key=lambda d: -weight[d])[:100])
+    assert 0 < len(drawn - plain) < 50
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0), (5, None, None), (None, 1, 1), (6, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
-    assert quality.kept(odd, labels).columns == odd.columns
+    kept = quality.kept(odd, labels)
+    assert kept.columns == odd.columns
+    ids = [r.doc_id for r in kept.collect()]
+    drawn = [r.doc_id for r in quality.sampled(odd, labels).collect()]
+    assert sorted(ids, key=str) == sorted(drawn, key=str) and (7 in ids) == (8 in ids)
+    assert all(r.log_ratio == 0 and r.n_grams == 0 for r in quality.select(odd, labels, k=3).scores.where("doc_id in (0, 1, 2)").collect())
 
 
 def test_kth_largest(spark):
@@ -271,8 +310,6 @@ def test_packing(spark, documents, texts, odd, monkeypatch):
                 assert r["offset"] == at
                 at += r["length"]
             assert at <= 4096
-        import zlib
-
         for d, t in texts.items():
             ids = np.array([*word.encode(t, add_special_tokens=False).ids, 1], "<u4")
             own = sorted(by_doc[d], key=lambda r: r["piece"])
