@@ -1,10 +1,10 @@
 """Best-fit packing by sum of squares.
 
-Spark encodes the texts, cuts only documents longer than a sequence, and counts pieces by length.  The packing rule
-needs nothing but those counts (at most `size` numbers, whatever the corpus), so the plan is made from them: each
-length is placed where the squared counts of open sequences per remaining gap become smallest.  Counts are taken in
-groups of 8^k equal pieces, largest groups first, which bounds the plan by STEPS groups for each level and keeps
-every piece.  Spark then numbers the pieces of each length and joins them to their places.
+Spark encodes the texts, cuts only documents longer than a sequence, and deals the pieces to shards of about SHARD pieces
+by a hash.  In each shard every piece is placed, one by one, where the squared counts of open sequences per remaining gap
+become smallest; shards are packed in parallel, by the same rule at any size of the corpus, and leave a few sequences
+open each.  The rule needs nothing but the counts of a shard's lengths; Spark then numbers the shard's pieces of each
+length and joins them to their places.
 """
 
 from __future__ import annotations
@@ -23,10 +23,8 @@ from .common import map_arrow, text_or_empty, written
 from .merging import WordMerger
 from .pretokens import WordCache, resolved, vocabulary
 
-#: Groups that the first level of a plan may have; bounds the driver's work and the table of places.
-STEPS = 1 << 17
-#: Buckets over which the pieces of one length are numbered, so that a frequent length is not one task's.
-BUCKETS = 1024
+#: Pieces of a shard, about.
+SHARD = 1 << 16
 #: Pieces shorter than this part of a sequence come last.
 SHORT = 20
 
@@ -76,87 +74,65 @@ def pieces(df: DataFrame, text: str = "text", vocab: str = "word_bpe_49k.json",
     return map_arrow(rows, per_batch, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], size: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(places, levels).  places: length, level, idx -> sequence of the group's first piece, offset; the group's r-th piece
-    lies in the r-th sequence after it.  levels: length, level, first (rank at which the level begins), width (pieces in a group).
-    """
-    left = {n: c for n, c in counts.items() if n < size}
-    total = sum(left.values())
-    top = 0
-    while total >> (3 * top) > STEPS:
-        top += 1
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]  # gap -> (first sequence, gap) of open groups
+def plan(counts: dict[int, int], size: int) -> pd.DataFrame:
+    """Places of a shard's pieces, from the number of each length: length, rank (among the pieces of the length), seq, offset."""
+    gaps: list[list[int]] = [[] for _ in range(size + 1)]  # gap -> its open sequences
     open_count = np.zeros(size + 1, dtype=np.int64)
-    places, levels, rank, new = [], [], dict.fromkeys(left, 0), 0
-    for level in range(top, -1, -1):
-        width = 8**level
-        if level < top:  # a group of sequences becomes eight smaller ones
-            gaps = [[s + i * width for s in g for i in range(8)] for g in gaps]
-            open_count *= 8
-        order = []
-        for length in sorted(left, reverse=True):
-            groups = left[length] // width
-            levels.append((length, level, rank[length], width))
-            rank[length] += groups * width
-            left[length] -= groups * width
-            order += [(length, idx) for idx in range(groups)]
-        # The rule is made for lengths in no order; the shortest come last, longest first, and fill what is left.
-        first = sum(1 for length, _ in order if length >= size // SHORT)
-        mixed = np.random.default_rng(level).permutation(first)
-        order = [order[i] for i in mixed] + order[first:]
-        for length, idx in order:
-            # Change of the sum of squares for a place in gap h: one group fewer there, one more in h - length.
-            after = open_count[: size + 1 - length].copy()
-            after[0] = 0  # a full sequence is no longer open
-            change = 2 * after + 1
-            change[0] = 0
-            there = open_count[length:]
-            change -= 2 * there - 1
-            change[there == 0] = np.iinfo(np.int64).max
-            change[size - length] = 2 * open_count[size - length] + 1  # a new sequence
-            gap = length + int(np.argmin(change))
-            if gap == size:
-                seq, new = new, new + width
-            else:
-                seq = gaps[gap].pop()
-                open_count[gap] -= 1
-            places.append((length, level, idx, seq, size - gap))
-            if gap > length:
-                gaps[gap - length].append(seq)
-                open_count[gap - length] += 1
-    return pd.DataFrame(places, columns=["length", "level", "idx", "seq", "offset"]), pd.DataFrame(levels, columns=["length", "level", "first", "width"])
-
-
-def pack(cut: DataFrame, size: int = 4096) -> DataFrame:
+    lengths = np.repeat(np.array(sorted(counts, reverse=True), np.int64), [counts[n] for n in sorted(counts, reverse=True)])
+    # The rule is made for lengths in no order; the shortest come last, longest first, and fill what is left.
+    first = int((lengths >= size // SHORT).sum())
+    lengths[:first] = np.random.default_rng(size).permutation(lengths[:first])
+    rank, new, places = dict.fromkeys(counts, 0), 0, []
+    for length in lengths.tolist():
+        # Change of the sum of squares for a place in gap h: one sequence fewer there, one more in h - length.
+        after = open_count[: size + 1 - length].copy()
+        after[0] = 0  # a full sequence is no longer open
+        change = 2 * after + 1
+        change[0] = 0
+        there = open_count[length:]
+        change -= 2 * there - 1
+        change[there == 0] = np.iinfo(np.int64).max
+        change[size - length] = 2 * open_count[size - length] + (length < size)  # a new sequence
+        gap = length + int(np.argmin(change))
+        if gap == size:
+            seq, new = new, new + 1
+        else:
+            seq = gaps[gap].pop()
+            open_count[gap] -= 1
+        places.append((length, rank[length], seq, size - gap))
+        rank[length] += 1
+        if gap > length:
+            gaps[gap - length].append(seq)
+            open_count[gap - length] += 1
+    return pd.DataFrame(places, columns=["length", "rank", "seq", "offset"])
+
+
+def pack(cut: DataFrame, size: int = 4096, shard: int = SHARD) -> DataFrame:
     """The rows of pieces() with sequence_id and offset: sequences of at most `size` ids, gapless from 0.
 
     Rows with equal columns are separate pieces.  An empty table gives none.
     """
-    spark = cut.sparkSession
     cut, _ = written(cut, "pieces")
-    spread = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(BUCKETS)))
-    # Rank among the pieces of a length: number within a bucket after the counts of the buckets before.
-    counts, _ = written(spread.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    by_length = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `size` rows at most
-    places, levels = plan(by_length, size)
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
-    ranked = spread.withColumn("own", F.row_number().over(own) - 1).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("own")).drop("bucket", "own", "before")
-    full = ranked.where(F.col("length") == size).withColumn("sequence_id", -1 - F.col("rank")).withColumn("offset", F.lit(0).cast("long"))
-    # Both tables are bounded by the plan, whatever the corpus: `size` lengths x levels, and STEPS + 8 * size * levels groups.
-    level = spark.createDataFrame(levels, "length long, level int, first long, width long")
-    starts = level.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "level", "width")), asc=False).alias("levels"))
-    place = spark.createDataFrame(places, "length long, level int, idx long, seq long, offset long")
-    at = F.filter("levels", lambda x: x["first"] <= F.col("rank"))
-    # Where a level has no group, the next one begins at the same rank: the lowest level of those counts.
-    own_level = F.element_at(F.array_sort(F.filter(at, lambda x: x["first"] == at[0]["first"]), lambda a, b: a["level"] - b["level"]), 1)
-    rest = ranked.where(F.col("length") < size).join(F.broadcast(starts), "length").withColumn("l", own_level)
-    rest = rest.withColumn("level", F.col("l.level")).withColumn("within", F.col("rank") - F.col("l.first")).withColumn("idx", F.floor(F.col("within") / F.col("l.width"))).withColumn("within", F.col("within") % F.col("l.width"))
-    rest = rest.join(F.broadcast(place), ["length", "level", "idx"]).withColumn("sequence_id", F.col("seq") + F.col("within"))
-    columns = [*cut.columns, "sequence_id", "offset"]
-    return rest.select(columns).unionByName(full.select(columns))
+    shards = max(1, -(-cut.count() // shard))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)))
+
+    def placed(key: tuple, counts: pd.DataFrame) -> pd.DataFrame:
+        out = plan(dict(zip(counts["length"].tolist(), counts["n"].tolist(), strict=True)), size)
+        return out.assign(shard=key[0])[["shard", "length", "rank", "seq", "offset"]]
+
+    # A group has a row for each length, `size` at most, and gives a row for each piece of its shard.
+    counts = dealt.groupBy("shard", "length").agg(F.count("*").alias("n"))
+    places = counts.groupBy("shard").applyInPandas(placed, "shard long, length long, rank long, seq long, offset long")
+    own = Window.partitionBy("shard", "length").orderBy("doc_id", "piece", "ids_crc32")
+    ranked = dealt.withColumn("rank", (F.row_number().over(own) - 1).cast("long"))
+    sequence = F.shiftleft("shard", 32).bitwiseOR(F.col("seq")).alias("sequence_id")
+    return ranked.join(places, ["shard", "length", "rank"]).select(*cut.columns, sequence, "offset")
 
 
 def pack_texts(df: DataFrame, text: str = "text", vocab: str = "word_bpe_49k.json", end_id: int = 1, size: int = 4096) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of df."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of df.
+
+    A null text counts as empty (one piece, the end id); a repeated row is packed again; an empty table gives none; further
+    columns are ignored; a text of any length is encoded whole.
+    """
     return pack(pieces(df, text, vocab, end_id, size), size)

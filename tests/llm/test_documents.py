@@ -295,11 +295,10 @@ def test_tokens_as_the_library(spark, documents, texts, odd):
     assert bpe.decode(pairs).count() == len(texts)
 
 
-def test_packing(spark, documents, texts, odd, monkeypatch):
+def test_packing(spark, documents, texts):
     word = library("word_bpe_49k.json")
-    for steps in (packing.STEPS, 16):
-        monkeypatch.setattr(packing, "STEPS", steps)
-        rows = [r.asDict() for r in packing.pack_texts(documents).collect()]
+    for shard in (packing.SHARD, 40):
+        rows = [r.asDict() for r in packing.pack(packing.pieces(documents), shard=shard).collect()]
         by_sequence, by_doc = {}, {}
         for r in rows:
             by_sequence.setdefault(r["sequence_id"], []).append(r)
@@ -317,19 +316,50 @@ def test_packing(spark, documents, texts, odd, monkeypatch):
             for r in own:
                 assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
         total = sum(r["length"] for r in rows)
-        assert len(by_sequence) <= total / 4096 * 1.05 + 2
+        assert len(by_sequence) <= total / 4096 * 1.05 + (2 if shard > 40 else 10)
 
 
-def test_packing_plan_is_tight():
-    rng = random.Random(2)
+def packing_counts(n, rng):
     counts = {}
-    for _ in range(40000):
-        n = min(4095, int(rng.lognormvariate(6, 1)) + 1)
-        counts[n] = counts.get(n, 0) + 1
-    places, levels = packing.plan(counts, 4096)
-    merged = places.merge(levels, on=["length", "level"])
-    assert (merged.seq + merged.width).max() <= 1.01 * sum(k * v for k, v in counts.items()) / 4096 + 1
-    assert {k: int(v) for k, v in merged.groupby("length").width.sum().items()} == counts
+    for _ in range(n):
+        k = min(4096, int(rng.lognormvariate(6, 1)) + 1)
+        counts[k] = counts.get(k, 0) + 1
+    return counts
+
+
+def test_packing_plan_is_tight():
+    counts = packing_counts(40_000, random.Random(2))
+    places = packing.plan(counts, 4096)
+    assert places.seq.max() + 1 <= 1.01 * sum(k * v for k, v in counts.items()) / 4096 + 1
+    assert places.groupby("length").size().to_dict() == counts and not places.duplicated(["length", "rank"]).any()
+
+
+def test_packing_plan_by_the_rule():
+    """Each placement is the one with the smallest sum of squares, counted anew."""
+    counts, size = packing_counts(300, random.Random(3)), 4096
+    level = {}
+    for length, seq, offset in packing.plan(counts, size)[["length", "seq", "offset"]].itertuples(index=False):
+        gaps = [size - x for x in level.values() if x < size]
+        cost = lambda g: sum(v * v for v in (g.count(x) for x in set(g)))
+        ways = {}
+        for gap in {x for x in gaps if x >= length}:
+            rest = list(gaps)
+            rest.remove(gap)
+            ways[gap] = cost(rest + [gap - length] * (gap > length))
+        ways.setdefault(size, cost(gaps + [size - length] * (length < size)))
+        assert level.get(seq, 0) == offset and ways[size - offset] == min(ways.values())
+        level[seq] = offset + length
+
+
+def test_packing_of_equal_rows_and_shards(spark):
+    """Many shards waste little, and equal rows keep places of their own."""
+    rng = random.Random(4)
+    lengths = [k for k, v in packing_counts(30_000, rng).items() for _ in range(v)]
+    rows = [(i // 2, 0, 0, n, 1) for i, n in enumerate(lengths)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), shard=4000).toPandas()
+    assert len(got) == len(rows) and not got.duplicated(["sequence_id", "offset"]).any()
+    assert got.groupby("sequence_id").length.sum().max() <= 4096
+    assert got.sequence_id.nunique() <= 1.02 * sum(lengths) / 4096
 
 
 def brute_classes(prints, names):
