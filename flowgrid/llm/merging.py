@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 from .pretokens import Vocabulary
 
+#: Symbols of a sequence from which on merging follows links instead of looking at all symbols in each round.
+LONG = 400
 FAR = np.iinfo(np.int64).max
 
 
@@ -60,6 +64,51 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, table: MergeTable) -> tu
     return sym[np.argsort(seq, kind="stable")], np.bincount(seq, minlength=len(lengths))
 
 
+def merge_long(symbols: np.ndarray, table: MergeTable) -> np.ndarray:
+    """The same merging of one long sequence: symbols are linked to their neighbours, and a round touches only the places
+    of its lowest rank, so that the work does not grow with rounds times length."""
+    n = len(symbols)
+    sym = symbols.astype(np.int64)
+    after, before = np.append(np.arange(1, n), -1), np.arange(-1, n - 1)
+    alive, rank, made = np.ones(n, dtype=bool), np.full(n, FAR), np.zeros(n, dtype=np.int64)
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []  # heap of the ranks in waiting
+
+    def look_up(at: np.ndarray) -> None:
+        """Ranks of the pairs that begin at these places."""
+        rank[at] = FAR
+        at = at[after[at] >= 0]
+        rank[at], where = table.find(sym[at], sym[after[at]])
+        made[at] = table.made[where]
+        at = at[rank[at] < FAR]
+        at = at[np.argsort(rank[at], kind="stable")]
+        for part in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1) if len(at) else []:
+            r = int(rank[part[0]])
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(ranks, r)
+            waiting[r].append(part)
+
+    look_up(np.arange(n))
+    while ranks:
+        r = heapq.heappop(ranks)
+        at = np.unique(np.concatenate(waiting.pop(r)))
+        at = at[alive[at] & (rank[at] == r)]
+        if len(at) > 1:  # in a run of overlapping hits every second one merges, from the left
+            run = np.cumsum(np.append(True, after[at[:-1]] != at[1:]))
+            first = np.flatnonzero(np.append(True, np.diff(run) > 0))[run - 1]
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+        if not len(at):
+            continue
+        gone = after[at]
+        sym[at], alive[gone] = made[at], False
+        after[at] = after[gone]
+        follow = after[at] >= 0
+        before[after[at][follow]] = at[follow]
+        look_up(np.unique(np.concatenate([at, before[at][before[at] >= 0]])))
+    return sym[alive]
+
+
 class WordMerger:
     """Token ids of whole words of one vocabulary, many at once."""
 
@@ -79,4 +128,15 @@ class WordMerger:
         return flat, lengths
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return merge_all(*self.symbols(words), self.table)
+        flat, lengths = self.symbols(words)
+        long = np.flatnonzero(lengths > LONG)
+        if not len(long):
+            return merge_all(flat, lengths, self.table)
+        ends = np.cumsum(lengths)
+        done = {int(i): merge_long(flat[ends[i] - lengths[i] : ends[i]], self.table) for i in long}
+        short = np.repeat(lengths <= LONG, lengths)
+        flat, left = merge_all(flat[short], np.where(lengths <= LONG, lengths, 0), self.table)
+        parts = np.split(flat, np.cumsum(left)[:-1])
+        for i, x in done.items():
+            parts[i], left[i] = x, len(x)
+        return np.concatenate(parts), left
