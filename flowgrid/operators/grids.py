@@ -20,6 +20,15 @@ def grid_of(cells: DataFrame, nrows: int, ncols: int) -> DataFrame:
     return n.select(F.floor(F.col("id") / ncols).cast("int").alias("r"), (F.col("id") % ncols).cast("int").alias("c"))
 
 
+def corner_weights(points: DataFrame, nrows: int, ncols: int, xll: float = 0.0, yll: float = 0.0, cellsize: float = 1.0) -> DataFrame:
+    """points with r, c, w of the four cells about each, by bilinear weights; points outside the grid are left out."""
+    lx, ly = (F.col("x") - xll) / cellsize, (F.col("y") - yll) / cellsize
+    fx, fy = lx - F.floor(lx), ly - F.floor(ly)
+    corner = lambda i, j: F.struct((F.floor(ly) + i).cast("int").alias("r"), (F.floor(lx) + j).cast("int").alias("c"), ((fy if i else 1 - fy) * (fx if j else 1 - fx)).alias("w"))
+    inside = (lx >= 0) & (lx < ncols - 1) & (ly >= 0) & (ly < nrows - 1)
+    return points.where(inside).withColumn("_q", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)]))).select(*points.columns, "_q.*")
+
+
 def sample_raster_at_points(points: DataFrame, cells: DataFrame, nrows: int, ncols: int, xll: float = 0.0, yll: float = 0.0, cellsize: float = 1.0, method: str = "bilinear", keys: tuple[str, ...] = ()) -> DataFrame:
     """points with `value`: the raster's value there, null outside.
 
@@ -157,18 +166,57 @@ def fill_nodata(cells: DataFrame, value: float = 0.0) -> DataFrame:
     return cells.fillna(value, ["value"])
 
 
-def scarp_surface(dem: DataFrame, planes: DataFrame, perimeter: DataFrame | None = None) -> DataFrame:
-    """r, c, scarp, release: the highest of several inclined planes below the terrain, and the height that it releases.
+def highest_planes(planes: DataFrame, rows: int, cols: int, block: int = 8) -> DataFrame:
+    """planes with br, bc of the blocks of cells in which they may be the highest (others are lower there throughout).
 
-    planes(x, y, z, dip, azimuth): a point and the direction of steepest descent in degrees.  perimeter (r, c) limits
-    the release.  Planes are few; their table is broadcast only as far as Spark's own size limit lets it be.
+    Blocks are halved from one that covers the grid; at each step a plane stays in a block only if its highest corner
+    reaches the best lowest corner of any plane, so that few planes are left for each block and all never meet all cells.
+    """
+    side = block
+    while side < max(rows, cols):
+        side *= 2
+    at = lambda r, c: F.col("z") - ((c - F.col("x")) * F.sin(F.radians("azimuth")) + (r - F.col("y")) * F.cos(F.radians("azimuth"))) * F.tan(F.radians("dip"))
+    left = planes.withColumns({"br": F.lit(0), "bc": F.lit(0)})
+    while True:
+        corners = [at(F.col("br") * side + i, F.col("bc") * side + j) for i in (0, side - 1) for j in (0, side - 1)]
+        marked = left.withColumns({"low": F.least(*corners), "high": F.greatest(*corners)})
+        best = marked.groupBy("br", "bc").agg(F.max("low").alias("best"))
+        left = marked.join(best, ["br", "bc"]).where("high >= best").drop("low", "high", "best")
+        if side == block:
+            return left
+        side //= 2
+        for c, n in (("br", rows), ("bc", cols)):
+            left = left.withColumn(c, F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1))).where(F.col(c) * side < n)
+
+
+def scarp_surface(dem: DataFrame, features: DataFrame, perimeter: DataFrame | None = None, form: str = "plane") -> DataFrame:
+    """r, c, scarp, release: the terrain cut down by inclined planes or ellipsoids, and the height that it releases.
+
+    plane: features(x, y, z, dip, azimuth), a point and the direction of steepest descent in degrees; of several the highest
+    counts, where it is below the terrain.  ellipsoid: features(x, y, depth, a, b, tilt, azimuth), depressions of half axes
+    a, b (b along the azimuth) under the terrain, whose floor sinks by tan(tilt) along the azimuth; of several the lowest
+    counts.  perimeter (r, c) limits the release.  Planes meet the blocks of cells in which they may be the highest (the
+    size of the grid is looked up for that), ellipsoids the cells that they cover.
     """
-    tan = F.tan(F.radians("dip"))
-    z = F.col("p.z") - ((F.col("c") - F.col("p.x")) * F.sin(F.radians("azimuth")) + (F.col("r") - F.col("p.y")) * F.cos(F.radians("azimuth"))) * tan
-    all_ = planes.agg(F.collect_list(F.struct("x", "y", "z", "dip", "azimuth")).alias("planes"))
-    each = dem.join(F.broadcast(all_)).select("r", "c", F.col("z").alias("ground"), F.explode("planes").alias("p")).withColumn("dip", F.col("p.dip")).withColumn("azimuth", F.col("p.azimuth"))
-    top = each.groupBy("r", "c", "ground").agg(F.max(z).alias("plane"))
-    scarp = F.least("ground", "plane")
+    if form == "plane":
+        rows, cols = dem.agg(F.max("r") + 1, F.max("c") + 1).first()
+        near = highest_planes(features, rows or 1, cols or 1).withColumnRenamed("z", "z0")
+        on = dem.select("r", "c", "z", F.floor(F.col("r") / 8).cast("int").alias("br"), F.floor(F.col("c") / 8).cast("int").alias("bc")).join(near, ["br", "bc"])
+        level = F.col("z0") - ((F.col("c") - F.col("x")) * F.sin(F.radians("azimuth")) + (F.col("r") - F.col("y")) * F.cos(F.radians("azimuth"))) * F.tan(F.radians("dip"))
+        found = on.groupBy("r", "c").agg(F.max(level).alias("level"))
+    elif form == "ellipsoid":
+        reach = F.greatest("a", "b")
+        span = lambda c: F.explode(F.sequence(F.ceil(F.col(c) - reach), F.floor(F.col(c) + reach)).cast("array<int>"))
+        covered = features.withColumn("r", span("y")).withColumn("c", span("x"))
+        dx, dy, azimuth = F.col("c") - F.col("x"), F.col("r") - F.col("y"), F.radians("azimuth")
+        along, across = dx * F.sin(azimuth) + dy * F.cos(azimuth), dx * F.cos(azimuth) - dy * F.sin(azimuth)
+        covered = covered.withColumns({"along": along, "inside": 1 - (across / F.col("a")) ** 2 - (along / F.col("b")) ** 2}).where("inside > 0")
+        sunk = F.col("depth") * F.sqrt("inside") + F.col("along") * F.tan(F.radians("tilt"))
+        found = covered.groupBy("r", "c").agg(F.max(sunk).alias("sunk")).join(dem.select("r", "c", "z"), ["r", "c"]).select("r", "c", (F.col("z") - F.col("sunk")).alias("level"))
+    else:
+        raise ValueError("form: plane or ellipsoid")
+    top = dem.select("r", "c", F.col("z").alias("ground")).join(found, ["r", "c"], "left")
+    scarp = F.least("ground", "level")  # without a level the terrain stays
     if perimeter is not None:
         top = top.join(perimeter.select("r", "c").distinct().withColumn("_in", F.lit(True)), ["r", "c"], "left")
         scarp = F.when(F.col("_in"), scarp).otherwise(F.col("ground"))

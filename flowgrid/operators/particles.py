@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowgrid.functions.vectors import half_even, norm
+from flowgrid.sources.shared import kept
 
 
 def mass_averaged_path(particles: DataFrame, columns: tuple[str, ...] = ("x", "y", "z", "s"), weight: str = "m", keys: tuple[str, ...] = ("sim_name", "t")) -> DataFrame:
@@ -158,25 +159,24 @@ def path_visit_layers(visits: DataFrame) -> DataFrame:
     return per.groupBy("r", "c").agg(F.max("z_delta").alias("z_delta"), F.max("flux").alias("flux"), F.sum("flux_sum").alias("flux_sum"), F.sum("dep_sum").alias("dep_sum"), *[f(f"{c}_{n}").alias(f"{c}_{n}") for c in ("fp_gamma", "sl_gamma", "dist") for n, f in (("max", F.max), ("min", F.min))], F.count("*").alias("n_starts"), F.sum("z_delta").alias("z_delta_sum"))
 
 
-def backtrack_max(edges: DataFrame, values: DataFrame, rounds: int = 10_000) -> DataFrame:
+def backtrack_max(edges: DataFrame, values: DataFrame) -> DataFrame:
     """start_id, node, value: the largest value of a node and of all nodes downstream of it on its path.
 
-    Each round passes the values that changed to the parents; it ends when none does.  Lineage is cut by checkpoint().
+    Round k takes over the values of the nodes 2^k steps further down and joins these links with themselves, so a path
+    is covered after the logarithm of its length in rounds.  They end when no link is left, or, where edges lead back,
+    when the links span more steps than any start has nodes.  Each round is written to the shared folder.
     """
-    spark = edges.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    state = values.select("start_id", "node", "value").checkpoint()
-    moved = state
-    for _ in range(rounds):
-        up = moved.join(edges.select("start_id", F.col("child").alias("node"), "parent"), ["start_id", "node"]).groupBy("start_id", F.col("parent").alias("node")).agg(F.max("value").alias("new"))
-        moved = up.join(state, ["start_id", "node"], "left").where(F.col("value").isNull() | (F.col("new") > F.col("value"))).select("start_id", "node", F.col("new").alias("value")).checkpoint()
-        if moved.isEmpty():
-            break
-        state = state.unionByName(moved).groupBy("start_id", "node").agg(F.max("value").alias("value")).checkpoint()
-    return state
+    links = kept(edges.select("start_id", F.col("parent").alias("node"), F.col("child").alias("down")).where("node is not null and down is not null").distinct(), "links")
+    state = kept(values.select("start_id", "node", "value"), "values")
+    nodes = links.select("start_id", "node").union(links.select("start_id", "down")).distinct().groupBy("start_id").count().agg(F.max("count")).first()[0] or 0
+    span = 1
+    while span <= nodes and not links.isEmpty():
+        below = links.join(state.withColumnRenamed("node", "down"), ["start_id", "down"]).select("start_id", "node", "value")
+        state = kept(state.union(below).groupBy("start_id", "node").agg(F.max("value").alias("value")), "values")
+        on = links.select("start_id", F.col("node").alias("down"), F.col("down").alias("further"))
+        links = kept(links.join(on, ["start_id", "down"]).select("start_id", "node", F.col("further").alias("down")).distinct(), "links")
+        span *= 2
+    return state.groupBy("start_id", "node").agg(F.max("value").alias("value"))
 
 
 # ---- distance and time ----

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from flowgrid.functions.vectors import above
-from flowgrid.sources.shared import new_path
+from flowgrid.sources.shared import kept
 
-from .grids import sample_raster_at_points
+from .grids import corner_weights
 
 def own() -> WindowSpec:
     return Window.partitionBy("path_id").orderBy("i")
@@ -65,11 +65,14 @@ def sl_grid(path: DataFrame, width: float, step: float) -> DataFrame:
 def transform_to_sl(cells: DataFrame, grid: DataFrame, nrows: int, ncols: int) -> DataFrame:
     """Every raster sampled at the grid's nodes (bilinear): sim_name, res_type, path_id, i_s, i_l, value; null outside.
 
-    The nodes are listed for each raster that there is, and their corners are joined to cells by key.
+    The corners of the nodes and their weights are the same for all rasters; cells are joined to them by (r, c), and each
+    node of each raster is summed in one exchange.
     """
-    rasters = cells.select("sim_name", "res_type").distinct()
-    nodes = grid.select("path_id", "i_s", "i_l", "x", "y").join(rasters)
-    return sample_raster_at_points(nodes, cells, nrows, ncols, keys=("sim_name", "res_type")).drop("x", "y")
+    keys, node = ["sim_name", "res_type"], ["path_id", "i_s", "i_l"]
+    joined = corner_weights(grid, nrows, ncols).select(*node, "r", "c", "w").join(cells.select(*keys, "r", "c", "value"), ["r", "c"])
+    parts = joined.where("value is not null").select(*keys, *node, (F.col("w") * F.col("value")).alias("v"))
+    every = grid.select(*node).join(cells.select(*keys).distinct()).select(*keys, *node, F.lit(None).cast("double").alias("v"))  # as many as the result has
+    return parts.unionByName(every).groupBy(*keys, *node).agg(F.when(F.count("v") == 4, F.sum("v")).alias("value"))
 
 
 def cross_section_max_mean(slcells: DataFrame, grid: DataFrame) -> DataFrame:
@@ -80,32 +83,55 @@ def cross_section_max_mean(slcells: DataFrame, grid: DataFrame) -> DataFrame:
     return on.groupBy("sim_name", "res_type", "path_id", "i_s").agg(F.max("value").alias("v_max"), mean.alias("v_mean"))
 
 
-def runout(slcells: DataFrame, grid: DataFrame, limit: float) -> DataFrame:
-    """Per simulation, type and path: first and last s with a cross maximum above the limit, and the node of the last section's maximum.
+def runout(slcells: DataFrame, grid: DataFrame, thalweg: DataFrame, limit: float) -> DataFrame:
+    """Per simulation, type and path: first and last section with a cross maximum above the limit, and what lies there.
 
-    Found if there is any such section, also if it is the first.
+    thalweg: path_id, i_s, s, x, y, z of the middle of each section.  s, z of both ends, l, x, y of the last section's
+    maximum, delta_s, delta_z and the runout angle (degrees) between them; s_mean, x_mean, y_mean of the last section whose
+    area-weighted mean is above the limit (null if none is).  Found if there is any such section, also if it is the first.
     """
     hits = slcells.where(above(F.col("value"), limit))
     keys = ["sim_name", "res_type", "path_id"]
     ends = hits.groupBy(*keys).agg(F.min("i_s").alias("i_release"), F.max(F.struct("i_s", "value", -F.col("i_l"))).alias("k"))
     ends = ends.select(*keys, "i_release", F.col("k.i_s").alias("i_runout"), (-F.col("k.col3")).cast("int").alias("i_l"))
     at = grid.select("path_id", F.col("i_s").alias("i_runout"), "i_l", F.col("s").alias("s_runout"), "l", "x", "y")
-    start = grid.where("i_l = 0").select("path_id", F.col("i_s").alias("i_release"), F.col("s").alias("s_release"))
-    return ends.join(at, ["path_id", "i_runout", "i_l"]).join(start, ["path_id", "i_release"]).select(*keys, "s_release", "s_runout", "l", "x", "y", (F.col("s_runout") - F.col("s_release")).alias("delta_s"))
+    middle = lambda name, *columns: thalweg.select("path_id", F.col("i_s").alias(f"i_{name}"), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    mean = cross_section_max_mean(slcells, grid).where(above(F.col("v_mean"), limit)).groupBy(*keys).agg(F.max("i_s").alias("i_mean")).join(middle("mean", "s", "x", "y"), ["path_id", "i_mean"])
+    out = ends.join(at, ["path_id", "i_runout", "i_l"]).join(middle("release", "s", "z"), ["path_id", "i_release"]).join(middle("runout", "z"), ["path_id", "i_runout"]).join(mean, keys, "left")
+    ds, dz = F.col("s_runout") - F.col("s_release"), F.col("z_release") - F.col("z_runout")
+    return out.select(*keys, "s_release", "s_runout", "l", "x", "y", "z_release", "z_runout", ds.alias("delta_s"), dz.alias("delta_z"), F.when(ds > 0, F.degrees(F.atan(dz / ds))).alias("runout_angle"), "s_mean", "x_mean", "y_mean")
 
 
-def runout_line(slcells: DataFrame, grid: DataFrame, limit: float) -> DataFrame:
-    """Per simulation, type, path and i_l: the furthest i_s above the limit and its s."""
-    hits = slcells.where(above(F.col("value"), limit)).groupBy("sim_name", "res_type", "path_id", "i_l").agg(F.max("i_s").alias("i_s"))
-    return hits.join(grid.select("path_id", "i_s", "i_l", "s"), ["path_id", "i_s", "i_l"])
+def runout_line(slcells: DataFrame, grid: DataFrame, limit: float, at_maximum: bool = False) -> DataFrame:
+    """Per simulation, type, path and i_l: the furthest i_s above the limit, with its s, l, x, y.
+
+    at_maximum, for features on the grid: the i_s of the largest value other than 0 instead, the furthest of equal ones.
+    """
+    keys = ["sim_name", "res_type", "path_id", "i_l"]
+    hits = slcells.where(F.col("value") != 0) if at_maximum else slcells.where(above(F.col("value"), limit))
+    far = F.max(F.struct("value", "i_s"))["i_s"] if at_maximum else F.max("i_s")
+    return hits.groupBy(*keys).agg(far.alias("i_s")).join(grid.select("path_id", "i_s", "i_l", "s", "l", "x", "y"), ["path_id", "i_s", "i_l"])
+
+
+def runout_point(lines: DataFrame) -> DataFrame:
+    """Per simulation, type and path: s, l, x, y of the furthest point of a runout line, the first i_l of equal ones."""
+    keys = ["sim_name", "res_type", "path_id"]
+    return lines.groupBy(*keys).agg(F.max(F.struct("s", -F.col("i_l"), "l", "x", "y")).alias("k")).select(*keys, *[F.col(f"k.{c}").alias(c) for c in ("s", "l", "x", "y")])
+
+
+def runout_point_diff(points: DataFrame, reference: DataFrame) -> DataFrame:
+    """Per simulation and path: the reference's s and l less the simulation's, of runout points."""
+    ref = reference.select("path_id", F.col("s").alias("_s"), F.col("l").alias("_l"))
+    return points.join(ref, "path_id").select("sim_name", "res_type", "path_id", (F.col("_s") - F.col("s")).alias("diff_s"), (F.col("_l") - F.col("l")).alias("diff_l"))
 
 
 def runout_line_diff(lines: DataFrame, reference: DataFrame) -> DataFrame:
     """Per simulation: RMSE of s against the reference line where both have a value, and the counts missing on either side."""
-    names = lines.select("sim_name").distinct()
-    ref = names.join(reference.select("path_id", "i_l", F.col("s").alias("s_ref")))
-    both = lines.select("sim_name", "path_id", "i_l", "s").join(ref, ["sim_name", "path_id", "i_l"], "full_outer")
-    return both.groupBy("sim_name").agg(F.sqrt(F.avg((F.col("s") - F.col("s_ref")) ** 2)).alias("rmse"), F.count(F.when(F.col("s").isNotNull(), F.col("s_ref"))).alias("n_both"), F.count_if(F.col("s").isNull()).alias("n_sim_missing"), F.count_if(F.col("s_ref").isNull()).alias("n_ref_missing"))
+    ref = reference.select("path_id", "i_l", F.col("s").alias("s_ref"))
+    both = lines.select("sim_name", "path_id", "i_l", "s").join(ref, ["path_id", "i_l"], "left")
+    own = both.groupBy("sim_name").agg(F.sqrt(F.avg((F.col("s") - F.col("s_ref")) ** 2)).alias("rmse"), F.count("s_ref").alias("n_both"), F.count_if(F.col("s_ref").isNull()).alias("n_ref_missing"))
+    total = ref.agg(F.count("*").alias("_n"))  # one row
+    return own.join(F.broadcast(total)).select("sim_name", "rmse", "n_both", (F.col("_n") - F.col("n_both")).alias("n_sim_missing"), "n_ref_missing")
 
 
 def reference_features_to_sl(cells: DataFrame, grid: DataFrame) -> DataFrame:
@@ -131,13 +157,6 @@ def nearest_sl_for_particles(particles: DataFrame, grid: DataFrame, block: float
     no further than a block's side is certain.  Particles without one go on with blocks of twice the side until none
     is left; each round is written.
     """
-    spark = particles.sparkSession
-
-    def kept(df: DataFrame, label: str) -> DataFrame:
-        path = new_path(spark, label)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     finite = lambda *names: reduce(lambda a, b: a & b, [F.abs(n) < math.inf for n in names])
     placed = kept(particles.withColumn("_p", F.monotonically_increasing_id()), "particles")
     nodes = kept(grid.select("path_id", "i_s", "i_l", F.col("x").alias("gx"), F.col("y").alias("gy")).where(finite("gx", "gy")), "nodes")

@@ -27,7 +27,9 @@ def thalweg_analysis(cells: DataFrame, path: DataFrame, width: float, step: floa
     on = thalweg.transform_to_sl(cells, grid, nrows, ncols)
     keys = ["sim_name", "res_type", "path_id"]
     cross = thalweg.cross_section_max_mean(on, grid).groupBy(*keys).agg(F.max("v_max").alias("v_max"), F.avg("v_max").alias("cross_mean"))
-    return thalweg.runout(on, grid, limit).join(cross, keys)
+    middle = grid.where(F.abs("l") < step / 2).select("path_id", "i_s", "s", "x", "y", F.lit(None).cast("double").alias("z"))
+    ends = thalweg.runout(on, grid, middle, limit).select(*keys, "s_release", "s_runout", "l", "x", "y", "delta_s")
+    return ends.join(cross, keys)
 
 
 def particle_path(snapshots: DataFrame) -> DataFrame:

@@ -127,6 +127,15 @@ def scarp_surface(x: Inputs) -> DataFrame:
     return rounded(G.scarp_surface(x.dem, planes), "scarp", "release")
 
 
+@query("""WITH p AS (SELECT CAST(s_suppkey * 7 % 50 AS DOUBLE) AS x, CAST(s_suppkey * 3 % 40 AS DOUBLE) AS y, 20.0 + s_suppkey % 11 AS depth, 4.0 + s_suppkey % 5 AS a, 6.0 + s_suppkey % 4 AS b, CAST(s_suppkey % 8 AS DOUBLE) AS tilt, radians(CAST(s_suppkey * 10 % 360 AS DOUBLE)) AS azimuth FROM supplier),
+k AS (SELECT r, c, d.z AS ground, depth, tilt, (d.c - x) * sin(azimuth) + (d.r - y) * cos(azimuth) AS along, 1 - pow(((d.c - x) * cos(azimuth) - (d.r - y) * sin(azimuth)) / a, 2) - pow(((d.c - x) * sin(azimuth) + (d.r - y) * cos(azimuth)) / b, 2) AS inside FROM dem d, p),
+t AS (SELECT r, c, ground, least(ground, coalesce(min(CASE WHEN inside > 0 THEN ground - depth * sqrt(CASE WHEN inside > 0 THEN inside ELSE 0 END) - along * tan(radians(tilt)) END), ground)) AS scarp FROM k GROUP BY 1, 2, 3) SELECT r, c, round(scarp, 6) AS scarp, round(ground - scarp, 6) AS release FROM t""")
+def scarp_ellipsoids(x: Inputs) -> DataFrame:
+    k = F.col("s_suppkey")
+    forms = x.supplier.select((k * 7 % 50).cast("double").alias("x"), (k * 3 % 40).cast("double").alias("y"), (20.0 + k % 11).alias("depth"), (4.0 + k % 5).alias("a"), (6.0 + k % 4).alias("b"), (k % 8).cast("double").alias("tilt"), (k * 10 % 360).cast("double").alias("azimuth"))
+    return rounded(G.scarp_surface(x.dem, forms, form="ellipsoid"), "scarp", "release")
+
+
 @query("""WITH b AS (SELECT a.r, a.c, a.z AS sw, b.z AS se, d.z AS nw, e.z AS ne FROM dem a JOIN dem b ON a.r = b.r AND a.c + 1 = b.c JOIN dem d ON a.r + 1 = d.r AND a.c = d.c JOIN dem e ON a.r + 1 = e.r AND a.c + 1 = e.c),
 k AS (SELECT r, c, list_filter([CASE WHEN (sw > 1501.3) <> (se > 1501.3) THEN {'x': c + (1501.3 - sw) / (se - sw), 'y': CAST(r AS DOUBLE)} END, CASE WHEN (se > 1501.3) <> (ne > 1501.3) THEN {'x': CAST(c + 1 AS DOUBLE), 'y': r + (1501.3 - se) / (ne - se)} END,
 CASE WHEN (nw > 1501.3) <> (ne > 1501.3) THEN {'x': c + (1501.3 - nw) / (ne - nw), 'y': CAST(r + 1 AS DOUBLE)} END, CASE WHEN (sw > 1501.3) <> (nw > 1501.3) THEN {'x': CAST(c AS DOUBLE), 'y': r + (1501.3 - sw) / (nw - sw)} END], lambda e: e IS NOT NULL) AS k FROM b),

@@ -151,18 +151,48 @@ def cross_section_max_mean(x: Inputs) -> DataFrame:
     return rounded(T.cross_section_max_mean(*on_sl(x)), "v_max", "v_mean")
 
 
-@query(f"""WITH {PEAK}, {ON_SL}, h AS (SELECT *, row_number() OVER (PARTITION BY sim_name, path_id ORDER BY i_s DESC, value DESC, i_l) AS n, min(i_s) OVER (PARTITION BY sim_name, path_id) AS i0 FROM slc WHERE value > {LIMIT})
-SELECT sim_name, res_type, h.path_id, round(b.s, 6) AS s_release, round(a.s, 6) AS s_runout, round(a.l, 6) AS l, round(a.x, 6) AS x, round(a.y, 6) AS y, round(a.s - b.s, 6) AS delta_s FROM h JOIN sl a ON h.path_id = a.path_id AND h.i_s = a.i_s AND h.i_l = a.i_l JOIN sl b ON h.path_id = b.path_id AND h.i0 = b.i_s AND b.i_l = 0 WHERE n = 1""")
+THALWEG = "th AS (SELECT path_id, i_s, s, x, y, 2000 - 12.5 * s AS z FROM sl WHERE i_l = 4)"
+
+
+def thalweg(g: DataFrame) -> DataFrame:
+    return g.where("i_l = 4").select("path_id", "i_s", "s", "x", "y", (2000 - 12.5 * F.col("s")).alias("z"))
+
+
+@query(f"""WITH {PEAK}, {ON_SL}, {CROSS}, {THALWEG}, h AS (SELECT *, row_number() OVER (PARTITION BY sim_name, path_id ORDER BY i_s DESC, value DESC, i_l) AS n, min(i_s) OVER (PARTITION BY sim_name, path_id) AS i0 FROM slc WHERE value > {LIMIT}),
+m AS (SELECT sim_name, path_id, max(i_s) AS i_m FROM crs WHERE v_mean > {LIMIT} GROUP BY 1, 2)
+SELECT h.sim_name, res_type, h.path_id, round(b.s, 6) AS s_release, round(a.s, 6) AS s_runout, round(a.l, 6) AS l, round(a.x, 6) AS x, round(a.y, 6) AS y, round(b.z, 6) AS z_release, round(e.z, 6) AS z_runout, round(a.s - b.s, 6) AS delta_s, round(b.z - e.z, 6) AS delta_z,
+round(CASE WHEN a.s > b.s THEN degrees(atan((b.z - e.z) / (a.s - b.s))) END, 6) AS runout_angle, round(q.s, 6) AS s_mean, round(q.x, 6) AS x_mean, round(q.y, 6) AS y_mean
+FROM h JOIN sl a ON h.path_id = a.path_id AND h.i_s = a.i_s AND h.i_l = a.i_l JOIN th b ON h.path_id = b.path_id AND h.i0 = b.i_s JOIN th e ON h.path_id = e.path_id AND h.i_s = e.i_s LEFT JOIN m ON h.sim_name = m.sim_name AND h.path_id = m.path_id LEFT JOIN th q ON m.path_id = q.path_id AND m.i_m = q.i_s WHERE n = 1""")
 def runout(x: Inputs) -> DataFrame:
-    return rounded(T.runout(*on_sl(x), LIMIT), "s_release", "s_runout", "l", "x", "y", "delta_s")
+    cells, g = on_sl(x)
+    return rounded(T.runout(cells, g, thalweg(g), LIMIT), "s_release", "s_runout", "l", "x", "y", "z_release", "z_runout", "delta_s", "delta_z", "runout_angle", "s_mean", "x_mean", "y_mean")
 
 
-LINE = f"lin AS (SELECT sim_name, res_type, h.path_id, h.i_l, h.i_s, s FROM (SELECT sim_name, res_type, path_id, i_l, max(i_s) AS i_s FROM slc WHERE value > {LIMIT} GROUP BY 1, 2, 3, 4) h JOIN sl ON h.path_id = sl.path_id AND h.i_s = sl.i_s AND h.i_l = sl.i_l)"
+LINE = f"lin AS (SELECT sim_name, res_type, h.path_id, h.i_l, h.i_s, s, l, x, y FROM (SELECT sim_name, res_type, path_id, i_l, max(i_s) AS i_s FROM slc WHERE value > {LIMIT} GROUP BY 1, 2, 3, 4) h JOIN sl ON h.path_id = sl.path_id AND h.i_s = sl.i_s AND h.i_l = sl.i_l)"
+POINT = "pnt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sim_name, res_type, path_id ORDER BY s DESC, i_l) AS n FROM lin) q WHERE n = 1)"
+ON_LINE = "round(s, 6) AS s, round(l, 6) AS l, round(x, 6) AS x, round(y, 6) AS y"
 
 
-@query(f"WITH {PEAK}, {ON_SL}, {LINE} SELECT sim_name, res_type, path_id, i_l, i_s, round(s, 6) AS s FROM lin")
+@query(f"WITH {PEAK}, {ON_SL}, {LINE} SELECT sim_name, res_type, path_id, i_l, i_s, {ON_LINE} FROM lin")
 def runout_line(x: Inputs) -> DataFrame:
-    return rounded(T.runout_line(*on_sl(x), LIMIT), "s")
+    return rounded(T.runout_line(*on_sl(x), LIMIT), "s", "l", "x", "y")
+
+
+@query(f"""WITH {PEAK}, {ON_SL}, k AS (SELECT *, row_number() OVER (PARTITION BY sim_name, path_id, i_l ORDER BY value DESC, i_s DESC) AS n FROM slc WHERE value <> 0)
+SELECT sim_name, res_type, k.path_id, k.i_l, k.i_s, {ON_LINE} FROM k JOIN sl ON k.path_id = sl.path_id AND k.i_s = sl.i_s AND k.i_l = sl.i_l WHERE n = 1""")
+def runout_line_at_maximum(x: Inputs) -> DataFrame:
+    return rounded(T.runout_line(*on_sl(x), LIMIT, at_maximum=True), "s", "l", "x", "y")
+
+
+@query(f"WITH {PEAK}, {ON_SL}, {LINE}, {POINT} SELECT sim_name, res_type, path_id, {ON_LINE} FROM pnt")
+def runout_point(x: Inputs) -> DataFrame:
+    return rounded(T.runout_point(T.runout_line(*on_sl(x), LIMIT)), "s", "l", "x", "y")
+
+
+@query(f"WITH {PEAK}, {ON_SL}, {LINE}, {POINT} SELECT a.sim_name, a.res_type, a.path_id, round(b.s - a.s, 6) AS diff_s, round(b.l - a.l, 6) AS diff_l FROM pnt a JOIN pnt b ON a.path_id = b.path_id AND b.sim_name = 'set0'")
+def runout_point_diff(x: Inputs) -> DataFrame:
+    points = T.runout_point(T.runout_line(*on_sl(x), LIMIT))
+    return rounded(T.runout_point_diff(points, points.where("sim_name = 'set0'")), "diff_s", "diff_l")
 
 
 @query(f"""WITH {PEAK}, {ON_SL}, {LINE}, ref AS (SELECT n.sim_name, path_id, i_l, s AS s_ref FROM (SELECT DISTINCT sim_name FROM lin) n, lin WHERE lin.sim_name = 'set0'), b AS (SELECT coalesce(lin.sim_name, ref.sim_name) AS sim_name, s, s_ref FROM lin FULL JOIN ref ON lin.sim_name = ref.sim_name AND lin.path_id = ref.path_id AND lin.i_l = ref.i_l)
@@ -186,11 +216,10 @@ k AS (SELECT sim_name, path_id, min_by(s, i_s) AS s_first, max_by(s, i_s) AS s_l
 SELECT k.sim_name, k.path_id, round(s_first, 6) AS s_first, round(s_last, 6) AS s_last, round(dz, 6) AS dz, round(ds, 6) AS ds, round(degrees(atan2(dz, ds)), 6) AS alpha, round(bar_max, 6) AS bar_max, round(energy_height, 6) AS energy_height FROM k JOIN b ON k.sim_name = b.sim_name AND k.path_id = b.path_id""")
 def thalweg_velocity_summary(x: Inputs) -> DataFrame:
     cells, g = on_sl(x)
-    line = g.where("i_l = 4").select("path_id", "i_s", "s", (2000 - 12.5 * F.col("s")).alias("z"))
-    return rounded(T.thalweg_velocity_summary(T.cross_section_max_mean(cells, g), line, LIMIT, 5), "s_first", "s_last", "dz", "ds", "alpha", "bar_max", "energy_height")
+    return rounded(T.thalweg_velocity_summary(T.cross_section_max_mean(cells, g), thalweg(g), LIMIT, 5), "s_first", "s_last", "dz", "ds", "alpha", "bar_max", "energy_height")
 
 
-@query(f"""WITH {GRID}, k AS (SELECT p.sim_name, p.t, p.id, sl.path_id, sl.i_s, sl.i_l, row_number() OVER (PARTITION BY p.sim_name, p.t, p.id ORDER BY round(pow(p.x - sl.x, 2) + pow(p.y - sl.y, 2), 9), sl.path_id, sl.i_s, sl.i_l) AS n FROM particles p JOIN sl ON pow(p.x - sl.x, 2) + pow(p.y - sl.y, 2) <= 144)
+@query(f"""WITH {GRID}, k AS (SELECT p.sim_name, p.t, p.id, sl.path_id, sl.i_s, sl.i_l, row_number() OVER (PARTITION BY p.sim_name, p.t, p.id ORDER BY round(pow(p.x - sl.x, 2) + pow(p.y - sl.y, 2), 9), sl.path_id, sl.i_s, sl.i_l) AS n FROM particles p, sl)
 SELECT p.sim_name, p.t, p.id, k.path_id, k.i_s, k.i_l FROM particles p LEFT JOIN k ON p.sim_name = k.sim_name AND p.t = k.t AND p.id = k.id AND n = 1""")
 def nearest_sl_for_particles(x: Inputs) -> DataFrame:
     return T.nearest_sl_for_particles(x.particles, grid(x)).select("sim_name", "t", "id", "path_id", "i_s", "i_l")
