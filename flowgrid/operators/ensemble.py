@@ -140,6 +140,12 @@ def runout_ensemble_stats(rows: DataFrame, columns: list[str], by: list[str]) ->
     return long.groupBy(*by, "quantity").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("v_min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("v").alias("v_max"))
 
 
+def cross_max_stats(cross: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """Per type, path and section: number of simulations, mean, median and two percentiles of their cross maxima."""
+    q = lambda p: F.percentile("v_max", F.lit(p))
+    return cross.groupBy("res_type", "path_id", "i_s").agg(F.count("v_max").alias("n"), F.avg("v_max").alias("mean"), q(0.5).alias("median"), q(low).alias("low"), q(high).alias("high"))
+
+
 def event_angle_stats(events: DataFrame, angle: str, category: str, width: float) -> DataFrame:
     """Per category and class of angles (width degrees) the count; with the category's mean and quartiles on each row."""
     own = Window.partitionBy(category)
@@ -151,8 +157,11 @@ def event_angle_stats(events: DataFrame, angle: str, category: str, width: float
 def mosaic_rasters(rasters: DataFrame, cells: DataFrame, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
     """Cells of many rasters (raster_id, xll, yll, cellsize) on one world grid: X, Y, max, min, mean, sum, count.
 
-    The world index of a cell is a whole number from the lower left centre; one cell size is required.
+    The world index of a cell is a whole number from the lower left centre.  Rasters of several cell sizes are an error.
     """
+    sizes = rasters.agg(F.min("cellsize").alias("_low"), F.max("cellsize").alias("_high"))  # one row
+    one = F.when(F.col("_low") == F.col("_high"), F.col("cellsize")).otherwise(F.raise_error(F.lit("rasters of one cell size are required")).cast("double"))
+    rasters = rasters.join(F.broadcast(sizes)).withColumn("cellsize", one).drop("_low", "_high")
     world = lambda ll, i, o: F.round((F.col(ll) - o) / F.col("cellsize")).cast("long") + F.col(i)
     on = cells.join(rasters, "raster_id").where("value is not null").select(world("xll", "c", x0).alias("X"), world("yll", "r", y0).alias("Y"), "value")
     return on.groupBy("X", "Y").agg(F.max("value").alias("v_max"), F.min("value").alias("v_min"), F.avg("value").alias("v_mean"), F.sum("value").alias("v_sum"), F.count("*").alias("n"))

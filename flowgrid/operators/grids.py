@@ -111,6 +111,41 @@ def surface_normals(dem: DataFrame, cellsize: float = 1.0) -> DataFrame:
     return d.select("r", "c", "z", (-F.col("dx") / n).alias("nx"), (-F.col("dy") / n).alias("ny"), (1 / n).alias("nz"), (cellsize * cellsize * n).alias("area"), F.degrees(F.acos(1 / n)).alias("slope"))
 
 
+#: Neighbours of a cell (dr, dc), counter-clockwise from the east, of the triangles that meet in it.
+AROUND = {4: ((0, 1), (1, 0), (0, -1), (-1, 0)), 6: ((0, 1), (1, 1), (1, 0), (0, -1), (-1, -1), (-1, 0)), 8: ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))}
+
+
+def triangle_normals(dem: DataFrame, cellsize: float = 1.0, triangles: int = 6) -> DataFrame:
+    """r, c, z, nx, ny, nz, area, slope of each cell, from the triangles that meet in it.
+
+    triangles: 4, 6 or 8, the normals of those whose corners are all there (at edges and gaps fewer) are added up; or 1, the
+    normals of the squares beside a cell, by their diagonals, are added up.  A cell without any stands upright.  Each cell
+    is sent to its neighbours, one exchange.  area is the cell's area on the surface, cellsize^2 / nz; slope in degrees.
+    """
+    z = lambda i, j: F.col("_z")[f"{i},{j}"]
+    sent = dem.select("z", F.explode(F.array(*[F.struct((F.col("r") - i).alias("r"), (F.col("c") - j).alias("c"), F.lit(f"{i},{j}").alias("from")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("k"))
+    met = sent.where("z is not null").groupBy("k.r", "k.c").agg(F.map_from_entries(F.collect_list(F.struct("k.from", "z"))).alias("_z")).where("_z['0,0'] is not null")  # 9 values at most
+
+    def cross(a: tuple[int, int], b: tuple[int, int], za: Column, zb: Column) -> list[Column]:
+        """Normal of the vectors (a, za) and (b, zb) from the cell, in units of the cell size."""
+        return [a[0] * zb - b[0] * za, b[1] * za - a[1] * zb, F.when((za + zb).isNotNull(), F.lit(float(a[1] * b[0] - a[0] * b[1]) * cellsize))]
+
+    if triangles == 1:  # diagonals of the square between the cell and the one at (i, j)
+        parts = []
+        for i, j in ((1, 1), (1, -1), (-1, -1), (-1, 1)):
+            low, high, left, right = min(i, 0), max(i, 0), min(j, 0), max(j, 0)
+            up, down = z(high, right) - z(low, left), z(high, left) - z(low, right)
+            parts.append(cross((1, 1), (1, -1), up, down))
+    else:
+        ring = AROUND[triangles]
+        parts = [cross(a, b, z(*a) - z(0, 0), z(*b) - z(0, 0)) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    total = lambda k: sum((F.coalesce(x[k], F.lit(0.0)) for x in parts[1:]), F.coalesce(parts[0][k], F.lit(0.0)))
+    d = met.select("r", "c", F.col("_z")["0,0"].alias("z"), total(0).alias("a"), total(1).alias("b"), total(2).alias("u")).withColumn("u", F.when(F.col("u") > 0, F.col("u")).otherwise(1.0))
+    n = F.sqrt(F.col("a") ** 2 + F.col("b") ** 2 + F.col("u") ** 2)
+    nz = F.col("u") / n
+    return d.select("r", "c", "z", (-F.col("b") / n).alias("nx"), (-F.col("a") / n).alias("ny"), nz.alias("nz"), (cellsize * cellsize / nz).alias("area"), F.degrees(F.acos(nz)).alias("slope"))
+
+
 def depth_thickness(cells: DataFrame, normals: DataFrame, to: str) -> DataFrame:
     """Depth (vertical) to thickness (normal to the surface) by nz, or back; with the slope angle."""
     both = cells.join(normals.select("r", "c", "nz", "slope"), ["r", "c"])
@@ -245,11 +280,17 @@ def contour_segments(cells: DataFrame, level: float) -> DataFrame:
 
 
 def profile_at_line(line: DataFrame, cells: DataFrame, dem: DataFrame, nrows: int, ncols: int) -> DataFrame:
-    """line (path_id, i, x, y) with the terrain's z, and for each simulation the value and the surface (z + value) along it."""
-    ground = sample_raster_at_points(line.select("path_id", "i", "x", "y"), dem.withColumnRenamed("z", "value"), nrows, ncols).withColumnRenamed("value", "z")
-    points = cells.select("sim_name").distinct().join(ground)
-    got = sample_raster_at_points(points.select("sim_name", "path_id", "i", "x", "y", "z"), cells, nrows, ncols, keys=("sim_name",))
-    return got.withColumn("surface", F.col("z") + F.coalesce("value", F.lit(0.0)))
+    """line (path_id, i, x, y) with the terrain's z, and for each simulation the value and the surface (z + value) along it.
+
+    The corners of a point are the same for all simulations, so cells and terrain are joined to them by (r, c).
+    """
+    point = ["path_id", "i"]
+    near = corner_weights(line.select(*point, "x", "y"), nrows, ncols).select(*point, "r", "c", "w")
+    whole = lambda c: F.when(F.count(c) == 4, F.sum(F.col("w") * F.col(c))).alias(c)
+    ground = near.join(dem.select("r", "c", "z"), ["r", "c"]).groupBy(*point).agg(whole("z"))
+    values = near.join(cells.select("sim_name", "r", "c", "value"), ["r", "c"]).groupBy("sim_name", *point).agg(whole("value"))
+    every = cells.select("sim_name").distinct().join(line.select(*point, "x", "y").join(ground, point, "left"))  # as many as the result has
+    return every.join(values, ["sim_name", *point], "left").withColumn("surface", F.col("z") + F.coalesce("value", F.lit(0.0)))
 
 
 def rotate_results(cells: DataFrame, angles: DataFrame, nrows: int, ncols: int, reference: float = 0.0) -> DataFrame:

@@ -209,10 +209,31 @@ def range_time(cells: DataFrame, view: DataFrame, limit: float, width: float, ho
     return mti, ends.select("sim_name", "t", "range")
 
 
-def thalweg_time(cross: DataFrame, thalweg: DataFrame, limit: float, start_of_runout: float) -> DataFrame:
-    """Per simulation, path and time the front: the last s whose cross maximum is above the limit, relative to the start of runout."""
-    on = cross.where(F.coalesce(F.col("v_max") > limit, F.lit(False))).join(thalweg.select("path_id", "i_s", "s"), ["path_id", "i_s"])
-    return on.groupBy("sim_name", "path_id", "t").agg((F.max("s") - start_of_runout).alias("front"))
+def thalweg_distance(thalweg: DataFrame, start_of_runout: int, parallel: bool = False) -> DataFrame:
+    """path_id, i_s, distance of each section from the one where the runout area starts: in the plane, or parallel to the surface."""
+    own = Window.partitionBy("path_id").orderBy("i_s")
+    d = F.col("s")
+    if parallel:
+        step = F.sqrt((F.col("s") - F.lag("s").over(own)) ** 2 + (F.col("z") - F.lag("z").over(own)) ** 2)
+        thalweg = thalweg.withColumn("_step", F.coalesce(step, F.lit(0.0)))
+        d = F.sum("_step").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    whole = Window.partitionBy("path_id")
+    return thalweg.withColumn("_d", d).select("path_id", "i_s", (F.col("_d") - F.max(F.when(F.col("i_s") == start_of_runout, F.col("_d"))).over(whole)).alias("distance"))
+
+
+def thalweg_time(cross: DataFrame, thalweg: DataFrame, limit: float, start_of_runout: int, parallel: bool = False) -> DataFrame:
+    """Per simulation, path and time the front: the distance of the last section whose cross maximum is above the limit.
+
+    thalweg: path_id, i_s, s, and with parallel z; start_of_runout: the section (i_s) that distances are taken from.
+    """
+    on = cross.where(F.coalesce(F.col("v_max") > limit, F.lit(False))).join(thalweg_distance(thalweg, start_of_runout, parallel), ["path_id", "i_s"])
+    return on.groupBy("sim_name", "path_id", "t").agg(F.max_by("distance", "i_s").alias("front"))
+
+
+def thalweg_time_values(cross: DataFrame, thalweg: DataFrame, start_of_runout: int, how: str = "max", parallel: bool = False) -> DataFrame:
+    """sim_name, path_id, t, distance, value: the cross maximum or mean of each section at each time, by its distance."""
+    value = {"max": "v_max", "mean": "v_mean"}[how]
+    return cross.join(thalweg_distance(thalweg, start_of_runout, parallel), ["path_id", "i_s"]).select("sim_name", "path_id", "t", "distance", F.col(value).alias("value"))
 
 
 def approach_velocity(front: DataFrame) -> DataFrame:

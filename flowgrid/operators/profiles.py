@@ -122,14 +122,23 @@ def alpha_beta_points(path: DataFrame, model: DataFrame) -> DataFrame:
     return found.unionByName(model.select("path_id", F.lit("beta").alias("label"), F.col("beta").alias("angle"), F.col("i_beta").alias("i"), F.col("s_beta").alias("s"), F.col("z_beta").alias("z")))
 
 
-def parabolic_fit(path: DataFrame) -> DataFrame:
-    """path_id, a, b, c of the parabola z = a s^2 + b s + c through both end points that fits best in between (closed form)."""
+def parabolic_fit(path: DataFrame, near_end: float | None = None) -> DataFrame:
+    """path_id, a, b, c of the parabola z = a s^2 + b s + c through both end points (closed form).
+
+    It is the one that fits best in between; with near_end the one that ends with the mean slope angle of the points
+    within that distance of the last (path then needs angle, see slope_angle_profile).
+    """
     ends = path.groupBy("path_id").agg(F.min_by("s", "i").alias("s0"), F.min_by("z", "i").alias("z0"), F.max_by("s", "i").alias("s1"), F.max_by("z", "i").alias("z1"))
-    on = path.join(ends, "path_id")
-    line = F.col("z0") + (F.col("z1") - F.col("z0")) * (F.col("s") - F.col("s0")) / (F.col("s1") - F.col("s0"))
-    bow = (F.col("s") - F.col("s0")) * (F.col("s") - F.col("s1"))
-    fit = on.where("s1 > s0").groupBy("path_id", "s0", "z0", "s1", "z1").agg(F.try_divide(F.sum(bow * (F.col("z") - line)), F.sum(bow * bow)).alias("a")).where("a is not null")  # null where no point lies between the ends
-    m = (F.col("z1") - F.col("z0")) / (F.col("s1") - F.col("s0"))
+    on = path.join(ends, "path_id").where("s1 > s0")
+    long, m = F.col("s1") - F.col("s0"), (F.col("z1") - F.col("z0")) / (F.col("s1") - F.col("s0"))
+    if near_end is None:
+        line = F.col("z0") + m * (F.col("s") - F.col("s0"))
+        bow = (F.col("s") - F.col("s0")) * (F.col("s") - F.col("s1"))
+        a = F.try_divide(F.sum(bow * (F.col("z") - line)), F.sum(bow * bow))
+    else:
+        slope = -F.tan(F.radians(F.avg(F.when(F.col("s1") - F.col("s") < near_end, F.col("angle")))))
+        a = (slope - m) / long
+    fit = on.groupBy("path_id", "s0", "z0", "s1", "z1").agg(a.alias("a")).where("a is not null")  # null where no point lies between the ends
     return fit.select("path_id", "a", (m - F.col("a") * (F.col("s0") + F.col("s1"))).alias("b"), (F.col("z0") - m * F.col("s0") + F.col("a") * F.col("s0") * F.col("s1")).alias("c"))
 
 

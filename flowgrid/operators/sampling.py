@@ -45,4 +45,4 @@ def quantiles(kind: str, n: int, low: float, high: float, mode: float | None = N
 def sample_distribution(spark: SparkSession, rows: DataFrame, key: str, kind: str, n: int, **limits: float) -> DataFrame:
     """rows with `value`: the (key mod n)-th of n quantiles of a distribution (a table of n rows)."""
     table = spark.createDataFrame(list(enumerate(quantiles(kind, n, **limits))), "_q long, value double")
-    return rows.withColumn("_q", F.pmod(F.col(key), F.lit(n)).cast("long")).join(F.broadcast(table), "_q").drop("_q")
+    return rows.withColumn("_q", F.pmod(F.col(key), F.lit(n)).cast("long")).join(table, "_q").drop("_q")

@@ -56,11 +56,33 @@ def require_result_types(results: DataFrame, wanted: list[str]) -> DataFrame:
     return have.select("sim_name", F.array_join(F.array_sort(missing), ",").alias("missing")).where("missing <> ''")
 
 
-def select_reference_sim(sims: DataFrame, parameter: str, value: float | str, order: list[str]) -> DataFrame:
-    """One row: the simulation with the nearest number, or with the string (upper or lower case alike); the first in order wins."""
+def select_reference_sim(sims: DataFrame, parameter: str, value: float | str, order: list[str], in_name: str | None = None) -> DataFrame:
+    """One row: the simulation with the nearest number, or with the string (upper or lower case alike); the first in order wins.
+
+    in_name: where the parameter says nothing (no number, or no equal string), the first whose sim_name holds it, and
+    else the first of all.
+    """
     if isinstance(value, str):
-        return sims.orderBy(F.when(F.lower(parameter) == value.lower(), 0).otherwise(1), *order).limit(1)
-    return sims.orderBy(F.abs(F.col(parameter) - value), *order).limit(1)
+        rank = F.when(F.lower(parameter) == value.lower(), 0)
+    else:
+        rank = F.when(F.col(parameter).isNotNull(), 0)
+    if in_name is not None:
+        rank = rank.when(F.contains("sim_name", F.lit(in_name)), 1)
+    far = F.lit(0.0) if isinstance(value, str) else F.abs(F.col(parameter) - value)
+    return sims.orderBy(rank.otherwise(2), far, *order).limit(1)
+
+
+def corner_shifts(headers: DataFrame, reference: str, threshold: float = 0.1) -> DataFrame:
+    """Per layer: shift of its lower left and upper right corner against the reference layer's, and whether all are within threshold x cellsize.
+
+    headers: layer, nrows, ncols, xll, yll, cellsize.
+    """
+    corners = headers.select("layer", "cellsize", "xll", "yll", (F.col("xll") + F.col("ncols") * F.col("cellsize")).alias("xur"), (F.col("yll") + F.col("nrows") * F.col("cellsize")).alias("yur"))
+    ref = corners.where(F.col("layer") == reference).select(F.col("cellsize").alias("_size"), *[F.col(c).alias(f"_{c}") for c in ("xll", "yll", "xur", "yur")]).limit(1)
+    on = corners.join(F.broadcast(ref))  # one row
+    shift = lambda a, b: F.greatest(F.abs(F.col(a) - F.col(f"_{a}")), F.abs(F.col(b) - F.col(f"_{b}")))
+    out = on.select("layer", shift("xll", "yll").alias("shift_ll"), shift("xur", "yur").alias("shift_ur"), (F.col("cellsize") == F.col("_size")).alias("same_size"), "_size")
+    return out.withColumn("fits", F.col("same_size") & (F.greatest("shift_ll", "shift_ur") <= threshold * F.col("_size"))).drop("_size")
 
 
 def validate_layers(layers: DataFrame, low: float, high: float) -> DataFrame:
@@ -118,7 +140,7 @@ def config_diff(config: DataFrame, default: DataFrame) -> DataFrame:
 
     Numbers are compared as numbers, so that 1 and 1.0 are the same.
     """
-    both = config.join(F.broadcast(default.withColumnRenamed("value", "default_value")), "key", "left")  # keys of one file
+    both = config.join(default.withColumnRenamed("value", "default_value"), "key", "left")  # keys of one file
     number = lambda c: F.col(c).try_cast("double")
     same = F.coalesce(number("value") == number("default_value"), F.col("value") == F.col("default_value"))
     return both.where(F.col("default_value").isNull() | ~same).select("sim_name", "key", "value", "default_value", F.when(F.col("default_value").isNull(), "added").otherwise("changed").alias("state"))
@@ -173,7 +195,7 @@ def variation_grid(values: DataFrame, scenarios: DataFrame, sim_types: list[str]
     names = sorted(r[0] for r in values.select("name").distinct().collect())  # parameters, not rows
     product = scenarios.select("scenario").distinct().crossJoin(F.broadcast(values.sparkSession.createDataFrame([(t,) for t in sim_types], "sim_type string")))
     for n in names:
-        product = product.crossJoin(F.broadcast(values.where(F.col("name") == n).select(F.col("value").alias(n)).distinct()))
+        product = product.crossJoin(values.where(F.col("name") == n).select(F.col("value").alias(n)).distinct())
     text = F.concat_ws(";", *[F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in [*names, "scenario", "sim_type"]])
     product = product.withColumn("sim_hash", F.substring(F.sha2(text, 256), 1, 10))
     return product.withColumn("sim_name", F.concat_ws("_", "scenario", "sim_hash", "sim_type"))
@@ -190,7 +212,7 @@ def resolve_thickness(features: DataFrame, default: float, configured: DataFrame
     """Per scenario the ids and thicknesses of its features, joined by `|`, and a state: ok, default (all missing) or error (some missing)."""
     own = features
     if configured is not None:
-        own = own.join(F.broadcast(configured.withColumnRenamed("thickness", "set_thickness")), "feature_id", "left").withColumn("thickness", F.coalesce("set_thickness", "thickness")).drop("set_thickness")
+        own = own.join(configured.withColumnRenamed("thickness", "set_thickness"), "feature_id", "left").withColumn("thickness", F.coalesce("set_thickness", "thickness")).drop("set_thickness")
     per = own.groupBy("scenario").agg(F.count("*").alias("n"), F.count("thickness").alias("known"), F.array_sort(F.collect_list(F.struct("feature_id", "thickness"))).alias("all"))
     state = F.when(F.col("known") == F.col("n"), "ok").when(F.col("known") == 0, "default").otherwise("error")
     value = lambda x: F.coalesce(x["thickness"], F.lit(default)).cast("string")

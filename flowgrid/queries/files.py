@@ -105,12 +105,18 @@ def export_particles(x: Inputs) -> DataFrame:
     return rounded(B.read_csv(x.spark, path, "id long, X double, Y double, Z double, m double, velocityMagnitude double, time double, sim_name string, t double"), "velocityMagnitude")
 
 
-@query("SELECT feature_id, concat('area', CAST(feature_id AS STRING)) AS name, f.thickness, CAST(seq AS INT) AS seq, round(x, 3) AS x, round(y, 3) AS y FROM vertices JOIN features f USING (feature_id) WHERE feature_id <> 3")
+KIND = "CASE feature_id % 3 WHEN 0 THEN 'polygon' WHEN 1 THEN 'linestring' ELSE 'point' END"
+
+
+@query(f"""SELECT feature_id, concat('area', CAST(feature_id AS STRING)) AS name, f.thickness, f.thickness / 10 AS ci95, {KIND} AS kind, CAST(CASE WHEN {KIND} = 'point' THEN seq ELSE 0 END AS INT) AS part, CAST(CASE WHEN {KIND} = 'point' THEN 0 ELSE seq END AS INT) AS seq, round(x, 3) AS x, round(y, 3) AS y FROM vertices JOIN features f USING (feature_id) WHERE feature_id <> 3""")
 def read_features(x: Inputs) -> DataFrame:
     path = new_path(x.spark, "features")
     place = F.concat(F.round("x", 3).cast("string"), F.lit(" "), F.round("y", 3).cast("string"))
-    ring = x.vertices.groupBy("feature_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", place.alias("p")))), lambda v: v["p"]), ", ").alias("ring"))
-    B.write_csv(ring.join(x.features, "feature_id").select("feature_id", "name", "thickness", F.concat(F.lit("POLYGON (("), "ring", F.lit("))")).alias("wkt")), path)
+    places = x.vertices.groupBy("feature_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", place.alias("p")))), lambda v: v["p"]).alias("p"))
+    ring, points = F.array_join("p", ", "), F.array_join(F.transform("p", lambda v: F.concat(F.lit("("), v, F.lit(")"))), ", ")
+    k = F.col("feature_id") % 3
+    wkt = F.when(k == 0, F.concat(F.lit("POLYGON (("), ring, F.lit("))"))).when(k == 1, F.concat(F.lit("LINESTRING ("), ring, F.lit(")"))).otherwise(F.concat(F.lit("MULTIPOINT ("), points, F.lit(")")))
+    B.write_csv(places.join(x.features, "feature_id").select("feature_id", "name", "thickness", (F.col("thickness") / 10).alias("ci95"), wkt.alias("wkt")), path)
     return B.read_features(x.spark, path, drop="area3")
 
 

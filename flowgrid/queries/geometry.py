@@ -144,13 +144,39 @@ def contour_segments(x: Inputs) -> DataFrame:
     return rounded(G.contour_segments(elevation(x), 1501.3), "x1", "y1", "x2", "y2")
 
 
-@query(f"""WITH l AS (SELECT path_id, i, x / 4 AS x, y / 4 AS y, CAST(path_id AS STRING) || '_' || CAST(i AS STRING) AS id FROM path), g AS ({corners("l", "(SELECT r, c, z AS value FROM dem)")}), p AS (SELECT s.sim_name, l.path_id, l.i, l.x, l.y, g.value AS z, s.sim_name || '_' || l.id AS id FROM (SELECT DISTINCT sim_name FROM {MOST}) s, l JOIN g ON l.id = g.id), v AS ({corners("p", MOST, "sim_name")})
-SELECT p.sim_name, p.path_id, p.i, p.x, p.y, round(p.z, 9) AS z, round(v.value, 9) AS value, round(p.z + coalesce(v.value, 0), 9) AS surface FROM p JOIN v ON p.id = v.id""")
+@query(f"""WITH l AS (SELECT path_id, i, x / 4 AS x, y / 4 AS y FROM path), q AS (SELECT path_id, i, CAST(floor(y) AS INT) + di AS r, CAST(floor(x) AS INT) + dj AS c, (CASE WHEN di = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN dj = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM l, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(di, dj) WHERE x >= 0 AND x < {NC - 1} AND y >= 0 AND y < {NR - 1}),
+m AS {MOST}, g AS (SELECT path_id, i, CASE WHEN count(z) = 4 THEN sum(w * z) END AS z FROM q JOIN dem ON q.r = dem.r AND q.c = dem.c GROUP BY 1, 2), v AS (SELECT sim_name, path_id, i, CASE WHEN count(value) = 4 THEN sum(w * value) END AS value FROM q JOIN m ON q.r = m.r AND q.c = m.c GROUP BY 1, 2, 3)
+SELECT s.sim_name, l.path_id, l.i, l.x, l.y, round(g.z, 9) AS z, round(v.value, 9) AS value, round(g.z + coalesce(v.value, 0), 9) AS surface FROM (SELECT DISTINCT sim_name FROM m) s CROSS JOIN l LEFT JOIN g ON l.path_id = g.path_id AND l.i = g.i LEFT JOIN v ON s.sim_name = v.sim_name AND l.path_id = v.path_id AND l.i = v.i""")
 def profile_at_line(x: Inputs) -> DataFrame:
     line = x.path.select("path_id", "i", (F.col("x") / 4).alias("x"), (F.col("y") / 4).alias("y"))
     return rounded(G.profile_at_line(line, ppr(x), x.dem, NR, NC), "z", "value", "surface", digits=9)
 
 
+def triangle_sql(n: int) -> str:
+    """SQL: normals by n triangles, from nine self joins."""
+    z = lambda i, j: f"z{i + 1}{j + 1}"
+    if n == 1:
+        pairs = [((1, 1), (1, -1), f"({z(max(i, 0), max(j, 0))} - {z(min(i, 0), min(j, 0))})", f"({z(max(i, 0), min(j, 0))} - {z(min(i, 0), max(j, 0))})") for i, j in ((1, 1), (1, -1), (-1, -1), (-1, 1))]
+    else:
+        ring = G.AROUND[n]
+        pairs = [(a, b, f"({z(*a)} - {z(0, 0)})", f"({z(*b)} - {z(0, 0)})") for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    up = " + ".join(f"CASE WHEN {p} + {q} IS NULL THEN 0 ELSE {5.0 * (a[1] * b[0] - a[0] * b[1])} END" for a, b, p, q in pairs)
+    gr = " + ".join(f"coalesce({a[0]} * {q} - {b[0]} * {p}, 0)" for a, b, p, q in pairs)
+    gc = " + ".join(f"coalesce({b[1]} * {p} - {a[1]} * {q}, 0)" for a, b, p, q in pairs)
+    near = "".join(f", d{i + 1}{j + 1}.z AS {z(i, j)}" for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0))
+    joins = " ".join(f"LEFT JOIN dem d{i + 1}{j + 1} ON d{i + 1}{j + 1}.r = o.r + {i} AND d{i + 1}{j + 1}.c = o.c + {j}" for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0))
+    return f"SELECT {n} AS triangles, r, c, CASE WHEN u > 0 THEN u ELSE 1 END AS u, a, b FROM (SELECT r, c, {up} AS u, {gr} AS a, {gc} AS b FROM (SELECT o.r, o.c, o.z AS z11{near} FROM dem o {joins}) t) t"
+
+
+@query(f"WITH t AS ({' UNION ALL '.join(triangle_sql(n) for n in (1, 4, 6, 8))}), n AS (SELECT *, sqrt(a * a + b * b + u * u) AS n FROM t) SELECT triangles, r, c, round(-b / n, 6) AS nx, round(-a / n, 6) AS ny, round(u / n, 6) AS nz, round(25 * n / u, 6) AS area, round(degrees(acos(u / n)), 5) AS slope FROM n")
+def surface_normals_by_triangles(x: Inputs) -> DataFrame:
+    out = None
+    for n in (1, 4, 6, 8):
+        one = G.triangle_normals(x.dem, 5.0, n).select(F.lit(n).alias("triangles"), "r", "c", "nx", "ny", "nz", "area", "slope")
+        out = one if out is None else out.union(one)
+    return rounded(rounded(out, "nx", "ny", "nz", "area"), "slope", digits=5)
+
+
 # ---- shapes ----
 SHOELACE = "s AS (SELECT feature_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM vertices WINDOW w AS (PARTITION BY feature_id ORDER BY seq))"
 INSIDE = "(y1 > {y}) <> (y2 > {y}) AND {x} < (x2 - x1) * ({y} - y1) / (y2 - y1) + x1"

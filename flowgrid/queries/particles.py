@@ -134,14 +134,32 @@ CROSS_T = f"""tc AS (SELECT concat('set', CAST(CAST(substr(sim_name, 4) AS BIGIN
 nd AS (SELECT path_id, i_s, s, CAST(round_even(y, 0) AS INT) AS r, CAST(round_even(x, 0) AS INT) AS c FROM sl), crt AS (SELECT tc.sim_name, nd.path_id, tc.t, nd.i_s, any_value(nd.s) AS s, max(value) AS v_max FROM nd JOIN tc ON nd.r = tc.r AND nd.c = tc.c GROUP BY 1, 2, 3, 4)"""
 
 
-@query(f"WITH {CROSS_T} SELECT sim_name, path_id, t, round(max(s) - 10, 6) AS front FROM crt WHERE v_max > 60 GROUP BY 1, 2, 3")
-def thalweg_time(x: Inputs) -> DataFrame:
+FAR = """far AS (SELECT path_id, i_s, s, d - max(CASE WHEN i_s = 10 THEN d END) OVER (PARTITION BY path_id) AS d, s - max(CASE WHEN i_s = 10 THEN s END) OVER (PARTITION BY path_id) AS flat FROM (SELECT path_id, i_s, s, sum(st) OVER (PARTITION BY path_id ORDER BY i_s) AS d FROM (SELECT path_id, i_s, s, coalesce(sqrt(pow(s - lag(s) OVER w, 2) + pow(12.5 * s - 12.5 * lag(s) OVER w, 2)), 0) AS st FROM sl WHERE i_l = 0 WINDOW w AS (PARTITION BY path_id ORDER BY i_s)) q) q)"""
+
+
+def cross_in_time(x: Inputs) -> tuple[DataFrame, DataFrame]:
     g = grid(x)
     name = F.concat(F.lit("set"), (F.substring("sim_name", 4, 9).cast("long") % 4).cast("string"))
     cells = x.cells_t.groupBy(name.alias("sim_name"), "t", "r", "c").agg(F.max("value").alias("value"))
-    nodes = g.select("path_id", "i_s", F.rint("y").cast("int").alias("r"), F.rint("x").cast("int").alias("c"))
-    cross = nodes.join(cells, ["r", "c"]).groupBy("sim_name", "path_id", "t", "i_s").agg(F.max("value").alias("v_max"))
-    return rounded(K.thalweg_time(cross, g.where("i_l = 0").select("path_id", "i_s", "s"), 60.0, 10.0), "front")
+    nodes = g.select("path_id", "i_s", "area", F.rint("y").cast("int").alias("r"), F.rint("x").cast("int").alias("c"))
+    mean = F.try_divide(F.sum(F.col("area") * F.col("value")), F.sum("area"))
+    cross = nodes.join(cells, ["r", "c"]).groupBy("sim_name", "path_id", "t", "i_s").agg(F.max("value").alias("v_max"), mean.alias("v_mean"))
+    return cross, g.where("i_l = 0").select("path_id", "i_s", "s", (900 - 12.5 * F.col("s")).alias("z"))
+
+
+@query(f"WITH {CROSS_T}, {FAR}, k AS (SELECT crt.*, flat, row_number() OVER (PARTITION BY sim_name, crt.path_id, t ORDER BY crt.i_s DESC) AS n FROM crt JOIN far ON crt.path_id = far.path_id AND crt.i_s = far.i_s WHERE v_max > 60) SELECT sim_name, path_id, t, round(flat, 6) AS front FROM k WHERE n = 1")
+def thalweg_time(x: Inputs) -> DataFrame:
+    return rounded(K.thalweg_time(*cross_in_time(x), 60.0, 10), "front")
+
+
+@query(f"WITH {CROSS_T}, {FAR}, k AS (SELECT crt.*, d, row_number() OVER (PARTITION BY sim_name, crt.path_id, t ORDER BY crt.i_s DESC) AS n FROM crt JOIN far ON crt.path_id = far.path_id AND crt.i_s = far.i_s WHERE v_max > 60) SELECT sim_name, path_id, t, round(d, 6) AS front FROM k WHERE n = 1")
+def thalweg_time_parallel(x: Inputs) -> DataFrame:
+    return rounded(K.thalweg_time(*cross_in_time(x), 60.0, 10, parallel=True), "front")
+
+
+@query(f"WITH {CROSS_T}, {FAR}, k AS (SELECT tc.sim_name, sl.path_id, tc.t, sl.i_s, sum(sl.area * tc.value) / CASE WHEN sum(sl.area) <> 0 THEN sum(sl.area) END AS value FROM sl JOIN tc ON tc.r = round_even(sl.y, 0) AND tc.c = round_even(sl.x, 0) GROUP BY 1, 2, 3, 4) SELECT sim_name, k.path_id, t, round(d, 6) AS distance, round(value, 6) AS value FROM k JOIN far ON k.path_id = far.path_id AND k.i_s = far.i_s")
+def thalweg_time_values(x: Inputs) -> DataFrame:
+    return rounded(K.thalweg_time_values(*cross_in_time(x), 10, how="mean", parallel=True), "distance", "value")
 
 
 @query("""WITH f AS (SELECT o_custkey AS sim_name, CAST(o_orderkey AS DOUBLE) AS t, o_totalprice / 1000 AS g FROM orders), u AS (SELECT *, row_number() OVER (PARTITION BY sim_name, round(g, 2) ORDER BY t) AS n FROM f), v AS (SELECT sim_name, t, g, abs((lead(g) OVER w - g) / (lead(t) OVER w - t)) AS velocity FROM u WHERE n = 1 WINDOW w AS (PARTITION BY sim_name ORDER BY t)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowgrid.operators import ensemble as E
 from flowgrid.operators import profiles as L
 from flowgrid.operators import shapes as P
 from flowgrid.operators import thalweg as T
@@ -80,6 +81,12 @@ def parabolic_fit(x: Inputs) -> DataFrame:
     return rounded(L.parabolic_fit(profile(x)), "a", "b", "c")
 
 
+@query(f"""WITH {ANGLE}, ends AS (SELECT path_id, min_by(s, i) AS s0, min_by(z, i) AS z0, max_by(s, i) AS s1, max_by(z, i) AS z1 FROM a GROUP BY 1), k AS (SELECT a.path_id, s0, z0, s1, z1, (-tan(radians(avg(angle) FILTER (WHERE s1 - s < 30))) - (z1 - z0) / (s1 - s0)) / (s1 - s0) AS a FROM a JOIN ends ON a.path_id = ends.path_id WHERE s1 > s0 GROUP BY 1, 2, 3, 4, 5)
+SELECT path_id, round(a, 6) AS a, round((z1 - z0) / (s1 - s0) - a * (s0 + s1), 6) AS b, round(z0 - (z1 - z0) / (s1 - s0) * s0 + a * s0 * s1, 6) AS c FROM k WHERE a IS NOT NULL""")
+def parabolic_fit_end_slope(x: Inputs) -> DataFrame:
+    return rounded(L.parabolic_fit(profile(x), near_end=30.0), "a", "b", "c")
+
+
 @query(f"WITH {ANGLE}, {PARABOLA}, t AS (SELECT a.path_id, i, s, degrees(atan(-(2 * par.a * s + b))) AS angle FROM a JOIN par ON a.path_id = par.path_id), {SUSTAINED.format(a='t', deg=60, least=5)} SELECT path_id, i, round(s, 6) AS s FROM f")
 def split_point(x: Inputs) -> DataFrame:
     p = profile(x)
@@ -151,6 +158,11 @@ def cross_section_max_mean(x: Inputs) -> DataFrame:
     return rounded(T.cross_section_max_mean(*on_sl(x)), "v_max", "v_mean")
 
 
+@query(f"""WITH {PEAK}, {ON_SL}, {CROSS} SELECT res_type, path_id, i_s, count(v_max) AS n, round(avg(v_max), 6) AS mean, round(quantile_cont(v_max, 0.5), 6) AS median, round(quantile_cont(v_max, 0.05), 6) AS low, round(quantile_cont(v_max, 0.95), 6) AS high FROM crs GROUP BY 1, 2, 3""")
+def cross_max_stats(x: Inputs) -> DataFrame:
+    return rounded(E.cross_max_stats(T.cross_section_max_mean(*on_sl(x))), "mean", "median", "low", "high")
+
+
 THALWEG = "th AS (SELECT path_id, i_s, s, x, y, 2000 - 12.5 * s AS z FROM sl WHERE i_l = 4)"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowgrid.operators import simulations as S
 
@@ -51,6 +52,19 @@ def select_reference_sim(x: Inputs) -> DataFrame:
     return S.select_reference_sim(x.sims, "rel_th", 0.8, ["sim_name"]).unionByName(S.select_reference_sim(x.sims, "scenario", "REL3", ["sim_name"])).select("sim_name", "rel_th")
 
 
+@query("SELECT sim_name, rel_th FROM sims ORDER BY CASE WHEN lower(scenario) = 'none' THEN 0 WHEN contains(sim_name, '7') THEN 1 ELSE 2 END, sim_name LIMIT 1")
+def select_reference_by_name(x: Inputs) -> DataFrame:
+    return S.select_reference_sim(x.sims, "scenario", "none", ["sim_name"], in_name="7").select("sim_name", "rel_th")
+
+
+@query("""WITH h AS (SELECT s_suppkey AS layer, 40 + s_suppkey % 2 AS nrows, 50.0 + CAST(s_suppkey % 3 AS DOUBLE) / 10 AS xll, 20.0 + CAST(s_suppkey % 4 AS DOUBLE) / 5 AS yll, CASE WHEN s_suppkey % 7 = 0 THEN 2.5 ELSE 5.0 END AS cs FROM supplier), k AS (SELECT *, xll + 50 * cs AS xur, yll + nrows * cs AS yur FROM h), d AS (SELECT k.layer, greatest(abs(k.xll - o.xll), abs(k.yll - o.yll)) AS ll, greatest(abs(k.xur - o.xur), abs(k.yur - o.yur)) AS ur, k.cs = o.cs AS same FROM k, k o WHERE o.layer = 1)
+SELECT layer, round(ll, 6) AS shift_ll, round(ur, 6) AS shift_ur, same AS same_size, same AND round(greatest(ll, ur), 9) <= 0.5 AS fits FROM d""")
+def corner_shifts(x: Inputs) -> DataFrame:
+    k = F.col("s_suppkey")
+    headers = x.supplier.select(k.alias("layer"), (40 + k % 2).alias("nrows"), F.lit(50).alias("ncols"), (50.0 + k % 3 / 10).alias("xll"), (20.0 + k % 4 / 5).alias("yll"), F.when(k % 7 == 0, 2.5).otherwise(5.0).alias("cellsize"))
+    return rounded(S.corner_shifts(headers, 1, 0.1), "shift_ll", "shift_ur")
+
+
 @query("""WITH l AS (SELECT sim_name AS layer, r, c, CASE WHEN value < 2 THEN NULL WHEN value < 10 THEN -9999 ELSE value END AS value FROM cells), k AS (SELECT layer, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS n_null, count(*) FILTER (WHERE value < 0) AS n_negative, count(*) FILTER (WHERE value > 90) AS n_out, max(r) AS r_max, max(c) AS c_max FROM l GROUP BY 1)
 SELECT *, r_max = (SELECT r_max FROM k GROUP BY r_max, c_max ORDER BY count(*) DESC, r_max DESC, c_max DESC LIMIT 1) AND c_max = (SELECT c_max FROM k GROUP BY r_max, c_max ORDER BY count(*) DESC, r_max DESC, c_max DESC LIMIT 1) AS same_extent FROM k""")
 def validate_layers(x: Inputs) -> DataFrame:
@@ -128,6 +142,14 @@ def resolve_thickness(x: Inputs) -> DataFrame:
     return S.resolve_thickness(x.features, 1.0)
 
 
+@query("SELECT d AS dimension, CAST(row_number() OVER (PARTITION BY d ORDER BY s_suppkey) - 1 AS BIGINT) AS stratum, CAST(1 AS BIGINT) AS n FROM supplier, (VALUES ('mu'), ('xi')) AS k(d)")
+def sample_latin_strata(x: Inputs) -> DataFrame:
+    """Every one of n equal strata of every dimension holds exactly one draw."""
+    draws = S.sample_latin(x.supplier.select(F.col("s_suppkey").alias("id")), ["mu", "xi"], 7)
+    total = F.lit(1.0) * F.count("*").over(Window.partitionBy())
+    return draws.withColumn("_n", total).unpivot(["id", "_n"], ["mu", "xi"], "dimension", "u").groupBy("dimension", F.floor(F.col("u") * F.col("_n")).alias("stratum")).agg(F.count("*").alias("n"))
+
+
 @query()
 def sample_latin(x: Inputs) -> DataFrame:
     return S.sample_latin(x.supplier.select(F.col("s_suppkey").alias("id")), ["mu", "xi"], 7)

@@ -98,7 +98,7 @@ def generate_dem(terrains: DataFrame, nrows: int, ncols: int, cellsize: float) -
     flat; plane (inclined by angle in x); hockey (parabola to a flat end at `length`); parabola; bowl; pyramid; helix.
     Made on the executors from row and column numbers.
     """
-    grid = terrains.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(nrows * ncols - 1)))).withColumn("r", F.floor(F.col("_k") / ncols).cast("int")).withColumn("c", (F.col("_k") % ncols).cast("int"))
+    grid = terrains.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(nrows - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(ncols - 1))))
     x, y, z0, long = F.col("c") * cellsize, (F.col("r") - (nrows - 1) / 2) * cellsize, F.col("z0"), F.col("length")
     xm = x - (ncols - 1) * cellsize / 2
     slope = F.tan(F.radians("angle"))

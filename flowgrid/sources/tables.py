@@ -67,16 +67,21 @@ def common_sims(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str, keep: str | None = None, drop: str | None = None) -> DataFrame:
-    """feature_id, name, thickness, seq, x, y from csv with WKT outlines (`POLYGON ((x y, ...))`); keep or drop one feature by name."""
-    rows = read_csv(spark, path, "feature_id long, name string, thickness double, wkt string")
+    """feature_id, name, thickness, ci95, kind, part, seq, x, y from csv with WKT shapes; keep or drop one feature by name.
+
+    POLYGON, LINESTRING and POINT, with or without MULTI, and further numbers in a place (z) are left out.  part numbers
+    the rings, lines or points of a feature; a polygon's first ring is its outline, others are holes or further parts.
+    """
+    rows = read_csv(spark, path, "feature_id long, name string, thickness double, ci95 double, wkt string")
     if keep is not None:
         rows = rows.where(F.col("name") == keep)
     if drop is not None:
         rows = rows.where(F.col("name") != drop)
-    points = F.split(F.regexp_extract("wkt", r"\(\(([^)]*)\)", 1), r",\s*")
-    each = rows.select("feature_id", "name", "thickness", F.posexplode(points).alias("seq", "p"))
+    kind = F.lower(F.regexp_extract("wkt", r"^\s*(?:MULTI)?([A-Za-z]+)", 1))
+    parts = rows.select("feature_id", "name", "thickness", "ci95", kind.alias("kind"), F.posexplode(F.regexp_extract_all("wkt", F.lit(r"\(([^()]+)\)"), F.lit(1))).alias("part", "places"))
+    each = parts.select("feature_id", "name", "thickness", "ci95", "kind", "part", F.posexplode(F.split("places", r",\s*")).alias("seq", "p"))
     place = F.split(F.trim("p"), r"\s+")
-    return each.select("feature_id", "name", "thickness", "seq", F.get(place, F.lit(0)).cast("double").alias("x"), F.get(place, F.lit(1)).cast("double").alias("y"))
+    return each.select("feature_id", "name", "thickness", "ci95", "kind", "part", "seq", F.get(place, F.lit(0)).cast("double").alias("x"), F.get(place, F.lit(1)).cast("double").alias("y"))
 
 
 def features_outside(vertices: DataFrame, dem: DataFrame) -> DataFrame:
