@@ -292,6 +292,8 @@ def stored(payloads: list[bytes]) -> list[bytes]:
 
 
 # ---- decoder ----
+#: What a file that is broken, or no progressive JPEG, may raise.
+BROKEN = (ValueError, LookupError, AttributeError, TypeError, ArithmeticError, MemoryError, struct.error)
 MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 RST = re.compile(rb"\xff[\xd0-\xd7]")
 
@@ -365,6 +367,8 @@ def parsed(data: bytes) -> Image:
             dc = [tables.get((0, body[2 + 2 * i] >> 4)) for i in range(n)]
             image.scans.append(Scan(tuple(ids.index(body[1 + 2 * i]) for i in range(n)), a, b, h >> 4, h & 15, dc, tables.get((1, body[2] & 15)), restart, segments))
             at = end
+    if image is None or not image.scans:
+        raise ValueError("no frame or no scan")
     image.comment = comment
     return image
 
@@ -518,12 +522,16 @@ class Reader:
 
 def decoded(images: list[bytes]) -> tuple[list[Image], np.ndarray]:
     """Frames, and the coefficients of all blocks of all images in zigzag order."""
-    out, base = [], 0
-    for data in images:
-        image = parsed(data)
+    out = [parsed(data) for data in images]
+    return out, coefficients(out)
+
+
+def coefficients(out: list[Image]) -> np.ndarray:
+    """The coefficients of all blocks of all images in zigzag order; the images' layouts are placed one after another."""
+    base = 0
+    for image in out:
         image.layout = Layout(image.layout.width, image.layout.height, image.layout.sampling, base)
         base += image.layout.blocks
-        out.append(image)
     coef = np.zeros((base, 64), np.int64)
     # A scan needs the earlier ones of its components only, so scans of different components are read together.
     levels: list[dict[tuple, list]] = []
@@ -545,7 +553,7 @@ def decoded(images: list[bytes]) -> tuple[list[Image], np.ndarray]:
                 reader.ac_refine(coef, a, b, low)
             else:
                 reader.ac_first(coef, a, b, low)
-    return out, coef
+    return coef
 
 
 def payload_of(image: Image, coef: np.ndarray) -> bytes:

@@ -64,19 +64,42 @@ def to_media(df: DataFrame, text: str = "text") -> DataFrame:
     return map_arrow(rows, per_batch, "doc_id long, n_bytes long, media binary")
 
 
+def tensors(files: list[bytes]) -> list[np.ndarray | None]:
+    """RGB tensors of JPEG files decoded together; None for what is no progressive JPEG or is broken."""
+    out: list[np.ndarray | None] = [None] * len(files)
+    images, own = [], []
+    for i, data in enumerate(files):
+        try:
+            images.append(jpeg.parsed(data))
+            own.append(i)
+        except jpeg.BROKEN:
+            continue
+    try:
+        coef = jpeg.coefficients(images)
+        blocks = jpeg.samples(images, coef)
+        for i, image in zip(own, images, strict=True):
+            out[i] = jpeg.rgb(image, blocks)
+    except jpeg.BROKEN:
+        if len(own) > 1:  # one by one, so that a broken file costs no other
+            for i in own:
+                out[i] = tensors([files[i]])[0]
+    return out
+
+
 def rgb_tensors(df: DataFrame, media: str = "media") -> DataFrame:
-    """doc_id, width, height, rgb (height x width x 3 bytes) of each progressive JPEG; a null or empty one gives nulls."""
+    """doc_id, width, height, rgb (height x width x 3 bytes) of each progressive JPEG.
+
+    Null, empty, broken and other files (baseline frames too) give nulls; rows keep repeats, an empty table gives none,
+    further columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             data = [m or b"" for m in batch.column(1).to_pylist()]
             for group in together(data):
-                own = [i for i in group if data[i]]
-                images, coef = jpeg.decoded([data[i] for i in own])
-                blocks = jpeg.samples(images, coef)
-                got = {i: jpeg.rgb(x, blocks) for i, x in zip(own, images, strict=True)}
-                size = lambda k: pa.array([got[i].shape[k] if i in got else None for i in group], pa.int32())  # noqa: B023, E731
-                yield pa.record_batch([batch.column(0).take(pa.array(group)), size(1), size(0), pa.array([got[i].tobytes() if i in got else None for i in group], pa.binary())], names=["doc_id", "width", "height", "rgb"])
+                got = tensors([data[i] for i in group])
+                size = lambda k: pa.array([None if x is None else x.shape[k] for x in got], pa.int32())  # noqa: B023, E731
+                yield pa.record_batch([batch.column(0).take(pa.array(group)), size(1), size(0), pa.array([None if x is None else x.tobytes() for x in got], pa.binary())], names=["doc_id", "width", "height", "rgb"])
 
     return sent_by_bytes(df).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(media).alias("media")).mapInArrow(run, "doc_id long, width int, height int, rgb binary")
 
@@ -85,7 +108,9 @@ def stored_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Each text stored as JPEG, read back from the stored bytes, and digested, in one pass over the data.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (both of what was read back), media_bytes, media_sha256,
-    feature (of the RGB tensor).  A null text counts as empty and has a payload of 64 bytes 0.
+    feature (of the RGB tensor).  A null text counts as empty and has a payload of 64 bytes 0; a text of any length is
+    stored whole; equal texts give equal values; rows keep repeats, an empty table gives none, further columns are ignored.
+    Tensors are digested where they are made: they take several times the bytes of the texts.
     """
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -153,6 +153,25 @@ def test_media_columns(spark):
     assert [r.rgb for r in media.rgb_tensors(bad).collect()] == [None, None]
 
 
+def test_broken_files_give_nulls_and_cost_no_other(spark):
+    good = jpeg.stored(PAYLOADS)
+    rng = np.random.default_rng(3)
+    files = [*good, b"no jpeg", b"\xff\xd8", b"\xff\xd8\xff\xd9", good[1][:200], good[1][:40], good[1].replace(b"\xff\xc2", b"\xff\xc0", 1)]
+    for _ in range(60):
+        x = bytearray(good[int(rng.integers(len(good)))])
+        for at in rng.integers(2, len(x), 5):
+            x[int(at)] = int(rng.integers(256))
+        files.append(bytes(x))
+    rows = [(i, bytearray(x)) for i, x in enumerate(files)]
+    got = {r.doc_id: r for r in media.rgb_tensors(spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1)).collect()}
+    assert len(got) == len(files)
+    for i, x in enumerate(good):
+        images, coef = jpeg.decoded([x])
+        assert got[i].rgb == jpeg.rgb(images[0], jpeg.samples(images, coef)).tobytes()
+    assert all(got[len(good) + k].rgb is None for k in (0, 1, 2, 5))
+    assert media.rgb_tensors(spark.createDataFrame(rows, "doc_id long, media binary").limit(0)).collect() == []
+
+
 def test_pipeline_against_its_parts(spark):
     """The rows that run() packs are those that the stages' rules leave, by plain loops over the collected documents."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
