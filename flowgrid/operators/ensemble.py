@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowgrid.functions.ranks import percentiles
 from flowgrid.functions.vectors import above
 
 
@@ -99,7 +100,7 @@ def difference_stats(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("r", "
 def difference_cdf(a: DataFrame, b: DataFrame, centiles: tuple[float, ...] = (0.95, 0.99), bins: int = 20, keys: tuple[str, ...] = ("r", "c")) -> DataFrame:
     """Histogram of |a - b| with cumulative shares: bin, lower, n, share; and the values at the centiles on each row."""
     d = differences(a, b, keys).select(F.abs("diff").alias("d"))
-    top = d.agg(F.max("d").alias("top"), *[F.percentile("d", F.lit(p)).alias(f"p{round(p * 100)}") for p in centiles])
+    top = d.agg(F.max("d").alias("top")).join(percentiles(d, "d", {f"p{round(p * 100)}": p for p in centiles}, []), how="left")  # one row
     binned = d.join(F.broadcast(top)).withColumn("bin", F.when(F.col("top") > 0, F.least(F.floor(F.col("d") / F.col("top") * bins), F.lit(bins - 1))).otherwise(0))
     counts = binned.groupBy("bin", *top.columns).agg(F.count("*").alias("n"))
     order = Window.orderBy("bin")  # `bins` rows at most
@@ -133,11 +134,14 @@ def histogram_ecdf(rows: DataFrame, column: str, bins: int, by: str) -> DataFram
     return counts.select(by, "bin", "n", (F.sum("n").over(own.orderBy("bin")) / F.sum("n").over(own)).alias("ecdf"))
 
 
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
 def runout_ensemble_stats(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """Per group and quantity: count, mean, sample deviation, minimum, quartiles, maximum."""
     long = rows.unpivot(by, columns, "quantity", "v")
-    q = lambda p: F.percentile("v", F.lit(p))
-    return long.groupBy(*by, "quantity").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("v_min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("v").alias("v_max"))
+    told = long.groupBy(*by, "quantity").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("v_min"), F.max("v").alias("v_max"))
+    return told.join(percentiles(long, "v", QUARTILES, [*by, "quantity"]), [*by, "quantity"], "left")
 
 
 def cross_max_stats(cross: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -149,7 +153,7 @@ def cross_max_stats(cross: DataFrame, low: float = 0.05, high: float = 0.95) ->
 def event_angle_stats(events: DataFrame, angle: str, category: str, width: float) -> DataFrame:
     """Per category and class of angles (width degrees) the count; with the category's mean and quartiles on each row."""
     own = Window.partitionBy(category)
-    box = events.groupBy(category).agg(F.avg(angle).alias("mean"), *[F.percentile(angle, F.lit(p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    box = events.groupBy(category).agg(F.avg(angle).alias("mean")).join(percentiles(events, angle, QUARTILES, [category]), category, "left")
     counts = events.groupBy(category, F.floor(F.col(angle) / width).alias("bin")).agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(own))
     return counts.join(box, category)
 

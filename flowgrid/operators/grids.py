@@ -143,7 +143,7 @@ def triangle_normals(dem: DataFrame, cellsize: float = 1.0, triangles: int = 6)
     d = met.select("r", "c", F.col("_z")["0,0"].alias("z"), total(0).alias("a"), total(1).alias("b"), total(2).alias("u")).withColumn("u", F.when(F.col("u") > 0, F.col("u")).otherwise(1.0))
     n = F.sqrt(F.col("a") ** 2 + F.col("b") ** 2 + F.col("u") ** 2)
     nz = F.col("u") / n
-    return d.select("r", "c", "z", (-F.col("b") / n).alias("nx"), (-F.col("a") / n).alias("ny"), nz.alias("nz"), (cellsize * cellsize / nz).alias("area"), F.degrees(F.acos(nz)).alias("slope"))
+    return d.select("r", "c", "z", (F.col("a") / n).alias("nx"), (F.col("b") / n).alias("ny"), nz.alias("nz"), (cellsize * cellsize / nz).alias("area"), F.degrees(F.acos(nz)).alias("slope"))
 
 
 def depth_thickness(cells: DataFrame, normals: DataFrame, to: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowgrid.functions.ranks import percentiles
 from flowgrid.functions.vectors import half_even, norm
 from flowgrid.sources.shared import kept
 
@@ -31,7 +32,8 @@ def mass_averaged_path(particles: DataFrame, columns: tuple[str, ...] = ("x", "y
 def velocity_envelope_time(particles: DataFrame) -> DataFrame:
     """Per simulation and time: maximum, minimum, mean and median speed, largest and smallest trajectory length."""
     own = particles.withColumn("v", norm((F.col("ux"), F.col("uy"), F.col("uz"))))
-    return own.groupBy("sim_name", "t").agg(F.max("v").alias("v_max"), F.min("v").alias("v_min"), F.avg("v").alias("v_mean"), F.percentile("v", F.lit(0.5)).alias("v_median"), F.max("s").alias("s_max"), F.min("s").alias("s_min"))
+    told = own.groupBy("sim_name", "t").agg(F.max("v").alias("v_max"), F.min("v").alias("v_min"), F.avg("v").alias("v_mean"), F.max("s").alias("s_max"), F.min("s").alias("s_min"))
+    return told.join(percentiles(own, "v", {"v_median": 0.5}, ["sim_name", "t"]), ["sim_name", "t"], "left")
 
 
 def velocity_envelope_thalweg(particles: DataFrame, step: float) -> DataFrame:
@@ -96,16 +98,24 @@ def split_cell_mass(particles: DataFrame, cell_mass: DataFrame, keys: tuple[str,
     return particles.join(counts, list(keys)).join(cell_mass.select(*keys, "mass"), list(keys)).withColumn("m", F.col("mass") / F.col("_n")).drop("_n", "mass")
 
 
+BLOCKS = 64
+
+
 def start_balanced_chunks(cells: DataFrame, parts: int, order: str = "altitude", weight: str = "weight") -> DataFrame:
     """Start cells in descending order of altitude, cut into parts of about equal weight: rank, part.
 
-    The running sum is taken in blocks of altitude: totals of the blocks before, then within the block, so no window
-    holds all cells.
+    The running sum is taken in blocks of cells: totals of the blocks before, then within the block, so no window holds
+    all cells.  Blocks lie between approximate percentiles of the altitude; cells of one altitude are spread over BLOCKS
+    more by their id, in order.
     """
-    edge = cells.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.sum(weight).alias("total"))
-    on = cells.join(F.broadcast(edge)).withColumn("_b", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("hi") - F.col(order)) / (F.col("hi") - F.col("lo")) * 255)).otherwise(0))
-    blocks = on.groupBy("_b").agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))  # 256 rows at most
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = F.percentile_approx(order, [i / BLOCKS for i in range(1, BLOCKS)], 10 * BLOCKS)
+    edge = cells.agg(cuts.alias("cuts"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(weight).alias("total"))  # one row
+    higher = F.size(F.filter("cuts", lambda c: c > F.col(order)))
+    by_id = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("id") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BLOCKS - 1))).otherwise(0)
+    block = F.struct(higher.alias("a"), F.when(F.array_contains("cuts", F.col(order)), -F.col(order)).alias("b"), F.when(F.array_contains("cuts", F.col(order)), by_id).alias("c"))
+    on = cells.join(F.broadcast(edge)).withColumn("_b", block)
+    blocks = on.groupBy("_b").agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))  # BLOCKS * (BLOCKS + 1) rows at most
+    w = Window.orderBy(F.col("_b.a"), F.col("_b.b").isNotNull().cast("int"), F.col("_b.b"), F.col("_b.c")).rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select("_b", F.coalesce(F.sum("_w").over(w), F.lit(0.0)).alias("_w0"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"))
     own = Window.partitionBy("_b").orderBy(F.desc(order), "id")
     so_far = F.col("_w0") + F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight)

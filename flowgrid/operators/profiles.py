@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from .grids import corner_weights
+
 def own() -> WindowSpec:
     return Window.partitionBy("path_id").orderBy("i")
 
@@ -148,12 +150,21 @@ def split_point(path: DataFrame, fit: DataFrame, degrees: float, least: float =
     return first_sustained_slope(on.drop("a", "b"), degrees, least)
 
 
-def extend_path(path: DataFrame, particles: DataFrame, distance: float) -> DataFrame:
-    """Paths with a point before the first (the highest particle of the first time step) and one beyond the last.
+def extend_path(path: DataFrame, particles: DataFrame, distance: float, top: str = "highest") -> DataFrame:
+    """Paths with a point before the first, a particle of the first time step, and one beyond the last.
 
-    The lower one lies `distance` further in the mean direction of the last three points.
+    top: the highest particle, or by "gain" the one that lies highest over a line through the first point with the path's
+    own mean slope.  The lower point lies `distance` further in the mean direction of the last three points; see
+    extend_bottom for one that stays in the terrain.
     """
-    first = particles.withColumn("_t", F.min("t").over(Window.partitionBy("path_id"))).where("t = _t").groupBy("path_id").agg(F.max_by(F.struct("x", "y", "z"), F.struct("z", "id")).alias("k"))
+    first = particles.withColumn("_t", F.min("t").over(Window.partitionBy("path_id"))).where("t = _t")
+    height = F.col("z")
+    if top == "gain":
+        ends = along_line_distance(path).groupBy("path_id").agg(*[F.min_by(c, "i").alias(f"_{c}0") for c in ("x", "y", "z")], F.max("s").alias("_l"), F.max_by("z", "i").alias("_z1"))
+        first = first.join(ends, "path_id")
+        tan = F.coalesce(F.try_divide(F.col("_z0") - F.col("_z1"), F.col("_l")), F.lit(0.0))
+        height = F.col("z") - F.col("_z0") - tan * F.sqrt((F.col("x") - F.col("_x0")) ** 2 + (F.col("y") - F.col("_y0")) ** 2)
+    first = first.groupBy("path_id").agg(F.max_by(F.struct("x", "y", "z"), F.struct(height.alias("height"), "id")).alias("k"))
     top = first.select("path_id", F.lit(-1).alias("i"), "k.x", "k.y", "k.z")
     n = F.max("i").over(whole())
     last = path.withColumn("_n", n).where("i >= _n - 2").groupBy("path_id").agg(F.max("i").alias("n"), *[f(c, "i").alias(f"{c}{k}") for c in ("x", "y", "z") for k, f in ((0, F.min_by), (1, F.max_by))])
@@ -164,6 +175,27 @@ def extend_path(path: DataFrame, particles: DataFrame, distance: float) -> DataF
     return path.select("path_id", "i", "x", "y", "z").unionByName(top.join(path.select("path_id").distinct(), "path_id", "left_semi")).unionByName(bottom)
 
 
+def extend_bottom(path: DataFrame, dem: DataFrame, nrows: int, ncols: int, nearest: float, farthest: float, factor: float, halvings: int = 7) -> DataFrame:
+    """Paths with a point beyond the last, as far as the terrain goes: path_id, i, x, y, z.
+
+    It lies in the mean direction from the points at a distance between nearest and farthest to the last one, by factor
+    times the path's length, or by the largest of 2^halvings equal parts of that at which there still is terrain.  The
+    places are tested together, by one join of cells.  A path without such points, or without such a place, stays as it is.
+    """
+    whole_path = along_line_distance(path)
+    ends = whole_path.groupBy("path_id").agg(F.max("i").alias("n"), F.max_by("x", "i").alias("x1"), F.max_by("y", "i").alias("y1"), F.max("s").alias("long"))
+    dx, dy = F.col("x1") - F.col("x"), F.col("y1") - F.col("y")
+    on = path.join(ends, "path_id").withColumns({"dx": dx, "dy": dy, "d": F.sqrt(dx**2 + dy**2)}).where((F.col("d") > nearest) & (F.col("d") < farthest))
+    way = on.groupBy("path_id", "n", "x1", "y1", "long").agg(F.sum(F.col("dx") / F.col("d")).alias("u"), F.sum(F.col("dy") / F.col("d")).alias("v")).withColumn("w", F.sqrt(F.col("u") ** 2 + F.col("v") ** 2)).where("w > 0")
+    parts = 1 << halvings
+    far = F.col("k") * (factor / parts) * F.col("long") / F.col("w")
+    places = way.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(parts)))).select("path_id", "n", "k", (F.col("x1") + far * F.col("u")).alias("x"), (F.col("y1") + far * F.col("v")).alias("y"))
+    near = corner_weights(places, nrows, ncols).join(dem.select("r", "c", F.col("z").alias("_z")), ["r", "c"])
+    inside = near.groupBy("path_id", "n", "k", "x", "y").agg(F.when(F.count("_z") == 4, F.sum(F.col("w") * F.col("_z"))).alias("z")).where("z is not null")
+    last = inside.groupBy("path_id", "n").agg(F.max_by(F.struct("x", "y", "z"), "k").alias("p")).select("path_id", (F.col("n") + 1).alias("i"), "p.x", "p.y", "p.z")
+    return path.select("path_id", "i", "x", "y", "z").unionByName(last)
+
+
 def energy_line_test(path: DataFrame, g: float = 9.81) -> DataFrame:
     """Per path the runout angle, the angle of the line through the energy heights z + v^2 / 2g (least squares), and their RMSE about the runout line.
 

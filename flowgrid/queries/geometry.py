@@ -168,7 +168,7 @@ def triangle_sql(n: int) -> str:
     return f"SELECT {n} AS triangles, r, c, CASE WHEN u > 0 THEN u ELSE 1 END AS u, a, b FROM (SELECT r, c, {up} AS u, {gr} AS a, {gc} AS b FROM (SELECT o.r, o.c, o.z AS z11{near} FROM dem o {joins}) t) t"
 
 
-@query(f"WITH t AS ({' UNION ALL '.join(triangle_sql(n) for n in (1, 4, 6, 8))}), n AS (SELECT *, sqrt(a * a + b * b + u * u) AS n FROM t) SELECT triangles, r, c, round(-b / n, 6) AS nx, round(-a / n, 6) AS ny, round(u / n, 6) AS nz, round(25 * n / u, 6) AS area, round(degrees(acos(u / n)), 5) AS slope FROM n")
+@query(f"WITH t AS ({' UNION ALL '.join(triangle_sql(n) for n in (1, 4, 6, 8))}), n AS (SELECT *, sqrt(a * a + b * b + u * u) AS n FROM t) SELECT triangles, r, c, round(a / n, 6) AS nx, round(b / n, 6) AS ny, round(u / n, 6) AS nz, round(25 * n / u, 6) AS area, round(degrees(acos(u / n)), 5) AS slope FROM n")
 def surface_normals_by_triangles(x: Inputs) -> DataFrame:
     out = None
     for n in (1, 4, 6, 8):

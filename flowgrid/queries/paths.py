@@ -101,6 +101,24 @@ def extend_path(x: Inputs) -> DataFrame:
     return rounded(L.extend_path(x.path, particles, 12.0), "x", "y", "z")
 
 
+@query(f"""WITH {DIST}, pt AS (SELECT 1 + id % 1500 AS path_id, id, t, x, y, z FROM particles), f AS (SELECT *, min(t) OVER (PARTITION BY path_id) AS t0 FROM pt), h AS (SELECT path_id, min_by(x, i) AS x0, min_by(y, i) AS y0, min_by(z, i) AS z0, max_by(z, i) AS z1, max(s) AS l FROM p GROUP BY 1),
+top AS (SELECT f.path_id, x, y, z, row_number() OVER (PARTITION BY f.path_id ORDER BY z - z0 - CASE WHEN l > 0 THEN (z0 - z1) / l ELSE 0 END * sqrt(pow(x - x0, 2) + pow(y - y0, 2)) DESC, id DESC) AS n FROM f JOIN h ON f.path_id = h.path_id WHERE t = t0)
+SELECT path_id, -1 AS i, x, y, z FROM top WHERE n = 1""")
+def extend_path_by_gain(x: Inputs) -> DataFrame:
+    particles = x.particles.withColumn("path_id", 1 + F.col("id") % 1500)
+    return L.extend_path(x.path, particles, 12.0, top="gain").where("i = -1")
+
+
+@query(f"""WITH sm AS (SELECT path_id, i, x / 8 AS x, y / 8 AS y, z FROM path), {DIST.replace("FROM path WINDOW", "FROM sm WINDOW")}, e AS (SELECT path_id, max(i) AS n, max_by(x, i) AS x1, max_by(y, i) AS y1, max(s) AS l FROM p GROUP BY 1), o AS (SELECT p.path_id, n, x1, y1, l, x1 - x AS dx, y1 - y AS dy, sqrt(pow(x1 - x, 2) + pow(y1 - y, 2)) AS d FROM p JOIN e ON p.path_id = e.path_id),
+w AS (SELECT path_id, n, x1, y1, l, sum(dx / d) AS u, sum(dy / d) AS v FROM o WHERE d > 1 AND d < 6 GROUP BY 1, 2, 3, 4, 5), c AS (SELECT path_id, n, k, x1 + k * (0.8 / 32) * l / sqrt(u * u + v * v) * u AS x, y1 + k * (0.8 / 32) * l / sqrt(u * u + v * v) * v AS y FROM w, range(1, 33) r(k) WHERE u * u + v * v > 0),
+q AS (SELECT path_id, n, k, x, y, CAST(floor(y) AS INT) + di AS r, CAST(floor(x) AS INT) + dj AS c, (CASE WHEN di = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN dj = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS wt FROM c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS z(di, dj) WHERE x >= 0 AND x < {NC - 1} AND y >= 0 AND y < {NR - 1}),
+g AS (SELECT path_id, n, k, x, y, sum(wt * z) AS z FROM q JOIN dem ON q.r = dem.r AND q.c = dem.c GROUP BY 1, 2, 3, 4, 5 HAVING count(z) = 4), b AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY k DESC) AS o FROM g)
+SELECT path_id, i, round(x, 6) AS x, round(y, 6) AS y, round(z, 5) AS z FROM sm UNION ALL SELECT path_id, n + 1, round(x, 6), round(y, 6), round(z, 5) FROM b WHERE o = 1""")
+def extend_bottom(x: Inputs) -> DataFrame:
+    path = x.path.select("path_id", "i", (F.col("x") / 8).alias("x"), (F.col("y") / 8).alias("y"), "z")
+    return rounded(rounded(L.extend_bottom(path, x.dem, NR, NC, 1.0, 6.0, 0.8, 5), "x", "y"), "z", digits=5)
+
+
 @query(f"""WITH {DIST}, e AS (SELECT path_id, min_by(s, i) AS s0, min_by(z, i) AS z0, max_by(s, i) AS s1, max_by(z, i) AS z1 FROM p GROUP BY 1), k AS (SELECT p.path_id, p.s, z + pow(5 + i % 7, 2) / 19.62 AS e, s0, z0, s1, z1 FROM p JOIN e ON p.path_id = e.path_id WHERE s1 > s0)
 SELECT path_id, round(degrees(atan2(z0 - z1, s1 - s0)), 6) AS runout_angle, round(degrees(atan(-regr_slope(e, s))), 6) AS energy_angle, round(sqrt(avg(pow(e - (z0 + (z1 - z0) * (s - s0) / (s1 - s0)), 2))), 6) AS rmse FROM k GROUP BY path_id, s0, z0, s1, z1""")
 def energy_line_test(x: Inputs) -> DataFrame:

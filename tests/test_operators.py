@@ -225,8 +225,29 @@ def test_file_names(spark):
 def test_runout_is_found_in_the_first_section(spark):
     grid = spark.createDataFrame([(1, s, m, float(s), float(m), float(s), float(m), 1.0) for s in range(4) for m in range(3)], "path_id int, i_s int, i_l int, s double, l double, x double, y double, area double")
     one = spark.createDataFrame([("a", "ppr", 1, s, m, 5.0 if (s, m) == (0, 1) else 0.0) for s in range(4) for m in range(3)], "sim_name string, res_type string, path_id int, i_s int, i_l int, value double")
-    got = thalweg.runout(one, grid, 1.0).first()
-    assert (got.s_release, got.s_runout, got.l) == (0.0, 0.0, 1.0)
+    middle = grid.where("i_l = 1").select("path_id", "i_s", "s", "x", "y", (100 - F.col("s")).alias("z"))
+    got = thalweg.runout(one, grid, middle, 1.0).first()
+    assert (got.s_release, got.s_runout, got.l) == (0.0, 0.0, 1.0) and (got.z_release, got.delta_z, got.runout_angle, got.s_mean) == (100.0, 0.0, None, 0.0)
+    two = one.withColumn("value", F.when(F.col("i_s") <= 2, 5.0).otherwise(0.0))
+    got = thalweg.runout(two, grid, middle, 1.0).first()
+    assert (got.s_runout, got.l, got.delta_s, got.delta_z, got.s_mean) == (2.0, 0.0, 2.0, 2.0, 2.0) and math.isclose(got.runout_angle, 45.0)
+
+
+def test_backtracking_on_circles_and_long_paths(spark):
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(70)] + [(2, 0, 1), (2, 1, 2), (2, 2, 0)], "start_id int, parent long, child long")
+    values = spark.createDataFrame([(1, 70, 9.0), (1, 0, 1.0), (2, 1, 3.0), (2, 0, 1.0), (2, 2, 0.0), (3, 5, 4.0)], "start_id int, node long, value double")
+    got = {(r.start_id, r.node): r.value for r in particles.backtrack_max(edges, values).collect()}
+    assert got == {(1, i): 9.0 for i in range(71)} | {(2, i): 3.0 for i in range(3)} | {(3, 5): 4.0}
+
+
+def test_normals_of_an_inclined_plane(spark):
+    """All forms give the plane's normal, at edges and corners too; a lonely cell stands upright."""
+    dem = spark.createDataFrame([(r, c, 2.0 * c * 5 - 1.0 * r * 5) for r in range(4) for c in range(5)] + [(20, 20, 7.0)], "r int, c int, z double")
+    n = math.sqrt(6)
+    for k in (1, 4, 6, 8):
+        for row in grids.triangle_normals(dem, 5.0, k).collect():
+            want = (0.0, 0.0, 1.0) if row.r == 20 else (-2 / n, 1 / n, 1 / n)
+            assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip((row.nx, row.ny, row.nz), want, strict=True))
 
 
 def test_vectors(spark):
