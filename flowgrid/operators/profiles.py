@@ -5,6 +5,8 @@ Windows are per path; paths are short.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -58,6 +60,55 @@ def resample_line(path: DataFrame, distance: float) -> DataFrame:
     return each.select("path_id", F.col("k").cast("int").alias("i"), (F.col("k") * step).alias("s"), *[(F.col(c) + f * (F.col(f"_{c}") - F.col(c))).alias(c) for c in ("x", "y", "z")])
 
 
+def spline(u: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cubic spline through (u, y), whose first and last two pieces are one cubic each, at other places; y by columns.
+
+    Of up to three points the polynomial through them.
+    """
+    n = len(u)
+    if n < 4:
+        weights = [np.prod([(at - u[j]) / (u[i] - u[j]) for j in range(n) if j != i], axis=0) if n > 1 else np.ones_like(at) for i in range(n)]
+        return sum(w[:, None] * y[i] for i, w in enumerate(weights))
+    h = np.diff(u)
+    slope = np.diff(y, axis=0) / h[:, None]
+    low, mid, high, right = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope, axis=0)
+    # The outer second derivatives follow from the inner ones, so a band of three is left.
+    mid[0], high[0] = mid[0] + h[0] + h[0] ** 2 / h[1], high[0] - h[0] ** 2 / h[1]
+    mid[-1], low[-1] = mid[-1] + h[-1] + h[-1] ** 2 / h[-2], low[-1] - h[-1] ** 2 / h[-2]
+    for i in range(1, n - 2):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * high[i - 1]
+        right[i] -= f * right[i - 1]
+    m = np.zeros_like(y)
+    for i in range(n - 3, -1, -1):
+        m[i + 1] = (right[i] - (high[i] * m[i + 2] if i < n - 3 else 0)) / mid[i]
+    m[0] = m[1] - h[0] / h[1] * (m[2] - m[1])
+    m[-1] = m[-2] + h[-1] / h[-2] * (m[-2] - m[-3])
+    k = np.clip(np.searchsorted(u, at, side="right") - 1, 0, n - 2)
+    a, b, w = ((u[k + 1] - at) / h[k])[:, None], ((at - u[k]) / h[k])[:, None], (h[k] ** 2 / 6)[:, None]
+    return a * y[k] + b * y[k + 1] + w * ((a**3 - a) * m[k] + (b**3 - b) * m[k + 1])
+
+
+def resample_line_spline(path: DataFrame, distance: float) -> DataFrame:
+    """path_id, i, s, x, y at ceil(L / distance) + 1 points of the cubic spline through a path's vertices, even in its parameter.
+
+    The parameter is the length of the polyline; repeated vertices are left out; s is the length along the new points.  A
+    path is one group, and short.  Elevations follow from sample_raster_at_points.  The spline goes through the vertices:
+    there is no smoothing.
+    """
+
+    def own_spline(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        xy = rows.sort_values("i")[["x", "y"]].to_numpy(float)
+        xy = xy[np.append(True, (np.diff(xy, axis=0) != 0).any(axis=1))]
+        u = np.append(0.0, np.cumsum(np.hypot(*np.diff(xy, axis=0).T)))
+        n = int(np.ceil(u[-1] / distance)) + 1
+        new = spline(u, xy, np.linspace(0, u[-1], n))
+        s = np.append(0.0, np.cumsum(np.hypot(*np.diff(new, axis=0).T)))
+        return pd.DataFrame({"path_id": key[0], "i": np.arange(n, dtype=np.int32), "s": s, "x": new[:, 0], "y": new[:, 1]})
+
+    return path.select("path_id", "i", "x", "y").groupBy("path_id").applyInPandas(own_spline, f"path_id {path.schema['path_id'].dataType.simpleString()}, i int, s double, x double, y double")
+
+
 def slope_angle_profile(path: DataFrame) -> DataFrame:
     """path with angle (degrees, positive downwards) of the section before each point; the first takes the second's."""
     angle = F.degrees(F.atan2(-(F.col("z") - F.lag("z").over(own())), F.col("s") - F.lag("s").over(own())))

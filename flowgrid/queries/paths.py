@@ -41,6 +41,11 @@ def resample_line(x: Inputs) -> DataFrame:
     return rounded(L.resample_line(x.path, 7.0), "s", "x", "y", "z")
 
 
+@query()
+def resample_line_spline(x: Inputs) -> DataFrame:
+    return rounded(L.resample_line_spline(x.path, 7.0), "s", "x", "y")
+
+
 @query(f"WITH {ANGLE} SELECT path_id, i, round(s, 6) AS s, z, round(angle, 6) AS angle FROM a")
 def slope_angle_profile(x: Inputs) -> DataFrame:
     return rounded(profile(x).select("path_id", "i", "s", "z", "angle"), "s", "angle")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,34 @@ def test_vectors(spark):
     a, b = tuple(F.lit(float(v)) for v in (1, 2, 2)), tuple(F.lit(float(v)) for v in (0, 0, 3))
     got = spark.range(1).select(vectors.norm(a).alias("n"), vectors.dot(a, b).alias("d"), vectors.cross(a, b)[0].alias("x"), vectors.normalize(a)[2].alias("u")).first()
     assert (got.n, got.d, got.x) == (3.0, 6.0, 6.0) and math.isclose(got.u, 2 / 3)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9])
+def test_spline_by_its_conditions(n):
+    """Against the system of all conditions of the pieces, solved at once."""
+    rng = np.random.default_rng(n)
+    u, y = np.cumsum(rng.uniform(0.5, 2, n)), rng.normal(size=(n, 1))
+    at = np.linspace(u[0], u[-1], 50)
+    got = profiles.spline(u, y, at)[:, 0]
+    if n < 4:
+        assert np.allclose(got, np.polyval(np.polyfit(u, y[:, 0], n - 1), at))
+        return
+    rows, right = [], []
+    term = lambda k, x, d: np.concatenate([np.zeros(4 * k), [[x**3, x**2, x, 1], [3 * x**2, 2 * x, 1, 0], [6 * x, 2, 0, 0], [6, 0, 0, 0]][d], np.zeros(4 * (n - 2 - k))])
+    for k in range(n - 1):
+        rows += [term(k, u[k], 0), term(k, u[k + 1], 0)]
+        right += [y[k, 0], y[k + 1, 0]]
+    for k in range(n - 2):
+        rows += [term(k, u[k + 1], d) - term(k + 1, u[k + 1], d) for d in (1, 2)]
+        right += [0, 0]
+    rows += [term(0, 0, 3) - term(1, 0, 3), term(n - 3, 0, 3) - term(n - 2, 0, 3)]
+    coefficients = np.linalg.solve(np.array(rows), np.array([*right, 0, 0])).reshape(-1, 4)
+    piece = np.clip(np.searchsorted(u, at, side="right") - 1, 0, n - 2)
+    assert np.allclose(got, [np.polyval(coefficients[k], x) for k, x in zip(piece, at, strict=True)])
+
+
+def test_spline_of_paths(spark):
+    line = [(1, i, 3.0 * i, 4.0 * i) for i in range(5)] + [(1, 5, 12.0, 16.0), (2, 0, 1.0, 1.0)]
+    got = sorted(profiles.resample_line_spline(spark.createDataFrame(line, "path_id int, i int, x double, y double"), 6.0).collect())
+    assert [r.path_id for r in got] == [1] * 5 + [2] and np.allclose([(r.s, r.x, r.y) for r in got[:5]], [(5 * k, 3 * k, 4 * k) for k in range(5)])
+    assert tuple(got[-1]) == (2, 0, 0.0, 1.0, 1.0)
