@@ -62,6 +62,17 @@ def sl_grid(path: DataFrame, width: float, step: float) -> DataFrame:
     return grid.withColumn("area", F.coalesce(F.abs(sum(terms[1:], terms[0])) / 2, F.lit(0.0))).drop("xs", "ys", "xl", "yl", "xd", "yd")
 
 
+def surface_areas(grid: DataFrame, area: DataFrame, nrows: int, ncols: int, cellsize: float = 1.0) -> DataFrame:
+    """grid with area on the surface instead of in the plane: times the terrain's cell area (r, c, area) per cellsize^2, bilinear.
+
+    Null where a node has no terrain on all sides.
+    """
+    node = ["path_id", "i_s", "i_l"]
+    near = corner_weights(grid.select(*node, "x", "y"), nrows, ncols).join(area.select("r", "c", F.col("area").alias("_a")), ["r", "c"])
+    factor = near.groupBy(*node).agg(F.when(F.count("_a") == 4, F.sum(F.col("w") * F.col("_a")) / cellsize**2).alias("_f"))
+    return grid.join(factor, node, "left").withColumn("area", F.col("area") * F.col("_f")).drop("_f")
+
+
 def transform_to_sl(cells: DataFrame, grid: DataFrame, nrows: int, ncols: int) -> DataFrame:
     """Every raster sampled at the grid's nodes (bilinear): sim_name, res_type, path_id, i_s, i_l, value; null outside.
 
@@ -140,14 +151,16 @@ def reference_features_to_sl(cells: DataFrame, grid: DataFrame) -> DataFrame:
     return nodes.join(cells.select("r", "c").distinct(), ["r", "c"], "left_semi").select("path_id", "i_s", "i_l", F.lit(1.0).alias("value"))
 
 
-def thalweg_velocity_summary(cross: DataFrame, thalweg: DataFrame, limit: float, bar: int, g: float = 9.81) -> DataFrame:
-    """Per simulation and path: first and last s with a cross maximum above the limit, drop, alpha; largest mean of `bar` sections; largest energy height."""
+def thalweg_velocity_summary(cross: DataFrame, thalweg: DataFrame, limit: float, bar: int, start_of_runout: int, g: float = 9.81) -> DataFrame:
+    """Per simulation and path: first and last s with a cross maximum above the limit, drop and alpha between them; beta, the
+    angle (degrees) from the first to the section start_of_runout; largest mean of `bar` sections; largest energy height."""
     on = cross.join(thalweg.select("path_id", "i_s", "s", "z"), ["path_id", "i_s"]).where(above(F.col("v_max"), limit))
     keys = ["sim_name", "path_id"]
     ends = on.groupBy(*keys).agg(F.min_by(F.struct("s", "z"), "i_s").alias("a"), F.max_by(F.struct("s", "z"), "i_s").alias("b"), F.max(F.col("z") + F.col("v_max") ** 2 / (2 * g)).alias("energy_height"))
     bars = on.groupBy(*keys, F.floor(F.col("i_s") / bar).alias("bar")).agg(F.avg("v_max").alias("m")).groupBy(*keys).agg(F.max("m").alias("bar_max"))
     dz, ds = F.col("a.z") - F.col("b.z"), F.col("b.s") - F.col("a.s")
-    return ends.join(bars, keys).select(*keys, F.col("a.s").alias("s_first"), F.col("b.s").alias("s_last"), dz.alias("dz"), ds.alias("ds"), F.degrees(F.atan2(dz, ds)).alias("alpha"), "bar_max", "energy_height")
+    beta = thalweg.where(F.col("i_s") == start_of_runout).select("path_id", F.col("s").alias("_s"), F.col("z").alias("_z"))
+    return ends.join(bars, keys).join(beta, "path_id", "left").select(*keys, F.col("a.s").alias("s_first"), F.col("b.s").alias("s_last"), dz.alias("dz"), ds.alias("ds"), F.degrees(F.atan2(dz, ds)).alias("alpha"), F.degrees(F.atan(F.try_divide(F.col("a.z") - F.col("_z"), F.col("_s") - F.col("a.s")))).alias("beta"), "bar_max", "energy_height")
 
 
 def nearest_sl_for_particles(particles: DataFrame, grid: DataFrame, block: float = 2.0) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgrid.operators import ensemble as E
+from flowgrid.operators import grids as G
 from flowgrid.operators import profiles as L
 from flowgrid.operators import shapes as P
 from flowgrid.operators import thalweg as T
 
+from .geometry import NORMALS
 from .registry import Inputs, query, rounded
 
 NR, NC = 40, 50
@@ -171,6 +173,12 @@ def sl_grid(x: Inputs) -> DataFrame:
     return rounded(grid(x), "s", "l", "x", "y", "area")
 
 
+@query(f"""WITH {NORMALS}, {GRID}, q AS (SELECT path_id, i_s, i_l, CAST(floor(y) AS INT) + di AS r, CAST(floor(x) AS INT) + dj AS c, (CASE WHEN di = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN dj = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM sl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(di, dj) WHERE x >= 0 AND x < {NC - 1} AND y >= 0 AND y < {NR - 1}),
+f AS (SELECT path_id, i_s, i_l, sum(w * n.area) / 25 AS f FROM q JOIN normals n ON q.r = n.r AND q.c = n.c GROUP BY 1, 2, 3 HAVING count(*) = 4) SELECT sl.path_id, sl.i_s, sl.i_l, round(sl.area * f, 6) AS area FROM sl LEFT JOIN f ON sl.path_id = f.path_id AND sl.i_s = f.i_s AND sl.i_l = f.i_l""")
+def sl_surface_areas(x: Inputs) -> DataFrame:
+    return rounded(T.surface_areas(grid(x), G.surface_normals(x.dem, 5.0), NR, NC, 5.0).select("path_id", "i_s", "i_l", "area"), "area")
+
+
 @query(f"WITH {PEAK}, {ON_SL} SELECT sim_name, res_type, path_id, i_s, i_l, round(value, 6) AS value FROM slc")
 def transform_to_sl(x: Inputs) -> DataFrame:
     return rounded(on_sl(x)[0], "value")
@@ -247,11 +255,11 @@ def reference_features_to_sl(x: Inputs) -> DataFrame:
 
 
 @query(f"""WITH {PEAK}, {ON_SL}, {CROSS}, th AS (SELECT path_id, i_s, s, 2000 - 12.5 * s AS z FROM sl WHERE i_l = 4), o AS (SELECT crs.*, s, z FROM crs JOIN th ON crs.path_id = th.path_id AND crs.i_s = th.i_s WHERE v_max > {LIMIT}), b AS (SELECT sim_name, path_id, max(m) AS bar_max FROM (SELECT sim_name, path_id, i_s // 5 AS k, avg(v_max) AS m FROM o GROUP BY 1, 2, 3) q GROUP BY 1, 2),
-k AS (SELECT sim_name, path_id, min_by(s, i_s) AS s_first, max_by(s, i_s) AS s_last, min_by(z, i_s) - max_by(z, i_s) AS dz, max_by(s, i_s) - min_by(s, i_s) AS ds, max(z + v_max * v_max / 19.62) AS energy_height FROM o GROUP BY 1, 2)
-SELECT k.sim_name, k.path_id, round(s_first, 6) AS s_first, round(s_last, 6) AS s_last, round(dz, 6) AS dz, round(ds, 6) AS ds, round(degrees(atan2(dz, ds)), 6) AS alpha, round(bar_max, 6) AS bar_max, round(energy_height, 6) AS energy_height FROM k JOIN b ON k.sim_name = b.sim_name AND k.path_id = b.path_id""")
+k AS (SELECT sim_name, path_id, min_by(s, i_s) AS s_first, max_by(s, i_s) AS s_last, min_by(z, i_s) AS z_first, min_by(z, i_s) - max_by(z, i_s) AS dz, max_by(s, i_s) - min_by(s, i_s) AS ds, max(z + v_max * v_max / 19.62) AS energy_height FROM o GROUP BY 1, 2)
+SELECT k.sim_name, k.path_id, round(s_first, 6) AS s_first, round(s_last, 6) AS s_last, round(dz, 6) AS dz, round(ds, 6) AS ds, round(degrees(atan2(dz, ds)), 6) AS alpha, round(degrees(atan((z_first - b10.z) / nullif(b10.s - s_first, 0))), 6) AS beta, round(bar_max, 6) AS bar_max, round(energy_height, 6) AS energy_height FROM k JOIN b ON k.sim_name = b.sim_name AND k.path_id = b.path_id LEFT JOIN th b10 ON k.path_id = b10.path_id AND b10.i_s = 10""")
 def thalweg_velocity_summary(x: Inputs) -> DataFrame:
     cells, g = on_sl(x)
-    return rounded(T.thalweg_velocity_summary(T.cross_section_max_mean(cells, g), thalweg(g), LIMIT, 5), "s_first", "s_last", "dz", "ds", "alpha", "bar_max", "energy_height")
+    return rounded(T.thalweg_velocity_summary(T.cross_section_max_mean(cells, g), thalweg(g), LIMIT, 5, 10), "s_first", "s_last", "dz", "ds", "alpha", "beta", "bar_max", "energy_height")
 
 
 @query(f"""WITH {GRID}, k AS (SELECT p.sim_name, p.t, p.id, sl.path_id, sl.i_s, sl.i_l, row_number() OVER (PARTITION BY p.sim_name, p.t, p.id ORDER BY round(pow(p.x - sl.x, 2) + pow(p.y - sl.y, 2), 9), sl.path_id, sl.i_s, sl.i_l) AS n FROM particles p, sl)
