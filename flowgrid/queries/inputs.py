@@ -20,7 +20,7 @@ INPUTS = {
     "particles": """SELECT concat('sim', CAST(user_id % 4 AS STRING)) AS sim_name, CAST(t AS DOUBLE) AS t, user_id AS id, user_id - user_id % 3 AS parent_id, 10 + CAST(event_id % 200 AS DOUBLE) / 8 AS x, 5 + CAST(event_id % 120 AS DOUBLE) / 4 AS y,
         500 - 7.5 * t + CAST(event_id % 11 AS DOUBLE) AS z, CAST(event_id % 5 AS DOUBLE) - 2 AS ux, CAST(event_id % 7 AS DOUBLE) - 3 AS uy, CAST(event_id % 3 AS DOUBLE) - 1 AS uz, 1 + CAST(user_id % 7 AS DOUBLE) AS m, CAST(event_id % 9 AS DOUBLE) / 4 AS h, 10 * t + CAST(event_id % 10 AS DOUBLE) AS s
         FROM (SELECT *, hour(ts) AS t, row_number() OVER (PARTITION BY user_id, hour(ts) ORDER BY event_id DESC) AS n FROM events) e WHERE n = 1""",
-    "mass": """SELECT concat('sim', CAST(o_custkey % 10 AS STRING)) AS sim_name, CAST(o_orderkey AS DOUBLE) AS t, o_totalprice AS total, CAST(o_orderkey % 13 AS DOUBLE) AS entrained, CAST(o_orderkey % 5 AS DOUBLE) AS detrained FROM orders""",
+    "mass": """SELECT concat('sim', CAST(CAST(floor(o_custkey / 20) AS BIGINT) AS STRING)) AS sim_name, CAST(o_orderkey AS DOUBLE) AS t, o_totalprice AS total, CAST(o_orderkey % 13 AS DOUBLE) AS entrained, CAST(o_orderkey % 5 AS DOUBLE) AS detrained FROM orders""",
     "path": """SELECT path_id, i, 10.0 * i + CAST(o_orderkey % 7 AS DOUBLE) AS x, 5.0 * i + CAST(o_orderkey % 5 AS DOUBLE) AS y, 3000 - 60 * ln(1.0 + i) * 4 - CAST(o_orderkey % 3 AS DOUBLE) AS z
         FROM (SELECT o_custkey AS path_id, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS i FROM orders) o""",
     "thal": """SELECT path_id, i, 1.5 + 3.5 * i + CAST(k AS DOUBLE) / 16 AS x, 6 + 2.25 * i + 2.0 * path_id - CAST(k AS DOUBLE) / 8 AS y, 900 - 400 * ln(1.0 + i) AS z FROM (SELECT CAST(o_custkey % 3 AS INT) AS path_id, CAST(o_orderkey % 11 AS INT) AS i, max(o_orderkey % 7) AS k FROM orders GROUP BY 1, 2) o""",

@@ -87,11 +87,11 @@ def mass_summary(x: Inputs) -> DataFrame:
     return rounded(K.mass_summary(x.mass, "sim0"), "growth_index", "growth_gradient", "difference")
 
 
-@query("""WITH k AS (SELECT sim_name, t, total, coalesce(entrained / (t - lag(t) OVER w), 0) AS flow FROM mass WINDOW w AS (PARTITION BY sim_name ORDER BY t)), w AS (SELECT n.sim_name, g.t FROM (SELECT DISTINCT sim_name FROM mass) n, (SELECT DISTINCT CAST(o_custkey * 11 AS DOUBLE) AS t FROM orders) g),
+@query("""WITH k AS (SELECT sim_name, t, total, coalesce(entrained / (t - lag(t) OVER w), 0) AS flow FROM mass WINDOW w AS (PARTITION BY sim_name ORDER BY t)), w AS (SELECT n.sim_name, g.t FROM (SELECT DISTINCT sim_name FROM mass) n, (SELECT DISTINCT CAST(o_custkey % 150 * 110 AS DOUBLE) AS t FROM orders) g),
 a AS (SELECT w.sim_name, w.t, k.t AS ta, k.total AS va, k.flow AS fa FROM w ASOF LEFT JOIN k ON w.sim_name = k.sim_name AND w.t >= k.t), b AS (SELECT w.sim_name, w.t, k.t AS tb, k.total AS vb, k.flow AS fb FROM w ASOF LEFT JOIN k ON w.sim_name = k.sim_name AND w.t <= k.t)
 SELECT a.sim_name, a.t, round(CASE WHEN ta IS NULL THEN vb WHEN tb IS NULL OR tb = ta THEN va ELSE va + (a.t - ta) / (tb - ta) * (vb - va) END, 6) AS total, round(CASE WHEN ta IS NULL THEN fb WHEN tb IS NULL OR tb = ta THEN fa ELSE fa + (a.t - ta) / (tb - ta) * (fb - fa) END, 6) AS flow FROM a JOIN b ON a.sim_name = b.sim_name AND a.t = b.t""")
 def interp_to_time_grid(x: Inputs) -> DataFrame:
-    return rounded(K.interp_to_time_grid(x.mass, x.orders.select((F.col("o_custkey") * 11).cast("double").alias("t")).distinct()), "total", "flow")
+    return rounded(K.interp_to_time_grid(x.mass, x.orders.select((F.col("o_custkey") % 150 * 110).cast("double").alias("t")).distinct()), "total", "flow")
 
 
 # ---- routing ----
