@@ -156,7 +156,11 @@ def decode(df: DataFrame, ids: str = "ids", vocab: str = "word_bpe_49k.json") ->
 
 
 def round_trip_digests(df: DataFrame, text: str = "text", vocab: str = "word_bpe_49k.json") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes each text in one pass over the data."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes each text in one pass over the data.
+
+    A null text counts as empty (no tokens); a text of any length is encoded whole; rows keep repeats, an empty table
+    gives none, further columns are ignored.
+    """
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(resolved(vocab))

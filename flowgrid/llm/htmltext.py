@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, sent_by_bytes, text_or_empty, written
+from .common import by_bytes, removed, sent_by_bytes, text_or_empty, written
 
 #: (pages, share of the host's pages) on which a subtree must stand to be template: beside an article; on a page that
 #: marks no article; inside an article, where passages and copies recur by themselves.  The shares bound a host's templates.
@@ -321,13 +321,16 @@ def counts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """host, template: the hashes of subtrees that recur across many pages of the host.
 
-    As each template stands on a share of the pages, a host has a bounded multiple of the subtrees of a page.
+    As each template stands on a share of the pages, a host has a bounded multiple of the subtrees of a page.  Written to
+    the shared folder, so that Spark knows its size.
     """
-    found, _ = written(counts(pages, url, html), "counts")
+    found, path = written(counts(pages, url, html), "counts")
     per_host = found.where("hash is null").select("host", F.col("n").alias("pages"))
     needed = lambda k: F.when(F.col("zone") == 0, OUTSIDE[k]).when(F.col("zone") == 1, UNMARKED[k]).otherwise(INSIDE[k])
     often = found.where("hash is not null").where(F.col("n") >= needed(0)).join(per_host, "host").where(F.col("n") >= F.col("pages") * needed(1))
-    return often.groupBy("host").agg(F.collect_set("hash").alias("template"))
+    out, _ = written(often.groupBy("host").agg(F.collect_set("hash").alias("template")), "templates")
+    removed(pages.sparkSession, path)
+    return out
 
 
 def extracted(html: str, template: frozenset[int]) -> tuple[str, int]:
@@ -347,9 +350,8 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     elements are nested deeply or tags never end.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text_or_empty(html).alias("html"), host(url).alias("host"))
-    # Written first: Spark then knows its size and broadcasts it where it is small, else splits the pages of a large host.
-    known, _ = written(templates(pages, url, html), "templates")
-    joined = rows.join(known, "host", "left").select("page_id", "url", "html", "host", "template")
+    # Of known size, so Spark broadcasts it where it is small, and else splits the pages of a large host.
+    joined = rows.join(templates(pages, url, html), "host", "left").select("page_id", "url", "html", "host", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, frozenset[int]] = {}

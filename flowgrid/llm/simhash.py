@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, map_arrow, text_or_empty, written
+from .common import components, map_arrow, removed, text_or_empty, written
 
 #: Largest bucket that is paired; larger ones take the linear way, with the same links.
 PAIRS = 16
@@ -76,7 +76,7 @@ def links(distinct: DataFrame, bits: int = 2, blocks: int = 5) -> DataFrame:
     chosen = masks(bits, blocks)
     keys = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(chosen)])).alias("k")).select("k.c", "k.key", "fp")
     shared = keys.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met, _ = written(keys.join(shared, ["c", "key"]), "blocks")
+    met, path = written(keys.join(shared, ["c", "key"]), "blocks")
     few = met.where(F.col("n") <= PAIRS)
     pairs = few.alias("x").join(few.alias("y"), ["c", "key"]).where("x.fp < y.fp").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     flips = [F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << b)) for b in range(64) if not m >> b & 1]) for m in chosen]
@@ -85,22 +85,25 @@ def links(distinct: DataFrame, bits: int = 2, blocks: int = 5) -> DataFrame:
     # At most 65 fingerprints are within one bit of another value, so no such group is large.
     stars = near.groupBy("mid").agg(F.array_sort(F.collect_set("fp")).alias("all")).where("size(all) > 1").select(F.col("all")[0].alias("a"), F.explode(F.slice("all", 2, 65)).alias("b"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    found = pairs.union(stars.distinct())
-    return found.where(apart <= bits) if bits == 2 else found.where(apart <= 1)
+    found, _ = written(pairs.union(stars.distinct()).where(apart <= bits), "links")
+    removed(distinct.sparkSession, path)
+    return found
 
 
 def near_duplicates(df: DataFrame, text: str = "text", width: int = 3, seed: int = 42, bits: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links, itself included.
 
     Copies share a fingerprint and are one node; a document whose doc_id is null takes part in links, and its class
-    is named by the others (null if there are none).  An empty table gives none.  Further columns are ignored.
+    is named by the others (null if there are none).  Rows keep repeats; a null text counts as empty; a text of any length
+    is read whole; an empty table gives none; further columns are ignored.
     """
     docs, _ = written(fingerprints(df, text, width, seed), "fingerprints")
-    distinct, _ = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct, path = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes, _ = written(rooted.join(named, "root").select("fp", "component_id"), "classes")
+    removed(df.sparkSession, path)
     return docs.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
