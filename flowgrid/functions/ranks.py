@@ -1,4 +1,4 @@
-"""Exact percentiles of groups of any size."""
+"""Exact percentiles of groups and row numbers of tables of any size."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowgrid.sources.shared import kept
+
 ACCURACY = 5000
 
 
@@ -39,3 +41,15 @@ def percentiles(df: DataFrame, column: str, shares: dict[str, float], by: list[s
     found = both.withColumns({"lo": F.floor(at), "hi": F.ceil(at), "f": at - F.floor(at)}).groupBy(*keys).agg(side(F.col("lo")).alias("x"), side(F.col("hi")).alias("y"), F.max("f").alias("f"))
     value = F.col("x") + F.col("f") * (F.col("y") - F.col("x"))
     return found.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, value)).alias(name) for i, name in enumerate(names)])
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with its rows' numbers by `order`, from 1: ranges of it are numbered apart, after the rows of the ranges before.
+
+    The ranges are written to the shared folder, as they would be drawn anew each time.
+    """
+    ranges = kept(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return ranges.join(before, "_range").withColumn(name, F.col("_before") + own).drop("_range", "_before")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from flowgrid.functions.ranks import numbered
+
 NUMERIC = (T.NumericType,)
 
 
@@ -254,7 +256,7 @@ def scenario_groups(features: DataFrame) -> DataFrame:
     Blank group names get a running number by `ord`; scenario lists are split by comma and trimmed; blank is "NULL".
     """
     blank = F.trim("grp") == ""
-    number = F.row_number().over(Window.partitionBy(blank).orderBy("ord"))
-    named = features.withColumn("grp", F.when(blank, F.lpad(number.cast("string"), 5, "0")).otherwise(F.trim("grp")))
+    number = numbered(features.where(blank), "ord", "_number").withColumn("grp", F.lpad(F.col("_number").cast("string"), 5, "0")).drop("_number")
+    named = features.where(~blank).withColumn("grp", F.trim("grp")).unionByName(number)
     each = named.withColumn("scenario", F.explode(F.split("scenario", ","))).withColumn("scenario", F.when(F.trim("scenario") == "", "NULL").otherwise(F.trim("scenario")))
     return each.groupBy("grp", "scenario").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))

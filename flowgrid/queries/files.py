@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowgrid.operators import sampling as A
 from flowgrid.sources import rasters as R
@@ -150,6 +151,14 @@ def generate_dem(x: Inputs) -> DataFrame:
     return rounded(R.generate_dem(terrains, 20, 25, 5.0), "z")
 
 
+@query("SELECT c_custkey AS id, d AS dimension, CAST(1 AS BIGINT) AS moves, 0.6 AS distance FROM customer, (VALUES ('mu'), ('xi'), ('relTh')) AS k(d)")
+def sample_morris_moves(x: Inputs) -> DataFrame:
+    """Along each trajectory every dimension moves once, by half the levels."""
+    steps = A.sample_morris(x.customer.select(F.col("c_custkey").alias("id")), ["mu", "xi", "relTh"], 3).unpivot(["id", "step"], ["mu", "xi", "relTh"], "dimension", "u")
+    moved = steps.withColumn("d", F.abs(F.col("u") - F.lag("u").over(Window.partitionBy("id", "dimension").orderBy("step"))))
+    return moved.groupBy("id", "dimension").agg(F.count_if(F.col("d") > 0).alias("moves"), F.round(F.max("d"), 9).alias("distance"))
+
+
 @query()
 def sample_morris(x: Inputs) -> DataFrame:
     return A.sample_morris(x.customer.select(F.col("c_custkey").alias("id")), ["mu", "xi", "relTh"], 3)

@@ -22,3 +22,11 @@ def test_percentiles_of_groups_of_any_size(spark, monkeypatch, accuracy):
         assert np.allclose(np.quantile([v for g, v in rows if g == r.g and v is not None], list(shares.values())), [r[k] for k in shares])
     whole = ranks.percentiles(df, "v", shares, []).first()
     assert np.allclose(np.quantile([v for _, v in rows if v is not None], list(shares.values())), [whole[k] for k in shares])
+
+
+def test_numbers_of_rows(spark):
+    rng = random.Random(2)
+    values = [rng.randint(0, 10**6) * 1.5 for _ in range(3000)]
+    got = ranks.numbered(spark.createDataFrame([(v,) for v in sorted(set(values), key=lambda v: rng.random())], "v double"), "v", "n").collect()
+    assert [r.v for r in sorted(got, key=lambda r: r.n)] == sorted(set(values)) and sorted(r.n for r in got) == list(range(1, len(got) + 1))
+    assert ranks.numbered(spark.createDataFrame([], "v double"), "v", "n").collect() == []
