@@ -1,9 +1,9 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
 Words are taken in k-mers, each k-mer is numbered by its occurrence in the text, and every slot of a signature takes
-the TUPLE occurrence-numbered k-mers that come first under the slot's own random order, a hash of its own.  A tuple
-keeps the order of the text and is hashed; two texts agree in a slot if they share the k-mers and their order, which
-follows edit distance.
+the TUPLE occurrence-numbered k-mers that come first under the slot's own random order: a hash of its own for every two
+slots, read from the least value on and from the greatest.  A tuple keeps the order of the text and is hashed; two texts
+agree in a slot if they share the k-mers and their order, which follows edit distance.
 """
 
 from __future__ import annotations
@@ -59,23 +59,24 @@ def numbered_kmers(text: Column) -> Column:
 
 
 def signature(kmers: Column) -> Column:
-    """The tuples' hashes: for each slot its first k-mers under its own order, in the order of the text."""
+    """The tuples' hashes: for each slot its first k-mers under its order, in the order of the text."""
     hashes, places = kmers["hash"], kmers["at"]
 
-    def one(slot: Column) -> Column:
-        def rest(order: Column, found: list[Column]) -> Column:
-            if len(found) == TUPLE:
-                own = F.filter(F.array(*found), lambda x: x.isNotNull())
-                with_place = F.transform(own, lambda x: F.struct(F.get(places, F.array_position(order, x).cast("int") - 1).alias("at"), x.alias("kmer")))
-                return F.xxhash64(slot, F.transform(F.sort_array(with_place), lambda x: x["kmer"])).bitwiseAND(F.lit(0xFFFFFFFF))
+    def tuple_of(order: Column, end: Callable[[Column], Column], slot: Column, found: tuple[Column, ...] = ()) -> Column:
+        if len(found) < TUPLE:
             left = order
             for x in found:
                 left = F.array_remove(left, x)
-            return bound(F.array_min(left), lambda least: rest(order, [*found, least]))
+            return bound(end(left), lambda x: tuple_of(order, end, slot, (*found, x)))
+        own = F.filter(F.array(*found), lambda x: x.isNotNull())
+        with_place = F.transform(own, lambda x: F.struct(F.get(places, F.array_position(order, x).cast("int") - 1).alias("at"), x.alias("kmer")))
+        return F.xxhash64(slot, F.transform(F.sort_array(with_place), lambda x: x["kmer"])).bitwiseAND(F.lit(0xFFFFFFFF))
 
-        return bound(F.transform(hashes, lambda h: F.xxhash64(h, slot)), lambda order: rest(order, []))
+    def both_ends(k: Column) -> Column:
+        order = F.transform(hashes, lambda h: F.xxhash64(h, k))
+        return bound(order, lambda o: F.array(tuple_of(o, F.array_min, 2 * k), tuple_of(o, F.array_max, 2 * k + 1)))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), one)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SLOTS // 2 - 1)), both_ends))
 
 
 def signed(text: Column) -> Column:
