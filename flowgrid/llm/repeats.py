@@ -3,7 +3,7 @@
 Documents lie in chunks.  Every chunk gives the non-overlapping blocks of BLOCK words of its documents to an index, and
 probes it with every rolling window of BLOCK words.  Of two passages of 2 * BLOCK - 1 equal words, each holds a whole
 block of its own document, which the other's probes hit; so nothing equal is lost.  Around hits the anchors are extended:
-windows of WIDTH words that hold a hit are looked up by 128-bit hashes, on the side of the block as references and on the
+windows of WIDTH words that hold a hit are looked up by 96-bit hashes, on the side of the block as references and on the
 side of the probe as questions, and windows found one after another join to maximal exact repeats.
 
 Index, probes and windows go to buckets of their hash, each once for a chunk however often it is in it, so that a passage
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, removed, sent_by_bytes, shared_dir, text_or_empty, written
+from .common import by_bytes, removed, sent_by_bytes, text_or_empty, written
 
 WIDTH = 13
 BLOCK = (WIDTH + 1) // 2
@@ -34,6 +33,7 @@ CHUNK_BYTES, CHUNK_DOCS, BUCKET_BYTES = 4 << 20, 1 << 20, 16 << 20
 PIECE = 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 NEVER = np.iinfo(np.int64).max
+CHUNK = pa.schema([("chunk", pa.int64()), ("n_bytes", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.binary()), ("body", pa.binary())])
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,15 +83,53 @@ def any_ahead(marks: np.ndarray, reach: int) -> np.ndarray:
     return sums[np.minimum(np.arange(len(marks)) + reach, len(marks))] > sums[:-1]
 
 
+def folded(texts: list[bytes]) -> dict:
+    """Texts as one compressed body and their lengths, which is what moves and is stored of them."""
+    raw = b"".join(texts)
+    return {"lengths": np.array([len(t) for t in texts], np.int64).tobytes(), "body": pa.Codec("zstd").compress(raw, asbytes=True)}
+
+
+def unfolded(lengths: bytes, body: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(lengths, np.int64)).tolist()
+    raw = pa.Codec("zstd").decompress(body, ends[-1] if ends else 0, asbytes=True)
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def offsets(ids: np.ndarray) -> tuple[int, bytes]:
+    """The smallest id, and by how much each is above it, in 4 bytes where that is enough and else in 8."""
+    base = int(ids.min()) if len(ids) else 0
+    above = ids.view(np.uint64) - np.array(base, np.int64).view(np.uint64)  # wraps, so any two longs are apart
+    return base, above.astype("<u4" if not len(above) or int(above.max()) < 1 << 32 else "<u8").tobytes()
+
+
+def from_offsets(base: int, raw: bytes, n: int) -> np.ndarray:
+    above = np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u8").astype(np.uint64)
+    return (above + np.array(base, np.int64).view(np.uint64)).view(np.int64)
+
+
+def steps(values: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers by their differences, of 3 bytes where all fit and else of 4."""
+    apart = np.diff(values, prepend=np.uint32(0)).astype("<u4")
+    return apart.tobytes() if len(apart) and int(apart.max()) >= 1 << 24 else apart.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def from_steps(raw: bytes, n: int) -> np.ndarray:
+    if len(raw) == 4 * n:
+        return np.cumsum(np.frombuffer(raw, "<u4"), dtype=np.uint32)
+    wide = np.zeros((n, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(raw, np.uint8).reshape(n, 3)
+    return np.cumsum(wide.view("<u4")[:, 0], dtype=np.uint32)
+
+
 def in_chunks(df: DataFrame, text: str, chunk_bytes: int) -> tuple[DataFrame, str]:
-    """chunk, n_bytes, docs, texts: documents that lie side by side, written once so that a chunk stays what it is."""
+    """chunk, n_bytes, docs, lengths, body: documents that lie side by side, written once so that a chunk stays what it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, texts, n, made = [], [], 0, 0
         first = TaskContext.get().partitionId() << 32
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"chunk": pa.array([first + made]), "n_bytes": pa.array([n]), "docs": pa.array([docs], pa.list_(pa.int64())), "texts": pa.array([texts], pa.list_(pa.binary()))})
+            return pa.RecordBatch.from_pylist([{"chunk": first + made, "n_bytes": n, "docs": docs, **folded(texts)}], CHUNK)
 
         for batch in by_bytes(batches):
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -105,10 +143,7 @@ def in_chunks(df: DataFrame, text: str, chunk_bytes: int) -> tuple[DataFrame, st
             yield row()
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
-    path = f"{shared_dir(df.sparkSession)}/chunks-{uuid.uuid4().hex}"
-    chunks = sent_by_bytes(rows).mapInArrow(run, "chunk long, n_bytes long, docs array<long>, texts array<binary>")
-    chunks.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(chunks.schema).parquet(path), path
+    return written(sent_by_bytes(rows).mapInArrow(run, "chunk long, n_bytes long, docs array<long>, lengths binary, body binary"), "chunks")
 
 
 def runs(sorted_: np.ndarray) -> np.ndarray:
@@ -121,18 +156,22 @@ def pairs_of(ids: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([0 if x is None else x for x in ids], np.int64), np.array([x is not None for x in ids], bool)
 
 
+ASKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n_probes", pa.int32()), ("probe", pa.binary()), ("several", pa.binary()), ("block", pa.binary()), ("base", pa.int64()), ("first", pa.binary())])
+FOUND = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("hash", pa.binary()), ("base", pa.int64()), ("first", pa.binary())])
+
+
 def probes(chunks: DataFrame, bits: int) -> DataFrame:
-    """bucket, chunk, probe, several, block, first: what a chunk asks and what it has, by buckets of the hash.
+    """bucket, chunk, n_probes, probe, several, block, base, first: what a chunk asks and what it has, by buckets of the hash.
 
-    probe: distinct hashes (32 bits beside the bucket's) of rolling windows, with a bit for those of several documents;
-    block: distinct hashes of the documents' own blocks, with the smallest doc_id.  Documents without a doc_id take no part.
+    probe: distinct hashes (32 bits beside the bucket's, by steps) of rolling windows, with a bit for those of several documents;
+    block: distinct hashes of the documents' own blocks, with the smallest doc_id (above base).  Documents without a doc_id take no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            for chunk, docs, texts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for chunk, docs, lengths, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 ids, known = pairs_of(docs)
-                texts = [t for t, k in zip(texts, known, strict=True) if k]
+                texts = [t for t, k in zip(unfolded(lengths, body), known, strict=True) if k]
                 ids = ids[known]
                 words, counts = hashed(texts, 0)
                 ok = inside(counts, BLOCK)
@@ -154,39 +193,41 @@ def probes(chunks: DataFrame, bits: int) -> DataFrame:
                 p, b = np.searchsorted(probe, cuts), np.searchsorted(block, cuts)
                 some = [i for i in range(1 << bits) if p[i] < p[i + 1]]
                 low = probe.astype(np.uint32), block.astype(np.uint32)
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(some, pa.int32()), "chunk": pa.array([chunk] * len(some), pa.int64()), "probe": pa.array([low[0][p[i] : p[i + 1]].tobytes() for i in some], pa.binary()), "several": pa.array([np.packbits(several[p[i] : p[i + 1]]).tobytes() for i in some], pa.binary()),
-                    "block": pa.array([low[1][b[i] : b[i + 1]].tobytes() for i in some], pa.binary()), "first": pa.array([first[b[i] : b[i + 1]].tobytes() for i in some], pa.binary()),
-                })
+                out = []
+                for i in some:
+                    base, above = offsets(first[b[i] : b[i + 1]])
+                    out.append({"bucket": i, "chunk": chunk, "n_probes": int(p[i + 1] - p[i]), "probe": steps(low[0][p[i] : p[i + 1]]), "several": np.packbits(several[p[i] : p[i + 1]]).tobytes(), "block": low[1][b[i] : b[i + 1]].tobytes(), "base": base, "first": above})
+                yield pa.RecordBatch.from_pylist(out, ASKED)
 
-    return sent_by_bytes(chunks.select("chunk", "docs", "texts")).mapInArrow(run, "bucket int, chunk long, probe binary, several binary, block binary, first binary")
+    return sent_by_bytes(chunks.select("chunk", "docs", "lengths", "body")).mapInArrow(run, "bucket int, chunk long, n_probes int, probe binary, several binary, block binary, base long, first binary")
 
 
 def hits(asked: DataFrame) -> DataFrame:
-    """chunk, hash, first: to each chunk those of its probes that are a block somewhere and are found in two documents or more."""
+    """chunk, bucket, hash, base, first: to each chunk those of its probes that are a block somewhere and are found in two documents or more."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
         rows = table.to_pydict()
         blocks = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["block"]])
-        firsts = np.concatenate([np.frombuffer(x, np.int64) for x in rows["first"]])
+        firsts = np.concatenate([from_offsets(base, x, len(b) // 4) for b, base, x in zip(rows["block"], rows["base"], rows["first"], strict=True)])
         by = np.lexsort((firsts, blocks))
         at = runs(blocks[by])
         index, least = blocks[by][at], firsts[by][at]
         seen = np.zeros(len(index), np.int64)
         found = []
-        for probe, several in zip(rows["probe"], rows["several"], strict=True):
-            own = np.frombuffer(probe, np.uint32)
+        for n, probe, several in zip(rows["n_probes"], rows["probe"], rows["several"], strict=True):
+            own = from_steps(probe, n)
             place = np.minimum(np.searchsorted(index, own), max(0, len(index) - 1))
             there = index[place] == own if len(index) else np.zeros(len(own), bool)
             found.append(place[there])
             seen[found[-1]] += 1 + np.unpackbits(np.frombuffer(several, np.uint8), count=len(own))[there]
-        live = [x[seen[x] > 1] for x in found]
-        some = [i for i, x in enumerate(live) if len(x)]
-        whole = index.astype(np.uint64) | np.uint64(bucket << 32)
-        return pa.table({"chunk": pa.array([rows["chunk"][i] for i in some], pa.int64()), "hash": pa.array([whole[live[i]].tobytes() for i in some], pa.binary()), "first": pa.array([least[live[i]].tobytes() for i in some], pa.binary())})
+        out = []
+        for chunk, x in zip(rows["chunk"], found, strict=True):
+            if len(x := x[seen[x] > 1]):
+                base, above = offsets(least[x])
+                out.append({"chunk": chunk, "bucket": key[0].as_py(), "hash": index[x].tobytes(), "base": base, "first": above})
+        return pa.Table.from_pylist(out, FOUND)
 
-    return asked.groupBy("bucket").applyInArrow(run, "chunk long, hash binary, first binary")
+    return asked.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, hash binary, base long, first binary")
 
 
 def kept(raw: bytes, covered: np.ndarray | None, digest: bool) -> tuple[int, str]:
@@ -208,28 +249,57 @@ def kept(raw: bytes, covered: np.ndarray | None, digest: bool) -> tuple[int, str
 
 OUT = "doc_id long, n_words long, n_removed long, kept string"
 #: of: 0 a finished document, 1 documents of a chunk with questions, 2 windows of a chunk in a bucket.
-EXTENDED = pa.schema([("of", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())), ("bucket", pa.int32()), ("windows", pa.binary())])
-#: A window on its way: two hashes, the smallest doc_id that has it beside a block, the largest that asks for it.
-WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("first", "<i8"), ("asks", "<i8")])
+EXTENDED = pa.schema([("of", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.binary()), ("body", pa.binary()), ("bucket", pa.int32()), ("base", pa.int64()), ("windows", pa.binary())])
+#: A window: hashes of 64 and 32 bits, the smallest doc_id that has it beside a block, the largest that asks for it.
+WINDOW = np.dtype([("a", "<u8"), ("b", "<u4"), ("first", "<i8"), ("asks", "<i8")])
+
+
+def moved(kind: str) -> np.dtype:
+    """A window on its way: doc_ids are above a base by one less than what is written; 0 is none."""
+    return np.dtype([("a", "<u8"), ("b", "<u4"), ("first", kind), ("asks", kind)])
+
+
+def packed(w: np.ndarray) -> tuple[int, bytes]:
+    """The smallest doc_id of some windows and their bytes, of 20 each, or of 28 after a byte that tells."""
+    refers, asks = w["first"] != NEVER, w["asks"] != -NEVER
+    base = int(np.concatenate([w["first"][refers], w["asks"][asks]]).min())
+    low = np.array(base, np.int64).view(np.uint64)
+    first, last = (np.where(there, np.ascontiguousarray(w[c]).view(np.uint64) - low + np.uint64(1), np.uint64(0)) for c, there in (("first", refers), ("asks", asks)))
+    wide = int(max(first.max(), last.max())) >= 1 << 32
+    out = np.empty(len(w), moved("<u8" if wide else "<u4"))
+    out["a"], out["b"], out["first"], out["asks"] = w["a"], w["b"], first, last
+    return base, b"w" * wide + out.tobytes()
+
+
+def unpacked(base: int, raw: bytes) -> np.ndarray:
+    got = np.frombuffer(raw, moved("<u8"), offset=1) if len(raw) % 20 else np.frombuffer(raw, moved("<u4"))
+    out = np.empty(len(got), WINDOW)
+    out["a"], out["b"] = got["a"], got["b"]
+    low = np.array(base, np.int64).view(np.uint64)
+    for c, none in (("first", NEVER), ("asks", -NEVER)):
+        above = got[c].astype(np.uint64)
+        out[c] = np.where(above > 0, (above - np.uint64(1) + low).view(np.int64), none)
+    return out
 
 
 def windows_of(texts: list[bytes], words: np.ndarray | None = None, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both hashes of the window at every place, and the texts' counts of words."""
     if words is None:
         words, counts = hashed(texts, 0)
-    return rolled(words, WIDTH, 2), rolled(hashed(texts, 1)[0], WIDTH, 3), counts
+    return rolled(words, WIDTH, 2), (rolled(hashed(texts, 1)[0], WIDTH, 3) >> np.uint64(32)).astype(np.uint32), counts
 
 
 def extended(chunks: DataFrame, replies: DataFrame, bits: int, digest: bool) -> DataFrame:
     """Around the hits of each chunk, the windows to look up; documents that have none to ask for are finished."""
 
-    def rows(chunk: int, docs: list, texts: list[bytes], found: list[dict] | None) -> list[dict]:
+    def rows(chunk: int, docs: list, lengths: bytes, body: bytes, found: list[dict] | None) -> list[dict]:
         ids, known = pairs_of(docs)
+        texts = unfolded(lengths, body)
         open_ = np.zeros(len(docs), bool)
         out = []
         if found:
-            hash_ = np.concatenate([np.frombuffer(x["hash"], np.uint64) for x in found])
-            first = np.concatenate([np.frombuffer(x["first"], np.int64) for x in found])
+            hash_ = np.concatenate([np.frombuffer(x["hash"], np.uint32).astype(np.uint64) | np.uint64(x["bucket"] << 32) for x in found])
+            first = np.concatenate([from_offsets(x["base"], x["first"], len(x["hash"]) // 4) for x in found])
             by = np.argsort(hash_)
             hash_, first = hash_[by], first[by]
             own = np.flatnonzero(known)
@@ -259,22 +329,23 @@ def extended(chunks: DataFrame, replies: DataFrame, bits: int, digest: bool) ->
                 bucket = (w["a"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(w), np.int64)
                 at = runs(bucket)
                 for i, j in zip(at, np.append(at[1:], len(w)), strict=True):
-                    out.append({"of": 2, "chunk": chunk, "bucket": int(bucket[i]), "windows": w[i:j].tobytes()})
+                    base, raw = packed(w[i:j])
+                    out.append({"of": 2, "chunk": chunk, "bucket": int(bucket[i]), "base": base, "windows": raw})
         for i in np.flatnonzero(~open_).tolist():
             n, text = kept(texts[i], None, digest)
             out.append({"of": 0, "doc_id": docs[i], "n_words": n, "kept": text})
         if open_.any():
-            out.append({"of": 1, "chunk": chunk, "docs": [docs[i] for i in np.flatnonzero(open_)], "texts": [texts[i] for i in np.flatnonzero(open_)]})
+            out.append({"of": 1, "chunk": chunk, "docs": [docs[i] for i in np.flatnonzero(open_)], **folded([texts[i] for i in np.flatnonzero(open_)])})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            for x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 yield pa.RecordBatch.from_pylist(rows(*x), EXTENDED)
 
-    gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("hash", "first")).alias("found"))  # no more than the chunk's words
-    both = chunks.select("chunk", "docs", "texts").join(gathered, "chunk", "left")
-    schema = "of int, doc_id long, n_words long, kept string, chunk long, docs array<long>, texts array<binary>, bucket int, windows binary"
+    gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "hash", "base", "first")).alias("found"))  # no more than the chunk's words
+    both = chunks.select("chunk", "docs", "lengths", "body").join(gathered, "chunk", "left")
+    schema = "of int, doc_id long, n_words long, kept string, chunk long, docs array<long>, lengths binary, body binary, bucket int, base long, windows binary"
     return sent_by_bytes(both).mapInArrow(run, schema)
 
 
@@ -289,10 +360,10 @@ def merged(w: np.ndarray) -> np.ndarray:
 
 
 def answered(asked: DataFrame) -> DataFrame:
-    """chunk, windows: to each chunk the windows it asked for that a document with a smaller doc_id has."""
+    """chunk, base, windows: to each chunk the windows it asked for that a document with a smaller doc_id has."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        own = [np.frombuffer(x, WINDOW) for x in table.column("windows").to_pylist()]
+        own = [unpacked(*x) for x in zip(table.column("base").to_pylist(), table.column("windows").to_pylist(), strict=True)]
         all_ = merged(np.concatenate(own))
         replies = []
         for w in own:
@@ -300,23 +371,23 @@ def answered(asked: DataFrame) -> DataFrame:
             while len(late := np.flatnonzero((all_["a"][place] == w["a"]) & (all_["b"][place] < w["b"]))):
                 place[late] += 1
             yes = all_["first"][place] < w["asks"]
-            reply = w[yes].copy()
-            reply["first"] = all_["first"][place[yes]]
-            replies.append(reply.tobytes())
-        some = [i for i, x in enumerate(replies) if x]
-        chunk = table.column("chunk").to_pylist()
-        return pa.table({"chunk": pa.array([chunk[i] for i in some], pa.int64()), "windows": pa.array([replies[i] for i in some], pa.binary())})
+            reply = w[yes]
+            reply["first"], reply["asks"] = all_["first"][place[yes]], -NEVER
+            replies.append(packed(reply) if len(reply) else None)
+        some = [(c, *x) for c, x in zip(table.column("chunk").to_pylist(), replies, strict=True) if x]
+        return pa.table({n: pa.array([x[i] for x in some], t) for i, (n, t) in enumerate((("chunk", pa.int64()), ("base", pa.int64()), ("windows", pa.binary())))})
 
-    return asked.groupBy("bucket").applyInArrow(run, "chunk long, windows binary")
+    return asked.groupBy("bucket").applyInArrow(run, "chunk long, base long, windows binary")
 
 
 def removed_from(open_: DataFrame, replies: DataFrame, digest: bool) -> DataFrame:
     """The documents of open chunks without the words that answered windows cover."""
 
-    def rows(docs: list[int], texts: list[bytes], found: list[bytes] | None) -> list[tuple]:
+    def rows(docs: list[int], lengths: bytes, body: bytes, found: list[dict] | None) -> list[tuple]:
+        texts = unfolded(lengths, body)
         if not found:
             return [(d, (x := kept(t, None, digest))[0], 0, x[1]) for d, t in zip(docs, texts, strict=True)]
-        known = np.concatenate([np.frombuffer(x, WINDOW) for x in found])
+        known = np.concatenate([unpacked(x["base"], x["windows"]) for x in found])
         known = known[np.lexsort((known["b"], known["a"]))]
         a, b, counts = windows_of(texts)
         place = np.minimum(np.searchsorted(known["a"], a), len(known) - 1)
@@ -337,12 +408,12 @@ def removed_from(open_: DataFrame, replies: DataFrame, digest: bool) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            for x in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
+            for x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 out = rows(*x)
                 yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    gathered = replies.groupBy("chunk").agg(F.collect_list("windows").alias("found"))
-    return sent_by_bytes(open_.join(gathered, "chunk", "left").select("chunk", "docs", "texts", "found")).mapInArrow(run, OUT)
+    gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("base", "windows")).alias("found"))
+    return sent_by_bytes(open_.join(gathered, "chunk", "left").select("docs", "lengths", "body", "found")).mapInArrow(run, OUT)
 
 
 def without_repeats(df: DataFrame, text: str = "text", digest: bool = False, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -362,6 +433,6 @@ def without_repeats(df: DataFrame, text: str = "text", digest: bool = False, chu
     both, _ = written(extended(chunks, replies, bits, digest), "extended")
     removed(spark, path)
     removed(spark, replies_path)
-    answers = answered(both.where("of = 2").select("bucket", "chunk", "windows"))
-    late = removed_from(both.where("of = 1").select("chunk", "docs", "texts"), answers, digest)
+    answers = answered(both.where("of = 2").select("bucket", "chunk", "base", "windows"))
+    late = removed_from(both.where("of = 1").select("chunk", "docs", "lengths", "body"), answers, digest)
     return both.where("of = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept").unionByName(late)

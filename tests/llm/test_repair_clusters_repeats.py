@@ -263,3 +263,21 @@ def test_pieces_and_windows():
         assert [w for p in repeats.pieces(raw, size) for w in p.split()] == raw.split()
     assert repeats.any_ahead(np.array([0, 0, 0, 1, 0], bool), 3).tolist() == [False, True, True, True, False]
     assert repeats.inside(np.array([2, 0, 3]), 2).tolist() == [True, False, True, True]
+
+
+def test_what_moves_comes_back():
+    rng = np.random.default_rng(6)
+    for ids in ([], [5], [-(1 << 62), 1 << 62], list(range(100, 90, -1)), [7, 7 + (1 << 32)]):
+        own = np.array(ids, np.int64)
+        base, raw = repeats.offsets(own)
+        assert repeats.from_offsets(base, raw, len(own)).tolist() == ids
+    for top in (50, 1 << 20, 1 << 32):
+        own = np.unique(rng.integers(0, top, 40)).astype(np.uint32)
+        assert repeats.from_steps(repeats.steps(own), len(own)).tolist() == own.tolist()
+    for top in (1000, 1 << 61):
+        w = np.empty(50, repeats.WINDOW)
+        w["a"], w["b"], w["first"], w["asks"] = (rng.integers(0, n, 50) for n in (1 << 62, 1 << 31, top, top))
+        w["first"][:10], w["asks"][5:30] = repeats.NEVER, -repeats.NEVER
+        assert repeats.unpacked(*repeats.packed(w)).tolist() == w.tolist()
+    texts = [b"", b"a b", b"\xc3\xa9"]
+    assert repeats.unfolded(*repeats.folded(texts).values()) == texts
