@@ -249,36 +249,34 @@ def kept(raw: bytes, covered: np.ndarray | None, digest: bool) -> tuple[int, str
 
 OUT = "doc_id long, n_words long, n_removed long, kept string"
 #: of: 0 a finished document, 1 documents of a chunk with questions, 2 windows of a chunk in a bucket.
-EXTENDED = pa.schema([("of", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.binary()), ("body", pa.binary()), ("bucket", pa.int32()), ("base", pa.int64()), ("windows", pa.binary())])
-#: A window: hashes of 64 and 32 bits, the smallest doc_id that has it beside a block, the largest that asks for it.
-WINDOW = np.dtype([("a", "<u8"), ("b", "<u4"), ("first", "<i8"), ("asks", "<i8")])
+EXTENDED = pa.schema([("of", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.binary()), ("body", pa.binary()), ("asks", pa.binary()), ("bucket", pa.int32()), ("top", pa.int64()), ("n_asked", pa.int32()), ("base", pa.int64()), ("windows", pa.binary())])
+ANSWERED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("yes", pa.binary()), ("base", pa.int64()), ("first", pa.binary())])
+#: A window: hashes of 64 and 32 bits, the smallest doc_id that has it beside a block, and whether its chunk asks for it.
+WINDOW = np.dtype([("a", "<u8"), ("b", "<u4"), ("first", "<i8"), ("asks", "?")])
 
 
 def moved(kind: str) -> np.dtype:
-    """A window on its way: doc_ids are above a base by one less than what is written; 0 is none."""
-    return np.dtype([("a", "<u8"), ("b", "<u4"), ("first", kind), ("asks", kind)])
+    """A window on its way: the doc_id is above a base by one less than what is written; 0 is none."""
+    return np.dtype([("a", "<u8"), ("b", "<u4"), ("first", kind)])
 
 
 def packed(w: np.ndarray) -> tuple[int, bytes]:
-    """The smallest doc_id of some windows and their bytes, of 20 each, or of 28 after a byte that tells."""
-    refers, asks = w["first"] != NEVER, w["asks"] != -NEVER
-    base = int(np.concatenate([w["first"][refers], w["asks"][asks]]).min())
-    low = np.array(base, np.int64).view(np.uint64)
-    first, last = (np.where(there, np.ascontiguousarray(w[c]).view(np.uint64) - low + np.uint64(1), np.uint64(0)) for c, there in (("first", refers), ("asks", asks)))
-    wide = int(max(first.max(), last.max())) >= 1 << 32
+    """The smallest doc_id of some windows and their bytes, of 16 each, or of 20 after a byte that tells."""
+    refers = w["first"] != NEVER
+    base = int(w["first"].min())
+    above = np.where(refers, np.ascontiguousarray(w["first"]).view(np.uint64) - np.array(base, np.int64).view(np.uint64) + np.uint64(1), np.uint64(0))
+    wide = int(above.max()) >= 1 << 32
     out = np.empty(len(w), moved("<u8" if wide else "<u4"))
-    out["a"], out["b"], out["first"], out["asks"] = w["a"], w["b"], first, last
+    out["a"], out["b"], out["first"] = w["a"], w["b"], above
     return base, b"w" * wide + out.tobytes()
 
 
-def unpacked(base: int, raw: bytes) -> np.ndarray:
-    got = np.frombuffer(raw, moved("<u8"), offset=1) if len(raw) % 20 else np.frombuffer(raw, moved("<u4"))
+def unpacked(base: int, raw: bytes, n_asked: int) -> np.ndarray:
+    got = np.frombuffer(raw, moved("<u8"), offset=1) if len(raw) % 2 else np.frombuffer(raw, moved("<u4"))
     out = np.empty(len(got), WINDOW)
-    out["a"], out["b"] = got["a"], got["b"]
-    low = np.array(base, np.int64).view(np.uint64)
-    for c, none in (("first", NEVER), ("asks", -NEVER)):
-        above = got[c].astype(np.uint64)
-        out[c] = np.where(above > 0, (above - np.uint64(1) + low).view(np.int64), none)
+    above = got["first"].astype(np.uint64)
+    out["a"], out["b"], out["asks"] = got["a"], got["b"], np.arange(len(got)) < n_asked
+    out["first"] = np.where(above > 0, (above - np.uint64(1) + np.array(base, np.int64).view(np.uint64)).view(np.int64), NEVER)
     return out
 
 
@@ -323,19 +321,23 @@ def extended(chunks: DataFrame, replies: DataFrame, bits: int, digest: bool) ->
                 w = np.empty(len(use), WINDOW)
                 w["a"], w["b"] = a[to[use]], b[to[use]]
                 w["first"] = np.where(refers[use], ids[of[use]], NEVER)
-                w["asks"] = np.where(asks[use], ids[of[use]], -NEVER)
+                w["asks"] = asks[use]
                 w = merged(w)
-                open_[np.unique(of[: len(ok)][asks])] = True
+                asking = np.unique(of[: len(ok)][asks])
+                open_[asking] = True
+                top = int(ids[asking].max()) if len(asking) else 0
+                marks = np.append(asks, np.zeros(len(of) - len(ok), bool))[open_[of]]
                 bucket = (w["a"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(w), np.int64)
                 at = runs(bucket)
                 for i, j in zip(at, np.append(at[1:], len(w)), strict=True):
-                    base, raw = packed(w[i:j])
-                    out.append({"of": 2, "chunk": chunk, "bucket": int(bucket[i]), "base": base, "windows": raw})
+                    here = np.concatenate([w[i:j][w[i:j]["asks"]], w[i:j][~w[i:j]["asks"]]])  # those asked for come first
+                    base, raw = packed(here)
+                    out.append({"of": 2, "chunk": chunk, "bucket": int(bucket[i]), "top": top, "n_asked": int(here["asks"].sum()), "base": base, "windows": raw})
         for i in np.flatnonzero(~open_).tolist():
             n, text = kept(texts[i], None, digest)
             out.append({"of": 0, "doc_id": docs[i], "n_words": n, "kept": text})
         if open_.any():
-            out.append({"of": 1, "chunk": chunk, "docs": [docs[i] for i in np.flatnonzero(open_)], **folded([texts[i] for i in np.flatnonzero(open_)])})
+            out.append({"of": 1, "chunk": chunk, "docs": [docs[i] for i in np.flatnonzero(open_)], **folded([texts[i] for i in np.flatnonzero(open_)]), "asks": np.packbits(marks).tobytes()})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +347,7 @@ def extended(chunks: DataFrame, replies: DataFrame, bits: int, digest: bool) ->
 
     gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "hash", "base", "first")).alias("found"))  # no more than the chunk's words
     both = chunks.select("chunk", "docs", "lengths", "body").join(gathered, "chunk", "left")
-    schema = "of int, doc_id long, n_words long, kept string, chunk long, docs array<long>, lengths binary, body binary, bucket int, base long, windows binary"
+    schema = "of int, doc_id long, n_words long, kept string, chunk long, docs array<long>, lengths binary, body binary, asks binary, bucket int, top long, n_asked int, base long, windows binary"
     return sent_by_bytes(both).mapInArrow(run, schema)
 
 
@@ -355,49 +357,55 @@ def merged(w: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(np.append(True, (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1]))) if len(w) else np.empty(0, np.int64)
     out = w[at]
     if len(at):
-        out["first"], out["asks"] = np.minimum.reduceat(w["first"], at), np.maximum.reduceat(w["asks"], at)
+        out["first"], out["asks"] = np.minimum.reduceat(w["first"], at), np.logical_or.reduceat(w["asks"], at)
     return out
 
 
 def answered(asked: DataFrame) -> DataFrame:
-    """chunk, base, windows: to each chunk the windows it asked for that a document with a smaller doc_id has."""
+    """chunk, bucket, yes, base, first: a bit for each window that a chunk asked for in a bucket, set if a document before its last one has it; and which."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        own = [unpacked(*x) for x in zip(table.column("base").to_pylist(), table.column("windows").to_pylist(), strict=True)]
+        rows = table.to_pydict()
+        own = [unpacked(*x) for x in zip(rows["base"], rows["windows"], rows["n_asked"], strict=True)]
         all_ = merged(np.concatenate(own))
-        replies = []
-        for w in own:
+        out = []
+        for chunk, top, n, w in zip(rows["chunk"], rows["top"], rows["n_asked"], own, strict=True):
+            w = w[:n]
             place = np.searchsorted(all_["a"], w["a"])
             while len(late := np.flatnonzero((all_["a"][place] == w["a"]) & (all_["b"][place] < w["b"]))):
                 place[late] += 1
-            yes = all_["first"][place] < w["asks"]
-            reply = w[yes]
-            reply["first"], reply["asks"] = all_["first"][place[yes]], -NEVER
-            replies.append(packed(reply) if len(reply) else None)
-        some = [(c, *x) for c, x in zip(table.column("chunk").to_pylist(), replies, strict=True) if x]
-        return pa.table({n: pa.array([x[i] for x in some], t) for i, (n, t) in enumerate((("chunk", pa.int64()), ("base", pa.int64()), ("windows", pa.binary())))})
+            first = all_["first"][place]
+            yes = first < top
+            if yes.any():
+                base, above = offsets(np.ascontiguousarray(first[yes]))
+                out.append({"chunk": chunk, "bucket": key[0].as_py(), "yes": np.packbits(yes).tobytes(), "base": base, "first": above})
+        return pa.Table.from_pylist(out, ANSWERED)
 
-    return asked.groupBy("bucket").applyInArrow(run, "chunk long, base long, windows binary")
+    return asked.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, yes binary, base long, first binary")
 
 
-def removed_from(open_: DataFrame, replies: DataFrame, digest: bool) -> DataFrame:
+def removed_from(open_: DataFrame, replies: DataFrame, bits: int, digest: bool) -> DataFrame:
     """The documents of open chunks without the words that answered windows cover."""
 
-    def rows(docs: list[int], lengths: bytes, body: bytes, found: list[dict] | None) -> list[tuple]:
+    def rows(docs: list[int], lengths: bytes, body: bytes, asks: bytes, found: list[dict] | None) -> list[tuple]:
         texts = unfolded(lengths, body)
         if not found:
             return [(d, (x := kept(t, None, digest))[0], 0, x[1]) for d, t in zip(docs, texts, strict=True)]
-        known = np.concatenate([unpacked(x["base"], x["windows"]) for x in found])
-        known = known[np.lexsort((known["b"], known["a"]))]
         a, b, counts = windows_of(texts)
-        place = np.minimum(np.searchsorted(known["a"], a), len(known) - 1)
-        while len(late := np.flatnonzero((known["a"][place] == a) & (known["b"][place] < b) & (place + 1 < len(known)))):
-            place[late] += 1
-        ids = np.repeat(np.array(docs, np.int64), counts)[: len(a)]
-        hit = (known["a"][place] == a) & (known["b"][place] == b) & (known["first"][place] < ids) & inside(counts, WIDTH)
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(asks, np.uint8), count=int(counts.sum())))
+        at = at[np.lexsort((b[at], a[at]))]
+        # The distinct windows asked for, in the order in which they were sent: by buckets, which are the first bits of a.
+        new = np.append(True, (a[at][1:] != a[at][:-1]) | (b[at][1:] != b[at][:-1]))
+        known = a[at][new]
+        first = np.full(len(known), NEVER)
+        for x in found:
+            low, high = (int(np.searchsorted(known, np.uint64(k << (64 - bits)))) if k >> bits == 0 else len(known) for k in (x["bucket"], x["bucket"] + 1)) if bits else (0, len(known))
+            yes = low + np.flatnonzero(np.unpackbits(np.frombuffer(x["yes"], np.uint8), count=high - low))
+            first[yes] = from_offsets(x["base"], x["first"], len(yes))
+        hit = at[first[np.cumsum(new) - 1] < np.repeat(np.array(docs, np.int64), counts)[at]]
         turns = np.zeros(int(counts.sum()) + 1, np.int64)
-        turns[: len(hit)] += hit
-        turns[WIDTH : WIDTH + len(hit)] -= hit
+        turns[hit] += 1
+        turns[hit + WIDTH] -= 1
         covered = np.cumsum(turns)[:-1] > 0
         out = []
         for doc, raw, part in zip(docs, texts, np.split(covered, np.cumsum(counts)[:-1]), strict=True):
@@ -408,12 +416,12 @@ def removed_from(open_: DataFrame, replies: DataFrame, digest: bool) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            for x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 out = rows(*x)
                 yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("base", "windows")).alias("found"))
-    return sent_by_bytes(open_.join(gathered, "chunk", "left").select("docs", "lengths", "body", "found")).mapInArrow(run, OUT)
+    gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "yes", "base", "first")).alias("found"))
+    return sent_by_bytes(open_.join(gathered, "chunk", "left").select("docs", "lengths", "body", "asks", "found")).mapInArrow(run, OUT)
 
 
 def without_repeats(df: DataFrame, text: str = "text", digest: bool = False, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -433,6 +441,6 @@ def without_repeats(df: DataFrame, text: str = "text", digest: bool = False, chu
     both, _ = written(extended(chunks, replies, bits, digest), "extended")
     removed(spark, path)
     removed(spark, replies_path)
-    answers = answered(both.where("of = 2").select("bucket", "chunk", "base", "windows"))
-    late = removed_from(both.where("of = 1").select("chunk", "docs", "lengths", "body"), answers, digest)
+    answers = answered(both.where("of = 2").select("bucket", "chunk", "top", "n_asked", "base", "windows"))
+    late = removed_from(both.where("of = 1").select("chunk", "docs", "lengths", "body", "asks"), answers, bits, digest)
     return both.where("of = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept").unionByName(late)

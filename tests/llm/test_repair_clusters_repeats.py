@@ -276,8 +276,9 @@ def test_what_moves_comes_back():
         assert repeats.from_steps(repeats.steps(own), len(own)).tolist() == own.tolist()
     for top in (1000, 1 << 61):
         w = np.empty(50, repeats.WINDOW)
-        w["a"], w["b"], w["first"], w["asks"] = (rng.integers(0, n, 50) for n in (1 << 62, 1 << 31, top, top))
-        w["first"][:10], w["asks"][5:30] = repeats.NEVER, -repeats.NEVER
-        assert repeats.unpacked(*repeats.packed(w)).tolist() == w.tolist()
+        w["a"], w["b"], w["first"], w["asks"] = (rng.integers(0, n, 50) for n in (1 << 62, 1 << 31, top, 1))
+        w["first"][:10], w["asks"][:30] = repeats.NEVER, True
+        assert repeats.unpacked(*repeats.packed(w), 30).tolist() == w.tolist()
+        assert (repeats.unpacked(*repeats.packed(w[:10]), 10)["first"] == repeats.NEVER).all()
     texts = [b"", b"a b", b"\xc3\xa9"]
     assert repeats.unfolded(*repeats.folded(texts).values()) == texts
