@@ -85,6 +85,26 @@ def area_confusion(reference: DataFrame, sims: DataFrame, limit_ref: float, limi
     return all_.select(*keys, "tp", "fp", (F.col("n_ref") - F.col("tp")).alias("fn"), "a_tp", "a_fp", (F.col("a_ref") - F.col("a_tp")).alias("a_fn"))
 
 
+def area_confusion_within(reference: DataFrame, sims: DataFrame, grid: DataFrame, limit_ref: float, limit_sim: float, keys: tuple[str, ...] = ("sim_name",), on: tuple[str, ...] = ("r", "c")) -> DataFrame:
+    """Per simulation TP, FP, FN, TN and their areas over the cells of grid (on, cell_area); cells outside it do not count.
+
+    grid is the area that is analysed: a crop of the raster, or the nodes of the path grid (on = path_id, i_s, i_l) from the
+    start of the runout area on.  FP is reference not affected, simulation affected; what is in grid and affected in neither
+    is TN, also where a raster has no cell.  Only affected cells are joined; TN follows from the totals of grid.
+    """
+    area = grid.groupBy(*on).agg(F.max("cell_area").alias("cell_area"))
+    ref = reference.where(above(F.col("value"), limit_ref)).select(*on).distinct().withColumn("in_ref", F.lit(True))
+    hit = sims.where(above(F.col("value"), limit_sim)).select(*keys, *on).distinct().join(area, list(on)).join(ref, list(on), "left")
+    part = lambda c, n: (F.count_if(c).alias(n), F.coalesce(F.sum(F.when(c, F.col("cell_area"))), F.lit(0.0)).alias(f"a_{n}"))
+    in_ref = F.coalesce("in_ref", F.lit(False))
+    got = hit.groupBy(*keys).agg(*part(in_ref, "tp"), *part(~in_ref, "fp"))
+    known = area.join(ref, list(on), "left")
+    total = known.agg(*part(in_ref, "ref"), *part(F.lit(True), "all"))
+    full = sims.select(*keys).distinct().join(got, list(keys), "left").fillna(0).join(F.broadcast(total))  # one row
+    fn, tn = (lambda p: F.col(f"{p}ref") - F.col(f"{p}tp")), (lambda p: F.col(f"{p}all") - F.col(f"{p}ref") - F.col(f"{p}fp"))
+    return full.select(*keys, "tp", "fp", fn("").alias("fn"), tn("").alias("tn"), "a_tp", "a_fp", fn("a_").alias("a_fn"), tn("a_").alias("a_tn"))
+
+
 def differences(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("r", "c")) -> DataFrame:
     """keys, diff = a - b where at least one value is not 0; a missing value counts as 0."""
     both = a.select(*keys, F.col("value").alias("va")).join(b.select(*keys, F.col("value").alias("vb")), list(keys), "full_outer")

@@ -6,6 +6,7 @@ Neighbours come from equi-joins on cell keys or from windows along rows and colu
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,43 @@ def grid_of(cells: DataFrame, nrows: int, ncols: int) -> DataFrame:
     return n.select(F.floor(F.col("id") / ncols).cast("int").alias("r"), (F.col("id") % ncols).cast("int").alias("c"))
 
 
+#: Places of a grid that one row stands for while grids are made for many keys.
+PLACES = 1 << 12
+
+
+def places_of(cells: DataFrame, keys: tuple[str, ...], nrows: int, ncols: int) -> DataFrame:
+    """keys, r, c of every place of a grid for each key found in cells, made on the executors in blocks of PLACES."""
+    if not keys:
+        return grid_of(cells, nrows, ncols)
+    n = nrows * ncols
+    blocks = cells.select(*keys).distinct().withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // PLACES).cast("long")))).repartition(*keys, "_b")
+    first = F.col("_b") * PLACES
+    each = blocks.withColumn("_i", F.explode(F.sequence(first, F.least(first + PLACES, F.lit(n)) - 1)))
+    return each.select(*keys, F.floor(F.col("_i") / ncols).cast("int").alias("r"), (F.col("_i") % ncols).cast("int").alias("c"))
+
+
+def between(lo: Column, hi: Column, n: int) -> Column:
+    """A row for each whole number from lo to hi (both a little widened) that is a row or column of n."""
+    first, last = F.greatest(F.lit(0), F.ceil(lo - 1e-6)).cast("int"), F.least(F.lit(n - 1), F.floor(hi + 1e-6)).cast("int")
+    return F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
+
+
+def bilinear_onto(cells: DataFrame, shape: tuple[int, int], to: tuple[int, int], rows: tuple[Column, Column], columns: tuple[Column, Column], at: tuple[Column, Column], keys: tuple[str, ...]) -> DataFrame:
+    """keys, r, c, value of a whole grid `to`, bilinear between cells of a grid `shape`; null where a corner is missing or outside.
+
+    Each cell goes to the new places about it: rows and columns bound them, at = (row, column) says where place (_r, _c) lies
+    in the old grid.  Shares are summed before the one exchange that carries values; places come in blocks.
+    """
+    near = cells.where("value is not null").select(*keys, "r", "c", "value").withColumn("_r", between(*rows, to[0])).withColumn("_c", between(*columns, to[1]))
+    ly, lx = at
+    dr, dc, fy, fx = F.col("r") - F.floor(ly), F.col("c") - F.floor(lx), ly - F.floor(ly), lx - F.floor(lx)
+    inside = (lx >= 0) & (lx < shape[1] - 1) & (ly >= 0) & (ly < shape[0] - 1) & dr.isin(0, 1) & dc.isin(0, 1)
+    # A share for each corner, added in one order, so that the sum is the same in every run.
+    share = {(i, j): F.sum(F.when((dr == i) & (dc == j), (fy if i else 1 - fy) * (fx if j else 1 - fx) * F.col("value"))) for i in (0, 1) for j in (0, 1)}
+    sums = near.where(inside).groupBy(*keys, F.col("_r").alias("r"), F.col("_c").alias("c")).agg(reduce(lambda a, b: a + b, share.values()).alias("value"))
+    return places_of(cells, keys, *to).join(sums, [*keys, "r", "c"], "left").select(*keys, "r", "c", "value")
+
+
 def corner_weights(points: DataFrame, nrows: int, ncols: int, xll: float = 0.0, yll: float = 0.0, cellsize: float = 1.0) -> DataFrame:
     """points with r, c, w of the four cells about each, by bilinear weights; points outside the grid are left out."""
     lx, ly = (F.col("x") - xll) / cellsize, (F.col("y") - yll) / cellsize
@@ -57,10 +95,10 @@ def resample_to_reference(cells: DataFrame, own: tuple[int, int, float, float, f
     if own == reference:
         return cells
     nrows, ncols, xll, yll, size = reference
-    places = cells.select(*keys).distinct().join(F.broadcast(grid_of(cells, nrows, ncols))) if keys else grid_of(cells, nrows, ncols)  # one grid
-    points = places.select(*keys, F.col("r").alias("to_r"), F.col("c").alias("to_c"), (xll + F.col("c") * size).alias("x"), (yll + F.col("r") * size).alias("y"))
-    got = sample_raster_at_points(points, cells, *own, keys=keys)
-    return got.select(*keys, F.col("to_r").alias("r"), F.col("to_c").alias("c"), "value")
+    ratio, x0, y0 = own[4] / size, (own[2] - xll) / size, (own[3] - yll) / size
+    about = lambda c, o: (o + (F.col(c) - 1) * ratio, o + (F.col(c) + 1) * ratio)
+    at = ((yll + F.col("_r") * size - own[3]) / own[4], (xll + F.col("_c") * size - own[2]) / own[4])
+    return bilinear_onto(cells, own[:2], (nrows, ncols), about("r", y0), about("c", x0), at, keys)
 
 
 def cubic_weight(d: Column) -> Column:
@@ -69,30 +107,42 @@ def cubic_weight(d: Column) -> Column:
     return F.when(d <= 1, 1.5 * d**3 - 2.5 * d**2 + 1).when(d < 2, -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2).otherwise(0.0)
 
 
-def remesh(cells: DataFrame, nrows: int, ncols: int, cellsize: float, new_cellsize: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Cells of a new size over the same lower left centre, cubic; the grid's size is truncated.
+def remeshed_shape(nrows: int, ncols: int, cellsize: float, new_cellsize: float, larger: bool = False) -> tuple[int, int]:
+    """Rows and columns of a grid of another cell size over the same lower left centre; with larger one more of both if columns would end short."""
+    n_r, n_c = int((nrows - 1) * cellsize / new_cellsize) + 1, int((ncols - 1) * cellsize / new_cellsize) + 1
+    more = int(larger and (n_c - 1) * new_cellsize < (ncols - 1) * cellsize)
+    return n_r + more, n_c + more
+
+
+def remesh(cells: DataFrame, nrows: int, ncols: int, cellsize: float, new_cellsize: float, keys: tuple[str, ...] = (), larger: bool = False) -> DataFrame:
+    """Cells of a new size over the same lower left centre, cubic; the grid's size is truncated, or with larger covers the old one.
 
     Each cell adds to the new nodes within two cells of it; a node without all its 16 neighbours (at edges or gaps) takes
     the weighted mean of those it has, and none if they weigh under one half.
     """
     ratio = new_cellsize / cellsize
-    n_r, n_c = int((nrows - 1) / ratio) + 1, int((ncols - 1) / ratio) + 1
+    n_r, n_c = remeshed_shape(nrows, ncols, cellsize, new_cellsize, larger)
     first = lambda c: F.greatest(F.lit(0), F.ceil((F.col(c) - 2) / ratio))
     last = lambda c, n: F.least(F.lit(n - 1), F.floor((F.col(c) + 2) / ratio))
-    near = cells.where("value is not null").withColumn("_r", F.explode(F.sequence(first("r"), last("r", n_r)))).withColumn("_c", F.explode(F.sequence(first("c"), last("c", n_c))))
+    span = lambda c, n: F.explode(F.when(last(c, n) >= first(c), F.sequence(first(c), last(c, n))).otherwise(F.array().cast("array<bigint>")))
+    near = cells.where("value is not null").withColumn("_r", span("r", n_r)).withColumn("_c", span("c", n_c))
     w = cubic_weight(F.col("_r") * ratio - F.col("r")) * cubic_weight(F.col("_c") * ratio - F.col("c"))
     sums = near.withColumn("w", w).groupBy(*keys, "_r", "_c").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("value")).alias("wv"))
     return sums.where("w >= 0.5").select(*keys, F.col("_r").cast("int").alias("r"), F.col("_c").cast("int").alias("c"), (F.col("wv") / F.col("w")).alias("value"))
 
 
-def rotate_raster(cells: DataFrame, nrows: int, ncols: int, degrees: float, cellsize: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
+def rotate_raster(cells: DataFrame, nrows: int, ncols: int, degrees: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """The raster turned counter-clockwise about the lower left centre, sampled bilinearly on its own grid."""
     a = math.radians(degrees)
-    x, y = F.col("c") * cellsize, F.col("r") * cellsize
-    places = cells.select(*keys).distinct().join(F.broadcast(grid_of(cells, nrows, ncols))) if keys else grid_of(cells, nrows, ncols)
-    points = places.select(*keys, F.col("r").alias("to_r"), F.col("c").alias("to_c"), (x * math.cos(a) + y * math.sin(a)).alias("x"), (-x * math.sin(a) + y * math.cos(a)).alias("y"))
-    got = sample_raster_at_points(points, cells, nrows, ncols, cellsize=cellsize, keys=keys)
-    return got.select(*keys, F.col("to_r").alias("r"), F.col("to_c").alias("c"), "value")
+    return turned(cells, nrows, ncols, F.lit(math.cos(a)), F.lit(math.sin(a)), keys)
+
+
+def turned(cells: DataFrame, nrows: int, ncols: int, cos: Column, sin: Column, keys: tuple[str, ...]) -> DataFrame:
+    """bilinear_onto the same grid turned by an angle, which may differ from row to row (columns _cos and _sin, the same for a key)."""
+    reach = F.abs(cos) + F.abs(sin)
+    row, column = F.col("c") * sin + F.col("r") * cos, F.col("c") * cos - F.col("r") * sin
+    at = (-F.col("_c") * sin + F.col("_r") * cos, F.col("_c") * cos + F.col("_r") * sin)
+    return bilinear_onto(cells, (nrows, ncols), (nrows, ncols), (row - reach, row + reach), (column - reach, column + reach), at, keys)
 
 
 def surface_normals(dem: DataFrame, cellsize: float = 1.0) -> DataFrame:
@@ -296,9 +346,6 @@ def profile_at_line(line: DataFrame, cells: DataFrame, dem: DataFrame, nrows: in
 def rotate_results(cells: DataFrame, angles: DataFrame, nrows: int, ncols: int, reference: float = 0.0) -> DataFrame:
     """Every simulation's rasters turned by its own angle (sim_name, degrees) less that of the reference."""
     a = F.radians(F.col("degrees") - reference)
-    x, y = F.col("c").cast("double"), F.col("r").cast("double")
-    turned = angles.select("sim_name", F.cos(a).alias("cos"), F.sin(a).alias("sin"))
-    places = cells.select("sim_name", "res_type").distinct().join(turned, "sim_name").join(F.broadcast(grid_of(cells, nrows, ncols)))  # one grid
-    points = places.select("sim_name", "res_type", F.col("r").alias("to_r"), F.col("c").alias("to_c"), (x * F.col("cos") + y * F.col("sin")).alias("x"), (-x * F.col("sin") + y * F.col("cos")).alias("y"))
-    got = sample_raster_at_points(points, cells, nrows, ncols, keys=("sim_name", "res_type"))
-    return got.select("sim_name", "res_type", F.col("to_r").alias("r"), F.col("to_c").alias("c"), "value")
+    on = cells.join(angles.select("sim_name", F.cos(a).alias("_cos"), F.sin(a).alias("_sin")), "sim_name")
+    keys = ("sim_name", "res_type", "_cos", "_sin")
+    return turned(on, nrows, ncols, F.col("_cos"), F.col("_sin"), keys).select("sim_name", "res_type", "r", "c", "value")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowgrid.functions.ranks import percentiles
-from flowgrid.functions.vectors import half_even, norm
+from flowgrid.functions.vectors import above, half_even, norm
 from flowgrid.sources.shared import kept
 
 
@@ -29,6 +33,23 @@ def mass_averaged_path(particles: DataFrame, columns: tuple[str, ...] = ("x", "y
     return sums.where("w > 0").select(*keys, *out, (0.5 * F.col("w") * (F.col("_u2") + mean("u2"))).alias("e_kin"))
 
 
+def mass_averaged_path_of_fields(fields: DataFrame, dem: DataFrame, cellsize: float = 1.0) -> DataFrame:
+    """Per simulation and time the mass-averaged path from rasters instead of particles: x, y, z, u2, ekin and their deviations, e_kin, s.
+
+    fields: sim_name, t, r, c, ft (thickness), fm (mass), fv (speed); cells count where ft > 0 and mass and speed are there.
+    x and y are from the lower left centre; s is the distance along the path in the plane; ekin is the mass-averaged kinetic
+    energy of a cell, e_kin that of all.  Cells without terrain are left out.
+    """
+    flowing = fields.where(above(F.col("ft"), 0.0) & F.col("fm").isNotNull() & F.col("fv").isNotNull()).join(dem.select("r", "c", "z"), ["r", "c"])
+    x, y = F.col("c") * float(cellsize), F.col("r") * float(cellsize)
+    none = F.lit(0.0)
+    rows = flowing.select("sim_name", "t", x.alias("x"), y.alias("y"), "z", F.col("fm").alias("m"), F.col("fv").alias("ux"), none.alias("uy"), none.alias("uz"), (0.5 * F.col("fm") * F.col("fv") ** 2).alias("ekin"))
+    mean = mass_averaged_path(rows, ("x", "y", "z", "ekin"))
+    own = Window.partitionBy("sim_name").orderBy("t")
+    step = F.sqrt((F.col("x") - F.lag("x").over(own)) ** 2 + (F.col("y") - F.lag("y").over(own)) ** 2)
+    return mean.withColumn("_d", F.coalesce(step, F.lit(0.0))).withColumn("s", F.sum("_d").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
+
+
 def velocity_envelope_time(particles: DataFrame) -> DataFrame:
     """Per simulation and time: maximum, minimum, mean and median speed, largest and smallest trajectory length."""
     own = particles.withColumn("v", norm((F.col("ux"), F.col("uy"), F.col("uz"))))
@@ -45,7 +66,9 @@ def velocity_envelope_thalweg(particles: DataFrame, step: float) -> DataFrame:
     own = particles.select("sim_name", F.floor(F.col("s") / step).alias("i_s"), v.alias("v"), "z")
     counts = own.groupBy("sim_name", "i_s", "v").agg(F.count("*").alias("n"), F.sum("z").alias("z"))
     total = F.sum("n")
-    return counts.groupBy("sim_name", "i_s").agg(F.max("v").alias("v_max"), F.min("v").alias("v_min"), (F.sum(F.col("v") * F.col("n")) / total).alias("v_mean"), F.percentile("v", F.lit(0.5), F.col("n")).alias("v_median"), (F.sum("z") / total).alias("z_mean"))
+    # Speeds are whole millionths, so their sum is exact in whatever order it is taken.
+    mean = F.sum(F.round(F.col("v") * 1e6).cast("long") * F.col("n")) / total / 1e6
+    return counts.groupBy("sim_name", "i_s").agg(F.max("v").alias("v_max"), F.min("v").alias("v_min"), mean.alias("v_mean"), F.percentile("v", F.lit(0.5), F.col("n")).alias("v_median"), (F.sum("z") / total).alias("z_mean"))
 
 
 def track_particles(particles: DataFrame, x: float, y: float, radius: float) -> DataFrame:
@@ -55,11 +78,20 @@ def track_particles(particles: DataFrame, x: float, y: float, radius: float) ->
     return particles.join(parents, ["sim_name", "parent_id"], "left_semi")
 
 
-def particle_time_arrays(particles: DataFrame, column: str) -> DataFrame:
-    """sim_name, t, n, values of a column in the order of ids, and whether the number of particles is that of the first time."""
-    own = particles.groupBy("sim_name", "t").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("id", column))), lambda x: x[column]).alias("values"))
+def particle_time_arrays(particles: DataFrame, column: str, width: int | None = None) -> DataFrame:
+    """sim_name, t, n, values of a column in the order of ids, and whether the number of particles is that of the first time.
+
+    With width a row holds the particles of `width` ids (chunk = floor(id / width)), so a snapshot of any size is spread
+    over rows; n is still that of the whole snapshot.
+    """
+    part = [] if width is None else ["chunk"]
+    numbered = particles if width is None else particles.withColumn("chunk", F.floor(F.col("id") / width))
+    own = numbered.groupBy("sim_name", "t", *part).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("id", column))), lambda x: x[column]).alias("values"))
     first = F.first("n").over(Window.partitionBy("sim_name").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return own.withColumn("same_count", F.col("n") == first)
+    if width is None:
+        return own.withColumn("same_count", F.col("n") == first)
+    whole = own.groupBy("sim_name", "t").agg(F.sum("n").alias("n"))
+    return own.drop("n").join(whole.withColumn("same_count", F.col("n") == first), ["sim_name", "t"]).select("sim_name", "t", "chunk", "n", "values", "same_count")
 
 
 def travel_angle(particles: DataFrame) -> DataFrame:
@@ -74,15 +106,46 @@ def particles_to_fields(particles: DataFrame, cellsize: float, rho: float = 200.
 
     Weights are bilinear, so the mass is kept; sums are partial before the exchange, which also evens out full cells.
     """
+    full = all_particle_fields(particles, cellsize, rho)
+    return full.where("mass > 0").select("sim_name", "t", "r", "c", "mass", "ft", "v", "p", "ke")
+
+
+def all_particle_fields(particles: DataFrame, cellsize: float, rho: float = 200.0, rho_ent: float = 100.0, area: DataFrame | None = None, stopped: DataFrame | None = None) -> DataFrame:
+    """Per simulation, time and node everything that particles leave on the grid.
+
+    mass, m_det, m_ent, m_stop, thickness ft, vx, vy, vz, speed v, pressure p, kinetic energy ke, travel angle ta, and the
+    changes of the surface ft_det, ft_ent (with rho_ent) and ft_stop.  Two footprints go through one exchange: a particle adds
+    bilinear shares of m, dm_det, dm_ent and momentum to its four nodes, and its travel_angle to the maximum of the nearest
+    node (halves upwards).  Columns dm_det, dm_ent and travel_angle count as 0 where particles has none or nulls.
+
+    area: r, c, area of each cell on the surface, without it cellsize^2; nodes that it lacks are left out.
+    stopped: sim_name, t, x, y, m of particles that came to rest; their mass counts for m_stop and ft_stop only.
+    """
+    given = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in particles.columns else F.lit(0.0)
+    place = ["sim_name", "t", "x", "y"]
+    shares = ("mass", "m_det", "m_ent", "m_stop", "ux", "uy", "uz")
+    m = F.col("m")
+    rows = particles.select(*place, m.alias("mass"), given("dm_det").alias("m_det"), given("dm_ent").alias("m_ent"), F.lit(0.0).alias("m_stop"), *[(m * F.col(u)).alias(u) for u in ("ux", "uy", "uz")], given("travel_angle").alias("ta"))
+    if stopped is not None:
+        rest = stopped.select(*place, *[(F.col("m") if c == "m_stop" else F.lit(0.0)).alias(c) for c in shares], F.lit(0.0).alias("ta"))
+        rows = rows.unionByName(rest)
     lx, ly = F.col("x") / cellsize, F.col("y") / cellsize
     fx, fy = lx - F.floor(lx), ly - F.floor(ly)
-    node = lambda i, j: F.struct((F.floor(ly) + i).cast("int").alias("r"), (F.floor(lx) + j).cast("int").alias("c"), ((fy if i else 1 - fy) * (fx if j else 1 - fx)).alias("w"))
-    each = particles.select("sim_name", "t", "m", "ux", "uy", "uz", F.explode(F.array(*[node(i, j) for i in (0, 1) for j in (0, 1)])).alias("k")).where("k.w > 0")
-    mw = F.col("m") * F.col("k.w")
-    sums = each.groupBy("sim_name", "t", F.col("k.r").alias("r"), F.col("k.c").alias("c")).agg(F.sum(mw).alias("mass"), *[F.sum(mw * F.col(u)).alias(u) for u in ("ux", "uy", "uz")])
-    speed = norm((F.col("ux"), F.col("uy"), F.col("uz"))) / F.col("mass")
-    out = sums.withColumn("v", speed)
-    return out.select("sim_name", "t", "r", "c", "mass", (F.col("mass") / (cellsize**2 * rho)).alias("ft"), "v", (rho * F.col("v") ** 2).alias("p"), (0.5 * F.col("mass") * F.col("v") ** 2).alias("ke"))
+    near = (F.floor(ly + 0.5).cast("int"), F.floor(lx + 0.5).cast("int"))
+
+    def node(i: int, j: int) -> Column:
+        r, c = (F.floor(ly) + i).cast("int"), (F.floor(lx) + j).cast("int")
+        return F.struct(r.alias("r"), c.alias("c"), ((fy if i else 1 - fy) * (fx if j else 1 - fx)).alias("w"), ((r == near[0]) & (c == near[1])).alias("nearest"))
+
+    each = rows.withColumn("k", F.explode(F.array(*[node(i, j) for i in (0, 1) for j in (0, 1)]))).where("k.w > 0")
+    sums = each.groupBy("sim_name", "t", F.col("k.r").alias("r"), F.col("k.c").alias("c")).agg(*[F.sum(F.col("k.w") * F.col(x)).alias(x) for x in shares], F.coalesce(F.max(F.when(F.col("k.nearest"), F.col("ta"))), F.lit(0.0)).alias("ta"))
+    on = sums.withColumn("area", F.lit(float(cellsize) ** 2)) if area is None else sums.join(area.select("r", "c", "area"), ["r", "c"])
+    per_mass = lambda u: F.coalesce(F.try_divide(u, "mass"), F.lit(0.0))
+    v = F.coalesce(F.try_divide(norm((F.col("ux"), F.col("uy"), F.col("uz"))), F.col("mass")), F.lit(0.0))
+    on = on.withColumns({f"v{a}": per_mass(f"u{a}") for a in "xyz"}).withColumn("v", v)
+    unit = F.col("area") * rho
+    change = lambda c, by: ((0.0 - F.col(c)) / by).alias(f"ft_{c[2:]}")
+    return on.select("sim_name", "t", "r", "c", "mass", "m_det", "m_ent", "m_stop", (F.col("mass") / unit).alias("ft"), "vx", "vy", "vz", "v", (rho * F.col("v") ** 2).alias("p"), (0.5 * F.col("mass") * F.col("v") ** 2).alias("ke"), "ta", change("m_det", unit), change("m_ent", F.col("area") * rho_ent), (F.col("m_stop") / unit).alias("ft_stop"))
 
 
 def particles_per_cell(particles: DataFrame, cellsize: float, ncols: int) -> DataFrame:
@@ -169,24 +232,65 @@ def path_visit_layers(visits: DataFrame) -> DataFrame:
     return per.groupBy("r", "c").agg(F.max("z_delta").alias("z_delta"), F.max("flux").alias("flux"), F.sum("flux_sum").alias("flux_sum"), F.sum("dep_sum").alias("dep_sum"), *[f(f"{c}_{n}").alias(f"{c}_{n}") for c in ("fp_gamma", "sl_gamma", "dist") for n, f in (("max", F.max), ("min", F.min))], F.count("*").alias("n_starts"), F.sum("z_delta").alias("z_delta_sum"))
 
 
-def backtrack_max(edges: DataFrame, values: DataFrame) -> DataFrame:
+def improved(found: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """Rows of found (start_id, node, value, one for each node) that are above the largest value in tables, or new to them."""
+    known = reduce(DataFrame.union, tables).join(found.select("start_id", "node"), ["start_id", "node"], "left_semi").groupBy("start_id", "node").agg(F.max("value").alias("_v"))
+    return found.join(known, ["start_id", "node"], "left").where("_v is null or value > _v").select("start_id", "node", "value")
+
+
+def spread_in_blocks(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """start_id, node, value of the nodes that rise when values go up the links (node, down) within each block until nothing changes.
+
+    A group is one block of one start: its nodes and the links between them, bounded by the block's size.
+    """
+
+    def run(key: tuple, own: pd.DataFrame, up: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate([own["node"], up["node"], up["down"]]))
+        value = np.full(len(ids), -np.inf)
+        value[np.searchsorted(ids, own["node"])] = own["value"]
+        to, of, before = np.searchsorted(ids, up["node"]), np.searchsorted(ids, up["down"]), value.copy()
+        while True:
+            new = value.copy()
+            np.maximum.at(new, to, value[of])
+            if (new == value).all():
+                break
+            value = new
+        rose = value > before
+        return pd.DataFrame({"start_id": key[0], "node": ids[rose], "value": value[rose]})
+
+    kind = nodes.schema["start_id"].dataType.simpleString()
+    return nodes.groupBy("start_id", "block").cogroup(links.groupBy("start_id", "block")).applyInPandas(run, f"start_id {kind}, node long, value double")
+
+
+def backtrack_max(edges: DataFrame, values: DataFrame, block: int = 256) -> DataFrame:
     """start_id, node, value: the largest value of a node and of all nodes downstream of it on its path.
 
-    Round k takes over the values of the nodes 2^k steps further down and joins these links with themselves, so a path
-    is covered after the logarithm of its length in rounds.  They end when no link is left, or, where edges lead back,
-    when the links span more steps than any start has nodes.  Each round is written to the shared folder.
+    Values travel by frontier: a round takes only the nodes whose value rose in the round before.  It spreads them within
+    blocks of `block` node numbers, to the end, and over the edges that leave a block by one step; what rises there is the
+    next frontier.  So a path takes as many rounds as it changes blocks, and circles end when nothing rises.  Each round's
+    rises are a table of their own in the shared folder; at every eighth they are put together.  Nodes are whole numbers;
+    missing and NaN values and edges without an end are left out; a node that nothing reaches and has no value is not there.
     """
-    links = kept(edges.select("start_id", F.col("parent").alias("node"), F.col("child").alias("down")).where("node is not null and down is not null").distinct(), "links")
-    state = kept(values.select("start_id", "node", "value"), "values")
-    nodes = links.select("start_id", "node").union(links.select("start_id", "down")).distinct().groupBy("start_id").count().agg(F.max("count")).first()[0] or 0
-    span = 1
-    while span <= nodes and not links.isEmpty():
-        below = links.join(state.withColumnRenamed("node", "down"), ["start_id", "down"]).select("start_id", "node", "value")
-        state = kept(state.union(below).groupBy("start_id", "node").agg(F.max("value").alias("value")), "values")
-        on = links.select("start_id", F.col("node").alias("down"), F.col("down").alias("further"))
-        links = kept(links.join(on, ["start_id", "down"]).select("start_id", "node", F.col("further").alias("down")).distinct(), "links")
-        span *= 2
-    return state.groupBy("start_id", "node").agg(F.max("value").alias("value"))
+    of = lambda c: F.floor(F.col(c) / block)
+    links = edges.select("start_id", F.col("parent").cast("long").alias("node"), F.col("child").cast("long").alias("down")).where("node is not null and down is not null and node <> down").distinct()
+    links = kept(links.withColumn("block", of("node")).withColumn("same", of("node") == of("down")), "links")
+    inner, outer = links.where("same").drop("same"), links.where("not same").select("start_id", "node", "down")
+    own = values.select("start_id", F.col("node").cast("long").alias("node"), F.col("value").cast("double").alias("value")).where("value is not null and not isnan(value)")
+    base, risen = kept(own.groupBy("start_id", "node").agg(F.max("value").alias("value")), "values"), []
+    fresh = base
+    while not fresh.isEmpty():
+        touched = fresh.select("start_id", of("node").alias("block")).distinct()
+        here = ["start_id", "block"]
+        current = reduce(DataFrame.union, [base, *risen]).withColumn("block", of("node")).join(touched, here, "left_semi").groupBy("start_id", "block", "node").agg(F.max("value").alias("value"))
+        spread = kept(spread_in_blocks(current, inner.join(touched, here, "left_semi")), "spread")
+        risen.append(spread)
+        moved = fresh.union(spread).groupBy("start_id", "node").agg(F.max("value").alias("value"))
+        below = outer.join(moved.withColumnRenamed("node", "down"), ["start_id", "down"]).groupBy("start_id", "node").agg(F.max("value").alias("value"))
+        fresh = kept(improved(below, [base, *risen]), "frontier")
+        risen.append(fresh)
+        if len(risen) > 8:
+            risen = [kept(reduce(DataFrame.union, risen).groupBy("start_id", "node").agg(F.max("value").alias("value")), "risen")]
+    return reduce(DataFrame.union, [base, *risen]).groupBy("start_id", "node").agg(F.max("value").alias("value"))
 
 
 # ---- distance and time ----

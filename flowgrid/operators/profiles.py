@@ -84,17 +84,96 @@ def spline(u: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
         m[i + 1] = (right[i] - (high[i] * m[i + 2] if i < n - 3 else 0)) / mid[i]
     m[0] = m[1] - h[0] / h[1] * (m[2] - m[1])
     m[-1] = m[-2] + h[-1] / h[-2] * (m[-2] - m[-3])
-    k = np.clip(np.searchsorted(u, at, side="right") - 1, 0, n - 2)
+    return cubic_between(u, y, m, at)
+
+
+def five_band(d0: np.ndarray, d1: np.ndarray, d2: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of a symmetric positive definite system with the diagonals d0, d1, d2 (first to second beside it)."""
+    n = len(d0)
+    d, e, f, x = d0.astype(float), np.append(d1, 0.0), np.append(d2, (0.0, 0.0)), right.astype(float)
+    for i in range(n):  # L D L', row by row
+        if i > 1:
+            d[i] -= f[i - 2] ** 2 * d[i - 2]
+        if i > 0:
+            d[i] -= e[i - 1] ** 2 * d[i - 1]
+            e[i] -= e[i - 1] * f[i - 1] * d[i - 1]
+            x[i] -= e[i - 1] * x[i - 1]
+        if i > 1:
+            x[i] -= f[i - 2] * x[i - 2]
+        e[i], f[i] = e[i] / d[i], f[i] / d[i]
+    x /= d[:, None]
+    for i in range(n - 2, -1, -1):
+        x[i] -= e[i] * x[i + 1] + (f[i] * x[i + 2] if i < n - 2 else 0)
+    return x
+
+
+def smoothed(u: np.ndarray, y: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(values, second derivatives, weight) at u of the smoothest curve whose squared distances from y add up to bound at most.
+
+    Smoothest: the integral of the squared second derivative is smallest; that is a natural cubic spline.  Its second
+    derivatives m solve (R + k Q'Q) m = Q'y with a band of five, its values are y - k Q m, and k, the weight of smoothness,
+    is found by halving so that the bound is met.  Where even the straight line of best fit keeps the bound, it is the result.
+    """
+    h = np.diff(u)
+    a, c = 1 / h[:-1], 1 / h[1:]
+    b = -a - c
+    second = lambda v: a[:, None] * v[:-2] + b[:, None] * v[1:-1] + c[:, None] * v[2:]
+
+    def spread(m: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(y)
+        out[:-2] += a[:, None] * m
+        out[1:-1] += b[:, None] * m
+        out[2:] += c[:, None] * m
+        return out
+
+    q = (a**2 + b**2 + c**2, b[:-1] * a[1:] + c[:-1] * b[1:], c[:-2] * a[2:])
+    r = ((h[:-1] + h[1:]) / 3, h[1:-1] / 6)
+
+    def at(k: float) -> tuple[np.ndarray, np.ndarray]:
+        m = five_band(r[0] + k * q[0], r[1] + k * q[1], k * q[2], second(y))
+        return k * spread(m), m
+
+    line = np.stack([np.ones_like(u), u - u.mean()], axis=1)
+    straight = line @ np.linalg.lstsq(line, y, rcond=None)[0]
+    if ((y - straight) ** 2).sum() <= bound:
+        return straight, np.zeros_like(y), np.inf
+    low, high = -30.0, 30.0  # of log k, in units of the mean step to the third power
+    unit = h.mean() ** 3
+    while ((at(unit * np.exp(high))[0]) ** 2).sum() < bound and high < 60:
+        high += 5
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (at(unit * np.exp(mid))[0] ** 2).sum() < bound else (low, mid)
+    k = unit * np.exp(low)
+    off, m = at(k)
+    return y - off, np.pad(m, ((1, 1), (0, 0))), k
+
+
+def cubic_between(u: np.ndarray, y: np.ndarray, m: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cubic pieces with values y and second derivatives m at u, at other places."""
+    h = np.diff(u)
+    k = np.clip(np.searchsorted(u, at, side="right") - 1, 0, len(u) - 2)
     a, b, w = ((u[k + 1] - at) / h[k])[:, None], ((at - u[k]) / h[k])[:, None], (h[k] ** 2 / 6)[:, None]
     return a * y[k] + b * y[k + 1] + w * ((a**3 - a) * m[k] + (b**3 - b) * m[k + 1])
 
 
-def resample_line_spline(path: DataFrame, distance: float) -> DataFrame:
-    """path_id, i, s, x, y at ceil(L / distance) + 1 points of the cubic spline through a path's vertices, even in its parameter.
+def smoothing_spline(u: np.ndarray, y: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
+    """spline(u, y, at) that keeps within a bound of squared distances instead of going through the points; 0: through them."""
+    if bound <= 0 or len(u) < 4:
+        return spline(u, y, at)
+    values, m, _ = smoothed(u, y, bound)
+    return cubic_between(u, values, m, at)
+
+
+def resample_line_spline(path: DataFrame, distance: float, smoothing: float | None = 0.0) -> DataFrame:
+    """path_id, i, s, x, y at ceil(L / distance) + 1 points of the cubic spline of a path's vertices, even in its parameter.
 
     The parameter is the length of the polyline; repeated vertices are left out; s is the length along the new points.  A
-    path is one group, and short.  Elevations follow from sample_raster_at_points.  The spline goes through the vertices:
-    there is no smoothing.
+    path is one group, and short.  Elevations follow from sample_raster_at_points.
+
+    smoothing bounds the sum of squared distances of the spline from the vertices: 0 goes through them, None is
+    n - sqrt(2 n) for n vertices.  A smoothed spline is the one of least bending, straight at both ends; paths of up to
+    three vertices are not smoothed.
     """
 
     def own_spline(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +181,7 @@ def resample_line_spline(path: DataFrame, distance: float) -> DataFrame:
         xy = xy[np.append(True, (np.diff(xy, axis=0) != 0).any(axis=1))]
         u = np.append(0.0, np.cumsum(np.hypot(*np.diff(xy, axis=0).T)))
         n = int(np.ceil(u[-1] / distance)) + 1
-        new = spline(u, xy, np.linspace(0, u[-1], n))
+        new = smoothing_spline(u, xy, np.linspace(0, u[-1], n), len(u) - np.sqrt(2 * len(u)) if smoothing is None else smoothing)
         s = np.append(0.0, np.cumsum(np.hypot(*np.diff(new, axis=0).T)))
         return pd.DataFrame({"path_id": key[0], "i": np.arange(n, dtype=np.int32), "s": s, "x": new[:, 0], "y": new[:, 1]})
 

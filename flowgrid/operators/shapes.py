@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowgrid.sources.shared import kept
+
 BLOCK = 8.0  # side of the blocks on which points and bounding boxes meet
 
 
@@ -91,11 +96,26 @@ def segments(vertices: DataFrame, key: str = "feature_id", order: str = "seq") -
     return vertices.withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).where("x2 is not null").withColumnsRenamed({"x": "x1", "y": "y1"})
 
 
-def rasterize_line(vertices: DataFrame, nrows: int, ncols: int, distance: float | None = None, key: str = "feature_id", order: str = "seq") -> DataFrame:
-    """key, r, c of the cells that a line crosses, or whose centre is within distance of it.
+def dilated(cells: DataFrame, nrows: int, ncols: int, rings: int = 1, keys: tuple[str, ...] = ("feature_id",)) -> DataFrame:
+    """keys, r, c of the cells of a set and of their 8 neighbours within the grid, and so on for each further ring.
+
+    Rows are widened before columns, with repeats left out in between, so a cell is sent 2 * rings + 1 times at each of two
+    exchanges and not (2 * rings + 1)^2 times at one.
+    """
+    for name, n in (("r", nrows), ("c", ncols)):
+        around = F.explode(F.sequence(F.greatest(F.col(name) - rings, F.lit(0)), F.least(F.col(name) + rings, F.lit(n - 1))))
+        cells = cells.select(*keys, *[(around if x == name else F.col(x)).alias(x) for x in ("r", "c")]).distinct()
+    return cells
+
+
+def rasterize_line(vertices: DataFrame, nrows: int, ncols: int, distance: float | None = None, key: str = "feature_id", order: str = "seq", rings: int = 0) -> DataFrame:
+    """key, r, c of the cells that a line crosses, or whose centre is within distance of it; with rings also their neighbours.
 
     Crossed cells come from the parameters at which each segment meets a cell border; between two of them it is in one cell.
+    A line through a corner of cells does not touch those beside it.
     """
+    if rings:
+        return dilated(rasterize_line(vertices, nrows, ncols, distance, key, order), nrows, ncols, rings, (key,))
     seg = segments(vertices, key, order)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     if distance is not None:
@@ -105,16 +125,34 @@ def rasterize_line(vertices: DataFrame, nrows: int, ncols: int, distance: float
         return each.where(edge_distance(F.col("c").cast("double"), F.col("r").cast("double"), edge) <= distance).select(key, "r", "c").distinct()
     borders = lambda a, b, d: F.when(d == 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.floor(F.least(a, b) + 0.5), F.floor(F.greatest(a, b) + 0.5)), lambda k: (k + 0.5 - F.col(a)) / d))
     ts = F.array_sort(F.filter(F.concat(F.array(F.lit(0.0), F.lit(1.0)), borders("x1", "x2", dx), borders("y1", "y2", dy)), lambda t: (t >= 0) & (t <= 1)))
-    mid = seg.withColumn("ts", ts).select(key, "x1", "y1", dx.alias("dx"), dy.alias("dy"), F.explode(F.zip_with(F.slice("ts", 1, F.size("ts") - 1), F.slice("ts", 2, F.size("ts")), lambda a, b: (a + b) / 2)).alias("t"))
+    mid = seg.withColumn("ts", ts).select(key, "x1", "y1", dx.alias("dx"), dy.alias("dy"), F.explode(F.filter(F.zip_with(F.slice("ts", 1, F.size("ts") - 1), F.slice("ts", 2, F.size("ts")), lambda a, b: F.when((b - a > 1e-12) | (dx == 0) & (dy == 0), (a + b) / 2)), lambda t: t.isNotNull())).alias("t"))
     at = lambda o, d: F.floor(F.col(o) + F.col("t") * F.col(d) + 0.5).cast("int")
     return mid.select(key, at("y1", "dy").alias("r"), at("x1", "dx").alias("c")).where((F.col("r") >= 0) & (F.col("r") < nrows) & (F.col("c") >= 0) & (F.col("c") < ncols)).distinct()
 
 
-def snap_points_to_line(points: DataFrame, line: DataFrame, on: str = "path_id") -> DataFrame:
-    """points with i and distance of the nearest vertex of their path; the lowest index of equal ones."""
-    both = points.join(line.select(on, "i", F.col("x").alias("lx"), F.col("y").alias("ly")), on)
+def snap_points_to_line(points: DataFrame, line: DataFrame, on: str = "path_id", block: float = BLOCK) -> DataFrame:
+    """points with i and distance of the nearest vertex of their path; the lowest index of equal ones.
+
+    Points meet the vertices of their path that lie in their block of the plane or the eight around it; one no further than
+    a block's side is certain.  Points without one go on with blocks of twice the side until none is left, so that near
+    points never meet the rest of a long path.  Each round is written.  Points whose path has no vertex are left out, those
+    without a place get nulls.
+    """
+    finite = lambda *names: reduce(lambda a, b: a & b, [F.abs(n) < math.inf for n in names])
+    nodes = kept(line.select(on, "i", F.col("x").alias("lx"), F.col("y").alias("ly")).where(finite("lx", "ly")), "vertices")
+    placed = kept(points.join(nodes.select(on).distinct(), on, "left_semi").withColumn("_p", F.monotonically_increasing_id()), "points")
+    left, found = placed.where(finite("x", "y")).select("_p", on, "x", "y"), []
     d = F.sqrt((F.col("x") - F.col("lx")) ** 2 + (F.col("y") - F.col("ly")) ** 2)
-    return both.groupBy(*points.columns).agg(F.min(F.struct(d.alias("distance"), "i")).alias("k")).select(*points.columns, "k.i", "k.distance")
+    at = lambda name: F.floor(F.col(name) / block)
+    while not left.isEmpty():
+        around = lambda name: F.explode(F.sequence(at(name) - 1, at(name) + 1))
+        near = left.withColumn("bx", around("x")).withColumn("by", around("y")).join(nodes.withColumn("bx", at("lx")).withColumn("by", at("ly")), [on, "bx", "by"]).where(d <= block)
+        found.append(kept(near.groupBy("_p").agg(F.min(F.struct(d.alias("distance"), "i")).alias("k")), "nearest"))
+        left = kept(left.join(found[-1], "_p", "left_anti"), "left")
+        block *= 2
+    if not found:
+        return placed.select(*points.columns, F.lit(None).cast(line.schema["i"].dataType).alias("i"), F.lit(None).cast("double").alias("distance"))
+    return placed.join(reduce(DataFrame.union, found), "_p", "left").select(*points.columns, "k.i", "k.distance")
 
 
 def release_stats(raster: DataFrame, surface: DataFrame) -> DataFrame:

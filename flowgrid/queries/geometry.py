@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from flowgrid.operators import grids as G
 from flowgrid.operators import shapes as P
+from flowgrid.sources.rasters import remeshed_raster
+from flowgrid.sources.shared import new_path
 
 from .registry import Inputs, query, rounded
 
@@ -50,6 +52,25 @@ def remesh(x: Inputs) -> DataFrame:
     return rounded(G.remesh(elevation(x), NR, NC, 1.0, 2.5), "value")
 
 
+LARGER = """n AS (SELECT nr.i AS i, nc.j AS j, v.r, v.c, v.z, abs(nr.i * 2.5 - v.r) AS dr, abs(nc.j * 2.5 - v.c) AS dc FROM dem v JOIN range(17) nr(i) ON abs(nr.i * 2.5 - v.r) <= 2 JOIN range(21) nc(j) ON abs(nc.j * 2.5 - v.c) <= 2),
+w AS (SELECT i, j, z, (CASE WHEN dr <= 1 THEN 1.5 * dr * dr * dr - 2.5 * dr * dr + 1 WHEN dr < 2 THEN -0.5 * dr * dr * dr + 2.5 * dr * dr - 4 * dr + 2 ELSE 0 END) * (CASE WHEN dc <= 1 THEN 1.5 * dc * dc * dc - 2.5 * dc * dc + 1 WHEN dc < 2 THEN -0.5 * dc * dc * dc + 2.5 * dc * dc - 4 * dc + 2 ELSE 0 END) AS w FROM n)"""
+
+
+@query(f"WITH {LARGER} SELECT CAST(i AS INT) AS r, CAST(j AS INT) AS c, round(sum(w * z) / sum(w), 5) AS value FROM w GROUP BY i, j HAVING sum(w) >= 0.5")
+def remesh_larger(x: Inputs) -> DataFrame:
+    return rounded(G.remesh(elevation(x), NR, NC, 1.0, 2.5, larger=True), "value", digits=5)
+
+
+@query(f"WITH {LARGER}, k AS (SELECT i, j, round(sum(w * z) / sum(w), 5) AS value FROM w GROUP BY i, j HAVING sum(w) >= 0.5) SELECT CAST(a.i AS INT) AS r, CAST(b.j AS INT) AS c, k.value, reused FROM range(17) a(i) CROSS JOIN range(21) b(j) CROSS JOIN (VALUES (false), (true)) AS z(reused) LEFT JOIN k ON k.i = a.i AND k.j = b.j")
+def remesh_lookup(x: Inputs) -> DataFrame:
+    folder = new_path(x.spark, "remeshed")
+    out = []
+    for size in (2.5, 2.5004):  # the second is within the threshold of the first
+        cells, reused = remeshed_raster(elevation(x), (NR, NC, 0.0, 0.0, 1.0), "terrain", size, folder, larger=True)
+        out.append(rounded(cells, "value", digits=5).withColumn("reused", F.lit(reused)))
+    return out[0].unionByName(out[1])
+
+
 @query(f"""WITH p AS (SELECT i * {NC} + j AS id, i, j, j * cos(radians(20)) + i * sin(radians(20)) AS x, -j * sin(radians(20)) + i * cos(radians(20)) AS y FROM range({NR}) a(i), range({NC}) b(j)), g AS ({corners("p", "(SELECT r, c, z AS value FROM dem)")})
 SELECT CAST(id // {NC} AS INT) AS r, CAST(id % {NC} AS INT) AS c, round(value, 6) AS value FROM g""")
 def rotate_raster(x: Inputs) -> DataFrame:
@@ -217,6 +238,22 @@ def rasterize_line(x: Inputs) -> DataFrame:
     return P.rasterize_line(line, NR, NC, 1.4, "path_id", "i")
 
 
+CROSSED = f"""s AS (SELECT path_id, x / 8 AS x1, y / 8 AS y1, lead(x / 8) OVER w - x / 8 AS dx, lead(y / 8) OVER w - y / 8 AS dy FROM path WINDOW w AS (PARTITION BY path_id ORDER BY i)),
+k AS (SELECT path_id, CAST(i AS INT) AS r, CAST(j AS INT) AS c, greatest(0.0, (j - 0.5 - x1) / dx, (i - 0.5 - y1) / dy) AS t0, least(1.0, (j + 0.5 - x1) / dx, (i + 0.5 - y1) / dy) AS t1 FROM s, range({NR}) a(i), range({NC}) b(j) WHERE dx > 0 AND dy > 0 AND j BETWEEN x1 - 1 AND x1 + dx + 1 AND i BETWEEN y1 - 1 AND y1 + dy + 1), crossed AS (SELECT DISTINCT path_id, r, c FROM k WHERE t1 - t0 > 1e-12)"""
+
+
+@query(f"WITH {CROSSED} SELECT path_id, r, c FROM crossed")
+def rasterize_line_crossed(x: Inputs) -> DataFrame:
+    line = x.path.select("path_id", "i", (F.col("x") / 8).alias("x"), (F.col("y") / 8).alias("y"))
+    return P.rasterize_line(line, NR, NC, None, "path_id", "i")
+
+
+@query(f"WITH {CROSSED} SELECT DISTINCT path_id, CAST(r + di AS INT) AS r, CAST(c + dj AS INT) AS c FROM crossed, range(-1, 2) a(di), range(-1, 2) b(dj) WHERE r + di BETWEEN 0 AND {NR - 1} AND c + dj BETWEEN 0 AND {NC - 1}")
+def rasterize_line_neighbours(x: Inputs) -> DataFrame:
+    line = x.path.select("path_id", "i", (F.col("x") / 8).alias("x"), (F.col("y") / 8).alias("y"))
+    return P.rasterize_line(line, NR, NC, None, "path_id", "i", rings=1)
+
+
 @query("""WITH b AS (SELECT p.point_id, p.x, p.y, l.path_id, l.i, sqrt(pow(p.x - l.x, 2) + pow(p.y - l.y, 2)) AS d, row_number() OVER (PARTITION BY p.point_id ORDER BY sqrt(pow(p.x - l.x, 2) + pow(p.y - l.y, 2)), l.i) AS n FROM points p JOIN path l ON l.path_id = 1 + p.point_id % 149) SELECT point_id, x, y, path_id, i, round(d, 6) AS distance FROM b WHERE n = 1""")
 def snap_points_to_line(x: Inputs) -> DataFrame:
     points = x.points.withColumn("path_id", 1 + F.col("point_id") % 149)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgrid.operators import particles as K
+from flowgrid.operators.grids import surface_normals
 
+from .geometry import NORMALS
 from .paths import ON_SL, grid
 from .registry import Inputs, query, rounded
 
@@ -30,7 +32,7 @@ def velocity_envelope_time(x: Inputs) -> DataFrame:
     return rounded(K.velocity_envelope_time(x.particles), "v_max", "v_min", "v_mean", "v_median")
 
 
-@query("WITH p AS (SELECT *, round(sqrt(ux * ux + uy * uy + uz * uz), 6) AS v FROM particles) SELECT sim_name, CAST(floor(s / 4) AS BIGINT) AS i_s, max(v) AS v_max, min(v) AS v_min, round(avg(v), 5) AS v_mean, round(quantile_cont(v, 0.5), 5) AS v_median, round(avg(z), 5) AS z_mean FROM p GROUP BY 1, 2")
+@query("WITH p AS (SELECT *, round(sqrt(ux * ux + uy * uy + uz * uz), 6) AS v FROM particles) SELECT sim_name, CAST(floor(s / 4) AS BIGINT) AS i_s, max(v) AS v_max, min(v) AS v_min, round(CAST(sum(CAST(round(v * 1e6) AS BIGINT)) AS DOUBLE) / count(*) / 1e6, 5) AS v_mean, round(quantile_cont(v, 0.5), 5) AS v_median, round(avg(z), 5) AS z_mean FROM p GROUP BY 1, 2")
 def velocity_envelope_thalweg(x: Inputs) -> DataFrame:
     return rounded(K.velocity_envelope_thalweg(x.particles, 4.0), "v_mean", "v_median", "z_mean", digits=5)
 
@@ -45,6 +47,12 @@ def particle_time_arrays(x: Inputs) -> DataFrame:
     return K.particle_time_arrays(x.particles, "m").select("sim_name", "t", "n", F.array_join(F.transform("values", lambda v: v.cast("int").cast("string")), ",").alias("vals"), "same_count")
 
 
+@query("WITH k AS (SELECT sim_name, t, CAST(floor(id / 16) AS BIGINT) AS chunk, string_agg(CAST(CAST(m AS INT) AS STRING), ',' ORDER BY id) AS vals FROM particles GROUP BY 1, 2, 3), n AS (SELECT *, n = first_value(n) OVER (PARTITION BY sim_name ORDER BY t) AS same_count FROM (SELECT sim_name, t, count(*) AS n FROM particles GROUP BY 1, 2) q) SELECT k.*, n.n, n.same_count FROM k JOIN n ON k.sim_name = n.sim_name AND k.t = n.t")
+def particle_time_arrays_in_chunks(x: Inputs) -> DataFrame:
+    out = K.particle_time_arrays(x.particles, "m", width=16)
+    return out.select("sim_name", "t", "chunk", F.array_join(F.transform("values", lambda v: v.cast("int").cast("string")), ",").alias("vals"), "n", "same_count")
+
+
 @query("WITH f AS (SELECT sim_name, parent_id, z AS z0, row_number() OVER (PARTITION BY sim_name, parent_id ORDER BY t, id DESC) AS n FROM particles) SELECT p.sim_name, p.t, p.id, round(CASE WHEN s > 0 THEN degrees(atan2(z0 - z, s)) ELSE 0 END, 6) AS travel_angle FROM particles p JOIN f ON p.sim_name = f.sim_name AND p.parent_id = f.parent_id AND n = 1")
 def travel_angle(x: Inputs) -> DataFrame:
     return rounded(K.travel_angle(x.particles).select("sim_name", "t", "id", "travel_angle"), "travel_angle")
@@ -57,6 +65,20 @@ def particles_to_fields(x: Inputs) -> DataFrame:
     return rounded(rounded(K.particles_to_fields(x.particles, 1.0), "mass", "ft", "v"), "p", digits=5).withColumn("ke", F.round("ke", 9))
 
 
+LOADED = "p AS (SELECT sim_name, t, x, y, m, ux, uy, uz, h / 10 AS dm_det, h / 4 AS dm_ent, s AS travel_angle FROM particles)"
+
+
+@query(f"""WITH {NORMALS}, {LOADED}, e AS (SELECT sim_name, t, x, y, m, m * ux AS ux, m * uy AS uy, m * uz AS uz, dm_det, dm_ent, 0.0 AS ms, travel_angle AS ta FROM p UNION ALL SELECT sim_name, t, x, y, 0, 0, 0, 0, 0, 0, m, 0 FROM p WHERE ux = 0 AND uy = 0 AND uz = 0),
+kw AS (SELECT e.*, CAST(floor(y) AS INT) + di AS r, CAST(floor(x) AS INT) + dj AS c, (CASE WHEN di = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN dj = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM e, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS q(di, dj)),
+s AS (SELECT sim_name, t, r, c, sum(m * w) AS mass, sum(dm_det * w) AS m_det, sum(dm_ent * w) AS m_ent, sum(ms * w) AS m_stop, sum(ux * w) AS ux, sum(uy * w) AS uy, sum(uz * w) AS uz, coalesce(max(ta) FILTER (WHERE r = floor(y + 0.5) AND c = floor(x + 0.5)), 0) AS ta FROM kw WHERE w > 0 GROUP BY 1, 2, 3, 4),
+f AS (SELECT s.*, n.area, coalesce(ux / nullif(mass, 0), 0) AS vx, coalesce(uy / nullif(mass, 0), 0) AS vy, coalesce(uz / nullif(mass, 0), 0) AS vz, coalesce(sqrt(ux * ux + uy * uy + uz * uz) / nullif(mass, 0), 0) AS v FROM s JOIN normals n ON s.r = n.r AND s.c = n.c)
+SELECT sim_name, t, r, c, round(mass, 6) AS mass, round(m_det, 6) AS m_det, round(m_ent, 6) AS m_ent, round(m_stop, 6) AS m_stop, round(mass / (area * 200), 6) AS ft, round(vx, 6) AS vx, round(vy, 6) AS vy, round(vz, 6) AS vz, round(v, 6) AS v, round(200 * v * v, 5) AS p, round(0.5 * mass * v * v, 5) AS ke, ta, round((0 - m_det) / (area * 200), 6) AS ft_det, round((0 - m_ent) / (area * 100), 6) AS ft_ent, round(m_stop / (area * 200), 6) AS ft_stop FROM f""")
+def all_particle_fields(x: Inputs) -> DataFrame:
+    p = x.particles.select("sim_name", "t", "x", "y", "m", "ux", "uy", "uz", (F.col("h") / 10).alias("dm_det"), (F.col("h") / 4).alias("dm_ent"), F.col("s").alias("travel_angle"))
+    out = K.all_particle_fields(p, 1.0, area=surface_normals(x.dem, 5.0), stopped=p.where("ux = 0 and uy = 0 and uz = 0"))
+    return rounded(rounded(out, "mass", "m_det", "m_ent", "m_stop", "ft", "vx", "vy", "vz", "v", "ft_det", "ft_ent", "ft_stop"), "p", "ke", digits=5)
+
+
 @query(f"WITH k AS (SELECT sim_name, t, CAST(round_even(y, 0) AS INT) AS r, CAST(round_even(x, 0) AS INT) AS c, count(*) AS n FROM particles GROUP BY 1, 2, 3, 4) SELECT *, coalesce(sum(n) OVER (PARTITION BY sim_name, t ORDER BY r * {NC} + c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k".replace("AS before", 'AS "before"'))
 def particles_per_cell(x: Inputs) -> DataFrame:
     return K.particles_per_cell(x.particles, 1.0, NC)
@@ -108,6 +130,31 @@ def backtrack_max(x: Inputs) -> DataFrame:
     return K.backtrack_max(edges, values)
 
 
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT l_suppkey AS start_id, CAST(l_linenumber * 1000 + l_partkey % 17 AS BIGINT) AS node, CAST((l_linenumber + 1) * 1000 + l_orderkey % 17 AS BIGINT) AS child FROM lineitem), e AS (SELECT a.start_id, a.node, a.child FROM n a SEMI JOIN n b ON a.start_id = b.start_id AND a.child = b.node),
+v AS (SELECT l_suppkey AS start_id, CAST(l_linenumber * 1000 + l_partkey % 17 AS BIGINT) AS node, max(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2), r AS (SELECT start_id, node, node AS below FROM v UNION SELECT r.start_id, r.node, e.child FROM r JOIN e ON r.start_id = e.start_id AND r.below = e.node)
+SELECT r.start_id, r.node, max(v.value) AS value FROM r JOIN v ON r.start_id = v.start_id AND r.below = v.node GROUP BY 1, 2""")
+def backtrack_max_branching(x: Inputs) -> DataFrame:
+    node = (F.col("l_linenumber") * 1000 + F.col("l_partkey") % 17).cast("long")
+    values = x.lineitem.groupBy(F.col("l_suppkey").alias("start_id"), node.alias("node")).agg(F.max("l_extendedprice").alias("value"))
+    child = ((F.col("l_linenumber") + 1) * 1000 + F.col("l_orderkey") % 17).cast("long")
+    edges = x.lineitem.select(F.col("l_suppkey").alias("start_id"), node.alias("parent"), child.alias("child"))
+    return K.backtrack_max(edges.join(values.select("start_id", F.col("node").alias("child")), ["start_id", "child"], "left_semi"), values)
+
+
+FIELDS = "f AS (SELECT sim_name, t, r, c, max(value) FILTER (WHERE res_type = 'pft') AS ft, max(value) FILTER (WHERE res_type = 'ppr') AS fm, max(value) FILTER (WHERE res_type = 'pfv') AS fv FROM cells_t GROUP BY 1, 2, 3, 4)"
+
+
+@query(f"""WITH {FIELDS}, q AS (SELECT sim_name, t, CAST(f.c AS DOUBLE) AS x, CAST(f.r AS DOUBLE) AS y, z, fm AS m, fv * fv AS u2, 0.5 * fm * fv * fv AS ekin FROM f JOIN dem d ON f.r = d.r AND f.c = d.c WHERE ft > 0 AND fm IS NOT NULL AND fv IS NOT NULL),
+a AS (SELECT sim_name, t, {", ".join(f"sum(m * {c}) / sum(m) AS {c}" for c in ("x", "y", "z", "u2", "ekin"))}, sum(ekin) AS e_kin FROM q GROUP BY 1, 2),
+s AS (SELECT sim_name, t, x, y, sum(d) OVER (PARTITION BY sim_name ORDER BY t) AS s FROM (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM a WINDOW w AS (PARTITION BY sim_name ORDER BY t)) k)
+SELECT a.sim_name, a.t, {", ".join(f"round(a.{c}, 6) AS {c}" for c in ("x", "y", "z"))}, round(a.u2, 4) AS u2, round(a.ekin, 3) AS ekin, round(e_kin, 2) AS e_kin, round(s.s, 6) AS s FROM a JOIN s ON a.sim_name = s.sim_name AND a.t = s.t""")
+def mass_averaged_path_of_fields(x: Inputs) -> DataFrame:
+    part = lambda k: F.max(F.when(F.col("res_type") == k, F.col("value")))
+    fields = x.cells_t.groupBy("sim_name", "t", "r", "c").agg(part("pft").alias("ft"), part("ppr").alias("fm"), part("pfv").alias("fv"))
+    out = K.mass_averaged_path_of_fields(fields, x.dem).select("sim_name", "t", "x", "y", "z", F.round("u2", 4).alias("u2"), F.round("ekin", 3).alias("ekin"), F.round("e_kin", 2).alias("e_kin"), "s")
+    return rounded(out, "x", "y", "z", "s")
+
+
 # ---- distance and time ----
 VIEW = "view AS (SELECT r, c, sqrt(pow(c - 25, 2) + pow(r - 60, 2) + pow(z - 1000, 2)) AS range, degrees(atan2(c - 25, r - 60)) AS azimuth FROM dem WHERE abs((CAST(degrees(atan2(c - 25, r - 60)) AS DOUBLE) - 180 + 180 + 720) - 360 * floor((CAST(degrees(atan2(c - 25, r - 60)) AS DOUBLE) - 180 + 180 + 720) / 360) - 180) <= 30)".replace(" AS range", ' AS "range"')
 

@@ -48,6 +48,11 @@ def resample_line_spline(x: Inputs) -> DataFrame:
     return rounded(L.resample_line_spline(x.path, 7.0), "s", "x", "y")
 
 
+@query()
+def resample_line_smoothed(x: Inputs) -> DataFrame:
+    return rounded(L.resample_line_spline(x.path, 7.0, smoothing=None), "s", "x", "y")
+
+
 @query(f"WITH {ANGLE} SELECT path_id, i, round(s, 6) AS s, z, round(angle, 6) AS angle FROM a")
 def slope_angle_profile(x: Inputs) -> DataFrame:
     return rounded(profile(x).select("path_id", "i", "s", "z", "angle"), "s", "angle")
@@ -245,6 +250,15 @@ def runout_line_diff(x: Inputs) -> DataFrame:
     return rounded(T.runout_line_diff(lines, lines.where("sim_name = 'set0'")), "rmse")
 
 
+@query(f"""WITH {PEAK}, {ON_SL}, ref AS (SELECT path_id, i_s, i_l, value > {LIMIT} AS a FROM slc WHERE sim_name = 'set0'), k AS (SELECT v.sim_name, coalesce(a, false) AS a, coalesce(v.value > {LIMIT + 5}, false) AS b, area FROM slc v JOIN sl ON v.path_id = sl.path_id AND v.i_s = sl.i_s AND v.i_l = sl.i_l LEFT JOIN ref ON v.path_id = ref.path_id AND v.i_s = ref.i_s AND v.i_l = ref.i_l WHERE v.i_s >= 10)
+SELECT sim_name, {", ".join(f"count(*) FILTER (WHERE {c}) AS {n}, round(coalesce(sum(area) FILTER (WHERE {c}), 0), 6) AS a_{n}" for n, c in (("tp", "a AND b"), ("fp", "NOT a AND b"), ("fn", "a AND NOT b"), ("tn", "NOT a AND NOT b")))} FROM k GROUP BY 1""")
+def area_confusion_in_runout(x: Inputs) -> DataFrame:
+    cells, g = on_sl(x)
+    area = g.where("i_s >= 10").select("path_id", "i_s", "i_l", F.col("area").alias("cell_area"))
+    out = E.area_confusion_within(cells.where("sim_name = 'set0'"), cells, area, LIMIT, LIMIT + 5, on=("path_id", "i_s", "i_l"))
+    return rounded(out, "a_tp", "a_fp", "a_fn", "a_tn")
+
+
 EDGES = "e AS (SELECT feature_id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM vertices WINDOW w AS (PARTITION BY feature_id ORDER BY seq))"
 
 

@@ -42,7 +42,7 @@ def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     return cells.select("raster_id", "r", "c", F.when((v != F.col("nodata")) & ~F.isnan(v), v).alias("value"))
 
 
-def write_ascii_grid(cells: DataFrame, rasters: DataFrame, path: str) -> None:
+def write_ascii_grid(cells: DataFrame, rasters: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One ASCII grid for each raster in a folder raster_id=..., northern row first; cells without a value are nodata.
 
     A row of text is made of a row of cells, and a file of the rows; no task sees more than one raster at a time.
@@ -54,7 +54,36 @@ def write_ascii_grid(cells: DataFrame, rasters: DataFrame, path: str) -> None:
     body = lines.groupBy(*rasters.columns).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "line")), asc=False), lambda x: x["line"]), "\n").alias("body"))
     values = ("ncols", "nrows", "xll", "yll", "cellsize", "nodata")
     head = F.concat_ws("\n", *[F.concat(F.lit(f"{name} "), F.col(c).cast("string")) for name, c in zip(HEADER, values, strict=True)])
-    body.select("raster_id", F.concat_ws("\n", head, "body").alias("value")).write.mode("overwrite").partitionBy("raster_id").text(path)
+    body.select("raster_id", F.concat_ws("\n", head, "body").alias("value")).write.mode(mode).partitionBy("raster_id").text(path)
+
+
+def find_remeshed(catalog: DataFrame, name: str, cellsize: float, threshold: float = 0.001) -> DataFrame:
+    """At most one row of a catalogue: a grid whose raster_id has name in it and whose cell size is within threshold of cellsize (the nearest)."""
+    off = F.abs(F.col("cellsize") - cellsize)
+    return catalog.where(F.col("raster_id").contains(name) & (off < threshold)).orderBy(off, "raster_id").limit(1)
+
+
+def remeshed_raster(cells: DataFrame, header: tuple[int, int, float, float, float], name: str, cellsize: float, folder: str, threshold: float = 0.001, larger: bool = False) -> tuple[DataFrame, bool]:
+    """(cells of the raster in the wanted cell size, whether folder had them already); header: nrows, ncols, xll, yll, cellsize.
+
+    A raster that is of that size within threshold stays as it is.  Else the catalogue of folder is searched for name; what it
+    lacks is remeshed, written there as `name_remeshed<size>` and read back, so the next call finds it.
+    """
+    from flowgrid.operators.grids import remesh, remeshed_shape
+
+    if abs(header[4] - cellsize) < threshold:
+        return cells, False
+    spark = cells.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    found = find_remeshed(raster_catalog(spark, folder), name, cellsize, threshold).first() if there else None
+    own = found.raster_id if found else f"{name}_remeshed{cellsize:g}"
+    if not found:
+        nrows, ncols = remeshed_shape(*header[:2], header[4], cellsize, larger)
+        row = spark.createDataFrame([(own, nrows, ncols, header[2], header[3], float(cellsize), -9999.0)], "raster_id string, nrows int, ncols int, xll double, yll double, cellsize double, nodata double")
+        new = remesh(cells, *header[:2], header[4], cellsize, larger=larger)
+        write_ascii_grid(new.withColumn("raster_id", F.lit(own)), row, folder, mode="append")
+    return read_ascii_grid(spark, folder).where(F.col("raster_id") == own).select("r", "c", "value"), bool(found)
 
 
 def parse_result_names(files: DataFrame, column: str = "path") -> DataFrame:
