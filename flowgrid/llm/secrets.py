@@ -35,7 +35,7 @@ ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?(key|token|secret)",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
     r"(?i)^0123456789abcdef|abcdefghijklmnop",
-    r"^[a-z]+([_/-][a-z]+)*[_/-]?[0-9]{1,4}$",  # words with a number at the end
+    r"^[a-z]++(?:[_/-][a-z]++)*+[_/-]?[0-9]{1,4}$",  # words with a number at the end; possessive, as other groups recurse for each word
     r"^([A-Z]?[a-z]{2,24}+(?![a-z])|(?:An|As|At|Be|By|Do|Go|Id|If|In|Is|It|My|No|Of|On|Or|To|Up|We)(?![a-z])|[A-Z]{2,24}+(?![A-Z])|(?<![A-Za-z])[A-Za-z](?![A-Za-z])|[_/=+-])++$",  # words, in any case, one after another
     r"^sha(256|384|512)-",
 )

@@ -442,3 +442,36 @@ def test_representatives_of_repeated_rows(spark, odd):
 def test_queries_are_registered():
     names = queries.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_secrets_in_runs_of_a_million(spark):
+    """Every shape that a class or an allow-list entry takes, very long: no pattern may recurse for each word or character."""
+    rng, n = random.Random(9), 1_000_000
+    low = "abcdefghijklmnopqrstuvwxyz"
+    run = lambda letters: "".join(rng.choices(letters, k=n))
+    silent = ["a-" * (n // 2) + "b", "word/" * (n // 5) + "x1", "ab_" * (n // 3) + "9", "-" * n, "/" * n, "=" * n, "+" * n, "AbcDef" * (n // 6), "a/B-" * (n // 4), "ab_" * (n // 3) + "-"]
+    found = [run(low + low.upper()), run(low + low.upper() + "0123456789+/"), run("0123456789"), run("0123456789abcdef"), run("0123456789ABCDEF-"), run(low), run(low.upper())]
+    df = spark.createDataFrame(list(enumerate(silent + found)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(df).collect()}
+    assert all(got[i] == "" for i in range(len(silent)))
+    assert all(got[i + len(silent)].endswith(str(n)) for i in range(len(found)))
+
+
+def test_secrets_beside_the_patterns_are_recalled(spark, documents):
+    """Keys planted in the given texts, in words that no base pattern knows; the same texts without them get nothing."""
+    rng = random.Random(10)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {"base62": low + low.upper() + "0123456789", "base64": low + low.upper() + "0123456789+/", "upper": low.upper() + "0123456789", "hex": "0123456789ABCDEF", "letters": low + low.upper()}
+    texts = [r.text or "" for r in documents.orderBy("doc_id").select("text").collect()]
+    rows, keys = [], {}
+    for i, (text, (kind, letters)) in enumerate(zip(texts, list(kinds.items()) * 40, strict=True)):
+        key = "".join(rng.choices(letters, k=rng.choice([32, 40, 64])))
+        at = rng.choice([k for k, c in enumerate(text) if c == " "] or [0])
+        keys[i] = kind, f"entropy:{at + 5}:{at + 5 + len(key)}"
+        rows.append((i, f"{text[:at]} key {key} {text[at:]}"))
+    got = {r.doc_id: r.spans.split(",") for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in kinds:
+        own = [keys[i][1] in got[i] for i in keys if keys[i][0] == kind]
+        assert sum(own) >= 0.95 * len(own), kind
+    clean = secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("spans like '%entropy%'")
+    assert clean.count() == 0
