@@ -1,9 +1,9 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
 Words are taken in k-mers, each k-mer is numbered by its occurrence in the text, and every slot of a signature takes
-the TUPLE occurrence-numbered k-mers that come first under the slot's own random order: a hash of its own for every two
-slots, read from the least value on and from the greatest.  A tuple keeps the order of the text and is hashed; two texts
-agree in a slot if they share the k-mers and their order, which follows edit distance.
+the TUPLE occurrence-numbered k-mers that come first under the slot's own random order, a hash of its own.  A tuple
+keeps the order of the text and is hashed; two texts agree in a slot if they share the k-mers and their order, which
+follows edit distance.  A text and its edited form share most k-mers; those are hashed once for both.
 """
 
 from __future__ import annotations
@@ -58,25 +58,46 @@ def numbered_kmers(text: Column) -> Column:
     return bound(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda words: bound(kmers(words), numbered))
 
 
+def first_tuple(order: Column, kmers: Column, skipped: Column | int, own: Column, slot: Column, found: tuple[Column, ...] = ()) -> Column:
+    """The hash of the TUPLE k-mers that come first in order, in the order of the text own (a struct of numbered_kmers).
+
+    order: the slot's hashes of kmers, from the k-mer after the first `skipped` on.
+    """
+    if len(found) < TUPLE:
+        left = order
+        for x in found:
+            left = F.array_remove(left, x)
+        return bound(F.array_min(left), lambda x: first_tuple(order, kmers, skipped, own, slot, (*found, x)))
+    at = lambda x: F.get(kmers, (F.array_position(order, x) + skipped - 1).cast("int"))
+    place = lambda x: bound(at(x), lambda k: F.struct(F.get(own["at"], F.array_position(own["hash"], k).cast("int") - 1).alias("at"), x.alias("kmer")))
+    with_place = F.transform(F.filter(F.array(*found), lambda x: x.isNotNull()), place)
+    return F.xxhash64(slot, F.transform(F.sort_array(with_place), lambda x: x["kmer"])).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def by_slot(kmers: Column, tuples: Callable[[Column, Column], Column]) -> Column:
+    """tuples(order, slot) for each slot, order being the slot's hashes of kmers."""
+    return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda slot: bound(F.transform(kmers, lambda h: F.xxhash64(h, slot)), lambda order: tuples(order, slot)))
+
+
 def signature(kmers: Column) -> Column:
-    """The tuples' hashes: for each slot its first k-mers under its order, in the order of the text."""
-    hashes, places = kmers["hash"], kmers["at"]
+    """The tuples' hashes: for each slot its first k-mers under its own order, in the order of the text."""
+    return by_slot(kmers["hash"], lambda order, slot: first_tuple(order, kmers["hash"], 0, kmers, slot))
+
 
-    def tuple_of(order: Column, end: Callable[[Column], Column], slot: Column, found: tuple[Column, ...] = ()) -> Column:
-        if len(found) < TUPLE:
-            left = order
-            for x in found:
-                left = F.array_remove(left, x)
-            return bound(end(left), lambda x: tuple_of(order, end, slot, (*found, x)))
-        own = F.filter(F.array(*found), lambda x: x.isNotNull())
-        with_place = F.transform(own, lambda x: F.struct(F.get(places, F.array_position(order, x).cast("int") - 1).alias("at"), x.alias("kmer")))
-        return F.xxhash64(slot, F.transform(F.sort_array(with_place), lambda x: x["kmer"])).bitwiseAND(F.lit(0xFFFFFFFF))
+def signatures(own: Column, other: Column) -> Column:
+    """signature() of two texts (structs of numbered_kmers) as a struct own, other; k-mers that both have are hashed once.
+
+    K-mers are laid out as those of the first text alone, of both, of the second alone; each text is a slice of that.
+    """
+    parts = F.struct(F.array_except(own["hash"], other["hash"]).alias("a"), F.array_intersect(own["hash"], other["hash"]).alias("b"), F.array_except(other["hash"], own["hash"]).alias("c"))
 
-    def both_ends(k: Column) -> Column:
-        order = F.transform(hashes, lambda h: F.xxhash64(h, k))
-        return bound(order, lambda o: F.array(tuple_of(o, F.array_min, 2 * k), tuple_of(o, F.array_max, 2 * k + 1)))
+    def tuples(p: Column, all_: Column) -> Column:
+        a, b, c = (F.size(p[x]) for x in "abc")
+        each = lambda o, slot: F.struct(bound(F.slice(o, 1, a + b), lambda x: first_tuple(x, all_, 0, own, slot)).alias("own"), bound(F.slice(o, a + 1, b + c), lambda x: first_tuple(x, all_, a, other, slot)).alias("other"))
+        return by_slot(all_, each)
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SLOTS // 2 - 1)), both_ends))
+    found = bound(parts, lambda p: bound(F.concat(p["a"], p["b"], p["c"]), lambda all_: tuples(p, all_)))
+    return bound(found, lambda x: F.struct(F.transform(x, lambda t: t["own"]).alias("own"), F.transform(x, lambda t: t["other"]).alias("other")))
 
 
 def signed(text: Column) -> Column:
@@ -99,10 +120,12 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), as_text(signed(text_or_empty(text))).alias("fingerprint"))
 
 
-def in_buckets(df: DataFrame, order: str) -> tuple[DataFrame, list]:
-    """df with bucket: contiguous ranges of `order` of about SIDE_BY_SIDE rows, and the smallest value of each bucket in use.
+def in_buckets(df: DataFrame, order: str, tie: str) -> tuple[DataFrame, list]:
+    """df with bucket: contiguous ranges of (order, tie) of about SIDE_BY_SIDE rows, and the first (order, tie) of each bucket in use.
 
-    Bounds come from approximate percentiles (any bounds are right); they are looked up in two levels.  Nulls are first.
+    Bounds come from approximate percentiles of order (any bounds are right); they are looked up in two levels.  Nulls are
+    first.  A range that one value (or null) fills with far more rows is cut by tie, a hash, into even parts; what follows
+    that value in the range comes after them.  At most twice MOST_BUCKETS parts are made.
     """
     n = df.count()
     buckets = max(16, min(MOST_BUCKETS, n // SIDE_BY_SIDE))
@@ -116,10 +139,23 @@ def in_buckets(df: DataFrame, order: str) -> tuple[DataFrame, list]:
         top = F.size(F.filter(array([b[0] for b in blocks]), lambda c: c <= F.col(order)))
         part = F.get(F.array(*[array(b) for b in blocks]), F.col("_top") - 1)
         df = df.withColumn("_top", top)
-        bucket = F.when(F.col("_top") == 0, 0).otherwise((F.col("_top") - 1) * side + F.size(F.filter(part, lambda c: c <= F.col(order))))
-    df = df.withColumn("bucket", F.coalesce(bucket, F.lit(0)).cast("int")).drop("_top")
-    firsts = df.groupBy("bucket").agg(F.min(order).alias("least"), F.count_if(F.col(order).isNull()).alias("nulls")).orderBy("bucket").collect()
-    return df, [(r.bucket, None if r.nulls else r.least) for r in firsts]
+        # 0 is for nulls, 1 for what is below all bounds.
+        bucket = F.when(F.col("_top") == 0, 1).otherwise((F.col("_top") - 1) * side + F.size(F.filter(part, lambda c: c <= F.col(order))) + 1)
+    df = df.withColumn("range", F.when(F.col(order).isNull(), 0).otherwise(bucket).cast("int")).drop("_top")
+    sizes = df.groupBy("range").agg(F.min(order).alias("least"), F.count("*").alias("n")).orderBy("range").collect()
+    step = max(1, n // max(1, buckets))  # rows of a part
+    hot, made = [], 0
+    for r in sizes:
+        parts = -(-r.n // step) if r.n > 4 * step else 1
+        hot.append((r["range"], r.least, parts, made))
+        made += parts + (parts > 1)
+    # As many rows as there are ranges, MOST_BUCKETS + 1 at most.
+    df = df.join(F.broadcast(df.sparkSession.createDataFrame(hot, "range int, least long, parts int, made int")), "range")
+    share = F.floor((F.shiftright(F.col(tie), 32) + (1 << 31)) * F.col("parts") / float(1 << 32)).cast("int")  # tie is even over all longs
+    within = F.when(F.col("parts") == 1, 0).when(F.col(order).eqNullSafe(F.col("least")), share).otherwise(F.col("parts"))
+    df = df.withColumn("bucket", F.col("made") + within).drop("range", "least", "parts", "made")
+    firsts = df.groupBy("bucket").agg(F.min(F.struct(order, tie)).alias("least")).orderBy("bucket").collect()
+    return df, [(r.bucket, tuple(r.least)) for r in firsts]
 
 
 def edited_fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
@@ -129,24 +165,27 @@ def edited_fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     each other by doc_id (nulls first), repeated ones by a hash of their text; after the last comes the first.
     A null text counts as empty; an empty table gives none; further columns are ignored.
 
-    Texts are dealt once, by ranges of doc_id; each range also gets the first document of the next one, and all that
-    follows (neighbours, k-mers, minima) stays within a range.
+    Texts are dealt once, by ranges of doc_id and hash, so that neither rows without a doc_id nor those of one doc_id meet in
+    one task; each range also gets the first document of the next one, and all that follows (neighbours, k-mers, minima)
+    stays within a range.
     """
     spark = df.sparkSession
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    docs, firsts = in_buckets(docs, "doc_id")
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("hash", F.xxhash64("text"))
+    docs, firsts = in_buckets(docs, "doc_id", "hash")
     if not firsts:
         return docs.select("doc_id", F.lit(0).cast("long").alias("n_chars"), *[F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], *[F.lit(0.0).alias(c) for c in ("near_edited", "near_next")]).limit(0)
-    after = [(before, first) for (before, _), (_, first) in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
-    follow = F.broadcast(spark.createDataFrame(after, "bucket int, first long"))  # MOST_BUCKETS rows at most
-    guests = docs.drop("bucket").join(follow, F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "bucket", F.lit(1).alias("guest"))
-    rows = docs.withColumn("guest", F.lit(0)).unionByName(guests).withColumn("hash", F.xxhash64("text"))
+    after = [(before, *first) for (before, _), (_, first) in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
+    follow = F.broadcast(spark.createDataFrame(after, "bucket int, first long, first_hash long"))  # twice MOST_BUCKETS rows at most
+    same = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("first_hash"))
+    guests = docs.drop("bucket").join(follow, same).dropDuplicates(["bucket"]).select("doc_id", "text", "hash", "bucket", F.lit(1).alias("guest"))
+    rows = docs.withColumn("guest", F.lit(0)).unionByName(guests)
     side = Window.partitionBy("bucket").orderBy("guest", "doc_id", "hash")
     rows = rows.repartition(len(firsts), "bucket").withColumn("next", F.lead("text").over(side))
     n_chars = F.length("text").cast("long")
     q = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - q), F.substring(F.coalesce("next", F.lit("")), F.lit(1), q))
     rows = rows.select("bucket", "guest", "doc_id", "hash", n_chars.alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
-    rows = rows.withColumn("own", signed(F.col("text"))).drop("text")
-    rows = rows.withColumn("next", F.lead("own").over(side)).where("guest = 0").withColumn("other", signed(F.col("edited")))
+    both = bound(numbered_kmers(F.col("text")), lambda a: bound(numbered_kmers(F.col("edited")), lambda b: signatures(a, b)))
+    rows = rows.withColumn("both", both).select("bucket", "guest", "doc_id", "hash", "n_chars", "edited_sha256", F.col("both.own").alias("own"), F.col("both.other").alias("other"))
+    rows = rows.withColumn("next", F.lead("own").over(side)).where("guest = 0")
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "next").alias("near_next"))

@@ -14,6 +14,8 @@ import regex
 import xxhash
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from flowgrid.llm import bpe, media, ordermin, packing, pii, queries, quality, secrets, simhash, token_counts
 from flowgrid.llm.common import components
 
@@ -94,8 +96,7 @@ def test_order_minhash_by_brute_force(spark):
             kmers.append(h if o == 0 else chain([number(h, 8), number(o, 4)]))
         out = ""
         for slot in range(ordermin.SLOTS):
-            order = sorted((chain([number(h, 8), number(slot // 2, 4)]), i) for i, h in enumerate(kmers))
-            first = order[-2:] if slot % 2 else order[:2]
+            first = sorted((chain([number(h, 8), number(slot, 4)]), i) for i, h in enumerate(kmers))[:2]
             out += f"{chain([number(slot, 4), *[number(k, 8) for k, _ in sorted(first, key=lambda x: x[1])]]) & 0xFFFFFFFF:08x}"
         return out
 
@@ -476,3 +477,21 @@ def test_secrets_beside_the_patterns_are_recalled(spark, documents):
         assert sum(own) >= 0.95 * len(own), kind
     clean = secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("spans like '%entropy%'")
     assert clean.count() == 0
+
+
+def test_next_documents_with_hot_ids(spark):
+    """Rows without a doc_id, and of one doc_id, are cut into ranges; each still gets the text that follows."""
+    rng = random.Random(11)
+    rows = [(i, f"{rng.random()} some words {rng.randrange(7)}") for i in [None] * 2500 + [5] * 2500 + list(range(900))] + [(5, "one text")] * 300
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (xxhash.xxh64_intdigest(r[1].encode(), 42) + (1 << 63)) % (1 << 64)))
+    want = []
+    for (doc, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        q = len(text) // 4
+        want.append((doc, hashlib.sha256((text[: len(text) - q] + following[:q]).encode()).hexdigest()))
+    got = ordermin.edited_fingerprints(df)
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got.select("doc_id", "edited_sha256").collect()), key=str) == sorted(want, key=str)
+    docs, firsts = ordermin.in_buckets(df.withColumn("hash", F.xxhash64("text")), "doc_id", "hash")
+    sizes = {r.bucket: r["count"] for r in docs.groupBy("bucket").count().collect()}
+    assert len(firsts) == len(sizes) >= 14 and max(sizes.values()) <= 1000  # of 6,200 rows
