@@ -35,7 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption option optgroup html body".split())
-DROPPED = frozenset("head script style title noscript template iframe object embed svg math canvas audio video nav footer aside form button select option textarea input label dialog menu search noembed noframes xmp".split())
+DROPPED = frozenset("head script style title noscript template iframe object embed svg canvas audio video nav footer aside form button select option textarea input label dialog menu search noembed noframes xmp".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar note".split())
 DROPPED_NAMES = frozenset(
     "nav navbar navigation menu topbar footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner"

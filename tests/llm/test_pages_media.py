@@ -197,3 +197,9 @@ def test_pipeline_stages_on_odd_rows(spark):
             assert out.columns == docs.columns
             out.collect()
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_formulas_inside_an_article_stay(spark):
+    page = "<html><body><nav>Menu</nav><article><p>Mass is <math><mi>m</mi><mo>=</mo><mi>E</mi></math> here.</p></article></body></html>"
+    (row,) = htmltext.main_text(spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string")).collect()
+    assert row.text == "Mass is m=E here."
