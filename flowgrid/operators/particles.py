@@ -214,9 +214,10 @@ def interp_to_time_grid(mass: DataFrame, times: DataFrame) -> DataFrame:
     known = mass.select("sim_name", "t", "total", F.coalesce(F.try_divide(F.col("entrained"), F.col("t") - F.lag("t").over(w)), F.lit(0.0)).alias("flow"))
     wanted = mass.select("sim_name").distinct().join(times.select("t"))
     both = known.select("sim_name", "t", F.struct("t", "total", "flow").alias("k")).unionByName(wanted.withColumn("k", F.lit(None)), allowMissingColumns=True)
+    # What follows is what precedes in the opposite order, with a running frame; a frame to the end would start anew at each row.
     order = Window.partitionBy("sim_name").orderBy("t", F.col("k").isNull())
-    a = F.last("k", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first("k", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy("sim_name").orderBy(F.desc("t"), F.col("k").isNotNull())
+    a, b = (F.last("k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for w in (order, back))
     on = both.withColumn("a", a).withColumn("b", b).where("k is null").withColumn("a", F.coalesce("a", "b")).withColumn("b", F.coalesce("b", "a"))
     f = F.when(F.col("b.t") > F.col("a.t"), (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))).otherwise(0.0)
     return on.select("sim_name", "t", *[(F.col(f"a.{c}") + f * (F.col(f"b.{c}") - F.col(f"a.{c}"))).alias(c) for c in ("total", "flow")])

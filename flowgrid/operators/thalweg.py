@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -89,9 +89,13 @@ def transform_to_sl(cells: DataFrame, grid: DataFrame, nrows: int, ncols: int) -
 def cross_section_max_mean(slcells: DataFrame, grid: DataFrame) -> DataFrame:
     """Per simulation, type, path and i_s: the largest value, and the area-weighted mean of those above 0 (0 if there are none)."""
     on = slcells.join(grid.select("path_id", "i_s", "i_l", "area"), ["path_id", "i_s", "i_l"])
+    return on.groupBy("sim_name", "res_type", "path_id", "i_s").agg(F.max("value").alias("v_max"), positive_mean().alias("v_mean"))
+
+
+def positive_mean() -> Column:
+    """Aggregate: the area-weighted mean of the values above 0, 0 if there are none."""
     w = F.when(above(F.col("value"), 0.0), F.col("area"))
-    mean = F.coalesce(F.sum(w * F.col("value")), F.lit(0.0)) / F.when(F.sum(w) > 0, F.sum(w)).otherwise(1.0)
-    return on.groupBy("sim_name", "res_type", "path_id", "i_s").agg(F.max("value").alias("v_max"), mean.alias("v_mean"))
+    return F.coalesce(F.sum(w * F.col("value")), F.lit(0.0)) / F.when(F.sum(w) > 0, F.sum(w)).otherwise(1.0)
 
 
 def runout(slcells: DataFrame, grid: DataFrame, thalweg: DataFrame, limit: float) -> DataFrame:
@@ -101,14 +105,17 @@ def runout(slcells: DataFrame, grid: DataFrame, thalweg: DataFrame, limit: float
     maximum, delta_s, delta_z and the runout angle (degrees) between them; s_mean, x_mean, y_mean of the last section whose
     area-weighted mean is above the limit (null if none is).  Found if there is any such section, also if it is the first.
     """
-    hits = slcells.where(above(F.col("value"), limit))
     keys = ["sim_name", "res_type", "path_id"]
-    ends = hits.groupBy(*keys).agg(F.min("i_s").alias("i_release"), F.max(F.struct("i_s", "value", -F.col("i_l"))).alias("k"))
-    ends = ends.select(*keys, "i_release", F.col("k.i_s").alias("i_runout"), (-F.col("k.col3")).cast("int").alias("i_l"))
+    # One pass over the rasters: sections with their maximum, where it lies, and their mean; then sections with their ends.
+    on = slcells.join(grid.select("path_id", "i_s", "i_l", "area"), ["path_id", "i_s", "i_l"])
+    top = F.max(F.when(F.col("value").isNotNull(), F.struct("value", (-F.col("i_l")).alias("back"))))
+    section = on.groupBy(*keys, "i_s").agg(top.alias("top"), positive_mean().alias("v_mean"))
+    hit = above(F.col("top.value"), limit)
+    ends = section.groupBy(*keys).agg(F.min(F.when(hit, F.col("i_s"))).alias("i_release"), F.max(F.when(hit, F.struct("i_s", F.col("top.back").alias("back")))).alias("k"), F.max(F.when(above(F.col("v_mean"), limit), F.col("i_s"))).alias("i_mean"))
+    ends = ends.where("k is not null").select(*keys, "i_release", "i_mean", F.col("k.i_s").alias("i_runout"), (-F.col("k.back")).cast("int").alias("i_l"))
     at = grid.select("path_id", F.col("i_s").alias("i_runout"), "i_l", F.col("s").alias("s_runout"), "l", "x", "y")
     middle = lambda name, *columns: thalweg.select("path_id", F.col("i_s").alias(f"i_{name}"), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-    mean = cross_section_max_mean(slcells, grid).where(above(F.col("v_mean"), limit)).groupBy(*keys).agg(F.max("i_s").alias("i_mean")).join(middle("mean", "s", "x", "y"), ["path_id", "i_mean"])
-    out = ends.join(at, ["path_id", "i_runout", "i_l"]).join(middle("release", "s", "z"), ["path_id", "i_release"]).join(middle("runout", "z"), ["path_id", "i_runout"]).join(mean, keys, "left")
+    out = ends.join(at, ["path_id", "i_runout", "i_l"]).join(middle("release", "s", "z"), ["path_id", "i_release"]).join(middle("runout", "z"), ["path_id", "i_runout"]).join(middle("mean", "s", "x", "y"), ["path_id", "i_mean"], "left")
     ds, dz = F.col("s_runout") - F.col("s_release"), F.col("z_release") - F.col("z_runout")
     return out.select(*keys, "s_release", "s_runout", "l", "x", "y", "z_release", "z_runout", ds.alias("delta_s"), dz.alias("delta_z"), F.when(ds > 0, F.degrees(F.atan(dz / ds))).alias("runout_angle"), "s_mean", "x_mean", "y_mean")
 

@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
+#: Simulations and paths: a number that grows with suppliers and customers, 20 and 3 at least.
+SIM = "l_suppkey % (SELECT greatest(20, CAST(ceil(max(l_suppkey) / 5.0) AS BIGINT)) FROM lineitem)"
+PATH = "o_custkey % (SELECT greatest(3, CAST(ceil(max(o_custkey) / 500.0) AS BIGINT)) FROM orders)"
+
 #: name -> SQL.  Raster cells: r is the row (0 = south), c the column; values may be absent, never NaN.
 INPUTS = {
-    "cells": """SELECT concat('sim', CAST(l_suppkey % 20 AS STRING)) AS sim_name, CASE l_returnflag WHEN 'A' THEN 'ppr' WHEN 'N' THEN 'pft' ELSE 'pfv' END AS res_type,
+    "cells": f"""SELECT concat('sim', CAST({SIM} AS STRING)) AS sim_name, CASE l_returnflag WHEN 'A' THEN 'ppr' WHEN 'N' THEN 'pft' ELSE 'pfv' END AS res_type,
         CAST(l_orderkey % 40 AS INT) AS r, CAST(l_partkey % 50 AS INT) AS c, max(l_extendedprice) / 1000 AS value FROM lineitem GROUP BY 1, 2, 3, 4""",
-    "cells_t": """SELECT concat('sim', CAST(l_suppkey % 20 AS STRING)) AS sim_name, CAST(l_linenumber AS DOUBLE) AS t, CASE l_returnflag WHEN 'A' THEN 'ppr' WHEN 'N' THEN 'pft' ELSE 'pfv' END AS res_type,
+    "cells_t": f"""SELECT concat('sim', CAST({SIM} AS STRING)) AS sim_name, CAST(l_linenumber AS DOUBLE) AS t, CASE l_returnflag WHEN 'A' THEN 'ppr' WHEN 'N' THEN 'pft' ELSE 'pfv' END AS res_type,
         CAST(l_orderkey % 40 AS INT) AS r, CAST(l_partkey % 50 AS INT) AS c, max(l_extendedprice) / 1000 AS value FROM lineitem GROUP BY 1, 2, 3, 4, 5""",
-    "sims": """SELECT DISTINCT concat('sim', CAST(l_suppkey % 20 AS STRING)) AS sim_name, 0.5 + 0.25 * CAST(l_suppkey % 20 % 4 AS DOUBLE) AS rel_th, 0.1 + 0.05 * CAST(l_suppkey % 20 % 3 AS DOUBLE) AS mu,
-        concat('rel', CAST(l_suppkey % 20 % 5 AS STRING)) AS scenario, CASE WHEN l_suppkey % 2 = 0 THEN 'null' ELSE 'ent' END AS sim_type FROM lineitem""",
+    "sims": f"""SELECT concat('sim', CAST(s AS STRING)) AS sim_name, 0.5 + 0.25 * CAST(s % 4 AS DOUBLE) AS rel_th, 0.1 + 0.05 * CAST(s % 3 AS DOUBLE) AS mu,
+        concat('rel', CAST(s % 5 AS STRING)) AS scenario, CASE WHEN s % 2 = 0 THEN 'null' ELSE 'ent' END AS sim_type FROM (SELECT DISTINCT {SIM} AS s FROM lineitem) l""",
     "dem": """SELECT r, c, 2000 - 25.0 * r + q / 10 AS z FROM (SELECT CAST(l_orderkey % 40 AS INT) AS r, CAST(l_partkey % 50 AS INT) AS c, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2) k""",
     "particles": """SELECT concat('sim', CAST(user_id % 4 AS STRING)) AS sim_name, CAST(t AS DOUBLE) AS t, user_id AS id, user_id - user_id % 3 AS parent_id, 10 + CAST(event_id % 200 AS DOUBLE) / 8 AS x, 5 + CAST(event_id % 120 AS DOUBLE) / 4 AS y,
         500 - 7.5 * t + CAST(event_id % 11 AS DOUBLE) AS z, CAST(event_id % 5 AS DOUBLE) - 2 AS ux, CAST(event_id % 7 AS DOUBLE) - 3 AS uy, CAST(event_id % 3 AS DOUBLE) - 1 AS uz, 1 + CAST(user_id % 7 AS DOUBLE) AS m, CAST(event_id % 9 AS DOUBLE) / 4 AS h, 10 * t + CAST(event_id % 10 AS DOUBLE) AS s
@@ -23,7 +27,7 @@ INPUTS = {
     "mass": """SELECT concat('sim', CAST(CAST(floor(o_custkey / 20) AS BIGINT) AS STRING)) AS sim_name, CAST(o_orderkey AS DOUBLE) AS t, o_totalprice AS total, CAST(o_orderkey % 13 AS DOUBLE) AS entrained, CAST(o_orderkey % 5 AS DOUBLE) AS detrained FROM orders""",
     "path": """SELECT path_id, i, 10.0 * i + CAST(o_orderkey % 7 AS DOUBLE) AS x, 5.0 * i + CAST(o_orderkey % 5 AS DOUBLE) AS y, 3000 - 60 * ln(1.0 + i) * 4 - CAST(o_orderkey % 3 AS DOUBLE) AS z
         FROM (SELECT o_custkey AS path_id, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS i FROM orders) o""",
-    "thal": """SELECT path_id, i, 1.5 + 3.5 * i + CAST(k AS DOUBLE) / 16 AS x, 6 + 2.25 * i + 2.0 * path_id - CAST(k AS DOUBLE) / 8 AS y, 900 - 400 * ln(1.0 + i) AS z FROM (SELECT CAST(o_custkey % 3 AS INT) AS path_id, CAST(o_orderkey % 11 AS INT) AS i, max(o_orderkey % 7) AS k FROM orders GROUP BY 1, 2) o""",
+    "thal": f"""SELECT path_id, i, 1.5 + 3.5 * i + CAST(k AS DOUBLE) / 16 AS x, 6 + 2.25 * i + 2.0 * (path_id % 3) - CAST(k AS DOUBLE) / 8 AS y, 900 - 400 * ln(1.0 + i) AS z FROM (SELECT CAST({PATH} AS INT) AS path_id, CAST(o_orderkey % 11 AS INT) AS i, max(o_orderkey % 7) AS k FROM orders GROUP BY 1, 2) o""",
     "visits": """SELECT l_orderkey AS start_id, CAST(l_partkey % 40 AS INT) AS r, CAST(l_suppkey % 50 AS INT) AS c, CAST(l_linenumber AS INT) AS visit_id, l_extendedprice / 100 AS z_delta, l_quantity / 50 AS flux, l_discount AS flux_dep, 10 + l_tax * 100 AS fp_gamma, 12 + l_tax * 50 AS sl_gamma, l_quantity * 5 AS dist FROM lineitem""",
     "edges": """SELECT l_orderkey AS start_id, CAST(l_linenumber AS BIGINT) AS parent, CAST(l_linenumber + 1 AS BIGINT) AS child FROM lineitem WHERE l_linenumber < 7""",
     "features": """SELECT s_suppkey AS feature_id, concat('area', CAST(s_suppkey AS STRING)) AS name, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE concat('g', CAST(s_nationkey AS STRING)) END AS grp, CASE WHEN s_suppkey % 4 = 0 THEN '' WHEN s_suppkey % 4 = 1 THEN 'a,b' ELSE 'a, c' END AS scenario,
