@@ -104,7 +104,10 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def sampling_key(temperature: float = TEMPERATURE, seed: int = 7) -> Column:
-    """Log weight over temperature plus Gumbel noise; the noise is a function of doc_id and seed, so that a rerun draws the same."""
+    """Log weight over temperature plus Gumbel noise; the noise is a function of doc_id and seed, so that a rerun draws the same.
+
+    Rows without a doc_id share one draw, so among them the weight alone decides.
+    """
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), 11) + 0.5) / float(1 << 53)
     return F.col("log_ratio") / temperature - F.log(-F.log(u))
 
