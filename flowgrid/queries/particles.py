@@ -65,18 +65,21 @@ def particles_to_fields(x: Inputs) -> DataFrame:
     return rounded(rounded(K.particles_to_fields(x.particles, 1.0), "mass", "ft", "v"), "p", digits=5).withColumn("ke", F.round("ke", 9))
 
 
-LOADED = "p AS (SELECT sim_name, t, x, y, m, ux, uy, uz, h / 10 AS dm_det, h / 4 AS dm_ent, s AS travel_angle FROM particles)"
+#: Masses without short decimals, so that no sum lies between two rounded values.
+LOADED = "p AS (SELECT sim_name, t, x, y, ln(2 + m) AS m, ux, uy, uz, h * ln(2 + m) / 10 AS dm_det, h * ln(2 + m) / 4 AS dm_ent, s AS travel_angle FROM particles)"
 
 
 @query(f"""WITH {NORMALS}, {LOADED}, e AS (SELECT sim_name, t, x, y, m, m * ux AS ux, m * uy AS uy, m * uz AS uz, dm_det, dm_ent, 0.0 AS ms, travel_angle AS ta FROM p UNION ALL SELECT sim_name, t, x, y, 0, 0, 0, 0, 0, 0, m, 0 FROM p WHERE ux = 0 AND uy = 0 AND uz = 0),
 kw AS (SELECT e.*, CAST(floor(y) AS INT) + di AS r, CAST(floor(x) AS INT) + dj AS c, (CASE WHEN di = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN dj = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM e, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS q(di, dj)),
 s AS (SELECT sim_name, t, r, c, sum(m * w) AS mass, sum(dm_det * w) AS m_det, sum(dm_ent * w) AS m_ent, sum(ms * w) AS m_stop, sum(ux * w) AS ux, sum(uy * w) AS uy, sum(uz * w) AS uz, coalesce(max(ta) FILTER (WHERE r = floor(y + 0.5) AND c = floor(x + 0.5)), 0) AS ta FROM kw WHERE w > 0 GROUP BY 1, 2, 3, 4),
 f AS (SELECT s.*, n.area, coalesce(ux / nullif(mass, 0), 0) AS vx, coalesce(uy / nullif(mass, 0), 0) AS vy, coalesce(uz / nullif(mass, 0), 0) AS vz, coalesce(sqrt(ux * ux + uy * uy + uz * uz) / nullif(mass, 0), 0) AS v FROM s JOIN normals n ON s.r = n.r AND s.c = n.c)
-SELECT sim_name, t, r, c, round(mass, 6) AS mass, round(m_det, 6) AS m_det, round(m_ent, 6) AS m_ent, round(m_stop, 6) AS m_stop, round(mass / (area * 200), 6) AS ft, round(vx, 6) AS vx, round(vy, 6) AS vy, round(vz, 6) AS vz, round(v, 6) AS v, round(200 * v * v, 5) AS p, round(0.5 * mass * v * v, 5) AS ke, ta, round((0 - m_det) / (area * 200), 6) AS ft_det, round((0 - m_ent) / (area * 100), 6) AS ft_ent, round(m_stop / (area * 200), 6) AS ft_stop FROM f""")
+SELECT sim_name, t, r, c, round(mass, 6) AS mass, round(m_det, 6) AS m_det, round(m_ent, 6) AS m_ent, round(m_stop, 6) AS m_stop, round(mass / (area * 200), 9) AS ft, round(vx, 6) + 0.0 AS vx, round(vy, 6) + 0.0 AS vy, round(vz, 6) + 0.0 AS vz, round(v, 6) AS v, round(200 * v * v, 5) AS p, round(0.5 * mass * v * v, 5) AS ke, ta, round((0 - m_det) / (area * 200), 9) AS ft_det, round((0 - m_ent) / (area * 100), 9) AS ft_ent, round(m_stop / (area * 200), 9) AS ft_stop FROM f""")
 def all_particle_fields(x: Inputs) -> DataFrame:
-    p = x.particles.select("sim_name", "t", "x", "y", "m", "ux", "uy", "uz", (F.col("h") / 10).alias("dm_det"), (F.col("h") / 4).alias("dm_ent"), F.col("s").alias("travel_angle"))
+    m = F.log(2 + F.col("m"))
+    p = x.particles.select("sim_name", "t", "x", "y", m.alias("m"), "ux", "uy", "uz", (F.col("h") * m / 10).alias("dm_det"), (F.col("h") * m / 4).alias("dm_ent"), F.col("s").alias("travel_angle"))
     out = K.all_particle_fields(p, 1.0, area=surface_normals(x.dem, 5.0), stopped=p.where("ux = 0 and uy = 0 and uz = 0"))
-    return rounded(rounded(out, "mass", "m_det", "m_ent", "m_stop", "ft", "vx", "vy", "vz", "v", "ft_det", "ft_ent", "ft_stop"), "p", "ke", digits=5)
+    out = rounded(out, "mass", "m_det", "m_ent", "m_stop", "vx", "vy", "vz", "v").withColumns({c: F.col(c) + 0.0 for c in ("vx", "vy", "vz")})
+    return rounded(rounded(out, "ft", "ft_det", "ft_ent", "ft_stop", digits=9), "p", "ke", digits=5)
 
 
 @query(f"WITH k AS (SELECT sim_name, t, CAST(round_even(y, 0) AS INT) AS r, CAST(round_even(x, 0) AS INT) AS c, count(*) AS n FROM particles GROUP BY 1, 2, 3, 4) SELECT *, coalesce(sum(n) OVER (PARTITION BY sim_name, t ORDER BY r * {NC} + c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k".replace("AS before", 'AS "before"'))
