@@ -3,7 +3,7 @@
 Words are taken in k-mers, each k-mer is numbered by its occurrence in the text, and every slot of a signature takes
 the TUPLE occurrence-numbered k-mers that come first under the slot's own random order, a hash of its own.  A tuple
 keeps the order of the text and is hashed; two texts agree in a slot if they share the k-mers and their order, which
-follows edit distance.  A text and its edited form share most k-mers; those are hashed once for both.
+follows edit distance.
 """
 
 from __future__ import annotations
@@ -58,46 +58,21 @@ def numbered_kmers(text: Column) -> Column:
     return bound(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda words: bound(kmers(words), numbered))
 
 
-def first_tuple(order: Column, kmers: Column, skipped: Column | int, own: Column, slot: Column, found: tuple[Column, ...] = ()) -> Column:
-    """The hash of the TUPLE k-mers that come first in order, in the order of the text own (a struct of numbered_kmers).
-
-    order: the slot's hashes of kmers, from the k-mer after the first `skipped` on.
-    """
-    if len(found) < TUPLE:
-        left = order
-        for x in found:
-            left = F.array_remove(left, x)
-        return bound(F.array_min(left), lambda x: first_tuple(order, kmers, skipped, own, slot, (*found, x)))
-    at = lambda x: F.get(kmers, (F.array_position(order, x) + skipped - 1).cast("int"))
-    place = lambda x: bound(at(x), lambda k: F.struct(F.get(own["at"], F.array_position(own["hash"], k).cast("int") - 1).alias("at"), x.alias("kmer")))
-    with_place = F.transform(F.filter(F.array(*found), lambda x: x.isNotNull()), place)
-    return F.xxhash64(slot, F.transform(F.sort_array(with_place), lambda x: x["kmer"])).bitwiseAND(F.lit(0xFFFFFFFF))
-
-
-def by_slot(kmers: Column, tuples: Callable[[Column, Column], Column]) -> Column:
-    """tuples(order, slot) for each slot, order being the slot's hashes of kmers."""
-    return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda slot: bound(F.transform(kmers, lambda h: F.xxhash64(h, slot)), lambda order: tuples(order, slot)))
-
-
 def signature(kmers: Column) -> Column:
     """The tuples' hashes: for each slot its first k-mers under its own order, in the order of the text."""
-    return by_slot(kmers["hash"], lambda order, slot: first_tuple(order, kmers["hash"], 0, kmers, slot))
-
-
-def signatures(own: Column, other: Column) -> Column:
-    """signature() of two texts (structs of numbered_kmers) as a struct own, other; k-mers that both have are hashed once.
-
-    K-mers are laid out as those of the first text alone, of both, of the second alone; each text is a slice of that.
-    """
-    parts = F.struct(F.array_except(own["hash"], other["hash"]).alias("a"), F.array_intersect(own["hash"], other["hash"]).alias("b"), F.array_except(other["hash"], own["hash"]).alias("c"))
+    hashes, places = kmers["hash"], kmers["at"]
 
-    def tuples(p: Column, all_: Column) -> Column:
-        a, b, c = (F.size(p[x]) for x in "abc")
-        each = lambda o, slot: F.struct(bound(F.slice(o, 1, a + b), lambda x: first_tuple(x, all_, 0, own, slot)).alias("own"), bound(F.slice(o, a + 1, b + c), lambda x: first_tuple(x, all_, a, other, slot)).alias("other"))
-        return by_slot(all_, each)
+    def tuple_of(order: Column, slot: Column, found: tuple[Column, ...] = ()) -> Column:
+        if len(found) < TUPLE:
+            left = order
+            for x in found:
+                left = F.array_remove(left, x)
+            return bound(F.array_min(left), lambda x: tuple_of(order, slot, (*found, x)))
+        own = F.filter(F.array(*found), lambda x: x.isNotNull())
+        with_place = F.transform(own, lambda x: F.struct(F.get(places, F.array_position(order, x).cast("int") - 1).alias("at"), x.alias("kmer")))
+        return F.xxhash64(slot, F.transform(F.sort_array(with_place), lambda x: x["kmer"])).bitwiseAND(F.lit(0xFFFFFFFF))
 
-    found = bound(parts, lambda p: bound(F.concat(p["a"], p["b"], p["c"]), lambda all_: tuples(p, all_)))
-    return bound(found, lambda x: F.struct(F.transform(x, lambda t: t["own"]).alias("own"), F.transform(x, lambda t: t["other"]).alias("other")))
+    return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda slot: bound(F.transform(hashes, lambda h: F.xxhash64(h, slot)), lambda order: tuple_of(order, slot)))
 
 
 def signed(text: Column) -> Column:
@@ -185,7 +160,6 @@ def edited_fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     q = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - q), F.substring(F.coalesce("next", F.lit("")), F.lit(1), q))
     rows = rows.select("bucket", "guest", "doc_id", "hash", n_chars.alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
-    both = bound(numbered_kmers(F.col("text")), lambda a: bound(numbered_kmers(F.col("edited")), lambda b: signatures(a, b)))
-    rows = rows.withColumn("both", both).select("bucket", "guest", "doc_id", "hash", "n_chars", "edited_sha256", F.col("both.own").alias("own"), F.col("both.other").alias("other"))
-    rows = rows.withColumn("next", F.lead("own").over(side)).where("guest = 0")
+    rows = rows.withColumn("own", signed(F.col("text"))).drop("text")
+    rows = rows.withColumn("next", F.lead("own").over(side)).where("guest = 0").withColumn("other", signed(F.col("edited")))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "next").alias("near_next"))
