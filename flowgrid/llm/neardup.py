@@ -1,11 +1,16 @@
-"""Near-duplicates by SimHash distance and exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash blocks, Hamming distance and exact Jaccard similarity of word shingles.
+
+First the SimHash way (simhash.links): fingerprints of the shingle sets meet on pigeonhole blocks, their Hamming distance is
+verified, and pairs of BITS differing bits or fewer are compared in full.  It links the nearest copies, and what it has linked
+is not compared again.
 
 A similarity of 0.8 lets 64-bit fingerprints differ in up to a quarter of their bits; blocks that such pairs must share
-would be of four bits each, which tells nothing apart.  So pairs meet on blocks of their shingle sets instead: two sets of
-similarity t or more share a shingle among the first n - ceil(t * n) + 1 of either in any one order of all shingles, and at
-the first one they share enough must remain on both sides.  Nothing similar is lost.  Shingles that a sample finds common
-come last in the order; the sample only decides how many pairs meet, never which are linked.  Pairs that met are verified
-by the Hamming distance of their fingerprints (sets of FEW shingles and more), then compared in full.
+would be of four bits each, which tells nothing apart.  So the sets also meet on blocks of their shingles, where pairs
+farther apart are found: two sets of similarity t or more share a shingle among the first n - ceil(t * n) + 1 of either in any
+one order of all shingles, and at the first one they share enough must remain on both sides.  Nothing similar is lost.
+Shingles that a sample finds common come last in the order; the sample only decides how many pairs meet, never which are
+linked.  Pairs that met are verified by the Hamming distance of their fingerprints (sets of FEW shingles and more), then
+compared in full.
 
 In a bucket of more than PAIRS sets all are compared with a leader first: any one, then the one whose fingerprint is
 nearest to the majority's, which near copies of one text have in common, then so for what is not with the largest
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import components, map_arrow, removed, sent_by_bytes, text_or_empty, written
 from .simhash import bits_of, first_of_each, signed
+from .simhash import links as near_fingerprints
 
 PAIRS = 4
 ROUNDS = 3
@@ -34,6 +40,8 @@ SAMPLE, COMMON = 10_000, 200_000
 #: Fingerprints of sets of FEW shingles and more, of similarity 0.8, differ in 10 bits of 64 give or take 3; FAR is beyond
 #: five deviations, and unrelated ones differ in 32 give or take 4.
 FEW, FAR = 50, 27
+#: Differing bits that the SimHash blocks cover.
+BITS = 2
 Order = tuple[np.ndarray, np.ndarray]
 
 
@@ -128,10 +136,27 @@ def leaders(crowd: DataFrame, rest: bool) -> DataFrame:
     return crowd.join(middle, "key").groupBy("key").agg(F.min_by(F.struct("id", "n", "i", "bits", "root"), F.struct(far, "id")).alias("y")).select("key", "y.*")
 
 
-def links(keys: DataFrame, texts: DataFrame, t: float, width: int, seed: int) -> DataFrame:
+def near_pairs(sets: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) of sets (id, n, bits) that the SimHash blocks put together, BITS differing bits apart or fewer.
+
+    Sets of one fingerprint are paired with the smallest of them, which stands for them beside other fingerprints; pairs
+    whose sizes rule out similarity t are left out.
+    """
+    own, path = written(sets.groupBy("bits").agg(F.min(F.struct("id", "n")).alias("least")).select("bits", F.col("least.id").alias("head"), F.col("least.n").alias("m")), "fingerprints")
+    equal = sets.join(own, "bits").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.col("m").alias("x"), F.col("n").alias("y"))
+    side = lambda bits, id_, n: own.select(F.col("bits").alias(bits), F.col("head").alias(id_), F.col("m").alias(n))
+    apart = near_fingerprints(own.select(F.col("bits").alias("fp")), BITS).join(side("a", "u", "x"), "a").join(side("b", "v", "y"), "b")
+    pairs = equal.union(apart.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "x", "y"))
+    found, _ = written(pairs.where("a < b").where(F.least("x", "y") >= F.lit(t) * F.greatest("x", "y") - 1e-6).select("a", "b"), "near")
+    removed(sets.sparkSession, path)
+    return found
+
+
+def links(sets: DataFrame, keys: DataFrame, texts: DataFrame, t: float, width: int, seed: int) -> DataFrame:
     """(node, root) of sets linked by similarity t or more.
 
-    keys: key, id, n (size), i (place of key in the set's order), bits (fingerprint); texts: doc_id, text, hash (of the text).
+    sets: id, n (size), bits (fingerprint); keys: key, id, n, i (place of key in the set's order), bits; texts: doc_id, text,
+    hash (of the text).
     """
 
     def may(x: Column, y: Column) -> Column:
@@ -154,15 +179,18 @@ def links(keys: DataFrame, texts: DataFrame, t: float, width: int, seed: int) ->
     later = lambda x, k: F.filter(F.slice("own", k + 2, PAIRS), lambda y: (x["id"] < y["id"]) & may(x, y))
     pairs = F.flatten(F.transform("own", lambda x, k: F.transform(later(x, k), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
     found = few.groupBy("key").agg(rows.alias("own")).select(pairs.alias("pairs")).where("size(pairs) > 0").distinct().select(F.explode("pairs").alias("p")).select("p.a", "p.b")
-    edges, roots = None, None
+    near = near_pairs(sets, t)
+    edges = similar(near, texts, t, width, seed)
+    roots = components(edges)
+    # What the SimHash blocks have linked is not compared again.
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+    found = found.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
     for k in range(ROUNDS + 1):
-        crowd = large.withColumn("root", F.col("id"))
-        if roots is not None:
-            named = large.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*large.columns, F.coalesce("root", "id").alias("root"))
-            open_ = named.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("key")
-            crowd, _ = written(named.join(open_, "key", "left_semi"), "crowd")
-            if crowd.isEmpty():
-                break
+        named = large.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*large.columns, F.coalesce("root", "id").alias("root"))
+        open_ = named.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("key")
+        crowd, _ = written(named.join(open_, "key", "left_semi"), "crowd")
+        if k and crowd.isEmpty():
+            break
         if k == 0:
             lead = crowd.groupBy("key").agg(F.min_by(F.struct("id", "n", "i", "bits", "root"), F.xxhash64("id")).alias("y")).select("key", "y.*")
         else:
@@ -172,7 +200,7 @@ def links(keys: DataFrame, texts: DataFrame, t: float, width: int, seed: int) ->
         pairs, pairs_path = written((found.union(more) if k == 0 else more).distinct(), "pairs")
         new = similar(pairs, texts, t, width, seed)
         removed(pairs.sparkSession, pairs_path)
-        edges = new if edges is None else edges.union(new)
+        edges = edges.union(new)
         roots = components(edges)
     removed(keys.sparkSession, met_path)
     removed(keys.sparkSession, large_path)
@@ -202,10 +230,11 @@ def near_duplicates(df: DataFrame, text: str = "text", t: float = 0.8, width: in
     distinct, _ = written(docs.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
     named, _ = written(docs.select("doc_id", "fp").distinct().join(distinct, "fp"), "named")
     heads = docs.join(named.where("doc_id = id").select("doc_id", "fp").distinct(), ["doc_id", "fp"], "left_semi").dropDuplicates(["fp"])
+    sets, _ = written(heads.select(F.col("doc_id").alias("id"), "n", "bits"), "sets")
     # Keys are cut to 40 bits, which pack better; two that fall together only make more pairs meet.
     keys = heads.select(F.col("doc_id").alias("id"), "n", "bits", F.posexplode("first").alias("i", "key")).withColumn("key", F.col("key").bitwiseAND(F.lit((1 << 40) - 1)))
     texts = rows.where("doc_id is not null").withColumn("hash", F.xxhash64("text"))
-    roots = links(keys, texts, t, width, seed).withColumnRenamed("node", "id")
+    roots = links(sets, keys, texts, t, width, seed).withColumnRenamed("node", "id")
     classes, _ = written(named.join(roots, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "id")).alias("component_id")), "classes")
     removed(df.sparkSession, docs_path)
     return df.select(F.col("doc_id").cast("long").alias("doc_id")).join(classes, "doc_id", "left")

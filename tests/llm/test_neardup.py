@@ -78,3 +78,22 @@ def test_stage_on_given_documents(spark):
     got = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect())
     want = kept_by_all_pairs({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()})
     assert got == want and 177 not in got and 145 not in got
+
+
+def test_simhash_blocks_link_near_copies(spark):
+    """Pairs within 2 bits meet on the SimHash blocks, and are linked without any shingle bucket."""
+    rng = random.Random(3)
+    texts, n = {}, 0
+    for _ in range(40):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(400)]
+        for own in (base, edited(base, 1, rng), edited(base, 40, rng)):
+            texts[n], n = " ".join(own), n + 1
+    own = {d: neardup.shingles(t) for d, t in texts.items()}
+    bits = {d: neardup.bits_of(x) for d, x in own.items()}
+    near = {(a, b) for a in own for b in own if a < b and ((bits[a] ^ bits[b]) % (1 << 64)).bit_count() <= neardup.BITS}
+    alike = {p for p in near if len(set(own[p[0]]) & set(own[p[1]])) >= 0.8 * len(set(own[p[0]]) | set(own[p[1]]))}
+    sets = spark.createDataFrame([(d, len(own[d]), bits[d]) for d in own], "id long, n int, bits long")
+    assert len(alike) > 10 and {(r.a, r.b) for r in neardup.near_pairs(sets, 0.5).collect()} == near
+    keys = spark.createDataFrame([], "id long, n int, bits long, i int, key long")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "xxhash64(text) AS hash")
+    assert {(r.root, r.node) for r in neardup.links(sets, keys, docs, 0.8, 5, 42).collect()} == alike
