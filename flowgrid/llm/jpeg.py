@@ -87,7 +87,7 @@ class Table:
     @lru_cache(maxsize=64)  # noqa: B019
     def lookup(self) -> np.ndarray:
         """symbol << 8 | length for each 16 bits; length 16 with symbol 0 where there is no code."""
-        out, at, i = np.full(1 << 16, 16, np.int64), 0, 0
+        out, at, i = np.full(1 << 16, 16, np.uint16), 0, 0
         for n, k in enumerate(self.counts, 1):
             for _ in range(k):
                 out[at : at + (1 << 16 - n)] = self.symbols[i] << 8 | n
@@ -158,7 +158,7 @@ def packed(values: np.ndarray, bits: np.ndarray, segment: np.ndarray, n: int) ->
         if not len(v):
             continue
         w = s >> 5
-        whole = v.astype(np.uint64) << (64 - b - (s & 31)).astype(np.uint64) if b.min() else np.where(b > 0, v.astype(np.uint64) << np.minimum(64 - b - (s & 31), 63).astype(np.uint64), 0).astype(np.uint64)
+        whole = v.astype(np.uint64) << (64 - b - (s & 31)).view(np.uint64) if b.min() else np.where(b > 0, v.astype(np.uint64) << np.minimum(64 - b - (s & 31), 63).astype(np.uint64), 0).astype(np.uint64)
         group = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
         words[w[group]] |= np.bitwise_or.reduceat(whole >> np.uint64(32), group)
         words[w[group] + 1] |= np.bitwise_or.reduceat(whole & np.uint64(0xFFFFFFFF), group)
@@ -187,18 +187,19 @@ def dc_items(c: np.ndarray, comp: np.ndarray, segment: np.ndarray, low: int, hig
 
 def ac_first_items(band: np.ndarray, segment: np.ndarray, low: int, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code, length = table.codes()
-    v = np.sign(band) * (np.abs(band) >> low)
-    blk, k = np.nonzero(v)
-    x = v[blk, k]
+    mag = np.abs(band) >> low
+    blk, k = np.nonzero(mag)
+    at = blk * band.shape[1] + k
+    x = np.where(band.ravel()[at] < 0, -1, 1) * mag.ravel()[at]
     opens = np.append(True, blk[1:] != blk[:-1])[: len(blk)]
     run = k - np.where(opens, -1, np.append(-1, k[:-1])[: len(k)]) - 1
     skips = run >> 4
-    last = np.full(len(v), -1)
+    last = np.full(len(mag), -1)
     last[blk] = k  # the last one of a block stays
-    eob = last < v.shape[1] - 1
+    eob = last < mag.shape[1] - 1
     before = np.cumsum(eob) - eob
     at = np.arange(len(blk)) + np.cumsum(skips) + before[blk]
-    count = np.bincount(blk, minlength=len(v)) + np.bincount(blk, skips, len(v)).astype(np.int64) + eob
+    count = np.bincount(blk, minlength=len(mag)) + np.bincount(blk, skips, len(mag)).astype(np.int64) + eob
     n = int(count.sum())
     values, bits = np.full(n, code[0xF0]), np.full(n, length[0xF0])  # what isn't filled is a skip of 16 zeros
     size = SIZE_OF[np.abs(x)]
@@ -264,19 +265,20 @@ def stored(payloads: list[bytes]) -> list[bytes]:
         across = min(units, WIDEST)
         layouts.append(Layout(16 * across, 16 * -(-units // across), SAMPLING, base))
         base += layouts[-1].blocks
-    coef = np.zeros((base, 64), dtype=np.int64)
+    coef = np.zeros((base, 64), dtype=np.int16)
     for p, at in zip(payloads, layouts, strict=True):
-        coef[at.order((0, 1, 2))[0][: len(p) // 64]] = np.frombuffer(p, np.uint8).reshape(-1, 64).astype(np.int64) - OFFSET
+        coef[at.order((0, 1, 2))[0][: len(p) // 64]] = np.frombuffer(p, np.uint8).reshape(-1, 64).astype(np.int16) - OFFSET
+    bases = np.array([at.base for at in layouts])
     dc, ac = own_tables()
     head = b"".join([marker(0xDB, bytes([0]) + bytes([1] * 64)), marker(0xC4, b"".join([bytes([kind << 4]) + bytes(t.counts) + bytes(t.symbols) for kind, t in ((0, dc), (1, ac))])), marker(0xDD, struct.pack(">H", RESTART))])
     out = [[b"\xff\xd8", marker(0xFE, f"payload={len(p)}".encode()), head, marker(0xC2, struct.pack(">BHHB", 8, at.height, at.width, 3) + b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(SAMPLING)))] for p, at in zip(payloads, layouts, strict=True)]
     for components, a, b, high, low in SCRIPT:
-        orders = [at.order(components) for at in layouts]
-        unit = RESTART * orders[0][2]
-        counts = [-(-len(o[0]) // unit) for o in orders]
-        firsts = np.cumsum([0, *counts])
-        segment = np.concatenate([f + np.arange(len(o[0])) // unit for f, o in zip(firsts, orders, strict=False)])
-        blocks, comp = np.concatenate([o[0] for o in orders]), np.concatenate([o[1] for o in orders])
+        orders = [scan_order(at.width, at.height, at.sampling, components) for at in layouts]
+        unit, sizes = RESTART * orders[0][2], np.array([len(o[0]) for o in orders])
+        firsts = np.cumsum([0, *-(-sizes // unit)])
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        segment = np.repeat(firsts[:-1], sizes) + within // unit
+        blocks, comp = np.concatenate([o[0] for o in orders]) + np.repeat(bases, sizes), np.concatenate([o[1] for o in orders])
         if a == 0:
             items = dc_items(coef[blocks, 0], comp, segment, low, high, dc)
         elif high:
@@ -319,6 +321,17 @@ class Image:
     comment: bytes = b""
 
 
+@lru_cache(maxsize=64)
+def tables_in(body: bytes) -> list[tuple[tuple[int, int], Table]]:
+    """Class and number, and table, of each of a segment's Huffman tables."""
+    out = []
+    while body:
+        counts = tuple(body[1:17])
+        out.append(((body[0] >> 4, body[0] & 15), Table(counts, tuple(body[17 : 17 + sum(counts)]))))
+        body = body[17 + sum(counts) :]
+    return out
+
+
 def parsed(data: bytes) -> Image:
     """Frame and scans of a progressive JPEG (8 bits, Huffman coding)."""
     if data[:2] != b"\xff\xd8":
@@ -345,10 +358,7 @@ def parsed(data: bytes) -> Image:
                 quant[n] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.int64)
                 body = body[65 + 64 * wide :]
         elif code == 0xC4:
-            while body:
-                counts = tuple(body[1:17])
-                tables[body[0] >> 4, body[0] & 15] = Table(counts, tuple(body[17 : 17 + sum(counts)]))
-                body = body[17 + sum(counts) :]
+            tables.update(tables_in(body))
         elif code == 0xDD:
             (restart,) = struct.unpack(">H", body)
         elif code == 0xFE:
@@ -389,17 +399,17 @@ class Lanes:
     def peek(self, at: np.ndarray) -> np.ndarray:
         """The bits from `at` on, left-aligned in 64 (57 at least are valid)."""
         at = np.minimum(at, self.limit)
-        return self.words[at >> 3] << (at & 7).astype(np.uint64)
+        return self.words[at >> 3] << (at & 7).view(np.uint64)
 
 
 def top(word: np.ndarray, n: np.ndarray | int) -> np.ndarray:
     """The first n bits of left-aligned words; n may be 0."""
-    n = np.asarray(n)
-    return ((word >> np.uint64(1)) >> (63 - n).astype(np.uint64)).astype(np.int64)
+    return ((word >> np.uint64(1)) >> np.asarray(63 - n, np.int64).view(np.uint64)).view(np.int64)
 
 
 def extended(v: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return np.where((size > 0) & (v < (1 << np.maximum(size - 1, 0))), v - (1 << size) + 1, v)
+    full = 1 << size
+    return np.where(2 * v < full - (size == 0), v - full + 1, v)
 
 
 class Reader:
@@ -422,10 +432,12 @@ class Reader:
         self.lanes, self.first, self.count = Lanes(segments), np.array(first), np.array(count)
         width = max(map(len, luts))
         self.lut_of = np.array([x + (0,) * (width - len(x)) for x in luts])
-        self.lut = np.concatenate([t.lookup() for t in self.tables]) if self.tables else np.zeros(1 << 16, np.int64)
+        self.lut = np.concatenate([t.lookup() for t in self.tables]) if self.tables else np.zeros(1 << 16, np.uint16)
+        self.plain = len(self.tables) < 2
 
     def symbols(self, word: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        got = self.lut[(table << 16) + (word >> np.uint64(48)).astype(np.int64)]
+        at = (word >> np.uint64(48)).view(np.int64)
+        got = self.lut[at if self.plain else at + (table << 16)].astype(np.int64)
         return got >> 8, got & 255
 
     def dc(self, coef: np.ndarray, high: int, low: int) -> None:
@@ -439,13 +451,13 @@ class Reader:
                 at[live] += 1
                 continue
             size, length = self.symbols(word, self.lut_of[live, comp])
-            diff = extended(top(word << length.astype(np.uint64), size), size)
+            diff = extended(top(word << length.view(np.uint64), size), size)
             pred[live, comp] += diff
             coef[block, 0] = pred[live, comp] << low
             at[live] += length + size
 
     def ac_first(self, coef: np.ndarray, a: int, b: int, low: int) -> None:
-        flat = coef.reshape(-1)
+        flat, starts = coef.reshape(-1), self.order * 64
         at, table = self.lanes.start.copy(), self.lut_of[:, 0]
         place, end, k = self.first.copy(), self.first + self.count, np.full(len(self.first), a)
         while True:
@@ -459,11 +471,11 @@ class Reader:
             run, size = symbol >> 4, symbol & 15
             ends = (size == 0) & (run < 15)
             extra = np.where(ends, run, size)
-            bits = top(word << length.astype(np.uint64), extra)
+            bits = top(word << length.view(np.uint64), extra)
             at = at + length + extra
             k = k + run
             put = np.flatnonzero(size)
-            flat[self.order[place[put]] * 64 + np.minimum(k[put], 63)] = extended(bits[put], size[put]) << low
+            flat[starts[place[put]] + np.minimum(k[put], 63)] = extended(bits[put], size[put]) << low
             k = k + 1
             # The end of a block, or of a run of blocks.
             over = ends | (k > b)
@@ -494,7 +506,7 @@ class Reader:
             run, size = symbol >> 4, symbol & 15
             ends = reads & (size == 0) & (run < 15)
             extra = np.where(ends, run, size)
-            bits = top(word << length.astype(np.uint64), extra)
+            bits = top(word << length.view(np.uint64), extra)
             at = at + np.where(reads, length + extra, 0)
             run_of = np.where(ends, (1 << run) + bits, run_of)
             whole = run_of > 0  # the rest of this block has corrections only
@@ -532,7 +544,7 @@ def coefficients(out: list[Image]) -> np.ndarray:
     for image in out:
         image.layout = Layout(image.layout.width, image.layout.height, image.layout.sampling, base)
         base += image.layout.blocks
-    coef = np.zeros((base, 64), np.int64)
+    coef = np.zeros((base, 64), np.int32)
     # A scan needs the earlier ones of its components only, so scans of different components are read together.
     levels: list[dict[tuple, list]] = []
     for x in out:
@@ -589,5 +601,7 @@ def rgb(image: Image, blocks: np.ndarray) -> np.ndarray:
     cb, cr = cb - 128, cr - 128
     # Fixed-point factors of the usual conversion, in 1/65536.
     full = (y << 16) + 32768
-    out = np.stack([(full + 91881 * cr) >> 16, (full - 22554 * cb - 46802 * cr) >> 16, (full + 116130 * cb) >> 16], axis=2)
-    return np.clip(out, 0, 255).astype(np.uint8)
+    out = np.empty((*y.shape, 3), np.uint8)
+    for i, x in enumerate((full + 91881 * cr, full - 22554 * cb - 46802 * cr, full + 116130 * cb)):
+        out[:, :, i] = np.clip(x >> 16, 0, 255)
+    return out

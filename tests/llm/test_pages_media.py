@@ -203,3 +203,15 @@ def test_formulas_inside_an_article_stay(spark):
     page = "<html><body><nav>Menu</nav><article><p>Mass is <math><mi>m</mi><mo>=</mo><mi>E</mi></math> here.</p></article></body></html>"
     (row,) = htmltext.main_text(spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string")).collect()
     assert row.text == "Mass is m=E here."
+
+
+def test_jpeg_tables_stay_small():
+    """Lookups stay in cache, equal table segments are parsed once, and files hold what they did."""
+    dc, ac = jpeg.own_tables()
+    assert dc.lookup().nbytes == ac.lookup().nbytes == 2 << 16
+    payloads = [bytes(range(256)) * k + bytes(64) for k in (1, 7, 40)]
+    files = jpeg.stored(payloads)
+    images, coef = jpeg.decoded(files)
+    assert [jpeg.payload_of(x, coef) for x in images] == payloads and len({id(x.scans[0].dc[0]) for x in images}) == 1
+    v, size = np.array([0, 0, 1, 0, 3, 4, 5]), np.array([0, 1, 1, 3, 3, 3, 11])
+    assert jpeg.extended(v, size).tolist() == [0, -1, 1, -7, -4, 4, -2042]
