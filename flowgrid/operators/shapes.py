@@ -54,21 +54,35 @@ def on_blocks(shapes: DataFrame, radius: float) -> DataFrame:
     return shapes.withColumn("bx", span("x")).withColumn("by", span("y"))
 
 
-def point_in_polygon(points: DataFrame, vertices: DataFrame, radius: float = 0.0) -> DataFrame:
-    """points with feature_id for each polygon that holds the point, or whose outline is within radius.
+def shapes_at(places: DataFrame, shapes: DataFrame, radius: float = 0.0) -> DataFrame:
+    """places (x, y) with feature_id for each outline that holds the place, or is within radius.
 
-    Points and bounding boxes meet on blocks; the exact test follows.
+    Places and bounding boxes meet on blocks; the exact test follows.
     """
-    near = points.withColumn("bx", F.floor(F.col("x") / BLOCK)).withColumn("by", F.floor(F.col("y") / BLOCK)).join(on_blocks(outlines(vertices), radius), ["bx", "by"])
+    near = places.withColumn("bx", F.floor(F.col("x") / BLOCK)).withColumn("by", F.floor(F.col("y") / BLOCK)).join(on_blocks(shapes, radius), ["bx", "by"])
     x, y = F.col("x"), F.col("y")
     box = (x >= F.col("x_min") - radius) & (x <= F.col("x_max") + radius) & (y >= F.col("y_min") - radius) & (y <= F.col("y_max") + radius)
     hit = inside(x, y, F.col("edge")) | ((edge_distance(x, y, F.col("edge")) <= radius) if radius > 0 else F.lit(False))
-    return near.where(box).where(hit).select(*points.columns, "feature_id")
+    return near.where(box).where(hit).select("x", "y", "feature_id")
+
+
+def point_in_polygon(points: DataFrame, vertices: DataFrame, radius: float = 0.0) -> DataFrame:
+    """points with feature_id for each polygon that holds the point, or whose outline is within radius.
+
+    Each place that points have is tested once, with one polygon of each outline; then places are put in for their points
+    and outlines for their polygons, by joins whose rows are the result's.
+    """
+    every = outlines(vertices).withColumn("_one", F.min("feature_id").over(Window.partitionBy("edge")))
+    hits = shapes_at(points.select("x", "y").distinct(), every.where(F.col("feature_id") == F.col("_one")), radius)
+    each = hits.withColumnRenamed("feature_id", "_one").join(every.select("_one", "feature_id"), "_one").select("x", "y", "feature_id")
+    return points.join(each, ["x", "y"]).select(*points.columns, "feature_id")
 
 
 def particles_in_release(particles: DataFrame, vertices: DataFrame, radius: float = 0.0) -> DataFrame:
-    """Particles with mass that lie in any release polygon."""
-    return point_in_polygon(particles.where("m > 0"), vertices, radius).drop("feature_id").distinct()
+    """Particles with mass that lie in any release polygon.  Each place that particles have is tested once, with each outline once."""
+    own = particles.where("m > 0")
+    hits = shapes_at(own.select("x", "y").distinct(), outlines(vertices).dropDuplicates(["edge"]), radius).select("x", "y").distinct()
+    return own.join(hits, ["x", "y"], "left_semi").select(*particles.columns).distinct()
 
 
 def rasterize_polygon(vertices: DataFrame, features: DataFrame, nrows: int, ncols: int, average: bool = False, radius: float = 0.0) -> DataFrame:

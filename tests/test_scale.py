@@ -169,6 +169,35 @@ def test_points_on_a_long_path(spark):
     assert shapes.snap_points_to_line(points.where("point_id > 501"), line).count() == 2
 
 
+def overlapping(n):
+    """Vertices of n polygons of three outlines, one of them listed from another corner, and points on a few places."""
+    forms = [((0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)), ((2.0, 1.0), (9.0, 1.0), (2.0, 9.0)), ((4.0, 0.0), (4.0, 3.0), (0.0, 3.0), (0.0, 0.0))]
+    vertices = [(k, i, x, y) for k in range(n) for i, (x, y) in enumerate(forms[k % 3])]
+    points = [(k, 0.75 * (k % 11), 0.75 * (k % 7)) for k in range(20 * n)] + [(-1, None, 1.0), (-2, float("nan"), 1.0)]
+    return forms, vertices, points
+
+
+def odd(x, y, form):
+    return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(form, form[1:] + form[:1], strict=True)) % 2 == 1
+
+
+def tested(monkeypatch):
+    """Tables of places and outlines that meet."""
+    met = []
+    monkeypatch.setattr(shapes, "shapes_at", lambda places, own, radius=0.0, meet=shapes.shapes_at: met.append((places.count(), own.count())) or meet(places, own, radius))
+    return met
+
+
+def test_points_in_many_equal_polygons(spark, monkeypatch):
+    """Places and outlines are tested once each, and every point still gets every polygon."""
+    met = tested(monkeypatch)
+    forms, vertices, points = overlapping(45)
+    got = shapes.point_in_polygon(spark.createDataFrame(points, "k int, x double, y double"), spark.createDataFrame(vertices, "feature_id int, seq int, x double, y double")).collect()
+    want = {(k, f) for k, x, y in points[:-2] for f in range(45) if odd(x, y, forms[f % 3])}
+    assert {(r.k, r.feature_id) for r in got} == want and len(got) == len(want)
+    assert met == [(78 + 1, 3)]  # one of the places is not a number
+
+
 def test_remeshed_raster_is_found_again(spark):
     folder = new_path(spark, "remeshed")
     dem = spark.createDataFrame([(r, c, 2.0 * c + 3.0 * r) for r in range(11) for c in range(12)], "r int, c int, value double")
