@@ -198,6 +198,16 @@ def test_points_in_many_equal_polygons(spark, monkeypatch):
     assert met == [(78 + 1, 3)]  # one of the places is not a number
 
 
+def test_particles_at_few_places_in_many_equal_polygons(spark, monkeypatch):
+    met = tested(monkeypatch)
+    forms, vertices, points = overlapping(45)
+    rows = [(k, x, y, float(k % 4)) for k, x, y in points]
+    got = shapes.particles_in_release(spark.createDataFrame(rows + rows[:9], "k int, x double, y double, m double"), spark.createDataFrame(vertices, "feature_id int, seq int, x double, y double"), 0.0).collect()
+    want = {k for k, x, y, m in rows[:-2] if m > 0 and any(odd(x, y, f) for f in forms)}
+    assert {r.k for r in got} == want and len(got) == len(want)
+    assert met == [(len({(x, y) for k, x, y, m in rows[:-2] if m > 0}) + sum(m > 0 for *_, m in rows[-2:]), 3)]
+
+
 def test_remeshed_raster_is_found_again(spark):
     folder = new_path(spark, "remeshed")
     dem = spark.createDataFrame([(r, c, 2.0 * c + 3.0 * r) for r in range(11) for c in range(12)], "r int, c int, value double")
