@@ -144,19 +144,33 @@ def rasterize_line(vertices: DataFrame, nrows: int, ncols: int, distance: float
     return mid.select(key, at("y1", "dy").alias("r"), at("x1", "dx").alias("c")).where((F.col("r") >= 0) & (F.col("r") < nrows) & (F.col("c") >= 0) & (F.col("c") < ncols)).distinct()
 
 
+SHORT = 64  # vertices of a path that all its points meet, as one array
+
+
 def snap_points_to_line(points: DataFrame, line: DataFrame, on: str = "path_id", block: float = BLOCK) -> DataFrame:
     """points with i and distance of the nearest vertex of their path; the lowest index of equal ones.
 
-    Points meet the vertices of their path that lie in their block of the plane or the eight around it; one no further than
-    a block's side is certain.  Points without one go on with blocks of twice the side until none is left, so that near
-    points never meet the rest of a long path.  Each round is written.  Points whose path has no vertex are left out, those
-    without a place get nulls.
+    Only paths that have points are kept.  The vertices of a short path (SHORT and fewer) go to its points as one array, so
+    that each point is read once and nothing of it is written.  Points of longer paths meet the vertices that lie in their
+    block of the plane or the eight around it; one no further than a block's side is certain.  Those without one go on with
+    blocks of twice the side until none is left, so that near points never meet the rest of a long path.  Each of these
+    rounds is written.  Points whose path has no vertex are left out, those without a place get nulls.
     """
     finite = lambda *names: reduce(lambda a, b: a & b, [F.abs(n) < math.inf for n in names])
-    nodes = kept(line.select(on, "i", F.col("x").alias("lx"), F.col("y").alias("ly")).where(finite("lx", "ly")), "vertices")
-    placed = kept(points.join(nodes.select(on).distinct(), on, "left_semi").withColumn("_p", F.monotonically_increasing_id()), "points")
+    used = line.select(on, "i", F.col("x").alias("lx"), F.col("y").alias("ly")).where(finite("lx", "ly")).join(points.select(on).distinct(), on, "left_semi")
+    vertices = kept(used.select(on, "i", "lx", "ly"), "vertices")
+    sizes = vertices.groupBy(on).agg(F.count("*").alias("_n"))
+    distance = lambda x, y: F.sqrt((F.col("x") - x) ** 2 + (F.col("y") - y) ** 2)
+    arrays = vertices.join(sizes.where(F.col("_n") <= SHORT), on, "left_semi").groupBy(on).agg(F.collect_list(F.struct("i", "lx", "ly")).alias("_v"))
+    nearest = F.array_min(F.transform("_v", lambda v: F.struct(distance(v["lx"], v["ly"]).alias("distance"), v["i"].alias("i"))))
+    out = points.join(arrays, on).withColumn("k", F.when(finite("x", "y"), nearest)).select(*points.columns, "k.i", "k.distance")
+    long = kept(sizes.where(F.col("_n") > SHORT).select(on), "long")
+    if long.isEmpty():
+        return out
+    nodes = vertices.join(long, on, "left_semi")
+    placed = kept(points.join(long, on, "left_semi").select(*points.columns, F.monotonically_increasing_id().alias("_p")), "points")
     left, found = placed.where(finite("x", "y")).select("_p", on, "x", "y"), []
-    d = F.sqrt((F.col("x") - F.col("lx")) ** 2 + (F.col("y") - F.col("ly")) ** 2)
+    d = distance(F.col("lx"), F.col("ly"))
     at = lambda name: F.floor(F.col(name) / block)
     while not left.isEmpty():
         around = lambda name: F.explode(F.sequence(at(name) - 1, at(name) + 1))
@@ -165,8 +179,8 @@ def snap_points_to_line(points: DataFrame, line: DataFrame, on: str = "path_id",
         left = kept(left.join(found[-1], "_p", "left_anti"), "left")
         block *= 2
     if not found:
-        return placed.select(*points.columns, F.lit(None).cast(line.schema["i"].dataType).alias("i"), F.lit(None).cast("double").alias("distance"))
-    return placed.join(reduce(DataFrame.union, found), "_p", "left").select(*points.columns, "k.i", "k.distance")
+        return out.unionByName(placed.select(*points.columns, F.lit(None).cast(line.schema["i"].dataType).alias("i"), F.lit(None).cast("double").alias("distance")))
+    return out.unionByName(placed.join(reduce(DataFrame.union, found), "_p", "left").select(*points.columns, "k.i", "k.distance"))
 
 
 def release_stats(raster: DataFrame, surface: DataFrame) -> DataFrame:

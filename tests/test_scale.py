@@ -169,6 +169,26 @@ def test_points_on_a_long_path(spark):
     assert shapes.snap_points_to_line(points.where("point_id > 501"), line).count() == 2
 
 
+def test_points_of_short_paths_are_not_written(spark, monkeypatch):
+    """Short and long paths, near and far points; only paths with points are kept, and only points of the long one go in rounds."""
+    tables = {}
+    monkeypatch.setattr(shapes, "kept", lambda df, label, keep=shapes.kept: tables.setdefault(label, []).append(keep(df, label)) or tables[label][-1])
+    rng = random.Random(6)
+    line = [(p, i, rng.uniform(-20, 20), rng.uniform(-20, 20)) for p in range(40) for i in range(1 + p % 9)] + [(50, i, 3.0 * i, 0.0) for i in range(300)] + [(51, 0, None, 1.0), (52, 0, 1.0, 0.0), (52, 1, -1.0, 0.0)]
+    rows = [(k, p, rng.uniform(-r, r), rng.uniform(-r, r)) for k, (p, r) in enumerate((p, r) for p in [*range(12), 50] for r in (5, 100, 10_000) for _ in range(6))]
+    rows += [(900, 3, None, 1.0), (901, 51, 1.0, 1.0), (902, 77, 1.0, 1.0), (903, 52, 0.0, 3.0)]
+    points, path = spark.createDataFrame(rows, "point_id int, path_id int, x double, y double"), spark.createDataFrame(line, "path_id int, i int, x double, y double")
+    got = {r.point_id: (r.i, r.distance) for r in shapes.snap_points_to_line(points, path).collect()}
+    for k, p, x, y in rows[:-4]:
+        d, i = min((math.hypot(x - a, y - b), i) for q, i, a, b in line if q == p)
+        assert got[k][0] == i and math.isclose(got[k][1], d)
+    assert got[900] == (None, None) and 901 not in got and 902 not in got and got[903][0] == 0 and len(got) == len(rows) - 2
+    assert tables["vertices"][0].select("path_id").distinct().count() == 14 and tables["points"][0].count() == 18
+    tables.clear()
+    assert shapes.snap_points_to_line(points.where("path_id < 12"), path).count() == 12 * 18 + 1
+    assert set(tables) == {"vertices", "long"}
+
+
 def overlapping(n):
     """Vertices of n polygons of three outlines, one of them listed from another corner, and points on a few places."""
     forms = [((0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)), ((2.0, 1.0), (9.0, 1.0), (2.0, 9.0)), ((4.0, 0.0), (4.0, 3.0), (0.0, 3.0), (0.0, 0.0))]
