@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowgrid.functions.batches import in_groups
 from flowgrid.functions.ranks import percentiles
 from flowgrid.functions.vectors import above, half_even, norm
 from flowgrid.sources.shared import kept
@@ -263,20 +266,70 @@ def spread_in_blocks(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.groupBy("start_id", "block").cogroup(links.groupBy("start_id", "block")).applyInPandas(run, f"start_id {kind}, node long, value double")
 
 
+def largest_below(node: np.ndarray, down: np.ndarray, value: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """group, node and largest value of each node and all below it, for many graphs at once.
+
+    Rows are links (node, down), or values of a node (down is the node itself); values of links are -inf.  A round goes up
+    the links of the nodes that rose in the round before.
+    """
+    ids, at = np.unique(np.concatenate([node, down]), return_inverse=True)
+    keys, at = np.unique(np.concatenate([group, group]) * len(ids) + at, return_inverse=True)
+    to, of = np.split(at, 2)
+    own = to == of
+    best, known = np.full(len(keys), -np.inf), np.zeros(len(keys), bool)
+    np.maximum.at(best, to[own], value[own])
+    known[to[own]] = True
+    order = np.argsort(of[~own], kind="stable")
+    up, of = to[~own][order], of[~own][order]
+    first, count = np.searchsorted(of, np.arange(len(keys))), np.bincount(of, minlength=len(keys))
+    rose = np.flatnonzero(known & (count > 0))
+    while len(rose):
+        n = count[rose]
+        links = np.repeat(first[rose] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        before = best[up[links]]
+        np.maximum.at(best, up[links], np.repeat(best[rose], n))
+        rose = np.unique(up[links][best[up[links]] > before])
+        rose = rose[count[rose] > 0]
+    found = known | (best > -np.inf)
+    return keys[found] // len(ids), ids[keys[found] % len(ids)], best[found]
+
+
+def backtrack_small(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """backtrack_max for starts with few rows each: many starts at a time, after one exchange."""
+    kind = values.schema["start_id"].dataType.simpleString()
+    rows = edges.select("start_id", "node", "down", F.lit(-math.inf).alias("value")).unionByName(values.select("start_id", "node", F.col("node").alias("down"), "value"))
+
+    def work(c: dict[str, np.ndarray], group: np.ndarray, keys: pa.Array) -> pa.Table:
+        of, node, value = largest_below(c["node"], c["down"], c["value"], group)
+        return pa.table({"start_id": keys.take(pa.array(of)), "node": node, "value": value})
+
+    return in_groups(rows, "start_id", [], work, f"start_id {kind}, node long, value double")
+
+
 def backtrack_max(edges: DataFrame, values: DataFrame, block: int = 256) -> DataFrame:
     """start_id, node, value: the largest value of a node and of all nodes downstream of it on its path.
 
-    Values travel by frontier: a round takes only the nodes whose value rose in the round before.  It spreads them within
-    blocks of `block` node numbers, to the end, and over the edges that leave a block by one step; what rises there is the
-    next frontier.  So a path takes as many rounds as it changes blocks, and circles end when nothing rises.  Each round's
-    rises are a table of their own in the shared folder; at every eighth they are put together.  Nodes are whole numbers;
-    missing and NaN values and edges without an end are left out; a node that nothing reaches and has no value is not there.
+    Starts with up to 4 * block edges and values are done whole, many at a time.  In larger ones values travel by frontier:
+    a round takes only the nodes whose value rose in the round before.  It spreads them within blocks of `block` node
+    numbers, to the end, and over the edges that leave a block by one step; what rises there is the next frontier.  So a
+    path takes as many rounds as it changes blocks, and circles end when nothing rises.  Each round's rises are a table of
+    their own in the shared folder; at every eighth they are put together.  Nodes are whole numbers; missing and NaN values
+    and edges without an end are left out; a node that nothing reaches and has no value is not there.
     """
+    links = edges.select("start_id", F.col("parent").cast("long").alias("node"), F.col("child").cast("long").alias("down")).where("start_id is not null and node is not null and down is not null and node <> down")
+    own = values.select("start_id", F.col("node").cast("long").alias("node"), F.col("value").cast("double").alias("value")).where("node is not null and value is not null and not isnan(value)")
+    large = kept(links.select("start_id").unionByName(own.select("start_id")).groupBy("start_id").count().where(F.col("count") > 4 * block).select("start_id"), "large")
+    if large.isEmpty():
+        return backtrack_small(links, own)
+    small = [df.join(large, "start_id", "left_anti") for df in (links, own)]
+    return backtrack_small(*small).unionByName(backtrack_large(links.join(large, "start_id", "left_semi"), own.join(large, "start_id", "left_semi"), block))
+
+
+def backtrack_large(links: DataFrame, own: DataFrame, block: int) -> DataFrame:
+    """backtrack_max by frontier."""
     of = lambda c: F.floor(F.col(c) / block)
-    links = edges.select("start_id", F.col("parent").cast("long").alias("node"), F.col("child").cast("long").alias("down")).where("node is not null and down is not null and node <> down").distinct()
-    links = kept(links.withColumn("block", of("node")).withColumn("same", of("node") == of("down")), "links")
+    links = kept(links.distinct().withColumn("block", of("node")).withColumn("same", of("node") == of("down")), "links")
     inner, outer = links.where("same").drop("same"), links.where("not same").select("start_id", "node", "down")
-    own = values.select("start_id", F.col("node").cast("long").alias("node"), F.col("value").cast("double").alias("value")).where("value is not null and not isnan(value)")
     base, risen = kept(own.groupBy("start_id", "node").agg(F.max("value").alias("value")), "values"), []
     fresh = base
     while not fresh.isEmpty():

@@ -63,6 +63,23 @@ def test_backtracking_rounds_take_only_what_rose(spark, monkeypatch):
     assert len(sizes) <= 1500 // 256 + 2 and sizes[-1] == 0 and max(sizes[1:]) <= 2
 
 
+def test_backtracking_of_small_starts_in_one_go(spark, monkeypatch):
+    """Many small starts, with circles, beside a large one: no round and no table of theirs, and groups that span batches stay whole."""
+    labels = []
+    monkeypatch.setattr(particles, "kept", lambda df, label, keep=particles.kept: labels.append(label) or keep(df, label))
+    monkeypatch.setattr("flowgrid.functions.batches.ROWS", 50)
+    rng = random.Random(11)
+    names = "start_id string, parent long, child long", "start_id string, node long, value double"
+    edges = [(f"s{s}", rng.randrange(6) * 1000, rng.randrange(6) * 1000) for s in range(300) for _ in range(rng.randrange(9))]
+    values = [(f"s{s}", n * 1000, float(rng.randrange(9))) for s in range(301) for n in range(6) if rng.random() < 0.5] + [("s7", 1000, float("-inf")), (None, 1, 2.0)]
+    values = [v for v in values if v[:2] != ("s7", 1000)] + [("s7", 1000, 3.0)]
+    run = lambda e, v: {(r.start_id, r.node): r.value for r in particles.backtrack_max(spark.createDataFrame(e, names[0]), spark.createDataFrame(v, names[1])).collect()}
+    assert run(edges, values) == reached(edges, values) and labels == ["large"]
+    more = edges + [("big", i, i + 700) for i in range(0, 1400)]
+    got = run(more, values + [("big", 2099, 8.0)])
+    assert got == reached(more, values + [("big", 2099, 8.0)]) and "frontier" in labels
+
+
 @pytest.mark.parametrize("name", ["resample_to_reference", "rotate_raster", "rotate_results"])
 def test_grids_are_not_broadcast(spark, name):
     text = plan(registry.queries()[name](spark, SF))
