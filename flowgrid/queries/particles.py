@@ -128,7 +128,8 @@ def path_visit_layers(x: Inputs) -> DataFrame:
 
 @query("SELECT a.l_orderkey AS start_id, CAST(a.l_linenumber AS BIGINT) AS node, max(CAST(b.l_partkey % 11 AS DOUBLE)) AS value FROM lineitem a JOIN (SELECT l_orderkey, l_linenumber, max(l_partkey % 11) AS l_partkey FROM lineitem GROUP BY 1, 2) b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber >= a.l_linenumber GROUP BY 1, 2")
 def backtrack_max(x: Inputs) -> DataFrame:
-    values = x.lineitem.groupBy(F.col("l_orderkey").alias("start_id"), F.col("l_linenumber").cast("long").alias("node")).agg(F.max(F.col("l_partkey") % 11).cast("double").alias("value"))
+    rows = x.lineitem.select(F.col("l_orderkey").alias("start_id"), F.col("l_linenumber").cast("long").alias("node"), (F.col("l_partkey") % 11).cast("double").alias("value")).repartition("start_id")  # once for the groups and the windows
+    values = rows.groupBy("start_id", "node").agg(F.max("value").alias("value"))
     edges = values.select("start_id", F.col("node").alias("parent"), F.lead("node").over(K.Window.partitionBy("start_id").orderBy("node")).alias("child")).where("child is not null")
     return K.backtrack_max(edges, values)
 
