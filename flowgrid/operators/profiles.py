@@ -6,11 +6,13 @@ Windows are per path; paths are short.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from flowgrid.functions.batches import in_groups
+
 from .grids import corner_weights
 
 def own() -> WindowSpec:
@@ -60,93 +62,109 @@ def resample_line(path: DataFrame, distance: float) -> DataFrame:
     return each.select("path_id", F.col("k").cast("int").alias("i"), (F.col("k") * step).alias("s"), *[(F.col(c) + f * (F.col(f"_{c}") - F.col(c))).alias(c) for c in ("x", "y", "z")])
 
 
-def spline(u: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The cubic spline through (u, y), whose first and last two pieces are one cubic each, at other places; y by columns.
+def bends(u: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Second derivatives at u of the cubic splines through (u, y) whose first and last two pieces are one cubic each.
 
-    Of up to three points the polynomial through them.
+    The first axis is that of the points, four at least; y has one more at the end than u, and all others are of many lines.
     """
     n = len(u)
-    if n < 4:
-        weights = [np.prod([(at - u[j]) / (u[i] - u[j]) for j in range(n) if j != i], axis=0) if n > 1 else np.ones_like(at) for i in range(n)]
-        return sum(w[:, None] * y[i] for i, w in enumerate(weights))
-    h = np.diff(u)
-    slope = np.diff(y, axis=0) / h[:, None]
-    low, mid, high, right = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope, axis=0)
+    h = np.diff(u, axis=0)
+    right = 6 * np.diff(np.diff(y, axis=0) / h[..., None], axis=0)
+    low, mid, high = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
     # The outer second derivatives follow from the inner ones, so a band of three is left.
     mid[0], high[0] = mid[0] + h[0] + h[0] ** 2 / h[1], high[0] - h[0] ** 2 / h[1]
     mid[-1], low[-1] = mid[-1] + h[-1] + h[-1] ** 2 / h[-2], low[-1] - h[-1] ** 2 / h[-2]
     for i in range(1, n - 2):
         f = low[i] / mid[i - 1]
         mid[i] -= f * high[i - 1]
-        right[i] -= f * right[i - 1]
+        right[i] -= f[..., None] * right[i - 1]
     m = np.zeros_like(y)
     for i in range(n - 3, -1, -1):
-        m[i + 1] = (right[i] - (high[i] * m[i + 2] if i < n - 3 else 0)) / mid[i]
-    m[0] = m[1] - h[0] / h[1] * (m[2] - m[1])
-    m[-1] = m[-2] + h[-1] / h[-2] * (m[-2] - m[-3])
-    return cubic_between(u, y, m, at)
+        m[i + 1] = (right[i] - (high[i][..., None] * m[i + 2] if i < n - 3 else 0)) / mid[i][..., None]
+    m[0] = m[1] - (h[0] / h[1])[..., None] * (m[2] - m[1])
+    m[-1] = m[-2] + (h[-1] / h[-2])[..., None] * (m[-2] - m[-3])
+    return m
+
+
+def spline(u: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cubic spline through (u, y), whose first and last two pieces are one cubic each, at other places; y by columns.
+
+    Of up to three points the polynomial through them.
+    """
+    n = len(u)
+    if n < 4:
+        weights = [np.prod([(at - u[j]) / (u[i] - u[j]) for j in range(n) if j != i], axis=0) if n > 1 else np.ones_like(at) for i in range(n)]
+        return sum(w[:, None] * y[i] for i, w in enumerate(weights))
+    return cubic_between(u, y, bends(u, y), at)
 
 
 def five_band(d0: np.ndarray, d1: np.ndarray, d2: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The solution of a symmetric positive definite system with the diagonals d0, d1, d2 (first to second beside it)."""
-    n = len(d0)
-    d, e, f, x = d0.astype(float), np.append(d1, 0.0), np.append(d2, (0.0, 0.0)), right.astype(float)
+    """The solution of symmetric positive definite systems with the diagonals d0, d1, d2 (first to second beside it).
+
+    The first axis is that of the unknowns; right has one more at the end, and all others are of many systems.
+    """
+    n, none = len(d0), np.zeros((1, *d0.shape[1:]))
+    d, e, f, x = d0.astype(float), np.concatenate([d1, none]), np.concatenate([d2, none, none]), right.astype(float)
     for i in range(n):  # L D L', row by row
         if i > 1:
             d[i] -= f[i - 2] ** 2 * d[i - 2]
         if i > 0:
             d[i] -= e[i - 1] ** 2 * d[i - 1]
             e[i] -= e[i - 1] * f[i - 1] * d[i - 1]
-            x[i] -= e[i - 1] * x[i - 1]
+            x[i] -= e[i - 1][..., None] * x[i - 1]
         if i > 1:
-            x[i] -= f[i - 2] * x[i - 2]
+            x[i] -= f[i - 2][..., None] * x[i - 2]
         e[i], f[i] = e[i] / d[i], f[i] / d[i]
-    x /= d[:, None]
+    x /= d[..., None]
     for i in range(n - 2, -1, -1):
-        x[i] -= e[i] * x[i + 1] + (f[i] * x[i + 2] if i < n - 2 else 0)
+        x[i] -= e[i][..., None] * x[i + 1] + (f[i][..., None] * x[i + 2] if i < n - 2 else 0)
     return x
 
 
-def smoothed(u: np.ndarray, y: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, float]:
+def smoothed(u: np.ndarray, y: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values, second derivatives, weight) at u of the smoothest curve whose squared distances from y add up to bound at most.
 
     Smoothest: the integral of the squared second derivative is smallest; that is a natural cubic spline.  Its second
     derivatives m solve (R + k Q'Q) m = Q'y with a band of five, its values are y - k Q m, and k, the weight of smoothness,
     is found by halving so that the bound is met.  Where even the straight line of best fit keeps the bound, it is the result.
+    The first axis is that of the points; y has one more at the end than u, and all others are of many lines.
     """
-    h = np.diff(u)
+    h = np.diff(u, axis=0)
     a, c = 1 / h[:-1], 1 / h[1:]
     b = -a - c
-    second = lambda v: a[:, None] * v[:-2] + b[:, None] * v[1:-1] + c[:, None] * v[2:]
+    second = lambda v: a[..., None] * v[:-2] + b[..., None] * v[1:-1] + c[..., None] * v[2:]
 
     def spread(m: np.ndarray) -> np.ndarray:
         out = np.zeros_like(y)
-        out[:-2] += a[:, None] * m
-        out[1:-1] += b[:, None] * m
-        out[2:] += c[:, None] * m
+        out[:-2] += a[..., None] * m
+        out[1:-1] += b[..., None] * m
+        out[2:] += c[..., None] * m
         return out
 
     q = (a**2 + b**2 + c**2, b[:-1] * a[1:] + c[:-1] * b[1:], c[:-2] * a[2:])
     r = ((h[:-1] + h[1:]) / 3, h[1:-1] / 6)
-
-    def at(k: float) -> tuple[np.ndarray, np.ndarray]:
-        m = five_band(r[0] + k * q[0], r[1] + k * q[1], k * q[2], second(y))
-        return k * spread(m), m
-
-    line = np.stack([np.ones_like(u), u - u.mean()], axis=1)
-    straight = line @ np.linalg.lstsq(line, y, rcond=None)[0]
-    if ((y - straight) ** 2).sum() <= bound:
-        return straight, np.zeros_like(y), np.inf
-    low, high = -30.0, 30.0  # of log k, in units of the mean step to the third power
-    unit = h.mean() ** 3
-    while ((at(unit * np.exp(high))[0]) ** 2).sum() < bound and high < 60:
-        high += 5
+    bent = second(y)
+
+    def at(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = five_band(r[0] + k * q[0], r[1] + k * q[1], k * q[2], bent)
+        return k[..., None] * spread(m), m
+
+    squares = lambda v: (v**2).sum(axis=(0, -1))
+    v = u - u.mean(axis=0)
+    straight = y.mean(axis=0) + v[..., None] * ((v[..., None] * y).sum(axis=0) / (v**2).sum(axis=0)[..., None])
+    line = squares(y - straight) <= bound
+    low, high = np.full(u.shape[1:], -30.0), np.full(u.shape[1:], 30.0)  # of log k, in units of the mean step to the third power
+    unit = h.mean(axis=0) ** 3
+    while (wider := ~line & (high < 60) & (squares(at(unit * np.exp(high))[0]) < bound)).any():
+        high = np.where(wider, high + 5, high)
     for _ in range(80):
         mid = (low + high) / 2
-        low, high = (mid, high) if (at(unit * np.exp(mid))[0] ** 2).sum() < bound else (low, mid)
+        below = squares(at(unit * np.exp(mid))[0]) < bound
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
     k = unit * np.exp(low)
     off, m = at(k)
-    return y - off, np.pad(m, ((1, 1), (0, 0))), k
+    values, m = y - off, np.pad(m, ((1, 1), *((0, 0),) * (y.ndim - 1)))
+    return np.where(line[..., None], straight, values), np.where(line[..., None], 0.0, m), np.where(line, np.inf, k)
 
 
 def cubic_between(u: np.ndarray, y: np.ndarray, m: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -165,27 +183,55 @@ def smoothing_spline(u: np.ndarray, y: np.ndarray, at: np.ndarray, bound: float)
     return cubic_between(u, values, m, at)
 
 
+def even_splines(xy: np.ndarray, path: np.ndarray, distance: float, smoothing: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """path, number, length so far and place of the new points of many lines (see resample_line_spline); path: sorted numbers from 0.
+
+    Lines of one number of points are solved together.
+    """
+    stays = np.append(True, (np.diff(xy, axis=0) != 0).any(axis=1) | (np.diff(path) != 0))
+    xy, path = xy[stays], path[stays]
+    first, sizes = np.unique(path, return_index=True, return_counts=True)[1:]
+    lines: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for n in np.unique(sizes):
+        own = np.flatnonzero(sizes == n)
+        y = xy[first[own] + np.arange(n)[:, None]]
+        u = np.concatenate([np.zeros((1, len(own))), np.cumsum(np.hypot(*np.moveaxis(np.diff(y, axis=0), -1, 0)), axis=0)])
+        bound = n - np.sqrt(2 * n) if smoothing is None else smoothing
+        if n < 4:
+            m = None
+        elif bound > 0:
+            y, m, _ = smoothed(u, y, bound)
+        else:
+            m = bends(u, y)
+        for j, k in enumerate(own):
+            lines[k] = (u[:, j], y[:, j], None if m is None else m[:, j])
+    new, far, count = [], [], []
+    for k in range(len(sizes)):
+        u, y, m = lines.pop(k)
+        at = np.linspace(0, u[-1], int(np.ceil(u[-1] / distance)) + 1)
+        new.append(spline(u, y, at) if m is None else cubic_between(u, y, m, at))
+        far.append(np.append(0.0, np.cumsum(np.hypot(*np.diff(new[-1], axis=0).T))))
+        count.append(len(at))
+    each = np.repeat(np.arange(len(count)), count)
+    return each, np.concatenate([np.arange(n, dtype=np.int32) for n in count]), np.concatenate(far), np.concatenate(new)
+
+
 def resample_line_spline(path: DataFrame, distance: float, smoothing: float | None = 0.0) -> DataFrame:
     """path_id, i, s, x, y at ceil(L / distance) + 1 points of the cubic spline of a path's vertices, even in its parameter.
 
     The parameter is the length of the polyline; repeated vertices are left out; s is the length along the new points.  A
-    path is one group, and short.  Elevations follow from sample_raster_at_points.
+    path is whole in one batch, and short; many are solved together.  Elevations follow from sample_raster_at_points.
 
     smoothing bounds the sum of squared distances of the spline from the vertices: 0 goes through them, None is
     n - sqrt(2 n) for n vertices.  A smoothed spline is the one of least bending, straight at both ends; paths of up to
     three vertices are not smoothed.
     """
 
-    def own_spline(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        xy = rows.sort_values("i")[["x", "y"]].to_numpy(float)
-        xy = xy[np.append(True, (np.diff(xy, axis=0) != 0).any(axis=1))]
-        u = np.append(0.0, np.cumsum(np.hypot(*np.diff(xy, axis=0).T)))
-        n = int(np.ceil(u[-1] / distance)) + 1
-        new = smoothing_spline(u, xy, np.linspace(0, u[-1], n), len(u) - np.sqrt(2 * len(u)) if smoothing is None else smoothing)
-        s = np.append(0.0, np.cumsum(np.hypot(*np.diff(new, axis=0).T)))
-        return pd.DataFrame({"path_id": key[0], "i": np.arange(n, dtype=np.int32), "s": s, "x": new[:, 0], "y": new[:, 1]})
+    def work(c: dict[str, np.ndarray], group: np.ndarray, keys: pa.Array) -> pa.Table:
+        each, i, s, new = even_splines(np.stack([c["x"], c["y"]], axis=1).astype(float), group, distance, smoothing)
+        return pa.table({"path_id": keys.take(pa.array(each)), "i": i, "s": s, "x": new[:, 0], "y": new[:, 1]})
 
-    return path.select("path_id", "i", "x", "y").groupBy("path_id").applyInPandas(own_spline, f"path_id {path.schema['path_id'].dataType.simpleString()}, i int, s double, x double, y double")
+    return in_groups(path.select("path_id", "i", "x", "y"), "path_id", ["i"], work, f"path_id {path.schema['path_id'].dataType.simpleString()}, i int, s double, x double, y double")
 
 
 def slope_angle_profile(path: DataFrame) -> DataFrame:

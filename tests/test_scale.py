@@ -312,6 +312,31 @@ def test_smoothed_paths(spark):
     assert np.allclose(short, [tuple(r) for r in profiles.resample_line_spline(path, 1.0, 0.0).where("path_id = 3").collect()])
 
 
+@pytest.mark.parametrize("smoothing", [0.0, None, 2.0])
+def test_many_paths_are_solved_together(spark, monkeypatch, smoothing):
+    """Paths of 1 to 12 vertices, some repeated or straight, in batches that paths span: each as by itself, and few calls of the solvers."""
+    calls = []
+    for name in ("bends", "smoothed"):
+        monkeypatch.setattr(profiles, name, lambda *a, name=name, solve=getattr(profiles, name): calls.append(name) or solve(*a))
+    rng = np.random.default_rng(4)
+    lines = {f"p{k}": np.stack([10.0 * np.arange(n) + rng.integers(0, 7, n), rng.integers(0, 9, n).astype(float)], axis=1) for k, n in enumerate(rng.integers(1, 13, 300))}
+    lines |= {"twice": np.array([[0.0, 0], [0, 0], [35, 0], [35, 0], [70, 0]]), "one": np.array([[3.0, 3], [3, 3]]), "straight": np.stack([np.arange(9.0), np.zeros(9)], axis=1)}
+    xy, path = np.concatenate(list(lines.values())), np.repeat(np.arange(len(lines)), [len(v) for v in lines.values()])
+    got = profiles.even_splines(xy, path, 7.0, smoothing)
+    assert len(calls) <= 9
+    rows = [(k, i, float(x), float(y)) for k, v in lines.items() for i, (x, y) in enumerate(v)]
+    rng.shuffle(rows)
+    monkeypatch.setattr("flowgrid.functions.batches.ROWS", 64)
+    made = {(r.path_id, r.i): (r.s, r.x, r.y) for r in profiles.resample_line_spline(spark.createDataFrame([(str(k), int(i), float(x), float(y)) for k, i, x, y in rows], "path_id string, i int, x double, y double"), 7.0, smoothing).collect()}
+    assert len(made) == len(got[0])
+    for j, (k, v) in enumerate(lines.items()):
+        v = v[np.append(True, (np.diff(v, axis=0) != 0).any(axis=1))]
+        u = np.append(0.0, np.cumsum(np.hypot(*np.diff(v, axis=0).T)))
+        want = profiles.smoothing_spline(u, v, np.linspace(0, u[-1], int(np.ceil(u[-1] / 7)) + 1), len(u) - np.sqrt(2 * len(u)) if smoothing is None else smoothing)
+        assert np.allclose(got[3][got[0] == j], want, atol=1e-9) and (got[1][got[0] == j] == np.arange(len(want))).all()
+        assert np.allclose([made[k, i][1:] for i in range(len(want))], want, atol=1e-9) and made[k, 0][0] == 0
+
+
 def test_path_of_fields(spark):
     rows = [("s", t, r, c, 1.0 if c < 4 else 0.0, float(c + 1), 2.0) for t in (0.0, 1.0) for r in range(3) for c in range(int(t), 6)] + [("s", 0.0, 9, 9, 5.0, 7.0, 1.0), ("s", 0.0, 0, 5, None, 7.0, 1.0)]
     fields = spark.createDataFrame(rows, "sim_name string, t double, r int, c int, ft double, fm double, fv double")
