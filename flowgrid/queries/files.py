@@ -95,7 +95,7 @@ def sim_table_csv(x: Inputs) -> DataFrame:
 @query("SELECT sim_name, t, total, entrained FROM mass")
 def read_mass_series(x: Inputs) -> DataFrame:
     path = new_path(x.spark, "mass")
-    B.write_csv(x.mass.select("t", "total", "entrained", "sim_name"), path, ["sim_name"])
+    B.write_csv(x.mass.select("t", "total", "entrained", "sim_name"), path)  # a file holds the series of many simulations
     return B.read_csv(x.spark, path, "t double, total double, entrained double, sim_name string")
 
 
