@@ -2,13 +2,14 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowgrid.operators import ensemble, grids, particles, profiles, shapes
-from flowgrid.queries import registry
+from flowgrid.queries import files, registry
 from flowgrid.sources import rasters
 from flowgrid.sources.shared import new_path
 
@@ -206,6 +207,40 @@ def test_points_of_short_paths_are_not_written(spark, monkeypatch):
     assert set(tables) == {"vertices", "long"}
 
 
+def test_profiles_without_an_exchange_of_the_result(spark):
+    """Against a plain loop: gaps, places outside or missing, points of one place; nothing is grouped by simulation and point."""
+    rng = random.Random(12)
+    cells = {(k, r, c): rng.uniform(0, 9) for k in ("a", "b", "c") for r in range(6) for c in range(7) if k != "c" and rng.random() < 0.93 or (r, c) == (0, 0)}
+    dem = {(r, c): 100.0 - r - c * c for r in range(6) for c in range(7) if (r, c) != (5, 6)}
+    line = [(p, i, rng.choice([0.0, 1.0, 2.5, 4.75, 5.5, -0.5, 6.0]), rng.choice([0.0, 0.25, 3.0, 4.5, 5.0])) for p in range(40) for i in range(5)] + [(50, 0, None, 1.0), (50, 1, float("nan"), 1.0)]
+    df = grids.profile_at_line(spark.createDataFrame(line, "path_id int, i int, x double, y double"), spark.createDataFrame([(*k, v) for k, v in cells.items()], "sim_name string, r int, c int, value double"), spark.createDataFrame([(*k, v) for k, v in dem.items()], "r int, c int, z double"), 6, 7, digits=7)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(keys=\[|hashpartitioning\()[^\])]*sim_name[^\])]*path_id", text)
+
+    def at(known, x, y):
+        if x is None or not (0 <= x < 6 and 0 <= y < 5):
+            return None
+        i, j = math.floor(y), math.floor(x)
+        four = [known.get((i + a, j + b)) for a in (0, 1) for b in (0, 1)]
+        w = [(y - i if a else 1 - y + i) * (x - j if b else 1 - x + j) for a in (0, 1) for b in (0, 1)]
+        return None if None in four else sum(p * q for p, q in zip(w, four, strict=True))
+
+    got = {(r.sim_name, r.path_id, r.i): (r.z, r.value, r.surface) for r in df.collect()}
+    assert len(got) == 3 * len(line) == df.count()
+    for k in ("a", "b", "c"):
+        for p, i, x, y in line:
+            z, v = at(dem, x, y), at({(r, c): q for (n, r, c), q in cells.items() if n == k}, x, y)
+            want = (z, v, None if z is None else z + (v or 0.0))
+            assert all((a is None and b is None) or math.isclose(a, b, abs_tol=1e-7) for a, b in zip(got[k, p, i], want, strict=True))
+
+
+def test_mass_series_in_few_files(spark, monkeypatch, tmp_path):
+    """One file for each task that writes, not one for each simulation and task."""
+    monkeypatch.setattr(files, "new_path", lambda spark, label: str(tmp_path / label))
+    assert registry.queries()["read_mass_series"](spark, SF).select("sim_name").distinct().count() > 4
+    assert len(list((tmp_path / "mass").glob("*.csv"))) <= 4 and not [p for p in (tmp_path / "mass").iterdir() if p.is_dir()]
+
+
 def overlapping(n):
     """Vertices of n polygons of three outlines, one of them listed from another corner, and points on a few places."""
     forms = [((0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)), ((2.0, 1.0), (9.0, 1.0), (2.0, 9.0)), ((4.0, 0.0), (4.0, 3.0), (0.0, 3.0), (0.0, 0.0))]
