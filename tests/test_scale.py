@@ -253,7 +253,7 @@ def odd(x, y, form):
     return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(form, form[1:] + form[:1], strict=True)) % 2 == 1
 
 
-def tested(monkeypatch):
+def meetings(monkeypatch):
     """Tables of places and outlines that meet."""
     met = []
     monkeypatch.setattr(shapes, "shapes_at", lambda places, own, radius=0.0, meet=shapes.shapes_at: met.append((places.count(), own.count())) or meet(places, own, radius))
@@ -262,7 +262,7 @@ def tested(monkeypatch):
 
 def test_points_in_many_equal_polygons(spark, monkeypatch):
     """Places and outlines are tested once each, and every point still gets every polygon."""
-    met = tested(monkeypatch)
+    met = meetings(monkeypatch)
     forms, vertices, points = overlapping(45)
     got = shapes.point_in_polygon(spark.createDataFrame(points, "k int, x double, y double"), spark.createDataFrame(vertices, "feature_id int, seq int, x double, y double")).collect()
     want = {(k, f) for k, x, y in points[:-2] for f in range(45) if odd(x, y, forms[f % 3])}
@@ -271,7 +271,7 @@ def test_points_in_many_equal_polygons(spark, monkeypatch):
 
 
 def test_particles_at_few_places_in_many_equal_polygons(spark, monkeypatch):
-    met = tested(monkeypatch)
+    met = meetings(monkeypatch)
     forms, vertices, points = overlapping(45)
     rows = [(k, x, y, float(k % 4)) for k, x, y in points]
     got = shapes.particles_in_release(spark.createDataFrame(rows + rows[:9], "k int, x double, y double, m double"), spark.createDataFrame(vertices, "feature_id int, seq int, x double, y double"), 0.0).collect()
